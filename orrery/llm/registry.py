@@ -1,9 +1,13 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
+from .exact import OP8_SQL, op8_exact_dedup
 from .secrets import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op8_exact_dedup": op8_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_exact_dedup": OP8_SQL,
+}
