@@ -2,9 +2,11 @@
 
 from .exact import OP8_SQL, op8_exact_dedup
 from .secrets import op1_secret_scan
+from .simhash import op3_simhash
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_simhash": op3_simhash,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
