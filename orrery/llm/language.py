@@ -156,7 +156,7 @@ def calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
         p = softmax(logits / np.exp(t))
         return float(-np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)).mean())
 
-    low, high, ratio = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
+    low, high, ratio = np.log(0.25), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(50):
         a, b = high - ratio * (high - low), low + ratio * (high - low)
         low, high = (low, b) if loss(a) < loss(b) else (a, high)
