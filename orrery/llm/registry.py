@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
+from .chat import OP4_SQL, op4_chat_format
 from .exact import OP8_SQL, op8_exact_dedup
 from .language import op6_language_id
 from .packing import op10_best_fit_packing
@@ -9,11 +10,13 @@ from .simhash import op3_simhash
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_simhash": op3_simhash,
+    "op4_chat_format": op4_chat_format,
     "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_chat_format": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
