@@ -179,6 +179,13 @@ def linked(word: np.ndarray, fps: np.ndarray, width: int, budget: int, limit: in
 def joined(width: int, budget: int, limit: int):
     """The links of each cell, as a forest: rows come in order of cells."""
 
+    def node(raw: bytes) -> int:
+        h = xxhash.xxh64_intdigest(raw, 42)  # as Spark's xxhash64
+        return h - (1 << 64) if h >> 63 else h
+
+    def batch_of(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([node(x) for x, _ in out], pa.int64()), pa.array([node(y) for _, y in out], pa.int64())], ["u", "v"])
+
     def links(cell: int, raw: list[bytes]) -> list[tuple[bytes, bytes]]:
         if len(raw) == 2:
             return [(raw[0], raw[1])] if (int.from_bytes(raw[0]) ^ int.from_bytes(raw[1])).bit_count() <= limit else []
@@ -203,18 +210,17 @@ def joined(width: int, budget: int, limit: int):
                         out += links(here, held)
                     here, held = int(cells[a]), []
                 held += raw[a:b]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["u", "v"])
+            yield batch_of(out)
         if len(held) > 1:
-            out = links(here, held)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["u", "v"])
+            yield batch_of(links(here, held))
 
     return run
 
 
 def near_edges(distinct: DataFrame, tables: int = 1, width: int = 64, budget: int = 2, limit: int = 2) -> DataFrame:
-    """Edges (u, v) that connect all distinct fingerprints ``fp`` within reach of one another."""
+    """Edges (u, v) of nodes that connect all distinct fingerprints ``fp`` within reach of one another."""
     cells = distinct.select("fp").mapInArrow(celled(tables, width, budget), "cell long, fp binary")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(joined(width, budget, limit), "u binary, v binary").distinct()
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(joined(width, budget, limit), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,29 +234,33 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("n").agg(F.least(F.min("w"), F.col("n")).alias("m")).hint("merge")
         met = both.join(least, "n")
         if large:
-            pairs = met.where("w > n").select(F.col("w").alias("u"), F.col("m").alias("v"))
-        else:
-            pairs = met.where("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v")).union(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
+            return met.where("w > n").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        pairs = met.where("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v")).union(met.select(F.col("n").alias("u"), F.col("m").alias("v")))
         return pairs.where("u <> v").distinct()
 
+    def settled(e: DataFrame) -> bool:
+        """Whether every node points to one node only, which points nowhere."""
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("v"), F.lit(0), F.lit(1)))).alias("x")).select("x.*")
+        return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out > 0 and into > 0)").isEmpty()
+
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = written(down, "edges"), None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    e = written(down, "edges")
+    while not settled(e):
         e = written(stars(stars(e, True), False), "edges")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def grouped(fps: DataFrame, id_col: str = "doc_id", **search) -> DataFrame:
-    """Each row of ``fps`` (id, fp) with its ``component_id``: the smallest id that links reach."""
-    distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("_least")), "fingerprints")
-    roots = components(near_edges(distinct, **search))
-    placed = distinct.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
+    """Each row of ``fps`` (id, fp) with its ``component_id``: the smallest id that links reach.
+
+    A fingerprint's node is its XXH64: one to one for 64 bits, and 64 bits of a hash for longer fingerprints."""
+    fps = fps.withColumn("node", F.xxhash64("fp"))
+    distinct = written(fps.groupBy("node", "fp").agg(F.min(id_col).alias("_least")), "fingerprints")
+    roots = components(near_edges(distinct, **search)).hint("merge")
+    placed = distinct.select("node", "_least").join(roots, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = placed.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id")
-    return fps.join(named.hint("merge"), "fp")
+    named = placed.select("node", "root").join(least.hint("merge"), "root").select("node", "component_id")
+    return fps.join(named.hint("merge"), "node").drop("node")
 
 
 #: The wide fingerprint for five-word shingles and a similarity of 0.8: 16 words of 24 bits.
