@@ -240,7 +240,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     def settled(e: DataFrame) -> bool:
         """Whether every node points to one node only, which points nowhere."""
-        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("v"), F.lit(0), F.lit(1)))).alias("x")).select("x.*")
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("x")).select("x.*")
         return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out > 0 and into > 0)").isEmpty()
 
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
