@@ -6,9 +6,11 @@ from .language import op6_language_id
 from .packing import op10_best_fit_packing
 from .secrets import op1_secret_scan
 from .simhash import op3_simhash
+from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
     "op6_language_id": op6_language_id,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": OP2_SQL,
     "op4_chat_format": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
