@@ -2,6 +2,7 @@
 
 from .chat import OP4_SQL, op4_chat_format
 from .exact import OP8_SQL, op8_exact_dedup
+from .html_main import op9_html_extract
 from .language import op6_language_id
 from .packing import op10_best_fit_packing
 from .secrets import op1_secret_scan
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_html_extract": op9_html_extract,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
