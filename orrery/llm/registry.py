@@ -2,6 +2,7 @@
 
 from .chat import OP4_SQL, op4_chat_format
 from .exact import OP8_SQL, op8_exact_dedup
+from .fingerprints import op5_document_fingerprint
 from .html_main import op9_html_extract
 from .language import op6_language_id
 from .packing import op10_best_fit_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
+    "op5_document_fingerprint": op5_document_fingerprint,
     "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_html_extract": op9_html_extract,
