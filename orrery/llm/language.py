@@ -180,13 +180,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             found = [vector(t, idf) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], ["_key", "lang", "at", "v"])
 
-    sample = drawn.select("_key", lang_col, text_col).mapInArrow(run, "_key long, lang string, at array<int>, v array<float>").toArrow().to_pylist()
+    sample = drawn.select("_key", lang_col, text_col).mapInArrow(run, "_key long, lang string, at array<int>, v array<float>").toArrow().combine_chunks()
+    keys, names = sample.column("_key").to_pylist(), sample.column("lang").to_pylist()
+    lists = [sample.column(c).combine_chunks() for c in ("at", "v")]
+    ends = [0, *np.cumsum(lists[0].value_lengths().to_numpy()).tolist()]
+    at, v = (x.flatten().to_numpy() for x in lists)
     by_lang: dict[str, int] = {}
     learn, held = [], []
-    for row in sorted(sample, key=lambda r: (r["_key"], r["lang"])):
-        k = by_lang[row["lang"]] = by_lang.get(row["lang"], 0) + 1
-        if k <= per_lang and row["at"]:
-            (held if k % 5 == 0 else learn).append((np.array(row["at"], np.int64), np.array(row["v"], np.float64), langs.index(row["lang"])))
+    for i in sorted(range(len(keys)), key=lambda i: (keys[i], names[i], ends[i])):
+        k = by_lang[names[i]] = by_lang.get(names[i], 0) + 1
+        if k <= per_lang and ends[i] < ends[i + 1]:
+            (held if k % 5 == 0 else learn).append((at[ends[i] : ends[i + 1]], v[ends[i] : ends[i + 1]], langs.index(names[i])))
     weights = ftrl(learn, len(langs))
     model = Model(langs, idf, weights, 1.0)
     model.temperature = calibrated(np.array([model.logits(a, v) for a, v, _ in held]), np.array([k for _, _, k in held], dtype=np.int64))

@@ -6,6 +6,7 @@ from .fingerprints import op5_document_fingerprint
 from .html_main import op9_html_extract
 from .language import op6_language_id
 from .packing import op10_best_fit_packing
+from .pieces import op7_sentencepiece
 from .secrets import op1_secret_scan
 from .simhash import op3_simhash
 from .warc import OP2_SQL, op2_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_document_fingerprint": op5_document_fingerprint,
     "op6_language_id": op6_language_id,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_html_extract": op9_html_extract,
     "op10_best_fit_packing": op10_best_fit_packing,
