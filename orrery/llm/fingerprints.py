@@ -19,18 +19,15 @@ smallest text lends the id's text to the document before it. Extra columns are n
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .scratch import documents, written
 from .secrets import bind
 
 CUT = r"(?<=[.!?;|])\s+|[\r\n]+"
-#: Digests in a group, cells in each part of a fingerprint, least and most cells in each part of a group's first table.
-GROUP, PRINT_CELLS, LEAST_CELLS, MOST_CELLS = 96, 4, 4, 64
+#: Digests in a group, cells in each part of its first table and of a fingerprint, and tries, each four times as large.
+GROUP, CELLS, PRINT_CELLS, TRIES = 16, 8, 4, 4
 NULL_ID = -(1 << 63)
 
 
@@ -85,12 +82,45 @@ def peel(counts: Column, sums: Column, s: Column, steps: Column, seed: int) -> C
     return bind(done, lambda d: F.struct((~F.exists(d["c"], lambda c: c != 0) & ~F.exists(d["x"], lambda x: x != 0)).alias("whole"), d["plus"].alias("plus"), d["minus"].alias("minus")))
 
 
-def table(plus: Column, minus: Column, s: Column, seed: int) -> tuple[Column, Column]:
-    """Counts and sums of the difference of two small sets' tables, cell by cell."""
-    signed = F.concat(*[F.transform(a, lambda h: F.struct(F.lit(sign).alias("n"), h.alias("h"), F.array(*[cell(h, F.lit(t), s, seed) for t in range(3)]).alias("p"))) for a, sign in ((plus, 1), (minus, -1))])  # noqa: B023
-    cells = F.sequence(F.lit(0), (3 * s - 1).cast("int"))
-    here = lambda j: F.filter(signed, lambda e: F.array_contains(e["p"], j))
-    return F.transform(cells, lambda j: F.aggregate(here(j), F.lit(0), lambda a, e: a + e["n"])), F.transform(cells, lambda j: F.aggregate(here(j), F.lit(0).cast("long"), lambda a, e: a.bitwiseXOR(e["h"])))
+def table(left: Column, right: Column, s: Column, seed: int) -> Column:
+    """struct(c array<int>, x array<long>): the table of ``left`` less that of ``right``, cell by cell."""
+    place = lambda sign: lambda h: F.struct(F.lit(sign).alias("n"), h.alias("h"), F.array(*[cell(h, F.lit(t), s, seed) for t in range(3)]).alias("p"))
+    items = F.concat(F.transform(left, place(1)), F.transform(right, place(-1)))
+
+    def cells(placed: Column) -> Column:
+        held = lambda j: F.filter(placed, lambda e: e["p"][F.floor(j / s).cast("int")] == j)
+        return F.transform(F.sequence(F.lit(0), (3 * s - 1).cast("int")), lambda j: F.aggregate(held(j), F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("x")), lambda a, e: F.struct((a["c"] + e["n"]).alias("c"), a["x"].bitwiseXOR(e["h"]).alias("x"))))
+
+    return bind(bind(items, cells), lambda t: F.struct(F.transform(t, lambda v: v["c"]).alias("c"), F.transform(t, lambda v: v["x"]).alias("x")))
+
+
+def reconciled(left: Column, right: Column, s: int, seed: int) -> Column:
+    """struct(whole, plus, minus, l, r) of two small sets: their tables are subtracted and peeled; a failure keeps the sets."""
+    cells = F.lit(s)
+    peeled = bind(table(left, right, cells, seed), lambda t: peel(t["c"], t["x"], cells, 3 * cells + F.size(left) + F.size(right), seed))
+    return bind(peeled, lambda p: F.struct(
+        p["whole"].alias("whole"), F.size(p["plus"]).cast("long").alias("plus"), F.size(p["minus"]).cast("long").alias("minus"), F.when(~p["whole"], left).alias("l"), F.when(~p["whole"], right).alias("r")))
+
+
+def dealt(digests: Column, groups: Column, shift: int) -> Column:
+    """The set cut into ``groups`` sets by bits of its digests."""
+    return F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.filter(digests, lambda h: F.pmod(F.shiftright(h, shift), groups) == g))
+
+
+def with_difference(df: DataFrame, left: str, right: str, out: str) -> DataFrame:
+    """Adds ``out``: struct(plus, minus), how many digests only one of two sets has, found group by group and try by try."""
+    groups = F.greatest(F.lit(1), F.ceil((F.size(left) + F.size(right)) / GROUP)).cast("int")
+    df = df.withColumn("_outer", F.ceil(F.sqrt(groups.cast("double"))).cast("int")).withColumn("_inner", F.ceil(groups / F.col("_outer")).cast("int"))
+    wide = F.arrays_zip(dealt(F.col(left), F.col("_outer"), 20).alias("l"), dealt(F.col(right), F.col("_outer"), 20).alias("r"))
+    df = df.withColumn("_w", wide)
+    narrow = F.flatten(F.transform("_w", lambda w: F.arrays_zip(dealt(w["l"], F.col("_inner"), 40).alias("l"), dealt(w["r"], F.col("_inner"), 40).alias("r"))))
+    df = df.withColumn("_w", narrow).withColumn("_t", F.transform("_w", lambda w: reconciled(w["l"], w["r"], CELLS, 0)))
+    for k in range(1, TRIES):
+        df = df.withColumn("_t", F.transform("_t", lambda w: F.when(w["whole"], w).otherwise(reconciled(w["l"], w["r"], CELLS * 4**k, k))))  # noqa: B023
+    # what no try could peel is compared digest by digest
+    counted = lambda w, a, b, side: F.when(w["whole"], w[side]).otherwise(F.size(F.array_except(w[a], w[b])).cast("long"))
+    total = lambda a, b, side: F.aggregate("_t", F.lit(0).cast("long"), lambda n, w: n + counted(w, a, b, side))
+    return df.withColumn(out, F.struct(total("l", "r", "plus").alias("plus"), total("r", "l", "minus").alias("minus"))).drop("_outer", "_inner", "_w", "_t")
 
 
 def following(docs: DataFrame) -> DataFrame:
@@ -108,91 +138,36 @@ def following(docs: DataFrame) -> DataFrame:
 
 
 def versions(docs: DataFrame) -> DataFrame:
-    """Each row's id, length and digests (a), the digest of its edited text, and the digests of the edited (b) and the next text (c)."""
+    """Each row's id (key), length and digests (a), the digest of its edited text, and the digests of the edited (b) and the next text (c)."""
     order = following(docs)
-    lent = docs.repartition("key").groupBy("key").agg(F.min("text").alias("text"))
+    dealt_out = docs.repartition("key")  # read by both branches: the texts are shuffled once
+    lent = dealt_out.groupBy("key").agg(F.min("text").alias("text"))
     gifts = lent.join(order.select(F.col("next_key").alias("key"), F.col("key").alias("to"), "half").hint("merge"), "key")
     gifts = gifts.select(F.col("to").alias("key"), F.substr("text", F.lit(1), F.col("half").cast("int")).alias("head"), digests(F.col("text")).alias("c"))
-    own = docs.repartition("key").join(gifts.hint("merge"), "key")
+    own = dealt_out.join(gifts.hint("merge"), "key")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = own.withColumn("edited", F.concat(F.substr("text", F.lit(1), n - half), F.substr("head", F.lit(1), half)))
-    return edited.select("key", F.monotonically_increasing_id().alias("row"), F.to_json(F.struct("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")), {"ignoreNullFields": "false"}).alias("info"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), "c")
-
-
-#: What a row of cells belongs to: the text's own fingerprint, its edited text's, or a comparison with one of the others.
-OWN, EDITED, TO_EDITED, TO_NEXT = range(4)
-
-
-def tables(docs: DataFrame) -> DataFrame:
-    """(key, row, kind, g, s, info, cells): each row's fingerprints, and the tables of its two comparisons by group of digests.
-
-    ``cells`` is sorted by cell. Cells from 0 on are the table's; -1 and -2 list a group's digests in either version for
-    another try. All rows of a key stay where the join put them, so nothing here is shuffled."""
-    total = lambda x: F.size("a") + F.size(x)
-    side = lambda kind, sign, name, size: F.struct(F.lit(kind).alias("kind"), F.lit(sign).alias("sign"), F.col(name).alias("set"), size.alias("size"))
-    sides = F.array(
-        side(OWN, 1, "a", F.lit(0)), side(EDITED, 1, "b", F.lit(0)),
-        side(TO_EDITED, 1, "a", total("b")), side(TO_EDITED, -1, "b", total("b")), side(TO_NEXT, 1, "a", total("c")), side(TO_NEXT, -1, "c", total("c")),
-    )
-    rows = versions(docs).select("key", "row", "info", F.explode(sides).alias("x")).select("key", "row", F.when(F.expr("x.kind = 0"), F.col("info")).alias("info"), "x.*")
-    groups = F.greatest(F.lit(1), F.ceil(F.col("size") / GROUP)).cast("int")
-    fitting = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("size") * 0.75, F.lit(1.0))))).cast("int")
-    cells = F.when(F.col("kind") <= EDITED, PRINT_CELLS).otherwise(F.greatest(F.lit(LEAST_CELLS), F.least(F.lit(MOST_CELLS), fitting)))
-    rows = rows.select("key", "row", "kind", "sign", "info", groups.alias("groups"), cells.alias("s"), F.size("set").alias("held"), "set")
-    # after the digests come places for all cells, so that tables have no gaps, and one for what else is known of the row
-    gaps = F.when(F.col("sign") > 0, F.col("groups") * F.col("s") * 3 + F.when(F.col("kind") == OWN, 1).otherwise(0)).otherwise(0)
-    rows = rows.select("key", "row", "kind", "sign", "info", "groups", "s", "held", F.posexplode(F.concat("set", F.array_repeat(F.lit(0).cast("long"), gaps))).alias("at", "h"))
-    gap = F.col("at") - F.col("held")
-    parts = F.when(gap >= 0, F.array(F.lit(0))).when(F.col("kind") <= EDITED, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)))
-    rows = rows.select("key", "row", "kind", "sign", "info", "groups", "s", gap.alias("gap"), "h", F.explode(parts).alias("part"))
-    size = F.col("s") * 3
-    told = (F.col("gap") >= 0) & (F.col("gap") >= F.col("groups") * size)
-    g = F.when(told, 0).when(F.col("gap") >= 0, F.floor(F.col("gap") / size)).otherwise(F.pmod(F.shiftright("h", 24), F.col("groups"))).cast("int")
-    at = F.when(told, -3).when(F.col("gap") >= 0, F.col("gap") % size).when(F.col("part") == 3, F.when(F.col("sign") > 0, -1).otherwise(-2)).otherwise(cell(F.col("h"), F.col("part"), F.col("s"), 0))
-    rows = rows.select(
-        "key", "row", "kind", g.alias("g"), "s", at.cast("int").alias("cell"), F.when(told, F.col("info")).alias("info"), F.when((F.col("gap") < 0) & (F.col("part") == 3), F.col("h")).alias("digest"),
-        F.when(F.col("gap") >= 0, 0).otherwise(F.col("sign")).alias("n"), "h")
-    summed = rows.groupBy("key", "row", "kind", "g", "s", "cell", "digest", "info").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("h").alias("x"))
-    return summed.groupBy("key", "row", "kind", "g", "s").agg(F.max("info").alias("info"), F.array_sort(F.collect_list(F.when(F.col("cell") > -3, F.struct("cell", "n", F.coalesce("digest", "x").alias("x"))))).alias("cells"))
-
-
-def tried(docs: DataFrame) -> list[DataFrame]:
-    """Tables of (key, row, kind, info, print, size, whole, plus, minus, left, right): the first try, and those of larger tables on what failed before."""
-    cells = tables(docs)
-    own = F.col("kind") <= EDITED
-    body = F.filter("cells", lambda c: c["cell"] >= 0)
-    counts, sums = F.transform(body, lambda c: c["n"]), F.transform(body, lambda c: c["x"])
-    listed = lambda k: F.transform(F.filter("cells", lambda c: c["cell"] == k), lambda c: c["x"])
-    shown = F.concat_ws("", F.transform(body, lambda c: F.concat(F.lpad(F.hex(F.pmod(c["n"], F.lit(65536)).cast("long")), 4, "0"), F.lpad(F.hex(c["x"]), 16, "0"))))
-    size = (F.aggregate(counts, F.lit(0), lambda a, n: a + n) / 3).cast("long")
-    peeled = F.when(~own, peel(counts, sums, F.col("s"), F.size("cells") + F.lit(1), 0))
-    first = cells.select("key", "row", "kind", "g", "s", "info", F.when(own, F.lower(shown)).alias("print"), F.when(own, size).alias("size"), peeled.alias("p"), listed(-1).alias("left"), listed(-2).alias("right"))
-    keep = lambda df: df.select("key", "row", "kind", "g", "s", "info", "print", "size", F.coalesce("p.whole", F.lit(True)).alias("whole"), F.size("p.plus").alias("plus"), F.size("p.minus").alias("minus"), *[F.when(~F.col("p.whole"), F.col(x)).alias(x) for x in ("left", "right")])
-    out, seed = [written(keep(first), "tables")], 0
-    while not (failed := out[-1].where("not whole")).isEmpty():
-        seed += 1
-        larger = failed.withColumn("s", (F.col("s") * 4).cast("int"))
-        counts, sums = table(F.col("left"), F.col("right"), F.col("s"), seed)
-        again = larger.withColumn("t", F.struct(counts.alias("c"), sums.alias("x"))).withColumn("p", peel(F.col("t.c"), F.col("t.x"), F.col("s"), F.col("s") * 3 + F.size("left") + F.size("right"), seed))
-        out.append(written(keep(again), "tables"))
-    return out
+    return edited.select("key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), "c")
+
+
+def printed(digests: Column) -> Column:
+    """A set's small table in hexadecimal: by cell, the count in 4 digits and the sum in 16."""
+    none = F.expr("cast(array() as array<bigint>)")
+    cells = lambda t: F.concat_ws("", F.zip_with(t["c"], t["x"], lambda c, x: F.concat(F.lpad(F.hex(F.pmod(c, F.lit(65536)).cast("long")), 4, "0"), F.lpad(F.hex(x), 16, "0"))))
+    return F.lower(bind(table(digests, none, F.lit(PRINT_CELLS), 0), cells))
 
 
 def compare_versions(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row of ``docs`` (doc_id, text).
 
     The edited text has its last half replaced by the beginning, as long or whole, of the next text by falling id."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"))
-    parts = reduce(DataFrame.unionByName, [t.where("whole").drop("left", "right") for t in tried(rows)])
-    only = lambda kind, value: F.max(F.when(F.col("kind") == kind, F.col(value)))
-    found = lambda kind, value: F.sum(F.when(F.col("kind") == kind, F.col(value)))
-    done = parts.groupBy("key", "row").agg(
-        F.max("info").alias("info"), only(OWN, "print").alias("fingerprint"), only(EDITED, "print").alias("edited_fingerprint"), only(OWN, "size").alias("size"),
-        *[found(kind, side).alias(f"{side}{kind}") for kind in (TO_EDITED, TO_NEXT) for side in ("plus", "minus")])
-    near = lambda kind: F.coalesce(F.try_divide(F.col("size") - F.col(f"plus{kind}"), F.col("size") + F.col(f"minus{kind}")), F.lit(1.0)).cast("double")
-    told = F.from_json("info", T.StructType([docs.schema["doc_id"], T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType())]))
-    return done.withColumn("told", told).select("told.*", "fingerprint", "edited_fingerprint", near(TO_EDITED).alias("near_edited"), near(TO_NEXT).alias("near_next"))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"))
+
+    near = lambda d: F.coalesce(F.try_divide(F.size("a") - F.col(f"{d}.plus"), F.size("a") + F.col(f"{d}.minus")), F.lit(1.0)).cast("double")
+    both = with_difference(with_difference(versions(rows), "a", "b", "_edited"), "a", "c", "_next")
+    doc_id = F.nullif("key", F.lit(NULL_ID)).cast(docs.schema["doc_id"].dataType)
+    return both.select(doc_id.alias("doc_id"), "n_chars", "edited_sha256", printed(F.col("a")).alias("fingerprint"), printed(F.col("b")).alias("edited_fingerprint"), near("_edited").alias("near_edited"), near("_next").alias("near_next"))
 
 
 def op5_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
