@@ -39,7 +39,7 @@ def label_of(code: Column) -> Column:
 
 
 def tokens(s: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), ";"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def freq_display(s: Column) -> Column:
@@ -56,7 +56,7 @@ def freq_format(values: Column, types: Column) -> Column:
 def freq_numeric(token: Column, profile: str = "graph") -> Column:
     """A token as a share; NULL if it can't be read. Profile ``pred`` reads that as 0, as well as fractions below 3 cases."""
     word = F.lower(F.when(F.lower(F.trim(token)).startswith("hp:"), label_of(F.upper(F.trim(token)))).otherwise(F.trim(token)))
-    number = lambda pattern, k: F.try_to_number(F.nullif(F.regexp_extract(word, pattern, k), F.lit("")), F.lit("999999999")).cast("double")
+    number = lambda pattern, k: F.nullif(F.regexp_extract(word, pattern, k), F.lit("")).try_cast("double")
     ratio = lambda p: F.try_divide(number(p, 1), number(p, 2))
     percent = F.nullif(F.regexp_extract(word, r"^([\d.]+?)\s*%$", 1), F.lit("")).try_cast("double") / 100
     span = (number(r"^(\d+)%?-(\d+)%$", 1) + number(r"^(\d+)%?-(\d+)%$", 2)) / 200
@@ -124,7 +124,7 @@ def case_freq_value(s: Column) -> Column:
     p = F.nullif(F.regexp_extract(t, r"^(\d+(?:\.\d+)?)%$", 1), F.lit("")).try_cast("double") / 100
     n = t.try_cast("double")
     bare = F.when((n >= 0) & (n <= 1), n).when((n > 1) & (n <= 100), n / 100)
-    return F.when(t == "", None).when(unknown, 1.0).otherwise(F.coalesce(words, F.when(b > 0, F.least(a, b) / b), F.least(p, F.lit(1.0)), bare))
+    return F.when(t == "", None).when(unknown, 1.0).otherwise(F.coalesce(words, F.when(b > 0, F.least(a, b) / b), F.when(p.isNotNull(), F.least(p, F.lit(1.0))), bare))
 
 
 def freq_bucket(x: Column) -> Column:

@@ -31,7 +31,7 @@ def extract_code(s: Column) -> Column:
 
 
 def split_names(s: Column, pattern: str = ";") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), pattern), lambda t: F.trim(t)), lambda x: x != "")
 
 
 def norm_name(s: Column, compat: bool = True) -> Column:

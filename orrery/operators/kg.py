@@ -19,7 +19,7 @@ def association_count(annotation: DataFrame, groups: DataFrame, closure: DataFra
 def information_content(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """(term_id, ic): -ln of the share of groups."""
     total = groups.agg(F.countDistinct("group_id").alias("_all"))
-    return counts.crossJoin(F.broadcast(total)).select("term_id", (-F.log(F.col("n") / F.col("_all"))).alias("ic"))
+    return counts.crossJoin(F.broadcast(total)).select("term_id", F.log(F.col("_all") / F.col("n")).alias("ic"))
 
 
 def term_universe(annotation: DataFrame, closure: DataFrame, root) -> DataFrame:

@@ -25,7 +25,7 @@ def merge_frequency_values(rows: DataFrame, order: list[str]) -> DataFrame:
 
 def frequency_numeric(merged: DataFrame) -> DataFrame:
     """Adds ``frequency_num``, the largest readable share, NULL if there is none."""
-    return merged.withColumn("frequency_num", F.array_max(F.transform("frequencies", freq.freq_max)))
+    return merged.withColumn("frequency_num", F.array_max(F.transform("frequencies", lambda f: freq.freq_max(f))))
 
 
 def alias_table(sources: list[DataFrame]) -> DataFrame:

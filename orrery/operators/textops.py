@@ -56,7 +56,7 @@ def parse_object_answer(answers: DataFrame) -> DataFrame:
 
 
 def split_thinking(text: Column) -> tuple[Column, Column]:
-    return F.regexp_extract(text, r"(?s)<think>(.*?)</think>", 1), F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    return F.regexp_extract(text, r"(?s)<think>(.*?)</think>", 1), F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"^\s+|\s+$", "")
 
 
 def validate_answer(parsed: DataFrame, answers: DataFrame, sections: list[str], wanted: int = 20) -> DataFrame:
@@ -94,7 +94,7 @@ def page_description(pages: DataFrame) -> DataFrame:
 
 
 def pending_ids(library: DataFrame, done: DataFrame, skipped: tuple[str, ...] = ("CCRD", "DECIPHER")) -> DataFrame:
-    ids = library.select(F.explode("diseases").cast("string").alias("disease_id")).distinct()
+    ids = library.select(F.explode("diseases").alias("disease_id")).select(F.col("disease_id").cast("string").alias("disease_id")).distinct()
     for s in skipped:
         ids = ids.where(~F.col("disease_id").startswith(s))
     return ids.join(done.select(F.col("disease_id").cast("string").alias("disease_id")), "disease_id", "left_anti")

@@ -141,7 +141,7 @@ CTE = {
     "gene": "SELECT DISTINCT o_custkey % 50 AS gene_id, l_partkey AS term_id, l_suppkey AS disease_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "emb": f"SELECT term_id, CAST(embedding AS DOUBLE[]) AS v FROM term JOIN embeddings ON term_id % {VECTORS} = vec_id",
     "counts": "SELECT t.term_id, greatest(count(DISTINCT g.group_id), 1) AS n FROM term t LEFT JOIN selfc s ON s.ancestor_id = t.term_id LEFT JOIN ann a ON a.term_id = s.term_id LEFT JOIN grp g ON g.disease_id = a.disease_id GROUP BY 1",
-    "ic": "SELECT term_id, -ln(n / (SELECT count(DISTINCT group_id) FROM grp)) AS ic FROM counts",
+    "ic": "SELECT term_id, ln((SELECT count(DISTINCT group_id) FROM grp) / n) AS ic FROM counts",
     "single": "SELECT parent, min(child) AS child FROM edge GROUP BY 1 HAVING count(DISTINCT child) = 1",
     "cand1": "SELECT DISTINCT patient_id, disease_id FROM q JOIN ann USING (term_id) UNION SELECT patient_id, disease_id FROM q JOIN closure c ON c.term_id = q.term_id AND c.distance <= 1 JOIN ann a ON a.term_id = c.ancestor_id WHERE q.term_id NOT IN (SELECT term_id FROM ann)",
     "direct": "SELECT patient_id, disease_id, term_id AS query_term, term_id AS matched_term, 'direct' AS kind, freq FROM q JOIN ann USING (term_id)",
