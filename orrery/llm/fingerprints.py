@@ -33,7 +33,7 @@ NULL_ID = -(1 << 63)
 
 def digests(text: Column) -> Column:
     """The set of a text's paragraph digests."""
-    parts = F.array_distinct(F.filter(F.transform(F.split(text, CUT), F.trim), lambda p: p != ""))
+    parts = F.array_distinct(F.filter(F.transform(F.split(text, CUT), lambda p: F.trim(p)), lambda p: p != ""))
     return F.array_distinct(F.transform(parts, lambda p: bind(F.shiftrightunsigned(F.xxhash64(p), 16), lambda d: F.shiftleft(d, 16).bitwiseOR(check(d)))))
 
 
