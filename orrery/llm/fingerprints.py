@@ -47,7 +47,7 @@ def cell(digest: Column, part: Column, s: Column, seed: int) -> Column:
 
 def pure(count: Column, digest: Column, at: Column, s: Column, seed: int) -> Column:
     """Whether cell ``at`` holds just one digest."""
-    return (F.abs(count) == 1) & (check(F.shiftrightunsigned(digest, 16)) == digest.bitwiseAND(F.lit(0xFFFF))) & (cell(digest, F.floor(at / s).cast("int"), s, seed) == at)
+    return F.when(F.abs(count) != 1, False).otherwise((check(F.shiftrightunsigned(digest, 16)) == digest.bitwiseAND(F.lit(0xFFFF))) & (cell(digest, F.floor(at / s).cast("int"), s, seed) == at))
 
 
 def peel(counts: Column, sums: Column, s: Column, steps: Column, seed: int) -> Column:
@@ -84,12 +84,13 @@ def peel(counts: Column, sums: Column, s: Column, steps: Column, seed: int) -> C
 
 def table(left: Column, right: Column, s: Column, seed: int) -> Column:
     """struct(c array<int>, x array<long>): the table of ``left`` less that of ``right``, cell by cell."""
-    place = lambda sign: lambda h: F.struct(F.lit(sign).alias("n"), h.alias("h"), F.array(*[cell(h, F.lit(t), s, seed) for t in range(3)]).alias("p"))
+    place = lambda sign: lambda h: F.struct(F.lit(sign).alias("n"), h.alias("h"), *[cell(h, F.lit(t), s, seed).alias(f"p{t}") for t in range(3)])
     items = F.concat(F.transform(left, place(1)), F.transform(right, place(-1)))
+    summed = lambda held: F.aggregate(held, F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("x")), lambda a, e: F.struct((a["c"] + e["n"]).alias("c"), a["x"].bitwiseXOR(e["h"]).alias("x")))
 
     def cells(placed: Column) -> Column:
-        held = lambda j: F.filter(placed, lambda e: e["p"][F.floor(j / s).cast("int")] == j)
-        return F.transform(F.sequence(F.lit(0), (3 * s - 1).cast("int")), lambda j: F.aggregate(held(j), F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("x")), lambda a, e: F.struct((a["c"] + e["n"]).alias("c"), a["x"].bitwiseXOR(e["h"]).alias("x"))))
+        parts = [F.transform(F.sequence((s * t).cast("int"), (s * (t + 1) - 1).cast("int")), lambda j: summed(F.filter(placed, lambda e: e[f"p{t}"] == j))) for t in range(3)]  # noqa: B023
+        return F.concat(*parts)
 
     return bind(bind(items, cells), lambda t: F.struct(F.transform(t, lambda v: v["c"]).alias("c"), F.transform(t, lambda v: v["x"]).alias("x")))
 
