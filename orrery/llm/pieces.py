@@ -6,13 +6,15 @@ follows up to the next mark or line end. No piece crosses such a border, so each
 1. each chunk of documents lists its distinct words, and the words of all chunks are made distinct;
 2. substrings of up to the longest piece's length are exploded and joined to the piece table by equality (a broadcast
    of at most ``MOST_PIECES`` rows); a character that is no piece becomes an edge of unknown score;
-3. edges are grouped by word, in order of their end, and folded by Viterbi in a higher-order ``aggregate``: the best
-   score and edge for each end, then the way back. Ties keep the longer piece. Unknown characters give byte pieces;
+3. edges are grouped by word and folded in a higher-order ``aggregate``. For a unigram model the fold is Viterbi: the
+   best score and edge for each end, then the way back; ties keep the longer piece. For a model made by merges it
+   takes, again and again, the best-scored edge over two neighbours, the leftmost of equals, as that model is defined.
+   Unknown characters give byte pieces;
 4. words and ids go back to the chunks that use them, and meet the documents there.
 
-The scores are those in the model file. For a vocabulary of the unigram kind this is the library's encoding; for one
-made by merges it is the segmentation of best summed scores in that vocabulary (see the README). Words of over
-``LONG`` characters are folded by the same recurrence in the task that holds them, with memory in proportion.
+Which fold applies is read from the model file: summed scores do not give the encoding of a model made by merges (see
+the README). Words of over ``LONG`` characters are folded by the same rule in the task that holds them, with memory in
+proportion.
 
 Null and empty texts have no ids. A U+2581 in a text decodes to a space. Repeated rows give a row each.
 """
@@ -20,6 +22,7 @@ Null and empty texts have no ids. A U+2581 in a text decodes to a space. Repeate
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,6 +52,7 @@ class Vocabulary:
     scores: list[float]
     kinds: list[str]  # normal, byte, control
     bytes_at: list[int]
+    merges: bool
 
     @property
     def longest(self) -> int:
@@ -62,6 +66,18 @@ class Vocabulary:
         return min(s for s, k in zip(self.scores, self.kinds) if k == "normal") - UNKNOWN
 
 
+def made_by_merges(model_file: str) -> bool:
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(model_file, "rb") as f:
+        model.ParseFromString(f.read())
+    kind = model.trainer_spec
+    if kind.model_type not in (kind.UNIGRAM, kind.BPE):
+        raise ValueError("only unigram models and models made by merges are known")
+    return kind.model_type == kind.BPE
+
+
 def vocabulary(model_file: str) -> Vocabulary:
     import sentencepiece
 
@@ -75,7 +91,7 @@ def vocabulary(model_file: str) -> Vocabulary:
     crossing = [x for x, k in zip(pieces, kinds) if k == "normal" and re.search(f"[^{MARK}]{MARK}|\n", x)]
     if crossing:
         raise ValueError(f"pieces cross words: {crossing[:3]}")
-    return Vocabulary(pieces, [p.get_score(i) for i in range(n)], kinds, [at[f"<0x{b:02X}>"] for b in range(256)])
+    return Vocabulary(pieces, [p.get_score(i) for i in range(n)], kinds, [at[f"<0x{b:02X}>"] for b in range(256)], made_by_merges(model_file))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -112,6 +128,29 @@ def used_words(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select("_chunk", text_col).mapInArrow(run, "chunk long, word string")
 
 
+def bytes_of(c: Column, byte_ids: list[int]) -> Column:
+    """The byte pieces of a character."""
+    table = F.array(*[F.lit(i) for i in byte_ids])
+    return F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.element_at(table, F.conv(F.substr(F.hex(c), i * 2 - 1, F.lit(2)), 16, 10).cast("int") + 1))
+
+
+def merged(edges: Column, word: Column, byte_ids: list[int]) -> Column:
+    """Ids after all merges. ``edges`` as for viterbi; the state is the borders between pieces."""
+
+    def step(borders: Column, _: Column) -> Column:
+        joins = F.filter(edges, lambda x: (x["id"] >= 0) & (F.get(borders, (F.array_position(borders, x["s"]) + 1).cast("int")) == x["e"]) & F.array_contains(borders, x["s"]))
+        best = F.array_max(F.transform(joins, lambda x: F.struct(x["score"].alias("score"), (-x["s"]).alias("left"), x["e"].alias("e"))))
+        return bind(best, lambda m: F.when(m.isNull(), borders).otherwise(F.filter(borders, lambda v: (v <= -m["left"]) | (v >= m["e"]))))
+
+    def piece(borders: Column, i: Column) -> Column:
+        own = F.filter(edges, lambda x: (x["s"] == borders[i]) & (x["e"] == borders[i + 1]))[0]["id"]
+        return bind(own, lambda d: F.when(d >= 0, F.array(d)).otherwise(bytes_of(F.substr(word, borders[i] + 1, F.lit(1)), byte_ids)))
+
+    n = F.length(word)
+    borders = F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+    return bind(borders, lambda b: F.flatten(F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda i: piece(b, i))))
+
+
 def viterbi(edges: Column, word: Column, byte_ids: list[int]) -> Column:
     """Ids of the best path. ``edges``: array<struct<e int, s int, id int, score double>> by end and start."""
     origin = F.array(F.struct(F.lit(0.0).alias("v"), F.lit(-1).alias("s"), F.lit(-1).alias("id")))
@@ -120,13 +159,9 @@ def viterbi(edges: Column, word: Column, byte_ids: list[int]) -> Column:
         reached = F.struct((best[x["s"]]["v"] + x["score"]).alias("v"), x["s"].alias("s"), x["id"].alias("id"))
         return bind(reached, lambda r: F.when(x["e"] == F.size(best), F.concat(best, F.array(r))).when(r["v"] > best[x["e"]]["v"], F.concat(F.slice(best, 1, x["e"]), F.array(r))).otherwise(best))
 
-    def bytes_of(c: Column) -> Column:
-        table = F.array(*[F.lit(i) for i in byte_ids])
-        return F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.element_at(table, F.conv(F.substr(F.hex(c), i * 2 - 1, F.lit(2)), 16, 10).cast("int") + 1))
-
     def back(state: Column, _: Column) -> Column:
         node = state["best"][state["at"]]
-        ids = F.when(node["id"] >= 0, F.array(node["id"])).otherwise(bytes_of(F.substr(word, state["at"], F.lit(1))))
+        ids = F.when(node["id"] >= 0, F.array(node["id"])).otherwise(bytes_of(F.substr(word, state["at"], F.lit(1)), byte_ids))
         return F.when(state["at"] == 0, state).otherwise(F.struct(node["s"].alias("at"), state["best"].alias("best"), F.concat(ids, state["ids"]).alias("ids")))
 
     best = F.aggregate(edges, origin, step)
@@ -145,7 +180,8 @@ def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
     edges = subs.join(pieces, "piece", "left").where("id is not null or n = 1")
     edge = F.struct((F.col("s") + F.col("n")).alias("e"), "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(vocab.unknown)).alias("score"))
     lattice = edges.groupBy("w", "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    return lattice.select("word", viterbi(F.col("edges"), F.col("word"), vocab.bytes_at).alias("ids"))
+    fold = merged if vocab.merges else viterbi
+    return lattice.select("word", fold(F.col("edges"), F.translate("word", " ", MARK), vocab.bytes_at).alias("ids"))
 
 
 def best_path(word: str, lookup: dict[str, tuple[int, float]], longest: int, unknown: float, byte_ids: list[int]) -> list[int]:
@@ -164,6 +200,40 @@ def best_path(word: str, lookup: dict[str, tuple[int, float]], longest: int, unk
     return out
 
 
+def all_merges(word: str, lookup: dict[str, tuple[int, float]], byte_ids: list[int]) -> list[int]:
+    """The merges of one long word, by a heap over neighbours."""
+    n = len(word)
+    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(a: int) -> None:
+        if 0 <= a and after[a] < n:
+            e = end[after[a]]
+            found = lookup.get(word[a:e])
+            if found:
+                heapq.heappush(heap, (-found[1], a, e))
+
+    for a in range(n - 1):
+        offer(a)
+    gone = [False] * n
+    while heap:
+        _, a, e = heapq.heappop(heap)
+        if gone[a] or after[a] >= n or end[after[a]] != e or end[a] >= e:
+            continue
+        b = after[a]
+        gone[b], end[a], after[a] = True, e, after[b]
+        if after[a] < n:
+            before[after[a]] = a
+        offer(a)
+        offer(before[a])
+    out: list[int] = []
+    for a in range(n):
+        if not gone[a]:
+            found = lookup.get(word[a : end[a]])
+            out += [found[0]] if found else [byte_ids[x] for x in word[a].encode()]
+    return out
+
+
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(id, text, ids array<int>) of every row."""
     vocab = vocabulary(model_file)
@@ -187,7 +257,9 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 got = known.get(w)
                 if got is None:
                     lookup = lookup or vocab.lookup()
-                    got = known[w] = np.array(best_path(w.decode().replace(" ", MARK), lookup, vocab.longest, vocab.unknown, vocab.bytes_at), np.int32).tobytes()
+                    word = w.decode().replace(" ", MARK)
+                    path = all_merges(word, lookup, vocab.bytes_at) if vocab.merges else best_path(word, lookup, vocab.longest, vocab.unknown, vocab.bytes_at)
+                    got = known[w] = np.array(path, np.int32).tobytes()
                 found.append(got)
             out.append(b"".join(found))
         offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in out])))
