@@ -43,7 +43,7 @@ def disease_term_edges(merged: DataFrame, groups: DataFrame) -> DataFrame:
     from ..functions.frequency import freq_display
 
     shown = F.array_join(F.array_sort(F.array_distinct(F.transform("f", freq_display))), "; ")
-    return rows.select("group_id", "term_id", F.when(shown.contains("/"), F.concat(F.lit("'"), shown)).otherwise(shown).alias("frequency"), F.coalesce(F.format_string("%.4f", "top"), F.lit("")).alias("frequency_max"), F.when(F.size("s") > 0, F.array_join("s", "; ")).otherwise("unknown").alias("source"))
+    return rows.select("group_id", "term_id", F.when(shown.contains("/"), F.concat(F.lit("'"), shown)).otherwise(shown).alias("frequency"), F.when(F.col("top").isNotNull(), F.format_string("%.4f", "top")).otherwise("").alias("frequency_max"), F.when(F.size("s") > 0, F.array_join("s", "; ")).otherwise("unknown").alias("source"))
 
 
 def gene_term_edges(gene: DataFrame, annotation: DataFrame, closure: DataFrame, edge: DataFrame, groups: DataFrame) -> DataFrame:
