@@ -26,8 +26,8 @@ from .scratch import documents, written
 from .secrets import bind
 
 CUT = r"(?<=[.!?;|])\s+|[\r\n]+"
-#: Digests in a group, cells in each part of its first table and of a fingerprint, and tries, each four times as large.
-GROUP, CELLS, PRINT_CELLS, TRIES = 16, 8, 4, 4
+#: Digests in a group, cells in each part of its first table and of a fingerprint, tries, each four times as large, and rounds of a try.
+GROUP, CELLS, PRINT_CELLS, TRIES, ROUNDS = 16, 8, 4, 4, 8
 NULL_ID = -(1 << 63)
 
 
@@ -50,36 +50,30 @@ def pure(count: Column, digest: Column, at: Column, s: Column, seed: int) -> Col
     return F.when(F.abs(count) != 1, False).otherwise((check(F.shiftrightunsigned(digest, 16)) == digest.bitwiseAND(F.lit(0xFFFF))) & (cell(digest, F.floor(at / s).cast("int"), s, seed) == at))
 
 
-def peel(counts: Column, sums: Column, s: Column, steps: Column, seed: int) -> Column:
-    """struct(whole boolean, plus array<long>, minus array<long>): the digests that a difference of tables holds."""
+def peel(counts: Column, sums: Column, s: Column, seed: int) -> Column:
+    """struct(whole boolean, plus array<long>, minus array<long>): the digests that a difference of tables holds.
+
+    A round takes the three parts in turn: no digest lies in two cells of one part, so all of a part's cells that hold
+    one digest are peeled at once."""
     longs = F.expr("cast(array() as array<bigint>)")
-    queue = F.filter(F.sequence(F.lit(0), F.size(counts) - 1), lambda i: pure(counts[i], sums[i], i, s, seed))
-    first = F.struct(counts.alias("c"), sums.alias("x"), queue.alias("q"), longs.alias("plus"), longs.alias("minus"))
-
-    def put(array: Column, at: list[Column], values: list[Column]) -> Column:
-        """``array`` with three places, in rising order, set anew."""
-        return F.concat(F.slice(array, 1, at[0]), F.array(values[0]), F.slice(array, at[0] + 2, at[1] - at[0] - 1), F.array(values[1]), F.slice(array, at[1] + 2, at[2] - at[1] - 1), F.array(values[2]), F.slice(array, at[2] + 2, F.size(array)))
-
-    def take(state: Column, b: Column) -> Column:
-        """Removes the digest ``b.x`` with count ``b.c`` from its three cells ``b.p``."""
-        p = [b["p"][t] for t in range(3)]
-        counts = put(state["c"], p, [state["c"][i] - b["c"] for i in p])
-        sums = put(state["x"], p, [state["x"][i].bitwiseXOR(b["x"]) for i in p])
-        return bind(F.struct(counts.alias("c"), sums.alias("x")), lambda n: F.struct(
-            n["c"].alias("c"), n["x"].alias("x"),
-            F.concat(F.slice(state["q"], 2, F.size(state["q"])), F.filter(b["p"], lambda i: pure(n["c"][i], n["x"][i], i, s, seed))).alias("q"),
-            F.when(b["c"] > 0, F.concat(state["plus"], F.array(b["x"]))).otherwise(state["plus"]).alias("plus"),
-            F.when(b["c"] < 0, F.concat(state["minus"], F.array(b["x"]))).otherwise(state["minus"]).alias("minus")))
-
-    def step(state: Column, _: Column) -> Column:
-        at = state["q"][0]
-        skip = F.struct(state["c"].alias("c"), state["x"].alias("x"), F.slice(state["q"], 2, F.size(state["q"])).alias("q"), state["plus"].alias("plus"), state["minus"].alias("minus"))
-        chosen = F.struct(state["c"][at].alias("c"), state["x"][at].alias("x"))
-        live = bind(chosen, lambda d: F.when(pure(d["c"], d["x"], at, s, seed), bind(F.struct(d["c"].alias("c"), d["x"].alias("x"), F.array(*[cell(d["x"], F.lit(t), s, seed) for t in range(3)]).alias("p")), lambda b: take(state, b))).otherwise(skip))
-        return F.when(F.size(state["q"]) == 0, state).otherwise(live)
-
-    done = F.aggregate(F.sequence(F.lit(1), steps), first, step)
-    return bind(done, lambda d: F.struct((~F.exists(d["c"], lambda c: c != 0) & ~F.exists(d["x"], lambda x: x != 0)).alias("whole"), d["plus"].alias("plus"), d["minus"].alias("minus")))
+    cells = F.zip_with(counts, sums, lambda c, x: F.struct(c.alias("c"), x.alias("x")))
+    first = F.struct(cells.alias("cells"), longs.alias("plus"), longs.alias("minus"))
+
+    def part(t: int):
+        def singles(state: Column) -> Column:
+            here = F.transform(F.slice(state["cells"], s * t + 1, s), lambda v, j: F.struct(v["c"].alias("c"), v["x"].alias("x"), (s * t + j).alias("at")))
+            return F.transform(F.filter(here, lambda v: pure(v["c"], v["x"], v["at"], s, seed)), lambda v: F.struct(v["c"].alias("c"), v["x"].alias("x"), F.array(*[cell(v["x"], F.lit(u), s, seed) for u in range(3)]).alias("p")))
+
+        def without(state: Column, found: Column) -> Column:
+            less = lambda v, j: F.aggregate(found, v, lambda a, e: F.when(F.array_contains(e["p"], j), F.struct((a["c"] - e["c"]).alias("c"), a["x"].bitwiseXOR(e["x"]).alias("x"))).otherwise(a))
+            own = lambda sign: F.transform(F.filter(found, lambda e: e["c"] == sign), lambda e: e["x"])
+            return F.struct(F.transform(state["cells"], less).alias("cells"), F.concat(state["plus"], own(1)).alias("plus"), F.concat(state["minus"], own(-1)).alias("minus"))
+
+        return lambda state: bind(singles(state), lambda found: F.when(F.size(found) == 0, state).otherwise(without(state, found)))
+
+    turn = lambda state, k: F.when(k % 3 == 0, part(0)(state)).when(k % 3 == 1, part(1)(state)).otherwise(part(2)(state))
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(3 * ROUNDS - 1)), first, turn)
+    return bind(done, lambda d: F.struct((~F.exists(d["cells"], lambda v: (v["c"] != 0) | (v["x"] != 0))).alias("whole"), d["plus"].alias("plus"), d["minus"].alias("minus")))
 
 
 def table(left: Column, right: Column, s: Column, seed: int) -> Column:
@@ -98,7 +92,7 @@ def table(left: Column, right: Column, s: Column, seed: int) -> Column:
 def reconciled(left: Column, right: Column, s: int, seed: int) -> Column:
     """struct(whole, plus, minus, l, r) of two small sets: their tables are subtracted and peeled; a failure keeps the sets."""
     cells = F.lit(s)
-    peeled = bind(table(left, right, cells, seed), lambda t: peel(t["c"], t["x"], cells, 3 * cells + F.size(left) + F.size(right), seed))
+    peeled = bind(table(left, right, cells, seed), lambda t: peel(t["c"], t["x"], cells, seed))
     return bind(peeled, lambda p: F.struct(
         p["whole"].alias("whole"), F.size(p["plus"]).cast("long").alias("plus"), F.size(p["minus"]).cast("long").alias("minus"), F.when(~p["whole"], left).alias("l"), F.when(~p["whole"], right).alias("r")))
 
