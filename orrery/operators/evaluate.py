@@ -73,3 +73,21 @@ def over_common_terms(named: DataFrame, annotation: DataFrame, answers: int = 5,
 
 def step_statistics(steps: DataFrame) -> DataFrame:
     return steps.groupBy("step").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.round(F.count_if("hit") / F.count("*"), 6).alias("accuracy"))
+
+
+def ranking_performance(best: DataFrame, k: int) -> DataFrame:
+    """Shares of patients whose hit ranks within 1, 5, 10, 20, 30 and k."""
+    within = lambda n: F.round(F.count_if(F.col("hit") & (F.col("rank") <= n)) / F.count("*"), 6)
+    return best.agg(F.count("*").alias("n"), *[within(n).alias(f"within{n}") for n in sorted({1, 5, 10, 20, 30, k})])
+
+
+def matching_summary(best: DataFrame) -> DataFrame:
+    """One line on each patient's outcome."""
+    said = F.when(F.col("hit"), F.concat(F.lit("found at rank "), F.col("rank").cast("string"))).otherwise("not found")
+    return best.select("patient_id", F.concat(F.lit("patient "), F.col("patient_id").cast("string"), F.lit(": "), said).alias("line"))
+
+
+def review_notes(findings: DataFrame) -> DataFrame:
+    """(patient_id, notes): the findings (patient_id, term_id, finding) of a patient as one text."""
+    note = F.concat("finding", F.lit(" "), F.col("term_id").cast("string"))
+    return findings.where("finding <> 'ok'").groupBy("patient_id").agg(F.array_join(F.array_sort(F.collect_set(note)), "; ").alias("notes"))

@@ -87,3 +87,13 @@ def dedup_by_name(ranking: DataFrame, name: DataFrame) -> DataFrame:
     """After the cut, the first row of each name, ranked anew."""
     first = ranking.join(name, "disease_id").groupBy("patient_id", "name").agg(F.min_by("disease_id", "rank").alias("disease_id"), F.min("rank").alias("_r"))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("patient_id").orderBy("_r"))).drop("_r")
+
+
+def poincare_rank(query: DataFrame, annotation: DataFrame, embedding: DataFrame, k: int) -> DataFrame:
+    """Diseases that share a term with a patient, by the distance in the ball between the mean vectors of their terms."""
+    from ..functions import vectors as vec
+
+    mean = lambda df, key: vec.weighted_mean_vectors(df.select(key, "term_id").distinct().join(embedding, "term_id").withColumn("_one", F.lit(1.0)), [key], "v", "_one")
+    pairs = query.join(annotation.select("disease_id", "term_id"), "term_id").select("patient_id", "disease_id").distinct()
+    rows = pairs.join(mean(query, "patient_id").withColumnRenamed("v", "_a"), "patient_id").join(mean(annotation, "disease_id").withColumnRenamed("v", "_b"), "disease_id")
+    return ranked(rows.select("patient_id", "disease_id", F.round(vec.poincare_distance(F.col("_a"), F.col("_b")), 6).alias("distance")), [F.asc("distance"), F.asc("disease_id")], k)

@@ -123,3 +123,8 @@ def summary(annotation: DataFrame, merged: DataFrame) -> DataFrame:
     a = annotation.agg(F.countDistinct("disease_id").alias("n_diseases"), F.countDistinct("term_id").alias("n_terms"), F.count("*").alias("n_pairs"))
     b = merged.agg(F.sum(F.size("frequencies")).alias("n_frequencies"), F.count_if(F.size("frequencies") == 0).alias("n_without"))
     return a.crossJoin(F.broadcast(b))
+
+
+def add_gene_annotations(annotation: DataFrame, gene: DataFrame) -> DataFrame:
+    """Annotated pairs and those that gene tables give."""
+    return annotation.select("disease_id", "term_id").union(gene.select("disease_id", "term_id")).distinct()

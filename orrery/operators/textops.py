@@ -98,3 +98,13 @@ def pending_ids(library: DataFrame, done: DataFrame, skipped: tuple[str, ...] =
     for s in skipped:
         ids = ids.where(~F.col("disease_id").startswith(s))
     return ids.join(done.select(F.col("disease_id").cast("string").alias("disease_id")), "disease_id", "left_anti")
+
+
+def parse_json_answer(answers: DataFrame) -> DataFrame:
+    """(answer_id, name, matched, unmatched): candidates of a JSON answer, given as an object by name or as a list."""
+    item = "struct<name:string,matched:array<string>,unmatched:array<string>>"
+    body = F.regexp_extract("text", r"(?s)[\[{].*[\]}]", 0)
+    listed = F.from_json(body, f"array<{item}>")
+    by_name = F.transform(F.map_entries(F.from_json(body, "map<string,struct<matched:array<string>,unmatched:array<string>>>")), lambda e: F.struct(e["key"].alias("name"), e["value"]["matched"].alias("matched"), e["value"]["unmatched"].alias("unmatched")))
+    rows = answers.select("answer_id", F.explode(F.when(F.startswith(body, F.lit("[")), listed).otherwise(by_name)).alias("x"))
+    return rows.select("answer_id", "x.name", F.coalesce("x.matched", F.expr("array()")).alias("matched"), F.coalesce("x.unmatched", F.expr("array()")).alias("unmatched"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fusion, likelihood, match, rank, textops
+from ..operators import evaluate, fusion, likelihood, match, rank, resolve, textops
 from ..sources import sinks
 from . import queries as base
-from .fixture import Fixture
+from .fixture import CTE, Fixture
 
 K = base.K
 query = base.query
@@ -127,3 +127,47 @@ def _(x):
 @query("K06_graph_edges", "SELECT CAST(group_id AS VARCHAR) AS sourceID, CAST(disease_id AS VARCHAR) AS targetID, 'groups' AS source, 'has_id' AS relationship FROM grp UNION ALL SELECT CAST(child AS VARCHAR), CAST(parent AS VARCHAR), 'ontology', 'is_a' FROM edge")
 def _(x):
     return sinks.graph_edges(x.groups, x.edge, x.edge.where("false").select(F.col("child").alias("alt_id"), F.col("parent").alias("primary_id")))
+
+
+_deep = {k: base_sql.replace("c.distance <= 1", "c.distance <= 100") for k, base_sql in CTE.items() if "c.distance <= 1" in base_sql}
+
+
+@query("R05_rank_from_kg", base._ranked("overlap", "n_match", "ic_share"), _deep)
+def _(x):
+    m = match.match_frequency(match.all_matches(x.query, x.annotation, x.edge, x.closure, 100), "kg")
+    return rank.rank_overlap(match.match_summary(m, x.query, x.ic, x.annotation), "overlap", K).select("patient_id", "disease_id", "rank")
+
+
+@query("R13_poincare_rank", f"SELECT patient_id, disease_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY d, disease_id) AS rank FROM (SELECT patient_id, disease_id, round(ln(z + sqrt(z * z - 1)), 6) AS d FROM (SELECT patient_id, disease_id, greatest(1 + 2 * list_sum(list_transform(list_zip(a.m, b.m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / ((1 - least(list_dot_product(a.m, a.m), 1 - 1e-4)) * (1 - least(list_dot_product(b.m, b.m), 1 - 1e-4))), 1 + 1e-5) AS z FROM (SELECT DISTINCT patient_id, disease_id FROM direct) JOIN qplain a USING (patient_id) JOIN dplain b USING (disease_id)))) WHERE rank <= {K}",
+       {f"{k}plain": f"SELECT {c}, list(x ORDER BY i) AS m FROM (SELECT {c}, i, avg(x / 16) AS x FROM (SELECT {c}, unnest(range(0, 64)) AS i, unnest(v) AS x FROM (SELECT DISTINCT {c}, term_id FROM {t}) JOIN emb USING (term_id)) GROUP BY 1, 2) GROUP BY 1" for k, c, t in (("q", "patient_id", "q"), ("d", "disease_id", "ann"))})
+def _(x):
+    return rank.poincare_rank(x.query, x.annotation, x.embedding.withColumn("v", F.transform("v", lambda c: c / 16)), K).select("patient_id", "disease_id", "rank")
+
+
+@query("I12_add_gene_annotations", "SELECT disease_id, term_id FROM ann UNION SELECT disease_id, term_id FROM gene")
+def _(x):
+    return resolve.add_gene_annotations(x.annotation, x.gene)
+
+
+@query("E05_ranking_performance", "SELECT count(*) AS n, " + ", ".join(f"round(count(*) FILTER (WHERE hit AND rank <= {n}) / count(*), 6) AS within{n}" for n in (1, 5, 10, 20, 30)) + " FROM best", base._truth)
+def _(x):
+    return evaluate.ranking_performance(evaluate.best_match_rank(base._pairs(x)), K)
+
+
+@query("E10_matching_summary", "SELECT patient_id, 'patient ' || patient_id || ': ' || CASE WHEN hit THEN 'found at rank ' || rank ELSE 'not found' END AS line FROM best", base._truth)
+def _(x):
+    return evaluate.matching_summary(evaluate.best_match_rank(base._pairs(x)))
+
+
+@query("E13_review_notes", "SELECT patient_id, string_agg(DISTINCT f || ' ' || query_term, '; ' ORDER BY f || ' ' || query_term) AS notes FROM (SELECT *, CASE WHEN freq < 0.4 THEN 'error' WHEN freq > 0.7 THEN 'missed' END AS f FROM direct) WHERE f IS NOT NULL GROUP BY 1")
+def _(x):
+    f = F.when(F.col("freq") < 0.4, "error").when(F.col("freq") > 0.7, "missed").otherwise("ok")
+    return evaluate.review_notes(match.match_direct(x.query, x.annotation).select("patient_id", F.col("query_term").alias("term_id"), f.alias("finding")))
+
+
+@query("T06_parse_json_answer", "SELECT s_suppkey AS answer_id, s_name AS name, 'HP:1' AS matched, CASE WHEN s_suppkey % 2 = 0 THEN 'HP:2' ELSE '' END AS unmatched FROM supplier")
+def _(x):
+    one = F.concat(F.lit('so {"'), "s_name", F.lit('": {"matched": ["HP:1"], "unmatched": ["HP:2"]}} end'))
+    many = F.concat(F.lit('so [{"name": "'), "s_name", F.lit('", "matched": ["HP:1"]}] end'))
+    rows = textops.parse_json_answer(x.table("supplier").select(F.col("s_suppkey").alias("answer_id"), F.when(F.col("s_suppkey") % 2 == 0, one).otherwise(many).alias("text")))
+    return rows.select("answer_id", "name", F.array_join("matched", ",").alias("matched"), F.array_join("unmatched", ",").alias("unmatched"))
