@@ -96,4 +96,4 @@ def lr_rank(query: DataFrame, lr: DataFrame, diseases: DataFrame, k: int) -> Dat
 
 
 def lr_explain(lr: DataFrame) -> DataFrame:
-    return lr.select("term_id", "disease_id", F.format_string("%s: LR %.3f", "match_type", "lr").alias("explanation"))
+    return lr.select("term_id", "disease_id", F.format_string("%s: LR %.4f", "match_type", "lr").alias("explanation"))

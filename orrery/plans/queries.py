@@ -527,18 +527,18 @@ def _(x):
     return likelihood.induced_frequency(likelihood.lr_models(x.annotation_rows)[0], ontology.with_self(x.closure, x.term), 0).withColumn("f", F.round("f", 6))
 
 
-@query("L04_lr_observed", "SELECT term_id, disease_id, round(lr, 3) AS lr, match_type FROM lr")
+@query("L04_lr_observed", "SELECT term_id, disease_id, round(lr * 1.000000001, 4) AS lr, match_type FROM lr")
 def _(x):
-    return _lr(x).withColumn("lr", F.round("lr", 3))
+    return _lr(x).withColumn("lr", F.round(F.col("lr") * 1.000000001, 4))  # off exact halves, where the last bit would decide
 
 
-@query("L06_lr_excluded", """SELECT k.term_id, k.disease_id, round(CASE WHEN g.term_id IS NOT NULL THEN 1000.0 WHEN coalesce(b.bg, 1e-4) > 0.99 THEN 1.0 WHEN p.f IS NULL AND u.term_id IS NULL THEN 1 / (1 - coalesce(b.bg, 1e-4)) ELSE greatest(0.01, 1 - coalesce(p.f, 0)) / (1 - coalesce(b.bg, 1e-4)) END, 3) AS lr FROM (SELECT qt.term_id, s_suppkey AS disease_id FROM qt, supplier WHERE s_suppkey % 10 = 1) k
+@query("L06_lr_excluded", """SELECT k.term_id, k.disease_id, round(CASE WHEN g.term_id IS NOT NULL THEN 1000.0 WHEN coalesce(b.bg, 1e-4) > 0.99 THEN 1.0 WHEN p.f IS NULL AND u.term_id IS NULL THEN 1 / (1 - coalesce(b.bg, 1e-4)) ELSE greatest(0.01, 1 - coalesce(p.f, 0)) / (1 - coalesce(b.bg, 1e-4)) END, 5) AS lr FROM (SELECT qt.term_id, s_suppkey AS disease_id FROM qt, supplier WHERE s_suppkey % 10 = 1) k
   LEFT JOIN (SELECT DISTINCT s.ancestor_id AS term_id, a.disease_id FROM absent a JOIN selfc s USING (term_id)) g USING (term_id, disease_id) LEFT JOIN (SELECT s.ancestor_id AS term_id, m.disease_id, max(m.freq) AS f FROM lr_model m JOIN selfc s USING (term_id) GROUP BY 1, 2) p USING (term_id, disease_id)
   LEFT JOIN (SELECT DISTINCT c.term_id, m.disease_id FROM closure c JOIN lr_model m ON m.term_id = c.ancestor_id) u USING (term_id, disease_id) LEFT JOIN bg b USING (term_id)""")
 def _(x):
     model, absent = likelihood.lr_models(x.annotation_rows)
     pairs = x.query.select("term_id").distinct().crossJoin(F.broadcast(x.table("supplier").where("s_suppkey % 10 = 1").select(F.col("s_suppkey").alias("disease_id"))))
-    return likelihood.lr_excluded(pairs, model, absent, x.closure).withColumn("lr", F.round("lr", 3))
+    return likelihood.lr_excluded(pairs, model, absent, x.closure).withColumn("lr", F.round("lr", 5))
 
 
 @query("L07_lr_rank", f"""SELECT patient_id, disease_id, round(log_lr, 6) AS log_lr, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY log_lr DESC, disease_id) AS rank FROM (SELECT q.patient_id, lr.disease_id, round(sum(ln(greatest(CASE WHEN lr < 0.1 THEN greatest(lr, 0.3) ELSE lr END, 1e-10))) + (any_value(n.c) - count(*)) * ln(0.5), 9) AS log_lr
@@ -547,9 +547,9 @@ def _(x):
     return likelihood.lr_rank(x.query, _lr(x), x.groups, K).select("patient_id", "disease_id", F.round("log_lr", 6).alias("log_lr"), "rank")
 
 
-@query("L08_lr_explain", "SELECT term_id, disease_id, match_type || ': LR ' || printf('%.3f', lr) AS explanation FROM lr WHERE term_id % 3 = 0 AND lr NOT BETWEEN 0.01 AND 0.01")
+@query("L08_lr_explain", "SELECT term_id, disease_id, match_type || ': LR ' || printf('%.4f', lr * 1.000000001) AS explanation FROM lr WHERE term_id % 3 = 0 AND lr NOT BETWEEN 0.01 AND 0.01")
 def _(x):
-    return likelihood.lr_explain(_lr(x).where("term_id % 3 = 0 and lr <> 0.01"))
+    return likelihood.lr_explain(_lr(x).where("term_id % 3 = 0 and lr <> 0.01").withColumn("lr", F.col("lr") * 1.000000001))
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------
