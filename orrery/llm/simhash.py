@@ -44,18 +44,24 @@ def mixed(h: np.ndarray, i: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, words: int, bits: int) -> bytes:
-    """The fingerprint's ``bits`` (a multiple of 64), least significant first."""
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The XXH64 of every shingle, repeats included."""
     tokens = text.translate(LOWER).split()
     if not tokens:
-        return bytes(bits // 8)
+        return np.zeros(0, np.uint64)
     line = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens])
     starts = np.concatenate(([0], ends[:-1]))
     ends -= 1
     last = max(0, len(tokens) - words)
     hashed = xxhash.xxh64_intdigest
-    h = np.array([hashed(line[a:b], 42) for a, b in zip(starts[: last + 1].tolist(), (ends[words - 1 :] if len(tokens) >= words else ends[-1:]).tolist())], dtype=np.uint64)
+    return np.array([hashed(line[a:b], 42) for a, b in zip(starts[: last + 1].tolist(), (ends[words - 1 :] if len(tokens) >= words else ends[-1:]).tolist())], dtype=np.uint64)
+
+
+def majority(h: np.ndarray, bits: int) -> bytes:
+    """The fingerprint's ``bits`` (a multiple of 64), least significant first, of these shingles."""
+    if not len(h):
+        return bytes(bits // 8)
     out = []
     for i in range(bits // 64):
         x = mixed(h, i) if i else h
@@ -64,6 +70,10 @@ def fingerprint(text: bytes, words: int, bits: int) -> bytes:
     return b"".join(out)
 
 
+def fingerprint(text: bytes, words: int, bits: int) -> bytes:
+    return majority(shingles(text, words), bits)
+
+
 def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and ``fp`` (binary, ``bits`` bits) of every row."""
 
@@ -107,13 +117,21 @@ def celled(tables: int, width: int, budget: int):
     return run
 
 
-def linked(word: np.ndarray, fps: np.ndarray, width: int, budget: int, limit: int) -> np.ndarray:
-    """For each of the sorted words, the index of its component's first: the trie self-join of one cell."""
+def linked(word: np.ndarray, fps: np.ndarray, width: int, budget: int, limit: int, labels: np.ndarray | None = None, refused: frozenset = frozenset(), wanted: list | None = None, free: int = 0) -> np.ndarray:
+    """For each of the sorted words, the index of its component's first: the trie self-join of one cell.
+
+    With ``wanted``, links are candidates that are still to be checked, and are added to it: the first ``free`` of
+    them all, and from then on those that join what the cell has not joined. Pairs of one label are known to be
+    connected, and ``refused`` ones to be none; both are passed over."""
     n = len(word)
     root = np.arange(n)
+    if labels is not None:
+        _, first, of = np.unique(labels, return_index=True, return_inverse=True)
+        root = first[of]
 
-    def join(a: np.ndarray, b: np.ndarray) -> None:
+    def join(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal root
+        a, b = root[i], root[j]
         up: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -121,10 +139,12 @@ def linked(word: np.ndarray, fps: np.ndarray, width: int, budget: int, limit: in
                 x = up[x]
             return x
 
-        for x, y in zip(a.tolist(), b.tolist()):
+        for p, q, x, y in zip(i.tolist(), j.tolist(), a.tolist(), b.tolist()):
             x, y = find(x), find(y)
             if x != y:
                 up[max(x, y)] = min(x, y)
+                if wanted is not None:
+                    wanted.append((p, q))
         if up:
             to = np.arange(n)
             for x in up:
@@ -139,7 +159,16 @@ def linked(word: np.ndarray, fps: np.ndarray, width: int, budget: int, limit: in
         i, j = i[apart], j[apart]
         if len(i):
             close = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) <= limit
-            join(root[i[close]], root[j[close]])
+            i, j = i[close], j[close]
+            if refused:
+                new = np.array([(p, q) not in refused for p, q in zip(i.tolist(), j.tolist())], bool)
+                i, j = i[new], j[new]
+            if wanted is not None and len(wanted) < free:
+                more = free - len(wanted)
+                wanted.extend(zip(i[:more].tolist(), j[:more].tolist()))
+                i, j = i[more:], j[more:]
+            if len(i):
+                join(i, j)
 
     def one(a: int, b: int, c: int, d: int) -> bool:
         r = root[a]
@@ -266,8 +295,12 @@ def grouped(fps: DataFrame, id_col: str = "doc_id", **search) -> DataFrame:
 #: The wide fingerprint for five-word shingles and a similarity of 0.8: 16 words of 24 bits.
 WIDE = {"tables": 16, "width": 24, "budget": 2}
 SIMILARITY = 0.8
-#: The similarity estimated from 384 bits has a standard error of about 0.03: the limit lies this much lower, so that pairs at 0.8 are not lost.
-MARGIN = 0.04
+#: Pairs are candidates from this much below the similarity on: over four standard errors of what 384 bits estimate.
+MARGIN = 0.2
+#: Candidates that a cell gives in the first round whether or not they join anything new.
+FREE = 64
+#: Bits, as a power of two, of the map of rows whose shingles are compared: 4 MB.
+MAP_BITS = 25
 
 
 def reach(similarity: float, bits: int) -> int:
@@ -275,13 +308,165 @@ def reach(similarity: float, bits: int) -> int:
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def counted(h: np.ndarray) -> np.ndarray:
+    """The shingles as a sorted set in which the second, third ... occurrence of one is an element of its own."""
+    values, counts = np.unique(h, return_counts=True)
+    each = np.repeat(values, counts)
+    nth = (np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
+    return np.unique(np.where(nth == 0, each, mixed(each + nth * np.uint64(0xD6E8FEB86659FD93), 1)))
+
+
+def shingle_sets(docs: DataFrame, words: int, bits: int | None, text_col: str) -> DataFrame:
+    """``docs`` without the text, with ``node`` (a hash of the counted shingles) and ``fp`` over them, or without
+    ``bits`` the ``shingles``."""
+    names = [c for c in docs.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [counted(shingles(t or b"", words)) for t in listed(batch, text_col)]
+            node = pa.array([signed(xxhash.xxh64_intdigest(x.tobytes(), 42)) for x in sets], pa.int64())
+            last = pa.array([majority(x, bits) for x in sets], pa.binary()) if bits else pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), node, last], [*names, *made.names])
+
+    made = T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType()) if bits else T.StructField("shingles", T.ArrayType(T.LongType()))])
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), *made.fields]))
+
+
+def cells_of(rows: list[bytes], tables: int, width: int, budget: int) -> np.ndarray:
+    """The cells of each fingerprint, one column for each block of each word."""
+    fps = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    columns = []
+    for table in range(tables):
+        word = word_of(fps, table, width)
+        for k, (low, size) in enumerate(blocks(width, budget)):
+            columns.append(((word >> np.uint64(low)) & np.uint64((1 << size) - 1)) | np.uint64((table * (budget + 1) + k) << 32))
+    return np.stack(columns, axis=1).astype(np.int64)
+
+
+def candidates(nodes: DataFrame, refused: DataFrame | None, tables: int, width: int, budget: int, limit: int, turn: int) -> DataFrame:
+    """Pairs (u < v) of ``nodes`` (node, fp, label) to be checked, and (u, null) for nodes of cells that held some back.
+
+    ``refused`` has pairs (u, v, fp, fp2) that were checked in vain."""
+    layout = "cell long, node long, fp binary, label long, other long"
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for column in cells_of(batch.column("fp").to_pylist(), tables, width, budget).T:
+                    yield pa.RecordBatch.from_arrays([pa.array(column), batch.column("node"), batch.column("fp"), batch.column("label"), pa.nulls(batch.num_rows, pa.int64())], ["cell", "node", "fp", "label", "other"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = [cells_of(batch.column(c).to_pylist(), tables, width, budget) for c in ("fp", "fp2")]
+            row, column = np.nonzero(both[0] == both[1])
+            take = pa.array(row)
+            n = len(row)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0][row, column]), batch.column("u").take(take), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), batch.column("v").take(take)], ["cell", "node", "fp", "label", "other"])
+
+    def search(cell: int, rows: list[tuple]) -> list[tuple]:
+        held = sorted((r for r in rows if r[3] is None), key=lambda r: r[0])
+        if len(held) < 2 or len({r[2] for r in held}) < 2:
+            return []
+        fps = np.frombuffer(b"".join(r[1] for r in held), np.uint8).reshape(len(held), -1)
+        word = word_of(fps, (cell >> 32) // (budget + 1), width)
+        order = np.argsort(word, kind="stable")
+        node = [held[i][0] for i in order.tolist()]
+        at = {x: i for i, x in enumerate(node)}
+        no = frozenset((min(p), max(p)) for p in ((at[r[0]], at[r[3]]) for r in rows if r[3] is not None and r[0] in at and r[3] in at))
+        pairs: list[tuple[int, int]] = []
+        free = FREE if turn == 0 else len(held) * 8**turn
+        linked(word[order], np.ascontiguousarray(fps[order]).view(np.uint64), width, budget, limit, np.array([held[i][2] for i in order.tolist()]), no, pairs, free)
+        out = [(min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs]
+        return out + [(x, None) for x in node] if len(pairs) >= free else out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            out = []
+            if not batch.num_rows:
+                continue
+            cells = batch.column("cell").to_numpy()
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("node", "fp", "label", "other"))))
+            cuts = np.flatnonzero(np.diff(cells)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)]):
+                if cells[a] != here:
+                    if len(held) > 1:
+                        out += search(here, held)
+                    here, held = int(cells[a]), []
+                held += rows[a:b]
+            yield batch_of(out)
+        if len(held) > 1:
+            yield batch_of(search(here, held))
+
+    cells = nodes.select("node", "fp", "label").mapInArrow(spread, layout)
+    if refused is not None:
+        cells = cells.union(refused.select("u", "v", "fp", "fp2").mapInArrow(met, layout))
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long").distinct()
+
+
+def checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
+    """``pairs`` with both fingerprints and whether the Jaccard similarity of their distinct shingles is reached.
+
+    Texts are read again where a bit map of fixed size has their row; only these are dealt out."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    rows = written(ends.join(nodes.select("node", "fp", F.col("least.row").alias("_row")).hint("merge"), "node"), "ends")
+    bit = F.pmod(F.xxhash64("_row"), F.lit(1 << MAP_BITS))
+    bits = rows.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("_map"))
+    # one row for each bucket of 32,768 bits, so 1,024 rows at most
+    texts = docs.select("_row", text_col, bit.alias("b")).withColumn("_bucket", F.expr("bitmap_bucket_number(b)")).join(F.broadcast(bits), "_bucket")
+    place = F.expr("bitmap_bit_position(b)")
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(bitmap_bit_position(b) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    texts = texts.where(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1)
+    sets = rows.select("_row", "fp").join(shingle_sets(texts.select("_row", text_col), words, None, text_col).hint("merge"), "_row").select("node", "fp", "shingles")
+    sets = written(sets, "sets")
+    a = sets.select(F.col("node").alias("u"), "fp", F.col("shingles").alias("a"))
+    b = sets.select(F.col("node").alias("v"), F.col("fp").alias("fp2"), F.col("shingles").alias("b"))
+    both = pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v")
+    common = F.size(F.array_intersect("a", "b")).cast("long")
+    scale = 10**6
+    return both.select("u", "v", "fp", "fp2", (common * scale >= (F.size("a") + F.size("b") - common) * round(similarity * scale)).alias("same"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` but for those whose component has a smaller id."""
+    """One row of each group that chains of pairs of ``similarity`` or more connect: that with the smallest id (null
+    last; of rows that repeat it, one). Similarity is the exact Jaccard similarity of the bags of shingles: shared
+    occurrences by all. Texts without words are copies of one another.
+
+    Wide fingerprints of the sets find candidates; only an exact comparison of the shingles makes a link. A cell of
+    many candidates gives a spanning forest of them first. While one such cell has pairs that are neither refused nor
+    connected by what was found, it is searched again and gives more, so a group of k near copies costs about k pairs a
+    cell, and pairs are left out only where they would change nothing."""
     bits = WIDE["tables"] * WIDE["width"]
-    fps = written(fingerprints(docs, words, bits, id_col, text_col), "wide")
-    groups = grouped(fps, id_col, limit=reach(similarity - MARGIN, bits), **WIDE)
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone"))
-    return docs.join(written(gone, "gone").hint("merge"), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("least")
+    wide = shingle_sets(docs.select("_row", F.col(id_col).alias("_id"), text_col), words, bits, text_col)
+    nodes = written(wide.groupBy("node", "fp").agg(least), "nodes")
+    search = {**WIDE, "limit": reach(similarity - MARGIN, bits)}
+    open_nodes, tried, roots, turn = nodes.withColumn("label", F.col("node")), None, None, 0
+    while True:
+        refused = None if tried is None else tried.where("not same")
+        found = written(candidates(open_nodes, refused, turn=turn, **search), "candidates")
+        new = written(checked(found.where("v is not null"), nodes, docs, words, similarity, text_col), "checked")
+        tried = new if tried is None else tried.union(new)
+        roots = written(components(tried.where("same").select("u", "v")), "roots")
+        held = found.where("v is null").select(F.col("u").alias("node"))
+        if held.isEmpty():
+            break
+        open_nodes = nodes.join(held.hint("merge"), "node", "left_semi").join(roots.hint("merge"), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label"))
+        turn += 1
+    placed = nodes.select("node", "least").join(roots.hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    kept = placed.groupBy("root").agg(F.min("least").alias("kept")).select(F.col("kept.row").alias("_row"))
+    return docs.join(written(kept, "kept").hint("merge"), "_row", "left_semi").drop("_row")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,58 @@ def test_simhash(spark, odd, none):
     assert 5 in kept and 6 not in kept and simhash.near_dedup(none).count() == 0
 
 
+def bags(texts, words=5):
+    from collections import Counter
+
+    out = {}
+    for i, t in texts.items():
+        w = t.split()
+        out[i] = Counter(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1)))
+    return out
+
+
+def similarities(texts):
+    b, ids = bags(texts), list(texts)
+    return {(i, j): (b[i] & b[j]).total() / (b[i] | b[j]).total() for k, i in enumerate(ids) for j in ids[k + 1 :]}
+
+
+def kept_by_brute_force(texts, similarity=0.8):
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, j), s in similarities(texts).items():
+        if s >= similarity:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return {find(i) for i in texts}
+
+
+def test_near_dedup_similarity(spark):
+    """Pairs of 0.80 to 0.85 link and pairs of 0.70 to 0.79 do not, among them a crowd of over 64 candidates in a cell."""
+    import random
+
+    r = random.Random(11)
+    some = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    made, i = {}, 0
+    for tail in [*range(18, 25), *range(26, 40, 2)] * 6:  # shared words before different ends of this length
+        head = some(200)
+        for end in (some(tail), some(tail)):
+            made[i] = " ".join(head + end)
+            i += 1
+    head = some(200)
+    for tail in [42] * 36 + [20] * 3:  # a crowd at about 0.7, and three that are close to one another
+        made[i] = " ".join(head + some(tail))
+        i += 1
+    found = sorted(similarities(made).values())
+    assert sum(0.8 <= x < 0.85 for x in found) > 20 and sum(0.7 <= x < 0.8 for x in found) > 40 and sum(0.68 < x < 0.75 for x in found) > 600
+    rows = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    assert {x.doc_id for x in simhash.near_dedup(rows).collect()} == kept_by_brute_force(made)
+
+
 def test_language(spark, odd, none):
     rows = registry.QUERIES["op6_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
