@@ -139,6 +139,18 @@ def test_near_dedup_similarity(spark):
     assert {x.doc_id for x in simhash.near_dedup(rows).collect()} == kept_by_brute_force(made)
 
 
+def test_near_dedup_rows(spark):
+    """Rows go, not ids: null and repeated ids in different components, and components of null or equal ids only."""
+    import random
+
+    r = random.Random(3)
+    text = [" ".join(f"w{r.randrange(10**9)}" for _ in range(120)) for _ in range(6)]
+    rows = [(1, text[0]), (None, text[0] + " end"), (None, text[1]), (2, text[2]), (2, text[3]), (1, text[3] + " end"), (None, text[4]), (None, text[4] + " end"), (7, text[5]), (7, text[5] + " end"), (7, text[5] + " end")]
+    got = [(x.doc_id, x.text) for x in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 6 and {(1, text[0]), (None, text[1]), (2, text[2]), (1, text[3] + " end")} <= set(got)
+    assert sorted(i is None for i, t in got if t.startswith(text[4]) or t.startswith(text[5])) == [False, True]
+
+
 def test_language(spark, odd, none):
     rows = registry.QUERIES["op6_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
