@@ -9,8 +9,9 @@ commits task by task.
 whether it is one, so payloads may hold any bytes. A .gz file is read by one task, record by record.
 
 ``captures`` joins request, response and metadata records through their concurrent-to identifiers (given on either
-side, or by way of the request) and gives one nested row for each response or revisit. Records without partners
-stay; a missing partner is null.
+side, or by way of the request) and gives one nested row for each response or revisit. ``requests`` and ``metadatas``
+hold all its partners in the order of their ids, ``request`` and ``metadata`` the first. Requests and metadata that
+reach no response, and records of other kinds, are rows of their own; a missing partner is null.
 
 Null html is an empty payload. Pages with equal payloads: the smallest page_id (null last) is the response, of
 repeated rows the first in the scan. An empty table gives no records.
@@ -142,26 +143,31 @@ def read_records(spark: SparkSession, path: str, with_block: bool = True) -> Dat
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One row per response or revisit: the record's columns, and its request and metadata as structs."""
-    main = F.col("record_type").isin("response", "revisit")
+    """One row per response or revisit: the record's columns, and its requests and metadata as structs; and the rest."""
+    main = F.coalesce(F.col("record_type").isin("response", "revisit"), F.lit(False))
+    partner = F.coalesce(F.col("record_type").isin("request", "metadata"), F.lit(False))
     given = records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
     ties = given.union(given.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ids = records.where(main).select(F.col("record_id").alias("capture"))
     direct = ties.join(ids.hint("merge"), F.col("b") == F.col("capture")).select(F.col("a").alias("other"), "capture")
     onward = ties.join(direct.hint("merge"), F.col("b") == F.col("other")).where(F.col("a") != F.col("capture")).select(F.col("a").alias("other"), "capture")
     partners = direct.union(onward).distinct()
-    rest = records.where(~main)
+    rest = records.where(partner)
     kept = [c for c in records.columns if c not in ("concurrent_to",)]
     met = rest.join(partners.hint("merge"), F.col("record_id") == F.col("other")).select("capture", "record_type", F.struct(*kept).alias("r"))
-    nested = met.groupBy("capture").agg(*[F.min_by(F.when(F.col("record_type") == k, F.col("r")), F.when(F.col("record_type") == k, F.col("r.record_id"))).alias(k) for k in ("request", "metadata")])
-    return records.where(main).join(nested.hint("merge"), F.col("record_id") == F.col("capture"), "left").drop("capture")
+    by_id = lambda a, b: F.when(a.record_id < b.record_id, -1).when(a.record_id > b.record_id, 1).otherwise(0)
+    nested = met.groupBy("capture").agg(*[F.array_sort(F.collect_list(F.when(F.col("record_type") == k, F.col("r"))), by_id).alias(name) for k, name in (("request", "requests"), ("metadata", "metadatas"))])
+    matched = partners.select("other").distinct().hint("merge")
+    own = records.join(matched, (F.col("record_id") == F.col("other")) & partner, "left_anti")
+    found = own.join(nested.hint("merge"), F.col("record_id") == F.col("capture"), "left").drop("capture")
+    return found.withColumns({"request": F.get("requests", F.lit(0)), "metadata": F.get("metadatas", F.lit(0))})
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, written to archives and read back as a capture."""
     path = new_path(spark, "warc")
     write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    found = captures(written(read_records(spark, path, with_block=False).drop("block"), "records"))  # narrow, and joined several times
+    found = captures(written(read_records(spark, path, with_block=False).drop("block"), "records")).where("record_type in ('response', 'revisit')")  # narrow, and joined several times
     revisit = F.col("record_type") == "revisit"
     pages = found.select(
         F.expr("metadata.fields['page-id']").cast("long").alias("page_id"),

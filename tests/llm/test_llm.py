@@ -229,6 +229,17 @@ def test_warc(spark, tmp_path):
     assert bytes(got[3].request.block).startswith(b"GET /x%20y?q HTTP/1.1")
 
 
+def test_warc_partners(spark, tmp_path):
+    """Several partners of a capture all stay, and so do records that reach none, and other kinds."""
+    made = [("warcinfo", "i", None), ("request", "q2", "r"), ("request", "q1", "r"), ("response", "r", None), ("metadata", "m2", "r"), ("metadata", "m1", "q1"), ("response", "alone", None), ("request", "lost", None), ("metadata", "astray", "nowhere")]
+    lines = [f"WARC/1.1\r\nWARC-Type: {k}\r\nWARC-Record-ID: {i}\r\n" + (f"WARC-Concurrent-To: {to}\r\n" if to else "") + "Content-Length: 1\r\n\r\nx\r\n\r\n" for k, i, to in made]
+    (tmp_path / "a.warc").write_bytes("".join(lines).encode())
+    got = {r.record_id: r for r in warc.captures(warc.read_records(spark, str(tmp_path))).collect()}
+    assert sorted(got) == ["alone", "astray", "i", "lost", "r"]
+    assert [x.record_id for x in got["r"].requests] == ["q1", "q2"] and [x.record_id for x in got["r"].metadatas] == ["m1", "m2"]
+    assert all(got[i].request is None and got[i].metadata is None for i in ("alone", "astray", "i", "lost"))
+
+
 def test_html(spark):
     import html
     import re
