@@ -189,15 +189,39 @@ def test_chat(spark):
 def test_fingerprints(spark, odd, none):
     docs = texts(spark)
     want = brute_fingerprints.rows(docs)
-    got = {r.doc_id: (r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in registry.QUERIES["op5_document_fingerprint"](spark, SF).collect()}
-    assert got == {i: (a, b, round(c, 9), round(d, 9)) for i, (a, b, c, d) in want.items()}
-    rows = fingerprints.compare_versions(odd.select("doc_id", "text")).collect()
-    assert len(rows) == 10 and len({r.fingerprint for r in rows if r.doc_id == 2}) == 1
+    rows = {r.doc_id: r for r in registry.QUERIES["op5_document_fingerprint"](spark, SF).collect()}
+    assert {i: (r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for i, r in rows.items()} == {i: (a, b, round(c, 9), round(d, 9)) for i, (a, b, c, d) in want.items()}
+    # the published fingerprints alone tell how near the texts are, unless they are too small for one another
+    after, told = dict(zip(sorted(docs, reverse=True), [*sorted(docs, reverse=True)[1:], max(docs)])), 0
+    for i, r in rows.items():
+        for other, near in ((r.edited_fingerprint, r.near_edited), (rows[after[i]].fingerprint, r.near_next)):
+            found = brute_fingerprints.peeled(r.fingerprint, other)
+            if found:
+                n = brute_fingerprints.read(r.fingerprint)[0]
+                told += 1
+                assert round((n - found[0]) / (n + found[1]) if n + found[1] else 1.0, 9) == round(near, 9)
+    assert told > 1.8 * len(docs)
+    # a clashing column, nulls, repeated rows, no rows
+    odd_rows = fingerprints.compare_versions(odd.withColumn("key", F.lit(1)).withColumn("a", F.lit(2))).collect()
+    assert len(odd_rows) == 10 and len({r.fingerprint for r in odd_rows if r.doc_id == 2}) == 1
     assert fingerprints.compare_versions(none.select("doc_id", "text")).count() == 0
-    # crowded groups, so that first tables fail and larger ones succeed
-    sets = spark.range(30).select(F.transform(F.sequence(F.lit(1), F.lit(120)), lambda i: F.xxhash64("id", i)).alias("h")).select(F.transform("h", lambda h: F.shiftleft(F.shiftrightunsigned(h, 16), 16).bitwiseOR(fingerprints.check(F.shiftrightunsigned(h, 16)))).alias("h"))
-    p = sets.select(F.slice("h", 1, 100).alias("a"), F.slice("h", 41, 80).alias("b"))
-    assert {tuple(r.d) for r in fingerprints.with_difference(p, "a", "b", "d").select("d").collect()} == {(40, 20)}
+
+
+def test_fingerprint_retries(spark, monkeypatch):
+    """First sketches that are too small fail, and larger ones succeed; an id of many rows is dealt out."""
+    monkeypatch.setattr(fingerprints, "ROOM", 1)
+    monkeypatch.setattr(fingerprints, "LEAST", 2)
+    spaced = lambda a, b: F.array_distinct(F.transform(F.sequence(F.lit(a), F.lit(b)), lambda i: F.concat("id", F.lit("-"), i)))
+    sets = spark.range(30).select(F.array_join(spaced(1, 100), "\n").alias("t"), F.array_join(spaced(41, 120), "\n").alias("u")).select(F.expr(fingerprints.digests("t")).alias("a"), F.expr(fingerprints.digests("u")).alias("b"))
+    prints = sets.select("a", "b", F.expr(fingerprints.fingerprint("a")).alias("fa"), F.expr(fingerprints.fingerprint("b")).alias("fb"))
+    found = prints.select(F.expr(fingerprints.difference("fa", "fb", "a", "b")).alias("d")).select("d.whole", F.size("d.plus"), F.size("d.minus")).collect()
+    assert {tuple(r) for r in found} == {(True, 40, 20)}
+    monkeypatch.setattr(fingerprints, "HOT", 2)
+    rows = spark.createDataFrame([(7, f"a. b{i}. c") for i in range(40)] + [(i, f"q{i}. r") for i in range(3)], "doc_id long, text string")
+    got = fingerprints.compare_versions(rows).collect()
+    assert len(got) == 43 and {r.near_next for r in got if r.doc_id == 7} == {0.0}
+    docs = {7: "a. b0. c"} | {i: f"q{i}. r" for i in range(3)}
+    assert {r.doc_id: round(r.near_next, 9) for r in got if r.doc_id < 3} == {i: round(brute_fingerprints.likeness(docs[i], docs[i - 1 if i else 7]), 9) for i in range(3)}
 
 
 def test_pieces(spark, odd, none):
