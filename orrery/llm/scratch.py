@@ -1,4 +1,4 @@
-"""Written tables that cut lineage, in the folder that driver and executors share."""
+"""Written tables that cut lineage, in the folder that driver and executors share; and names for helper columns."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests, one machine)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -31,3 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as make it differ from all ``columns``, in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

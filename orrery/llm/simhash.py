@@ -10,7 +10,8 @@ of it is equal; rows meet in the cell of that block's value. In a cell, a binary
 joined with itself: node pairs are traversed together, differing bits add up, and a pair is pruned when they
 exceed the budget, or when all below it is linked already. Leaves are pages of up to ``PAGE`` words, compared at
 once. A cell gives a spanning forest of its links rather than all pairs, so a group of k near copies gives k - 1
-rows. With one table the search misses nothing. With several, a pair is found in any of them.
+rows. A cell of over ``CELL_ROWS`` rows is cut into blocks, and each pair of blocks is joined by a task of its own. With
+one table the search misses nothing. With several, a pair is found in any of them.
 
 Components come from alternating star contractions on the edges, as joins and minima; each round is a written
 table. Null texts count as empty; a null id never names a component unless its component has no other id.
@@ -23,16 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .exact import LOWER, listed
-from .scratch import documents, written
+from .scratch import documents, unused, written
 
 PAGE = 64
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 14
+#: Rows of a cell, and shingles of a candidate group, that one task takes; larger ones are cut into blocks.
+CELL_ROWS, SET_ROWS = 1 << 19, 1 << 20
 
 
 def mixed(h: np.ndarray, i: int) -> np.ndarray:
@@ -117,17 +120,10 @@ def celled(tables: int, width: int, budget: int):
     return run
 
 
-def linked(word: np.ndarray, fps: np.ndarray, width: int, budget: int, limit: int, labels: np.ndarray | None = None, refused: frozenset = frozenset(), wanted: list | None = None, free: int = 0) -> np.ndarray:
-    """For each of the sorted words, the index of its component's first: the trie self-join of one cell.
-
-    With ``wanted``, links are candidates that are still to be checked, and are added to it: the first ``free`` of
-    them all, and from then on those that join what the cell has not joined. Pairs of one label are known to be
-    connected, and ``refused`` ones to be none; both are passed over."""
+def linked(word: np.ndarray, fps: np.ndarray, width: int, budget: int, limit: int) -> np.ndarray:
+    """For each of the sorted words, the index of its component's first: the trie self-join of one cell."""
     n = len(word)
     root = np.arange(n)
-    if labels is not None:
-        _, first, of = np.unique(labels, return_index=True, return_inverse=True)
-        root = first[of]
 
     def join(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal root
@@ -139,12 +135,10 @@ def linked(word: np.ndarray, fps: np.ndarray, width: int, budget: int, limit: in
                 x = up[x]
             return x
 
-        for p, q, x, y in zip(i.tolist(), j.tolist(), a.tolist(), b.tolist()):
+        for x, y in zip(a.tolist(), b.tolist()):
             x, y = find(x), find(y)
             if x != y:
                 up[max(x, y)] = min(x, y)
-                if wanted is not None:
-                    wanted.append((p, q))
         if up:
             to = np.arange(n)
             for x in up:
@@ -159,16 +153,8 @@ def linked(word: np.ndarray, fps: np.ndarray, width: int, budget: int, limit: in
         i, j = i[apart], j[apart]
         if len(i):
             close = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) <= limit
-            i, j = i[close], j[close]
-            if refused:
-                new = np.array([(p, q) not in refused for p, q in zip(i.tolist(), j.tolist())], bool)
-                i, j = i[new], j[new]
-            if wanted is not None and len(wanted) < free:
-                more = free - len(wanted)
-                wanted.extend(zip(i[:more].tolist(), j[:more].tolist()))
-                i, j = i[more:], j[more:]
-            if len(i):
-                join(i, j)
+            if close.any():
+                join(i[close], j[close])
 
     def one(a: int, b: int, c: int, d: int) -> bool:
         r = root[a]
@@ -225,31 +211,51 @@ def joined(width: int, budget: int, limit: int):
         return [(raw[order[i]], raw[order[r]]) for i, r in enumerate(root.tolist()) if i != r]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, []
-        for batch in batches:
-            out = []
-            cells = batch.column("cell").to_numpy()
-            raw = batch.column("fp").to_pylist()
-            if not len(cells):
-                continue
-            cuts = np.flatnonzero(np.diff(cells)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)]):
-                if cells[a] != here:
-                    if len(held) > 1:
-                        out += links(here, held)
-                    here, held = int(cells[a]), []
-                held += raw[a:b]
-            yield batch_of(out)
-        if len(held) > 1:
-            yield batch_of(links(here, held))
+        for (cell, _), held in runs(batches, ("cell", "part")):
+            raw = [x for batch in held for x in batch.column("fp").to_pylist()]
+            if len(raw) > 1:
+                yield batch_of(links(cell, raw))
 
     return run
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """The rows of each run of equal ``keys`` (longs), as slices of batches; one run is held at a time."""
+    here, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            key = tuple(int(c[a]) for c in columns)
+            if key != here:
+                if held:
+                    yield here, held
+                here, held = key, []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield here, held
+
+
+def in_blocks(rows: DataFrame, blocks: Column, key: str) -> DataFrame:
+    """Adds ``block`` and ``part``: each row goes to its block, by a hash of ``key``, and to each pair of blocks with it."""
+    own = rows.withColumn("_of", blocks).withColumn("block", F.pmod(F.xxhash64(key), F.col("_of")).cast("int"))
+    low, high = F.least("block", "_other"), F.greatest("block", "_other")
+    spread = own.select("*", F.explode(F.sequence(F.lit(0), F.col("_of").cast("int") - 1)).alias("_other"))
+    return spread.withColumn("part", low.cast("long") * F.col("_of") + high).drop("_of", "_other")
+
+
 def near_edges(distinct: DataFrame, tables: int = 1, width: int = 64, budget: int = 2, limit: int = 2) -> DataFrame:
     """Edges (u, v) of nodes that connect all distinct fingerprints ``fp`` within reach of one another."""
     cells = distinct.select("fp").mapInArrow(celled(tables, width, budget), "cell long, fp binary")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(joined(width, budget, limit), "u long, v long")
+    if distinct.count() > CELL_ROWS:  # no cell has more rows
+        # at most one row for each CELL_ROWS rows
+        large = cells.groupBy("cell").agg(F.count("*").alias("_n")).where(F.col("_n") > CELL_ROWS)
+        cells = in_blocks(cells.join(F.broadcast(written(large, "cells")), "cell", "left"), F.coalesce(F.ceil(F.col("_n") / CELL_ROWS), F.lit(1)), "fp").select("cell", "part", "fp")
+    else:
+        cells = cells.withColumn("part", F.lit(0).cast("long"))
+    return cells.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(joined(width, budget, limit), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,10 +303,10 @@ WIDE = {"tables": 16, "width": 24, "budget": 2}
 SIMILARITY = 0.8
 #: Pairs are candidates from this much below the similarity on: over four standard errors of what 384 bits estimate.
 MARGIN = 0.2
-#: Candidates that a cell gives in the first round whether or not they join anything new.
-FREE = 64
 #: Bits, as a power of two, of the map of rows whose shingles are compared: 4 MB.
 MAP_BITS = 25
+#: Groups of up to so many sets are compared pair by pair, larger ones through lists of the sets that hold a shingle.
+FEW = 12
 
 
 def reach(similarity: float, bits: int) -> int:
@@ -320,153 +326,125 @@ def counted(h: np.ndarray) -> np.ndarray:
     return np.unique(np.where(nth == 0, each, mixed(each + nth * np.uint64(0xD6E8FEB86659FD93), 1)))
 
 
-def shingle_sets(docs: DataFrame, words: int, bits: int | None, text_col: str) -> DataFrame:
-    """``docs`` without the text, with ``node`` (a hash of the counted shingles) and ``fp`` over them, or without
+def shingle_sets(docs: DataFrame, words: int, bits: int | None) -> DataFrame:
+    """``docs`` without the ``text``, with ``node`` (a hash of the counted shingles), their number ``n``, and ``fp`` over them, or without
     ``bits`` the ``shingles``."""
-    names = [c for c in docs.columns if c != text_col]
+    names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [counted(shingles(t or b"", words)) for t in listed(batch, text_col)]
+            sets = [counted(shingles(t or b"", words)) for t in listed(batch, "text")]
             node = pa.array([signed(xxhash.xxh64_intdigest(x.tobytes(), 42)) for x in sets], pa.int64())
+            n = pa.array([len(x) for x in sets], pa.int64())
             last = pa.array([majority(x, bits) for x in sets], pa.binary()) if bits else pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), node, last], [*names, *made.names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), node, n, last], [*names, *made.names])
 
-    made = T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType()) if bits else T.StructField("shingles", T.ArrayType(T.LongType()))])
+    made = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()) if bits else T.StructField("shingles", T.ArrayType(T.LongType()))])
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), *made.fields]))
 
 
-def cells_of(rows: list[bytes], tables: int, width: int, budget: int) -> np.ndarray:
-    """The cells of each fingerprint, one column for each block of each word."""
-    fps = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
-    columns = []
-    for table in range(tables):
-        word = word_of(fps, table, width)
-        for k, (low, size) in enumerate(blocks(width, budget)):
-            columns.append(((word >> np.uint64(low)) & np.uint64((1 << size) - 1)) | np.uint64((table * (budget + 1) + k) << 32))
-    return np.stack(columns, axis=1).astype(np.int64)
-
-
-def candidates(nodes: DataFrame, refused: DataFrame | None, tables: int, width: int, budget: int, limit: int, turn: int) -> DataFrame:
-    """Pairs (u < v) of ``nodes`` (node, fp, label) to be checked, and (u, null) for nodes of cells that held some back.
-
-    ``refused`` has pairs (u, v, fp, fp2) that were checked in vain."""
-    layout = "cell long, node long, fp binary, label long, other long"
+def alike(sets: list[np.ndarray], block: list[int], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose exact Jaccard similarity is reached; with two blocks, of pairs across them."""
+    k, up = len(sets), list(range(len(sets)))
+    across = len(set(block)) > 1
+    scale = 10**6
+    least = round(similarity * scale)
+    sizes = np.array([len(x) for x in sets])
+    out: list[tuple[int, int]] = []
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((i, j))
+
+    def enough(common, i, j):
+        return common * scale >= (sizes[i] + sizes[j] - common) * least
+
+    if k <= FEW:
+        for i in range(k):
+            for j in range(i + 1, k):
+                if (not across or block[i] != block[j]) and find(i) != find(j) and enough(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), i, j):
+                    join(i, j)
+        return out
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    holder = np.repeat(np.arange(k), sizes)[order]
+    values, starts = np.unique(every[order], return_index=True)
+    ends = np.append(starts[1:], len(every))
+    blocks = np.array(block)
+    for i in range(k):
+        at = np.searchsorted(values, sets[i])
+        common = np.bincount(np.concatenate([holder[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]), minlength=k) if len(at) else (sizes == 0) * 0
+        near = enough(common, i, np.arange(k))
+        near[: i + 1] = False
+        if across:
+            near &= blocks != block[i]
+        for j in np.flatnonzero(near).tolist():
+            join(i, j)
+    return out
+
+
+def linking(similarity: float):
+    """Links among the sets of each candidate group: rows come in order of (comp, part)."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for column in cells_of(batch.column("fp").to_pylist(), tables, width, budget).T:
-                    yield pa.RecordBatch.from_arrays([pa.array(column), batch.column("node"), batch.column("fp"), batch.column("label"), pa.nulls(batch.num_rows, pa.int64())], ["cell", "node", "fp", "label", "other"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in runs(batches, ("comp", "part")):
+            node = [x for b in held for x in b.column("node").to_pylist()]
+            sets = [x.values.to_numpy() for b in held for x in b.column("shingles")]
+            found = alike(sets, [x for b in held for x in b.column("block").to_pylist()], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in found], pa.int64()), pa.array([node[j] for _, j in found], pa.int64())], ["u", "v"])
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            both = [cells_of(batch.column(c).to_pylist(), tables, width, budget) for c in ("fp", "fp2")]
-            row, column = np.nonzero(both[0] == both[1])
-            take = pa.array(row)
-            n = len(row)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0][row, column]), batch.column("u").take(take), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), batch.column("v").take(take)], ["cell", "node", "fp", "label", "other"])
-
-    def search(cell: int, rows: list[tuple]) -> list[tuple]:
-        held = sorted((r for r in rows if r[3] is None), key=lambda r: r[0])
-        if len(held) < 2 or len({r[2] for r in held}) < 2:
-            return []
-        fps = np.frombuffer(b"".join(r[1] for r in held), np.uint8).reshape(len(held), -1)
-        word = word_of(fps, (cell >> 32) // (budget + 1), width)
-        order = np.argsort(word, kind="stable")
-        node = [held[i][0] for i in order.tolist()]
-        at = {x: i for i, x in enumerate(node)}
-        no = frozenset((min(p), max(p)) for p in ((at[r[0]], at[r[3]]) for r in rows if r[3] is not None and r[0] in at and r[3] in at))
-        pairs: list[tuple[int, int]] = []
-        free = FREE if turn == 0 else len(held) * 8**turn
-        linked(word[order], np.ascontiguousarray(fps[order]).view(np.uint64), width, budget, limit, np.array([held[i][2] for i in order.tolist()]), no, pairs, free)
-        out = [(min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs]
-        return out + [(x, None) for x in node] if len(pairs) >= free else out
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, []
 
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
+def exact_links(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (u, v) of ``members`` (row, node, n, comp) that connect all within reach of one another in a ``comp``.
 
-        for batch in batches:
-            out = []
-            if not batch.num_rows:
-                continue
-            cells = batch.column("cell").to_numpy()
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("node", "fp", "label", "other"))))
-            cuts = np.flatnonzero(np.diff(cells)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)]):
-                if cells[a] != here:
-                    if len(held) > 1:
-                        out += search(here, held)
-                    here, held = int(cells[a]), []
-                held += rows[a:b]
-            yield batch_of(out)
-        if len(held) > 1:
-            yield batch_of(search(here, held))
-
-    cells = nodes.select("node", "fp", "label").mapInArrow(spread, layout)
-    if refused is not None:
-        cells = cells.union(refused.select("u", "v", "fp", "fp2").mapInArrow(met, layout))
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long").distinct()
-
-
-def checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
-    """``pairs`` with both fingerprints and whether the Jaccard similarity of their distinct shingles is reached.
-
-    Texts are read again where a bit map of fixed size has their row; only these are dealt out."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    rows = written(ends.join(nodes.select("node", "fp", F.col("least.row").alias("_row")).hint("merge"), "node"), "ends")
-    bit = F.pmod(F.xxhash64("_row"), F.lit(1 << MAP_BITS))
-    bits = rows.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("_map"))
+    ``texts`` (row, text) are read again where a bit map of fixed size has their row; only the sets of these are dealt out."""
+    bit = F.pmod(F.xxhash64("row"), F.lit(1 << MAP_BITS))
+    bits = members.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("map"))
     # one row for each bucket of 32,768 bits, so 1,024 rows at most
-    texts = docs.select("_row", text_col, bit.alias("b")).withColumn("_bucket", F.expr("bitmap_bucket_number(b)")).join(F.broadcast(bits), "_bucket")
-    place = F.expr("bitmap_bit_position(b)")
-    byte = F.conv(F.hex(F.expr("substring(_map, cast(bitmap_bit_position(b) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    texts = texts.where(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1)
-    sets = rows.select("_row", "fp").join(shingle_sets(texts.select("_row", text_col), words, None, text_col).hint("merge"), "_row").select("node", "fp", "shingles")
-    sets = written(sets, "sets")
-    a = sets.select(F.col("node").alias("u"), "fp", F.col("shingles").alias("a"))
-    b = sets.select(F.col("node").alias("v"), F.col("fp").alias("fp2"), F.col("shingles").alias("b"))
-    both = pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v")
-    common = F.size(F.array_intersect("a", "b")).cast("long")
-    scale = 10**6
-    return both.select("u", "v", "fp", "fp2", (common * scale >= (F.size("a") + F.size("b") - common) * round(similarity * scale)).alias("same"))
+    marked = texts.withColumn("b", bit).withColumn("bucket", F.expr("bitmap_bucket_number(b)")).join(F.broadcast(bits), "bucket")
+    byte = F.conv(F.hex(F.expr("substring(map, cast(bitmap_bit_position(b) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    wanted = marked.where(F.getbit(byte, F.pmod(F.expr("bitmap_bit_position(b)"), F.lit(8)).cast("int")) == 1).select("row", "text")
+    sizes = members.groupBy("comp").agg(F.ceil(F.sum("n") / SET_ROWS).alias("blocks"))
+    placed = members.select("row", "comp").join(sizes.hint("merge"), "comp")
+    sets = placed.join(shingle_sets(wanted, words, None).hint("merge"), "row")
+    dealt = in_blocks(sets, F.greatest("blocks", F.lit(1)), "node").select("comp", "part", "node", "block", "shingles")
+    return dealt.repartition("comp", "part").sortWithinPartitions("comp", "part").mapInArrow(linking(similarity), "u long, v long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group that chains of pairs of ``similarity`` or more connect: that with the smallest id (null
     last; of rows that repeat it, one). Similarity is the exact Jaccard similarity of the bags of shingles: shared
-    occurrences by all. Texts without words are copies of one another.
+    occurrences by all. Texts without words, null ones too, are copies of one another. An empty table gives no rows; extra
+    columns of any name pass through.
 
-    Wide fingerprints of the sets find candidates; only an exact comparison of the shingles makes a link. A cell of
-    many candidates gives a spanning forest of them first. While one such cell has pairs that are neither refused nor
-    connected by what was found, it is searched again and gives more, so a group of k near copies costs about k pairs a
-    cell, and pairs are left out only where they would change nothing."""
+    Wide fingerprints of the sets find candidate groups by the trie self-join, with a margin. Within a group all pairs are
+    compared exactly: the sets of a group meet in one task, or, if they are many, by pairs of blocks in many tasks, and
+    only pairs within reach link."""
     bits = WIDE["tables"] * WIDE["width"]
-    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("least")
-    wide = shingle_sets(docs.select("_row", F.col(id_col).alias("_id"), text_col), words, bits, text_col)
-    nodes = written(wide.groupBy("node", "fp").agg(least), "nodes")
+    (row,) = unused(docs.columns, "row")
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    plain = keyed.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
+    nodes = written(shingle_sets(plain, words, bits).groupBy("node", "n", "fp").agg(least).withColumn("at", F.xxhash64("fp")), "nodes")
     search = {**WIDE, "limit": reach(similarity - MARGIN, bits)}
-    open_nodes, tried, roots, turn = nodes.withColumn("label", F.col("node")), None, None, 0
-    while True:
-        refused = None if tried is None else tried.where("not same")
-        found = written(candidates(open_nodes, refused, turn=turn, **search), "candidates")
-        new = written(checked(found.where("v is not null"), nodes, docs, words, similarity, text_col), "checked")
-        tried = new if tried is None else tried.union(new)
-        roots = written(components(tried.where("same").select("u", "v")), "roots")
-        held = found.where("v is null").select(F.col("u").alias("node"))
-        if held.isEmpty():
-            break
-        open_nodes = nodes.join(held.hint("merge"), "node", "left_semi").join(roots.hint("merge"), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label"))
-        turn += 1
-    placed = nodes.select("node", "least").join(roots.hint("merge"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    kept = placed.groupBy("root").agg(F.min("least").alias("kept")).select(F.col("kept.row").alias("_row"))
-    return docs.join(written(kept, "kept").hint("merge"), "_row", "left_semi").drop("_row")
+    roots = components(near_edges(nodes.select("fp").distinct(), **search)).withColumnRenamed("node", "at")
+    placed = nodes.select("node", "n", "at", F.col("least.row").alias("row")).join(roots.hint("merge"), "at", "left").select("node", "n", "row", F.coalesce("root", "at").alias("comp"))
+    several = placed.groupBy("comp").agg(F.count("*").alias("members")).where("members > 1").select("comp")
+    members = written(placed.join(several.hint("merge"), "comp"), "members")
+    links = components(exact_links(members, plain.select("row", "text"), words, similarity))
+    final = nodes.select("node", "least").join(links.hint("merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("kept"))
+    kept = written(final.select(F.col("kept.row").alias(row)), "kept")
+    return keyed.join(kept.hint("merge"), row, "left_semi").drop(row)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,8 +83,10 @@ def test_simhash(spark, odd, none):
     table = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "little"))) for i, v in enumerate(values)], "doc_id long, fp binary")
     got = {x.doc_id: x.component_id for x in simhash.grouped(table).collect()}
     assert got == brute_simhash.components(dict(enumerate(values)))
-    kept = {x.doc_id for x in simhash.near_dedup(odd.where("doc_id is not null")).collect()}
-    assert 5 in kept and 6 not in kept and simhash.near_dedup(none).count() == 0
+    rows = odd.withColumn("row", F.lit("r")).withColumn("NODE", F.lit(1)).withColumn("_row", F.lit(2))
+    kept = simhash.near_dedup(rows)
+    assert kept.columns == rows.columns and sorted(str(x.doc_id) for x in kept.collect()) == ["1", "3", "5", "7", "8"]
+    assert simhash.near_dedup(none).count() == 0
 
 
 def bags(texts, words=5):
@@ -117,8 +119,12 @@ def kept_by_brute_force(texts, similarity=0.8):
     return {find(i) for i in texts}
 
 
-def test_near_dedup_similarity(spark):
-    """Pairs of 0.80 to 0.85 link and pairs of 0.70 to 0.79 do not, among them a crowd of over 64 candidates in a cell."""
+@pytest.mark.parametrize("blocks", [False, True])
+def test_near_dedup_similarity(spark, monkeypatch, blocks):
+    """Pairs of 0.80 to 0.85 link and pairs of 0.70 to 0.79 do not, among them a crowd of over 600 candidates; the same in blocks."""
+    if blocks:
+        monkeypatch.setattr(simhash, "CELL_ROWS", 8)
+        monkeypatch.setattr(simhash, "SET_ROWS", 1500)
     import random
 
     r = random.Random(11)
