@@ -1,9 +1,14 @@
-"""A page's block elements, their text, and the features of each."""
+"""A page's block elements, their text, and the features of each.
+
+Any string is a page: an empty one has a root without text, text outside of elements belongs to the root, unknown tags are
+passed over, and tags that are left open end with what holds them. A head ends where the body's first element begins, and
+another dropped container ends with its article at the latest, and is passed over if no closing tag follows at all. Time and memory are linear in the page."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 # Tags by what they do to text.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav header footer aside address details summary fieldset center hgroup search".split())
@@ -73,6 +78,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             flush()
             here = n.parent
 
+    lasts: dict[str, int] = {}  # by tag, where it is last closed
+    lowered: list[str] = []
+
+    def lower() -> str:
+        if not lowered:
+            lowered.append(page.lower())
+        return lowered[0]
+
+    def open_tags(n: Node | None) -> Iterator[str]:
+        while n is not None:
+            yield n.tag
+            n = n.parent
+
     def text(raw: str) -> None:
         nonlocal linked
         if raw and not dropped:
@@ -91,6 +109,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
+        if dropped == "head" and (tag == "body" or tag in BLOCKS and not closing):
+            dropped = ""  # </head> may be left out
+        elif dropped and dropped != "head" and closing and tag in ("article", "main", "body") and tag in open_tags(here):
+            dropped = ""  # its own closing tag is missing
         if dropped:
             if tag == dropped and tag not in VOID:
                 depth_dropped += -1 if closing else 1
@@ -101,7 +123,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             pieces.append(" ")
             continue
         if tag in DROPPED:
-            if not closing and not m[3].endswith("/"):
+            if tag not in lasts:
+                lasts[tag] = lower().rfind(f"</{tag}")
+            if not closing and not m[3].endswith("/") and (tag in RAW or tag == "head" or lasts[tag] > at):
                 if tag in RAW:
                     end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                     at = end.end() if end else len(page)
@@ -162,21 +186,26 @@ def features(nodes: list[Node], size: int) -> list[list[float]]:
     rows: list[list[float]] = []
     above: dict[int, tuple[list[int], list[int]]] = {}
     total = nodes[0].chars or 1
+    family: dict[int, tuple[dict[str, int], int]] = {}
+    place = {id(nodes[0]): 0.0}
+    for n in nodes:
+        count: dict[str, int] = {}
+        for i, k in enumerate(n.children):
+            count[k.tag] = count.get(k.tag, 0) + 1
+            place[id(k)] = i / len(n.children)
+        family[id(n)] = (count, max((k.chars for k in n.children), default=0))
     for n in nodes:
         tags, groups = [0] * len(TAGS), list(n.groups)
         if n.tag in _tag_no:
             tags[_tag_no[n.tag]] = 1
         up = above[id(n.parent)] if n.parent else ([0] * len(TAGS), [0] * len(GROUPS))
         above[id(n)] = ([a | b for a, b in zip(up[0], tags)], [a | b for a, b in zip(up[1], groups)])
-        kin = n.parent.children if n.parent else [n]
-        family = n.parent.chars if n.parent else total
-        longest = max((k.chars for k in kin), default=0) or 1
-        same = sum(k.tag == n.tag for k in kin) if len(kin) <= 64 else len(kin)
+        kin, around = (len(n.parent.children), n.parent.chars) if n.parent else (1, total)
+        tags_of_kin, longest = family[id(n.parent)] if n.parent else ({n.tag: 1}, n.chars)
         chars, words = n.chars or 1, n.words or 1
-        place = kin.index(n) / len(kin) if len(kin) <= 64 else 0.5
         rows.append([
             *tags, *up[0], *groups, *up[1],
             n.depth, n.chars, n.own, chars / total, n.link_chars / chars, n.links / words, n.blocks / words, chars / n.blocks, n.ends / words, n.words / n.blocks,
-            len(n.children), len(kin), same, chars / (family or 1), chars / longest, place, n.first / (size or 1),
+            len(n.children), kin, tags_of_kin[n.tag], chars / (around or 1), chars / (longest or 1), place[id(n)], n.first / (size or 1),
         ])
     return rows

@@ -10,7 +10,8 @@ Texts are equal when they are the same after lower-casing A-Z. Of equal texts th
    its length and hash: once the sorted stream has left it, the finished subtree is spilled to the output and
    freed, so a task holds one bucket's distinct texts and never its whole partition.
 
-Null counts as empty; empty texts equal one another. Extra columns pass through untouched.
+Null counts as empty; empty texts equal one another. Extra columns, whatever their names, pass through untouched. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import documents
+from .scratch import documents, unused
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bits of the content hash that names a bucket within a length.
@@ -115,7 +116,7 @@ def better(a, b) -> bool:
     return a is not None and (b is None or a > b)
 
 
-def fold(names: list[str], id_col: str, text_col: str, fold_bytes: int, bits: int):
+def fold(names: list[str], id_col: str, text_col: str, fold_bytes: int, bits: int, extra: list[str]):
     """First step: of one task's equal texts one row, that with the largest id, and how many there were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +130,7 @@ def fold(names: list[str], id_col: str, text_col: str, fold_bytes: int, bits: in
         for batch in batches:
             if out is None:
                 fields = [batch.schema.field(n) for n in names]
-                out = Rows(pa.schema([*fields, pa.field("_bytes", pa.int64()), pa.field("_hash", pa.int64()), pa.field("_count", pa.int64())]))
+                out = Rows(pa.schema([*fields, *(pa.field(c, pa.int64()) for c in extra)]))
             at = names.index(id_col)
             for row, text in zip(zip(*(listed(batch, n) for n in names)), listed(batch, text_col)):
                 key = (text or b"").translate(LOWER)
@@ -148,7 +149,7 @@ def fold(names: list[str], id_col: str, text_col: str, fold_bytes: int, bits: in
     return run
 
 
-def own(names: list[str], id_col: str, text_col: str, report: bool):
+def own(names: list[str], id_col: str, text_col: str, report: bool, extra: list[str]):
     """Second step, over rows in order of length and hash: one row for each distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,7 @@ def own(names: list[str], id_col: str, text_col: str, report: bool):
             if out is None:
                 fields = [batch.schema.field(n) for n in names]
                 out = Rows(pa.schema([pa.field("keep_id", fields[at].type), pa.field("group_size", pa.int64()), pa.field("text_sha256", pa.string())]) if report else pa.schema(fields))
-            buckets = zip(batch.column("_bytes").to_pylist(), batch.column("_hash").to_pylist(), batch.column("_count").to_pylist())
+            buckets = zip(*(batch.column(c).to_pylist() for c in extra))
             for row, text, (size, code, count) in zip(zip(*(listed(batch, n) for n in names)), listed(batch, text_col), buckets):
                 if here != (size, code):
                     yield from spill()
@@ -186,11 +187,11 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     """One row per distinct text: the whole row that stays, or (``report``) keep_id, group_size and text_sha256."""
     names = [id_col, text_col] if report else docs.columns
     plain = docs.select(names)
-    extra = [T.StructField(c, T.LongType()) for c in ("_bytes", "_hash", "_count")]
-    folded = plain.mapInArrow(fold(names, id_col, text_col, fold_bytes, bits), T.StructType([*plain.schema.fields, *extra]))
-    dealt = folded.repartition("_bytes", "_hash").sortWithinPartitions("_bytes", "_hash")
+    extra = unused(names, "_bytes", "_hash", "_count")
+    folded = plain.mapInArrow(fold(names, id_col, text_col, fold_bytes, bits, extra), T.StructType([*plain.schema.fields, *(T.StructField(c, T.LongType()) for c in extra)]))
+    dealt = folded.repartition(*extra[:2]).sortWithinPartitions(*extra[:2])
     result = T.StructType([T.StructField("keep_id", plain.schema[id_col].dataType), T.StructField("group_size", T.LongType()), T.StructField("text_sha256", T.StringType())]) if report else plain.schema
-    return dealt.mapInArrow(own(names, id_col, text_col, report), result)
+    return dealt.mapInArrow(own(names, id_col, text_col, report, extra), result)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,14 +8,17 @@ boilerplate, or mixed, where only a mixed element's children may differ; of all
 the largest sum of log-odds, by one pass up and one pass down the tree. So a choice never contradicts one above it.
 
 Character references are decoded, white space in a block becomes one space, and blocks are joined by one space in
-page order. Null and empty pages, and pages without main text, give an empty text. Every row gives one row.
+page order. Null and empty pages, and pages without main text, give an empty text. Every row gives one row, repeated rows
+too; an empty table gives none. Extra columns pass through, but for ``text`` and ``n_chars``, which are replaced. A page is
+held whole by its task, in time and memory linear in its length.
 """
 
 from __future__ import annotations
 
+import json
 import random
-import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,9 @@ from pyspark.sql import types as T
 
 from . import dom
 
-TRAINING_PAGES = 600
-TREES, DEPTH = 24, 4
+TRAINING_PAGES = 1600
+TREES, DEPTH = 30, 5
+KEPT = Path(__file__).with_name("html_trees.json")
 #: Log-odds that an element must gain by being mixed.
 MIXED_COST = 0.05
 
@@ -39,17 +43,19 @@ def training_page(seed: int) -> str:
     word = lambda: "".join(r.choice("aeiourstlnmdchpgbfvéüñ") for _ in range(r.randint(1, 10)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     stop = r.choice([".", ".", ".", "!", " ###", "%%%", " |"])
-    sentence = lambda a=3, b=18: words(a, b).capitalize() + stop
-    prose = lambda: " ".join(sentence() for _ in range(r.choice([1, 1, 2, 4, 9])))
+    brief = r.random() < 0.2  # an article of a few words
+    sentence = lambda a=1, b=18: words(a, min(b, 3) if brief else b).capitalize() + stop
+    prose = lambda: " ".join(sentence() for _ in range(r.choice([1, 1, 2] if brief else [1, 1, 2, 4, 9])))
     links = lambda a, b: "".join(f'<li><a href="/{word()}">{words(1, 2)}</a></li>' for _ in range(r.randint(a, b)))
     maybe = lambda p, x: x() if r.random() < p else ""
     name = lambda *x: r.choice(x)
     advert = lambda: f'<div class="{name("ad", "ads banner", "sponsored", "promo box", "advert")}">{r.choice([sentence, prose])()}</div>'
     notice = lambda: f'<div {name("class", "id")}="{name("cookie-notice", "consent", "newsletter", "alert gdpr", "popup")}"><p>{prose()}</p><a href="#">{words(1, 2)}</a></div>'
-    menu = lambda: name(f"<nav><ul>{links(3, 9)}</ul></nav>", f'<div class="{name("menu", "navbar", "breadcrumbs")}"><ul>{links(3, 9)}</ul></div>')
-    header = lambda: f"<header><div class='{name('logo', 'masthead', 'site-title')}'>{words(1, 5)}</div>{maybe(0.5, menu)}</header>"
-    footer = lambda: name(f"<footer>&copy; {word()}.example.com &middot; {prose()}</footer>", f'<div id="footer"><ul>{links(2, 6)}</ul><p>{sentence()}</p></div>', f"<footer><p>{prose()}</p><p>{sentence()}</p></footer>")
-    side = lambda: name("<aside>{}</aside>", '<div class="sidebar widget">{}</div>', '<div id="related">{}</div>').format(f"<h3>{words(1, 4)}</h3>" + name(f"<ul>{links(2, 8)}</ul>", f"<p>{prose()}</p>", f"<p>{prose()}</p><p>{prose()}</p>"))
+    plain = lambda a, b: "".join(f"<li>{words(1, 2)}</li>" for _ in range(r.randint(a, b)))
+    menu = lambda: name(f"<nav><ul>{links(3, 9)}</ul></nav>", f"<nav>{name(words(1, 1), words(1, 12), f'<ul>{plain(1, 9)}</ul>', f'<div>{words(1, 6)}</div>', f'<p>{words(1, 4)}</p>')}</nav>", f'<div class="{name("menu", "navbar", "breadcrumbs")}"><ul>{name(links, plain)(3, 9)}</ul></div>')
+    header = lambda: name(f"<header><div class='{name('logo', 'masthead', 'site-title')}'>{words(1, 5)}</div>{maybe(0.5, menu)}</header>", f"<header>{name(words(1, 5), f'<p>{words(1, 9)}</p>', f'<div>{words(1, 6)}</div>')}{maybe(0.4, menu)}</header>")
+    footer = lambda: name(f"<footer>&copy; {word()}.example.com &middot; {prose()}</footer>", f'<div id="footer"><ul>{links(2, 6)}</ul><p>{sentence()}</p></div>', f"<footer><p>{prose()}</p><p>{sentence()}</p></footer>", f"<footer>{words(1, 8)}</footer>")
+    side = lambda: name("<aside>{}</aside>", '<div class="sidebar widget">{}</div>', '<div id="related">{}</div>').format(f"<h3>{words(1, 4)}</h3>" + name(f"<ul>{links(2, 8)}</ul>", f"<p>{prose()}</p>", f"<p>{prose()}</p><p>{prose()}</p>", f"<ul>{plain(1, 8)}</ul>")) if r.random() < 0.8 else f"<aside>{words(1, 12)}</aside>"
     form = lambda: f'<form><label>{words(1, 3)}</label><input name="q"><button>{word()}</button></form>'
     remark = lambda: f'<div class="{name("comment", "reply", "comment-body")}"><b>{word()}</b><p>{prose()}</p></div>'
     remarks = lambda: name('<div class="comments">{}</div>', '<section id="comments">{}</section>', "<ul class='comment-list'>{}</ul>").format(f"<h3>{words(1, 3)}</h3>" + "".join(remark() for _ in range(r.randint(1, 6))))
@@ -71,10 +77,11 @@ def training_page(seed: int) -> str:
             return f"<blockquote data-main=1>{prose()}</blockquote>"
         return "<table>" + "".join(f"<tr><td data-main=1>{words(1, 4)}</td><td data-main=1>{words(1, 4)}</td></tr>" for _ in range(r.randint(2, 5))) + "</table>"
 
-    parts = [paragraph() for _ in range(r.choice([1, 2, 3, 5, 8, 14, 30]))]
+    parts = [paragraph() for _ in range(r.choice([1, 1, 2, 3]) if brief else r.choice([1, 2, 3, 5, 8, 14, 30]))]
+    brief = False
     if r.random() < 0.35:
         parts.insert(r.randint(0, len(parts)), r.choice([advert, side, share, notice])())
-    title = f"<h1 data-main=1>{words(1, 9)}</h1>"
+    title = maybe(0.8, lambda: f"<h1 data-main=1>{words(1, 9)}{maybe(0.2, lambda: stop)}</h1>")
     if r.random() < 0.15:
         title = f"<header>{title}</header>"
     shell = r.choice(["<article>{}</article>", "<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="post-content">{}</div>', '<div id="main"><div class="entry">{}</div></div>', '<section class="story"><div class="article-body">{}</div></section>', "<main><article>{}</article></main>", '<div class="text">{}</div>', "<div>{}</div>"])
@@ -104,33 +111,19 @@ def labelled(seeds: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Trees:
-    """Boosted trees as arrays: by tree and node, the feature, threshold and children (leaves point to themselves)."""
+    """Boosted trees as arrays: by tree and node, the feature, threshold and children (leaves point to themselves) and value."""
 
-    def __init__(self, texts: list[str], weights: list[float]) -> None:
+    def __init__(self, trees: list[list[list[float]]]) -> None:
+        self.nodes = trees
         self.depth, self.parts = 0, []
-        for text, weight in zip(texts, weights):
-            lines = [(len(x) - len(x.lstrip()), x.strip()) for x in text.split("\n")[1:] if x.strip()]
-            feature, threshold, left, right, value = [], [], [], [], []
-
-            def build(at: int, depth: int) -> tuple[int, int]:
-                """The node whose text begins at line ``at``, and the line after it."""
-                me = len(feature)  # noqa: B023
-                for a in (feature, threshold, left, right, value):  # noqa: B023
-                    a.append(0)
-                self.depth = max(self.depth, depth)
-                said = lines[at][1]  # noqa: B023
-                if said.startswith("Predict"):
-                    left[me] = right[me] = me  # noqa: B023
-                    value[me] = weight * float(said.split(":")[1])  # noqa: B023
-                    return me, at + 1
-                m = re.match(r"If \(feature (\d+) <= ([-\d.eE]+)\)", said)
-                feature[me], threshold[me] = int(m[1]), float(m[2])  # noqa: B023
-                left[me], at = build(at + 1, depth + 1)  # noqa: B023
-                right[me], at = build(at + 1, depth + 1)  # noqa: B023
-                return me, at
-
-            build(0, 0)
-            self.parts.append(tuple(np.array(a) for a in (feature, threshold, left, right, value)))
+        for tree in trees:
+            feature, threshold, left, right, value = (np.array(x) for x in zip(*tree))
+            self.parts.append((feature.astype(int), threshold, left.astype(int), right.astype(int), value))
+            depth = [0] * len(tree)
+            for i, (_, _, a, b, _) in enumerate(tree):  # children come after their node
+                for c in {a, b} - {i}:
+                    depth[c] = depth[i] + 1
+            self.depth = max(self.depth, *depth)
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         out, rows = np.zeros(len(x)), np.arange(len(x))
@@ -143,10 +136,28 @@ class Trees:
 
 
 def train(spark: SparkSession, pages: int = TRAINING_PAGES) -> Trees:
-    rows = spark.range(0, pages, 1, 4).mapInArrow(labelled, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=11, maxBins=64).fit(rows.cache())
+    rows = spark.range(0, pages, 1, 4).mapInArrow(labelled, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").cache()
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=11, maxBins=64).fit(rows)
     rows.unpersist()
-    return Trees([t.toDebugString for t in model.trees], list(model.treeWeights))
+
+    def flat(node, weight: float, out: list[list[float]]) -> int:
+        me = len(out)
+        out.append([0, 0.0, me, me, weight * node.prediction()])
+        if node.subtreeDepth() > 0:
+            split = node.split()
+            out[me] = [split.featureIndex(), split.threshold(), flat(node.leftChild(), weight, out), flat(node.rightChild(), weight, out), 0.0]
+        return me
+
+    trees: list[list[list[float]]] = []
+    for tree, weight in zip(model.trees, model.treeWeights):
+        trees.append([])
+        flat(tree._call_java("rootNode"), weight, trees[-1])
+    return Trees(trees)
+
+
+def kept_trees() -> Trees:
+    """The trees that ``train`` gave for this module's pages."""
+    return Trees(json.loads(KEPT.read_text()))
 
 
 def decode(nodes: list[dom.Node], odds: list[float]) -> list[bool]:
@@ -194,4 +205,9 @@ def extract(pages: DataFrame, trees: Trees, html_col: str = "html") -> DataFrame
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return extract(pages, train(spark)).select("page_id", "url", "text", F.col("n_chars"))
+    return extract(pages, kept_trees()).select("page_id", "url", "text", F.col("n_chars"))
+
+
+if __name__ == "__main__":
+    session = SparkSession.builder.master("local[4]").getOrCreate()
+    KEPT.write_text("[\n" + ",\n".join(json.dumps(t) for t in train(session).nodes) + "\n]\n")

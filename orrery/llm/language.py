@@ -7,12 +7,13 @@ language, chosen by a hash of the id) with follow-the-regularised-leader: per-co
 elastic-net penalties ``L1`` and ``L2``, so most weights are exactly zero. A fifth of that sample is held back to
 calibrate a temperature. Prediction reads the whole text, and nothing but the text.
 
-A text that is null or has no letter is ``und`` with score 0; so is every text when no row has a label. Null
+A text that is null or has no letter (of any script) is ``und`` with score 0; so is every text when no row has a label. Null
 labels are never learned from. Every row gives one row.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import documents
+from .scratch import documents, unused
 
 DIMENSIONS = 1 << 15
 SAMPLE_PER_LANG = 1500
+#: More labels than this are refused: the sample and the weights grow with them.
+MOST_LANGS = 500
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.5
 #: Below this score the pipeline's stage rejects a document.
 LEAST_SCORE = 0.4
@@ -37,7 +40,7 @@ def _folded() -> np.ndarray:
     """By code point: its lower case, or a space where it is no letter."""
     if not _tables:
         table = np.full(0x110000, 32, dtype=np.uint32)
-        for i in range(0x30000):
+        for i in range(sys.maxunicode + 1):
             c = chr(i)
             if c.isalpha():
                 low = c.lower()
@@ -166,7 +169,9 @@ def calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
     """The model of the rows whose crc32(id as text) is not divisible by 5 and whose label is not null."""
     rows = docs.where(training(F.col(id_col), F.col(lang_col)))
-    counts = dict(rows.groupBy(lang_col).count().collect())
+    counts = dict(rows.groupBy(lang_col).count().limit(MOST_LANGS + 1).collect())
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} languages")
     if not counts:
         return Model([], np.zeros(DIMENSIONS), np.zeros((DIMENSIONS + 1, 0)), 1.0)
     frequencies, texts = document_frequencies(rows, text_col)
@@ -199,24 +204,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return model
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to every row."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds ``pred`` and ``score`` to every row."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.predict(t) for t in batch.column(text_col).to_pylist()]
             more = [pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *more], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *more], [*names, pred, score])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def rejecting(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more, with their columns."""
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more, with their columns, whatever their names.
+
+    Null and empty texts and texts without letters go; if no row has a label, all go. Repeated rows are judged alike."""
     names = docs.columns
-    known = identify(docs.select(*names), fit(docs))
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names)
+    pred, score = unused(names, "lang_pred", "score")
+    known = identify(docs, fit(docs), pred=pred, score=score)
+    return known.where((F.col(pred) != "und") & (F.col(score) >= least)).select(*names)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,12 @@ Within a shard, pieces go from long to short into the open bin that they fill be
 opened, and its size is chosen jointly with what is still to be packed: of the permitted lengths that hold the
 piece, the one with the least cost for each token it can be expected to hold (the piece, and what remains to be
 packed that is short enough for the room left). At the end each bin takes the smallest permitted length that
-holds its contents. A length ``c`` costs ``c * (1 + c / ATTENTION)``: linear work plus attention.
+holds its contents. A length ``c`` costs ``c * (1 + c / ATTENTION)``: linear work plus attention. The permitted
+lengths are optimised jointly over the shard: it is packed once with every length open to new bins, and once with
+only those from each length on; the cheapest outcome stays.
 
-Null and empty texts are one separator each. Repeated rows are pieces of their own. An empty table gives no rows.
+``sequences`` gives the packed sequences themselves, from any column of token ids. Null and empty texts are one
+separator each. Repeated rows are pieces of their own, extra columns are not read, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +42,13 @@ def cost(capacity: int) -> float:
 
 
 def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
-    """For lengths in falling order: each one's bin and offset, and by bin its final capacity."""
+    """For lengths in falling order: each one's bin and offset, and by bin its final capacity, at the least cost found."""
+    every = [packed_with(lengths, capacities[k:], capacities) for k in range(len(capacities))]
+    return min(every, key=lambda found: sum(cost(c) for c in found[2]))
+
+
+def packed_with(lengths: list[int], opening: tuple[int, ...], capacities: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
+    """One packing, with new bins of the sizes ``opening`` only."""
     most = capacities[-1]
     remaining = np.bincount(np.asarray(lengths, dtype=np.int64), minlength=most + 1).astype(np.int64)
     weights = np.arange(most + 1)
@@ -58,7 +67,7 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[
                 present &= ~(1 << r)
         else:
             short = np.cumsum(remaining * weights)
-            c = min((c for c in capacities if c >= n), key=lambda c: (cost(c) / (n + min(c - n, int(short[c - n]))), c))  # noqa: B023
+            c = min((c for c in opening if c >= n), key=lambda c: (cost(c) / (n + min(c - n, int(short[c - n]))), c))  # noqa: B023
             b = len(room)
             room.append(c)
             opened.append(c)
@@ -93,6 +102,15 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     return dealt.groupBy("_shard").applyInPandas(run, schema)
 
 
+def sequences(placed: DataFrame, docs: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", separator: int = 0) -> DataFrame:
+    """(bin_id, bin_capacity, doc_ids, ids): each bin's tokens in order. ``docs`` has one row for each id, its ``ids`` without the separator
+    that ends a text, and ``placed`` was made with ``tokens`` their number plus one."""
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.col(ids_col), F.array(F.lit(separator))).alias("_ids"))
+    at = placed.join(whole.hint("merge"), "doc_id").select("bin_id", "bin_capacity", F.struct("bin_offset", "doc_id", F.slice("_ids", (F.col("start_token") + 1).cast("int"), F.col("n_tokens")).alias("ids")).alias("p"))
+    held = at.groupBy("bin_id", "bin_capacity").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return held.select("bin_id", "bin_capacity", F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and where they are packed."""
     return best_fit(documents(spark, sf_dir))

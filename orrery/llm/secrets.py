@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import documents
+from .scratch import documents, unused
 
 # The base patterns and the order of kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -131,12 +131,13 @@ def scan(docs: DataFrame, text: str = "text", fdr: float = 1e-3, out: str = "sec
     whole = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(located(whole, ASSIGN, 0, group=2, least=8), located(whole, ACCESS, 1, least=16), located(whole, HEX, 2))
     shape = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    found = docs.withColumn("_base", base).withColumn("_more", located(whole, CANDIDATE, 3))
-    fresh = F.filter("_more", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    first, more = unused([*docs.columns, out], "_base", "_more")
+    found = docs.withColumn(first, base).withColumn(more, located(whole, CANDIDATE, 3))
+    fresh = F.filter(more, lambda s: ~F.exists(first, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
     tests = F.transform(fresh, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["hit"]).alias("p")))
-    added = F.when(F.size("_more") > 0, bind(tests, lambda t: F.transform(discovered(t, fdr), lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))))
-    spans = F.array_sort(F.concat(shape(F.col("_base")), F.coalesce(added, F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))))
-    return found.withColumn(out, spans).drop("_base", "_more")
+    added = F.when(F.size(more) > 0, bind(tests, lambda t: F.transform(discovered(t, fdr), lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))))
+    spans = F.array_sort(F.concat(shape(F.col(first)), F.coalesce(added, F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))))
+    return found.withColumn(out, spans).drop(first, more)
 
 
 def written_spans(spans: Column) -> Column:
@@ -146,15 +147,16 @@ def written_spans(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", fdr: float = 1e-3) -> DataFrame:
     """Every secret in ``text`` becomes ``[kind]``; touching or overlapping spans become one. Other rows stay as they are, nulls too."""
     cols = docs.columns
+    (spans,) = unused(cols, "_spans")
 
     def step(state: Column, s: Column) -> Column:
         mark = F.concat(F.lit("["), F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1), F.lit("]"))
         kept = F.concat(state["out"], F.substr(F.col(text), state["at"] + 1, s["start"] - state["at"]), mark)
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], kept).otherwise(state["out"]).alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    clean = F.when(F.size("_spans") > 0, bind(done, lambda d: F.concat(d["out"], F.substr(F.col(text), d["at"] + 1, F.length(text))))).otherwise(F.col(text))
-    return scan(docs, text, fdr, "_spans").withColumn(text, clean).select(*cols)
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    clean = F.when(F.size(spans) > 0, bind(done, lambda d: F.concat(d["out"], F.substr(F.col(text), d["at"] + 1, F.length(text))))).otherwise(F.col(text))
+    return scan(docs, text, fdr, spans).withColumn(text, clean).select(*cols)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

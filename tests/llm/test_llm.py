@@ -165,6 +165,57 @@ def test_language(spark, odd, none):
     assert language.identify(odd, language.fit(none)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_letters():
+    """Letters of every script and plane count as letters."""
+    assert len(language.buckets(chr(0x30000) * 8)[0]) and len(language.buckets(chr(0x1E900) * 3)[0]) and not len(language.buckets("12 3!")[0])
+
+
+def test_clashing_columns(spark, odd):
+    """Extra columns that bear the names of the stages' helpers pass through."""
+    names = ("lang_pred", "score", "_bytes", "_hash", "_count", "_base", "_more", "_spans")
+    rows = odd
+    for n in names:
+        rows = rows.withColumn(n, F.lit("kept"))
+    for stage in (language.rejecting, exact.exact_dedup, secrets.redact):
+        out = stage(rows)
+        assert out.columns == rows.columns and out.count() > 0 and {tuple(r) for r in out.select(*names).collect()} == {("kept",) * len(names)}
+
+
+def test_packing_best(spark):
+    """On small inputs, close to the least cost of all packings; sequences hold every token."""
+    import itertools
+    import random
+
+    capacities, r = (8, 16, 32), random.Random(2)
+
+    def least(lengths):
+        best = [float("inf")]
+
+        def place(k, bins):
+            if k == len(lengths):
+                best[0] = min(best[0], sum(packing.cost(next(c for c in capacities if c >= b)) for b in bins))
+                return
+            for i in range(len(bins)):
+                if bins[i] + lengths[k] <= capacities[-1]:
+                    place(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+            place(k + 1, [*bins, lengths[k]])
+
+        place(0, [])
+        return best[0]
+
+    found = exact_cost = 0.0
+    for _ in range(60):
+        lengths = sorted((r.randint(1, 32) for _ in range(r.randint(1, 7))), reverse=True)
+        _, _, final = packing.pack(lengths, capacities)
+        found, exact_cost = found + sum(packing.cost(c) for c in final), exact_cost + least(lengths)
+    assert exact_cost <= found <= 1.05 * exact_cost
+    docs = spark.createDataFrame([(i, list(range(i * 100, i * 100 + r.randint(0, 50)))) for i in range(1, 40)], "doc_id long, ids array<int>")
+    placed = packing.best_fit(docs.withColumn("text", F.lit("")), tokens=F.size("ids") + 1, capacities=(16, 32))
+    held = packing.sequences(placed, docs).collect()
+    assert all(len(x.ids) <= x.bin_capacity for x in held)
+    assert sorted(itertools.chain.from_iterable(x.ids for x in held)) == sorted(t for d in docs.collect() for t in [*d.ids, 0])
+
+
 def test_packing(spark, odd, none):
     rows = packing.best_fit(odd, capacities=(16, 64, 256), shard_rows=5).collect()
     n = {r.doc_id: 0 for r in rows}
@@ -274,15 +325,22 @@ def test_html(spark):
     import html
     import re
 
-    trees = html_main.train(spark)
+    trees = html_main.kept_trees()
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_main.extract(pages, trees).collect()}
     for p in pages.collect():
         inner = re.sub("</?(p|h1)>|<br>", "\0", re.search("<article>(.*?)</article>", p.html, re.S)[1])
         want = " ".join(x for x in (" ".join(html.unescape(x).split()) for x in re.sub("<[^>]*>", "", inner).split("\0")) if x)
         assert got[p.page_id] == want
-    odd = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, "u", "no markup at all"), (4, "u", "<p>a<script>x</script>")], "page_id long, url string, html string")
-    assert html_main.extract(odd, trees).count() == 4
+    long = "".join(f"<p>Sentence number {i} of a long article.</p>" for i in range(3000))
+    article = "<h1>A title</h1>" + "".join(f"<p>This is paragraph {i} of the article, with words in it.</p>" for i in range(5))
+    said = "A title " + " ".join(f"This is paragraph {i} of the article, with words in it." for i in range(5))
+    made = [None, "", "no markup at all", "<p>a<script>x</script>", f"<body><nav>Home</nav><article>{long}</article></body>", f"<html><head><title>t</title><body><article>{article}</article></body></html>", f"<body><form><article>{article}</article></body>", f"<body><article>{article}<form>x</article><p>y</p></form></body>", f"<nav>Home</nav><article>{article}</article>", f"<nav>Home</nav><article>{article}</article>"]
+    rows = spark.createDataFrame([(i, "u", h, 1) for i, h in enumerate(made)], "page_id long, url string, html string, n_chars int")
+    out = {r.page_id: r.text for r in html_main.extract(rows, trees).collect()}
+    assert len(out) == len(made) and html_main.extract(rows.where("false"), trees).count() == 0
+    assert out[0] == out[1] == "" and out[4].count("Sentence") == 3000 and "Home" not in out[4]
+    assert out[5] == out[6] == out[8] == out[9] == said and out[7].startswith(said) and "x" not in out[7].removeprefix(said)
     right = total = 0
     for seed in range(5000, 5060):  # layouts that were not trained on
         page = html_main.training_page(seed)
