@@ -161,7 +161,8 @@ def versions(docs: DataFrame) -> DataFrame:
     share = F.when(F.col("hot"), F.pmod(F.xxhash64("text"), F.lit(SPREAD))).otherwise(0).cast("int")
     dealt = docs.join(F.broadcast(hot), "key", "left").withColumn("share", share).repartition("key", "share")  # read by both branches: the texts are shuffled once
     lenders = order.select(F.col("next_key").alias("key"), F.col("key").alias("to"), "half")
-    one = dealt.where("hot is null").groupBy("key", "share").agg(F.min(F.struct("text", "a")).alias("m")).join(lenders.withColumn("share", F.lit(0)).hint("merge"), ["key", "share"])
+    single = lenders.join(F.broadcast(hot), "key", "left_anti").withColumn("share", F.lit(0))
+    one = dealt.groupBy("key", "share").agg(F.min(F.struct("text", "a")).alias("m")).join(single.hint("merge"), ["key", "share"])
     many = docs.join(F.broadcast(hot), "key").groupBy("key").agg(F.min(F.struct("text", "a")).alias("m")).join(lenders.hint("merge"), "key")
     lent = one.select("to", "half", "m").union(many.select("to", "half", "m"))
     gifts = lent.select(F.col("to").alias("key"), F.substr("m.text", F.lit(1), F.col("half").cast("int")).alias("head"), F.col("m.a").alias("c"))
