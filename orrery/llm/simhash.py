@@ -208,7 +208,12 @@ def joined(width: int, budget: int, limit: int):
         word = word_of(fps, (cell >> 32) // (budget + 1), width)
         order = np.argsort(word, kind="stable")
         root = linked(word[order], np.ascontiguousarray(fps[order]).view(np.uint64), width, budget, limit)
-        return [(raw[order[i]], raw[order[r]]) for i, r in enumerate(root.tolist()) if i != r]
+        # every component's least fingerprint is its end of all edges, so cells that find the same component give the same edges
+        least: dict[int, bytes] = {}
+        held = [(raw[order[i]], r) for i, r in enumerate(root.tolist())]
+        for x, r in held:
+            least[r] = min(x, least.get(r, x))
+        return [(x, least[r]) for x, r in held if x != least[r]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (cell, _), held in runs(batches, ("cell", "part")):
