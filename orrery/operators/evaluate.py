@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
@@ -11,24 +11,57 @@ HIT = 0.8
 TOPS = (1, 3, 5, 10, 20, 30)
 
 
-def name_grams(s, size: int = 512):
-    """A name's vector without a model: counts of its hashed runs of three characters."""
-    t = F.concat(F.lit(" "), F.lower(s), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substr(t, i, F.lit(3))), F.lit(size)).cast("int"))
-    return F.array_sort(grams)
+def name_grams(s):
+    """A name's vector without a model: the set of its runs of three characters, with a space at both ends."""
+    t = F.concat(F.lit(" "), F.lower(F.trim(s)), F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3))))
 
 
 def gram_similarity(a, b):
-    """Cosine of two sets of hashed grams."""
-    both = F.size(F.array_intersect(a, b))
-    return both / F.sqrt(F.size(F.array_distinct(a)) * F.size(F.array_distinct(b)).cast("double"))
+    """Cosine of two names' sets of runs."""
+    return F.size(F.array_intersect(name_grams(a), name_grams(b))) / F.sqrt((F.size(name_grams(a)) * F.size(name_grams(b))).cast("double"))
 
 
-def name_similarity_pairs(truth: DataFrame, ranking: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Every true name against every ranked name of the patient: cosine of the given vectors (name, v)."""
-    a = truth.join(vectors.select(F.col("name").alias("true_name"), F.col("v").alias("_a")), "true_name")
-    b = ranking.join(vectors.select(F.col("name").alias("ranked_name"), F.col("v").alias("_b")), "ranked_name")
-    return a.join(b, "patient_id").select("patient_id", "true_name", "ranked_name", "rank", vec.cosine(F.col("_a"), F.col("_b")).alias("sim"))
+def variants(s, pattern: str = ";"):
+    """The names in a list of names, trimmed and distinct."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), pattern), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def name_similarity_pairs(truth: DataFrame, ranking: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """(patient_id, true_name, ranked_name, rank, sim): every true name against every ``;`` variant of the patient's ranked names;
+    cosine of the given vectors (name, v), or of the names' runs of characters."""
+    a = truth.select("patient_id", "true_name").distinct()
+    b = ranking.select("patient_id", "rank", F.explode(variants(F.col("ranked_name"))).alias("ranked_name"))
+    if vectors is None:
+        return a.join(b.hint("merge"), "patient_id").withColumn("sim", gram_similarity(F.col("true_name"), F.col("ranked_name")))
+    a = a.join(vectors.select(F.col("name").alias("true_name"), F.col("v").alias("_a")), "true_name")
+    b = b.join(vectors.select(F.col("name").alias("ranked_name"), F.col("v").alias("_b")), "ranked_name")
+    return a.join(b.hint("merge"), "patient_id").select("patient_id", "true_name", "ranked_name", "rank", vec.cosine(F.col("_a"), F.col("_b")).alias("sim"))
+
+
+def prediction_accuracy(truth: DataFrame, predicted: DataFrame, alias: DataFrame, resolved: DataFrame, threshold: float = HIT, tops: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """By patient, the best similarity and its rank, and whether one of the first 1, 3, 5, 10 predictions is right.
+
+    True names (patient_id, true_name) are cut at ``;`` and ``/``; predictions (patient_id, rank, name) bring all aliases of the
+    disease that ``resolved`` (name, disease_id) takes them for."""
+    a = truth.select("patient_id", F.explode(variants(F.col("true_name"), "[;/]")).alias("true_name"))
+    more = predicted.join(resolved.select("name", "disease_id"), "name").join(alias.select("disease_id", "alias"), "disease_id").select("patient_id", "rank", F.col("alias").alias("ranked_name"))
+    b = predicted.select("patient_id", "rank", F.col("name").alias("ranked_name")).unionByName(more)
+    pairs = name_similarity_pairs(a, b)
+    flags = [F.bool_or((F.col("sim") >= threshold) & (F.col("rank") <= n)).alias(f"top{n}") for n in tops]
+    best = pairs.groupBy("patient_id").agg(F.max(F.struct(F.round("sim", 9).alias("sim"), (-F.col("rank")).alias("r"))).alias("b"), *flags)
+    return best.select("patient_id", F.col("b.sim").alias("best_similarity"), (-F.col("b.r")).alias("best_rank"), *[f"top{n}" for n in tops])
+
+
+def prediction_mapping(predicted: DataFrame, resolved: DataFrame, standard: DataFrame, annotation: DataFrame, matches: DataFrame) -> DataFrame:
+    """(patient_id, step, rank, name, disease_id, standard_name, similarity, total_associations, matched, n_matched) of predictions
+    (patient_id, step, rank, name): what each name is taken for, and which of the patient's terms that disease has."""
+    totals = annotation.groupBy("disease_id").agg(F.countDistinct("term_id").alias("total_associations"))
+    terms = matches.groupBy("patient_id", "disease_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("query_term").cast("string"))), ";").alias("matched"), F.countDistinct("query_term").alias("n_matched"))
+    rows = predicted.join(resolved.select("name", "disease_id", F.col("sim").alias("similarity")).hint("merge"), "name", "left").join(standard.select("disease_id", "standard_name"), "disease_id", "left")
+    rows = rows.join(totals.hint("merge"), "disease_id", "left").join(terms.hint("merge"), ["patient_id", "disease_id"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("patient_id", "step", "rank", "name", "disease_id", F.coalesce("standard_name", F.lit("Unknown")).alias("standard_name"), "similarity", zero("total_associations"), F.coalesce("matched", F.lit("")).alias("matched"), zero("n_matched"))
 
 
 def best_match_rank(pairs: DataFrame, threshold: float = HIT) -> DataFrame:
@@ -41,21 +74,46 @@ def topn_flags(pairs: DataFrame, threshold: float = HIT, tops: tuple[int, ...] =
     return pairs.groupBy("patient_id").agg(*[F.bool_or((F.col("sim") >= threshold) & (F.col("rank") <= n)).alias(f"top{n}") for n in tops])
 
 
-def upper_median(c):
-    """``sorted[n // 2]``."""
-    s = F.array_sort(F.collect_list(c))
-    return F.try_element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def upper_median(values: DataFrame, column: str, out: str) -> DataFrame:
+    """One row with ``sorted[n // 2]`` of the values that are not null: they are counted by value, and the counts added up."""
+    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    sums = counts.select("_v", F.sum("_c").over(Window.orderBy("_v")).alias("_to"), F.sum("_c").over(Window.partitionBy()).alias("_all"))  # a row for each value
+    return sums.agg(F.min(F.when(F.col("_to") > F.floor(F.col("_all") / 2), F.col("_v"))).alias(out))
 
 
 def overall_statistics(best: DataFrame, flags: DataFrame, tops: tuple[int, ...] = TOPS) -> DataFrame:
+    """One row: numbers and rates of hits, and their ranks."""
     hit = F.when(F.col("hit"), F.col("rank"))
-    return best.join(flags, "patient_id").agg(
-        F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.round(100 * F.count_if("hit") / F.count("*"), 6).alias("hit_rate"), F.round(F.avg(hit), 6).alias("mean_rank"), upper_median(hit).alias("median_rank"),
+    rows = best.join(flags.hint("merge"), "patient_id").agg(
+        F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.round(100 * F.count_if("hit") / F.count("*"), 6).alias("hit_rate"), F.round(F.avg(hit), 6).alias("mean_rank"),
         F.min(hit).alias("best_rank"), F.max(hit).alias("worst_rank"), F.count_if(~F.col("hit")).alias("unranked"), *[F.round(100 * F.count_if(f"top{n}") / F.count("*"), 6).alias(f"top{n}_rate") for n in tops])
+    return rows.crossJoin(F.broadcast(upper_median(best.withColumn("_r", hit), "_r", "median_rank")))  # one row
+
+
+def method_hit_rates(fused: DataFrame, truth: DataFrame, methods: list[str], tops: tuple[int, ...] = TOPS) -> DataFrame:
+    """(method, n, top...): the percentage of patients whose true disease a method's own list has among its first ranks."""
+    ranks = fused.select("patient_id", "method", "key", "rank").join(truth.select("patient_id", F.col("true_id").alias("key")).hint("merge"), ["patient_id", "key"])
+    n = truth.agg(F.countDistinct("patient_id").alias("n"))
+    counted = ranks.groupBy("method").agg(*[F.count_if(F.col("rank") <= t).alias(f"_{t}") for t in tops])
+    return counted.where(F.col("method").isin(*methods)).crossJoin(F.broadcast(n)).select("method", "n", *[F.round(100 * F.col(f"_{t}") / F.col("n"), 6).alias(f"top{t}") for t in tops])
 
 
 def distribution(values: DataFrame, column: str) -> DataFrame:
-    return values.agg(F.min(column).alias("least"), F.max(column).alias("most"), F.round(F.avg(column), 6).alias("mean"), upper_median(F.col(column)).alias("median"))
+    rows = values.agg(F.min(column).alias("least"), F.max(column).alias("most"), F.round(F.avg(column), 6).alias("mean"))
+    return rows.crossJoin(F.broadcast(upper_median(values, column, "median")))  # one row
+
+
+def rebuilt_claims(checked: DataFrame) -> DataFrame:
+    """(patient_id, disease_id, matched, unmatched, explained): claims as they should have been made, and whether any term is explained."""
+    right = F.when(F.col("finding") == "error", False).when(F.col("finding") == "missed", True).otherwise(F.col("claimed"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("term_id").cast("string")))), ";")
+    return checked.withColumn("_r", right).groupBy("patient_id", "disease_id").agg(listed(F.col("_r")).alias("matched"), listed(~F.col("_r")).alias("unmatched"), F.bool_or("_r").alias("explained"))
+
+
+def unexplained_terms(checked: DataFrame) -> DataFrame:
+    """(patient_id, term_id) of terms that no disease of the patient explains."""
+    right = F.when(F.col("finding") == "error", False).when(F.col("finding") == "missed", True).otherwise(F.col("claimed"))
+    return checked.groupBy("patient_id", "term_id").agg(F.bool_or(right).alias("_any")).where("not _any").select("patient_id", "term_id")
 
 
 def term_claim_check(claims: DataFrame, sims: DataFrame, low: float = 0.4, high: float = 0.7) -> DataFrame:

@@ -53,7 +53,7 @@ def gene_term_edges(gene: DataFrame, annotation: DataFrame, closure: DataFrame,
     above = own.join(closure.select("term_id", "ancestor_id"), "term_id").select("gene_id", "disease_id", F.col("ancestor_id").alias("term_id")).join(pairs, ["disease_id", "term_id"], "left_semi")
     both = own.unionByName(above).distinct()
     single = ontology.only_child(edge)
-    handed = both.join(single, both.term_id == single.parent).select("gene_id", "disease_id", F.col("child").alias("term_id")).join(pairs, ["disease_id", "term_id"], "left_semi")
+    handed = both.join(single.hint("merge"), both.term_id == single.parent).select("gene_id", "disease_id", F.col("child").alias("term_id")).join(pairs, ["disease_id", "term_id"], "left_semi")
     whole = both.unionByName(handed).distinct().join(groups, "disease_id")
     return whole.groupBy("gene_id", "term_id", "group_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("disease_id").cast("string"))), ";").alias("disease_ids"))
 
@@ -98,7 +98,7 @@ def negative_samples(edges: DataFrame, nodes: DataFrame, k: int, seed: int, epoc
     n = nodes.count()
     drawn = edges.select("edge_id", "u", "v", F.explode(F.sequence(F.lit(0), F.lit(2 * k - 1))).alias("i"))
     pick = F.pmod((F.col("edge_id") * 2654435761 + F.col("i") * 40503 + F.lit(seed * 97 + epoch * 7919)), F.lit(n))
-    joined = drawn.withColumn("node_id", pick).join(nodes, "node_id")
+    joined = drawn.withColumn("node_id", pick).join(nodes.hint("merge"), "node_id")
     tail = F.col("i") < k
     return joined.select("edge_id", "i", F.when(tail, F.col("u")).otherwise(F.col("node")).alias("u"), F.when(tail, F.col("node")).otherwise(F.col("v")).alias("v"))
 

@@ -7,30 +7,45 @@ from pyspark.sql import functions as F
 
 from ..functions import frequency as freq
 from . import ontology
+from .lineage import cut, small
 
 # Fixed values of the model.
 BACKGROUND, EXCLUDED_PRESENT, EXCLUDED_BOTH, FALSE_NEGATIVE, NO_COMMON_ORGAN, NO_MATCH, LOW, FLOOR = 1e-4, 1e-3, 1000.0, 0.01, 0.01, 0.5, 0.1, 0.3
 
 
-def lr_models(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Annotations (disease_id, term_id, freq) with summed ratios of at most 1, and absent pairs."""
+def lr_models(rows: DataFrame, aspect: str | None = None, prefixes: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Annotations (disease_id, term_id, freq) with summed ratios of at most 1, and absent pairs; with ``aspect`` only rows of that
+    aspect, with ``prefixes`` only diseases whose ids begin with one of them."""
+    if aspect is not None:
+        rows = rows.where(F.col("aspect") == aspect)
+    if prefixes:
+        rows = rows.where(F.split_part(F.col("disease_id").cast("string"), F.lit(":"), F.lit(1)).isin(*prefixes))
     negated = F.coalesce("qualifier", F.lit("")) == "NOT"
     present = rows.where(~negated).withColumn("r", freq.lr_freq_ratio(F.lit(False), F.col("frequency"))).where("r is not null")
     model = present.groupBy("disease_id", "term_id").agg(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.sum("r.num"), F.sum("r.den")), F.lit(0.0))).alias("freq"))
     return model, rows.where(negated).select("disease_id", "term_id").distinct()
 
 
+def spread(model: DataFrame, closure_self: DataFrame) -> DataFrame:
+    """(disease_id, term_id, top, f): the largest share at or below a term, plain and halved for each level between."""
+    up = model.join(closure_self, "term_id")
+    return up.groupBy("disease_id", F.col("ancestor_id").alias("term_id")).agg(F.max("freq").alias("top"), F.max(F.col("freq") / F.pow(F.lit(2.0), "distance")).alias("f"))
+
+
+def background_of(spread_: DataFrame, model: DataFrame) -> DataFrame:
+    n = model.agg(F.countDistinct("disease_id").alias("_n"))  # one row
+    raw = F.col("s") / F.col("_n")
+    return spread_.groupBy("term_id").agg(F.sum("top").alias("s")).crossJoin(F.broadcast(n)).select("term_id", raw.alias("raw"), F.greatest(raw, F.lit(BACKGROUND)).alias("bg"))
+
+
 def background_frequency(model: DataFrame, closure_self: DataFrame) -> DataFrame:
     """(term_id, raw, bg): a disease's largest share at or below a term, summed over diseases, by their number."""
-    n = model.agg(F.countDistinct("disease_id").alias("_n"))
-    top = model.join(closure_self, "term_id").groupBy("disease_id", F.col("ancestor_id").alias("term_id")).agg(F.max("freq").alias("f"))
-    return top.groupBy("term_id").agg(F.sum("f").alias("s")).crossJoin(F.broadcast(n)).select("term_id", (F.col("s") / F.col("_n")).alias("raw"), F.greatest(F.col("s") / F.col("_n"), F.lit(BACKGROUND)).alias("bg"))
+    return background_of(spread(model, closure_self), model)
 
 
 def induced_frequency(model: DataFrame, closure_self: DataFrame, root) -> DataFrame:
     """(disease_id, term_id, f): the largest share halved for each level above an annotation; not for the root."""
-    up = model.join(closure_self, "term_id").where(F.col("ancestor_id") != root)
-    return up.groupBy("disease_id", F.col("ancestor_id").alias("term_id")).agg(F.max(F.col("freq") / F.pow(F.lit(2.0), "distance")).alias("f"))
+    return spread(model, closure_self).where(F.col("term_id") != root).select("disease_id", "term_id", "f")
 
 
 def no_common_organ(raw):
@@ -38,34 +53,40 @@ def no_common_organ(raw):
 
 
 def lr_observed(terms: DataFrame, model: DataFrame, absent: DataFrame, edge: DataFrame, closure: DataFrame, root) -> DataFrame:
-    """(term_id, disease_id, lr, match_type) of the pairs that any of the first five cases reaches; for others the ratio is NO_MATCH."""
-    t = terms.select("term_id").distinct()
-    mine = ontology.with_self(closure, model.select("term_id").union(t))
-    bg = background_frequency(model, mine)
-    asked = closure.join(t, "term_id", "left_semi")
+    """(term_id, disease_id, lr, match_type) of the pairs that any of the first five cases reaches; for others the ratio is NO_MATCH.
+
+    Each case gives rows tagged with its number; one aggregation by term and disease takes each case's value, and the
+    first case that has one decides. The model, its spread up the ontology and the asked terms are written once."""
+    model, t = cut(model), cut(terms.select("term_id").distinct())
+    whole = cut(spread(model, ontology.with_self(closure, model.select("term_id").union(t))))
+    bg = cut(background_of(whole, model))
+    asked = closure.join(small(t), "term_id", "left_semi")
     up = ontology.with_self(asked, t)
-    out = up.join(absent.withColumnRenamed("term_id", "ancestor_id"), "ancestor_id").select("term_id", "disease_id").distinct().withColumn("c1", F.lit(EXCLUDED_PRESENT))
-    direct = t.join(model, "term_id").select("term_id", "disease_id", F.col("freq").alias("c2"))
-    below = closure.select(F.col("term_id").alias("_d"), F.col("ancestor_id").alias("term_id")).join(t, "term_id", "left_semi").join(model.select(F.col("term_id").alias("_d"), "disease_id", "freq"), "_d").groupBy("term_id", "disease_id").agg(F.max("freq").alias("c3"))
     children = edge.groupBy(F.col("parent").alias("ancestor_id")).agg(F.countDistinct("child").alias("_n"))
-    above = asked.join(model.select(F.col("term_id").alias("ancestor_id"), "disease_id", "freq"), "ancestor_id").join(children, "ancestor_id")
-    above = above.groupBy("term_id", "disease_id").agg(F.max(F.col("freq") / F.col("_n") * F.pow(F.lit(0.5), F.col("distance") - 1)).alias("c4"))
-    ind = induced_frequency(model, mine, root).withColumnRenamed("term_id", "ancestor_id")
-    near = up.where(F.col("ancestor_id") != root).join(ind, "ancestor_id").groupBy("term_id", "disease_id").agg(F.min_by(F.struct("ancestor_id", "f"), F.struct("distance", "ancestor_id")).alias("n"))
-    near = near.select("term_id", "disease_id", F.col("n.ancestor_id").alias("_a"), F.col("n.f").alias("c5"))
-    keys = ["term_id", "disease_id"]
-    joined = out.join(direct, keys, "full").join(below, keys, "full").join(above, keys, "full").join(near, keys, "full")
-    joined = joined.join(bg, "term_id", "left").join(bg.select(F.col("term_id").alias("_a"), F.col("bg").alias("_abg")), "_a", "left").withColumn("bg", F.coalesce("bg", F.lit(BACKGROUND)))
+    below = closure.select(F.col("term_id").alias("_d"), F.col("ancestor_id").alias("term_id"), "distance").join(small(t), "term_id", "left_semi").unionByName(t.select(F.col("term_id").alias("_d"), "term_id", F.lit(0).alias("distance")))
+    shares = model.select(F.col("term_id").alias("ancestor_id"), "disease_id", "freq")
+    nothing = F.lit(None).cast("struct<distance:int,ancestor_id:bigint,v:double>")
+    row = lambda df, k, v, near=nothing: df.select("term_id", "disease_id", k.alias("k"), v.alias("v"), near.alias("near"))
+    excluded = row(up.join(absent.withColumnRenamed("term_id", "ancestor_id"), "ancestor_id"), F.lit(1), F.lit(EXCLUDED_PRESENT))
+    within = row(below.join(model.select(F.col("term_id").alias("_d"), "disease_id", "freq"), "_d"), F.when(F.col("distance") == 0, 2).otherwise(3), F.col("freq"))
+    above = row(asked.join(shares, "ancestor_id").join(children.hint("merge"), "ancestor_id"), F.lit(4), F.col("freq") / F.col("_n") * F.pow(F.lit(0.5), F.col("distance") - 1))
+    # an induced share comes with its own term's background
+    induced = whole.join(bg, "term_id").select(F.col("term_id").alias("ancestor_id"), "disease_id", (F.col("f") / F.col("bg")).alias("ratio"))
+    near = up.where(F.col("ancestor_id") != root).join(induced.hint("merge"), "ancestor_id")
+    common = row(near, F.lit(5), F.lit(None).cast("double"), F.struct(F.col("distance").cast("int").alias("distance"), F.col("ancestor_id").cast("long").alias("ancestor_id"), F.col("ratio").alias("v")))
+    value = lambda k: F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"c{k}")
+    met = excluded.unionByName(within).unionByName(above).unionByName(common).groupBy("term_id", "disease_id").agg(*[value(k) for k in range(1, 5)], F.min("near").alias("near"))
+    joined = met.join(small(bg), "term_id", "left").withColumn("bg", F.coalesce("bg", F.lit(BACKGROUND)))
     case = [
         (F.col("c1").isNotNull(), F.col("c1"), "present but excluded in disease"),
         (F.col("c2").isNotNull(), F.col("c2") / F.col("bg"), "exact match"),
         (F.col("c3").isNotNull(), F.col("c3") / F.col("bg"), "disease term below query"),
         (F.col("c4") > 0, F.greatest(F.col("c4"), no_common_organ(F.col("raw"))) / F.col("bg"), "query below disease term"),
-        (F.col("c5").isNotNull(), F.greatest(F.lit(NO_COMMON_ORGAN), F.col("c5") / F.coalesce("_abg", F.lit(BACKGROUND))), "common ancestor"),
+        (F.col("near").isNotNull(), F.greatest(F.lit(NO_COMMON_ORGAN), F.col("near.v")), "common ancestor"),
     ]
     lr, kind = F.lit(NO_MATCH), F.lit("no match below root")
-    for cond, value, said in reversed(case):
-        lr, kind = F.when(cond, value).otherwise(lr), F.when(cond, said).otherwise(kind)
+    for cond, value_, said in reversed(case):
+        lr, kind = F.when(cond, value_).otherwise(lr), F.when(cond, said).otherwise(kind)
     return joined.select("term_id", "disease_id", lr.alias("lr"), kind.alias("match_type"))
 
 
@@ -74,26 +95,32 @@ def lr_excluded(pairs: DataFrame, model: DataFrame, absent: DataFrame, closure:
     mine = ontology.with_self(closure, model.select("term_id").union(pairs.select("term_id")).union(absent.select("term_id")))
     bg = background_frequency(model, mine)
     gone = absent.join(mine, "term_id").select(F.col("ancestor_id").alias("term_id"), "disease_id").distinct().withColumn("_gone", F.lit(True))
-    spread = model.join(mine, "term_id").groupBy(F.col("ancestor_id").alias("term_id"), "disease_id").agg(F.max("freq").alias("_f"))
+    tops = model.join(mine, "term_id").groupBy(F.col("ancestor_id").alias("term_id"), "disease_id").agg(F.max("freq").alias("_f"))
     up = closure.join(pairs.select("term_id").distinct(), "term_id", "left_semi").join(model.select(F.col("term_id").alias("ancestor_id"), "disease_id"), "ancestor_id").select("term_id", "disease_id").distinct().withColumn("_under", F.lit(True))
     keys = ["term_id", "disease_id"]
-    j = pairs.distinct().join(gone, keys, "left").join(spread, keys, "left").join(up, keys, "left").join(bg, "term_id", "left").withColumn("bg", F.coalesce("bg", F.lit(BACKGROUND)))
+    j = pairs.distinct().join(gone.hint("merge"), keys, "left").join(tops.hint("merge"), keys, "left").join(up.hint("merge"), keys, "left").join(bg.hint("merge"), "term_id", "left").withColumn("bg", F.coalesce("bg", F.lit(BACKGROUND)))
     lr = F.when(F.col("_gone"), EXCLUDED_BOTH).when(F.col("bg") > 0.99, 1.0).when(F.col("_f").isNull() & F.col("_under").isNull(), 1 / (1 - F.col("bg"))).otherwise(F.greatest(F.lit(FALSE_NEGATIVE), 1 - F.coalesce("_f", F.lit(0.0))) / (1 - F.col("bg")))
     return j.select("term_id", "disease_id", lr.alias("lr"))
 
 
-def lr_rank(query: DataFrame, lr: DataFrame, diseases: DataFrame, k: int) -> DataFrame:
-    """(patient_id, disease_id, log_lr, posterior, rank): logs of floored ratios add up; pairs that no case reaches add ln 0.5 each."""
+def posteriors(query: DataFrame, lr: DataFrame, diseases: DataFrame) -> DataFrame:
+    """(patient_id, disease_id, log_lr, posterior) of the pairs that a case reaches: logs of floored ratios add up; terms that
+    no case reaches add ln 0.5 each. The pretest probability is the same for all diseases."""
     n = diseases.select("disease_id").distinct().agg(F.count("*").alias("_n"))
     floored = F.greatest(F.when(F.col("lr") < LOW, F.greatest(F.col("lr"), F.lit(FLOOR))).otherwise(F.col("lr")), F.lit(1e-10))
     sizes = query.groupBy("patient_id").agg(F.countDistinct("term_id").alias("_q"))
     summed = query.distinct().join(lr.select("term_id", "disease_id", F.log(floored).alias("l")), "term_id").groupBy("patient_id", "disease_id").agg(F.sum("l").alias("_s"), F.count("*").alias("_m"))
-    rows = summed.join(sizes, "patient_id").crossJoin(F.broadcast(n)).withColumn("log_lr", F.round(F.col("_s") + (F.col("_q") - F.col("_m")) * F.log(F.lit(NO_MATCH)), 9))
-    odds = F.exp("log_lr") / (F.col("_n") - 1)
-    rows = rows.withColumn("posterior", F.when(F.col("_n") == 1, 1.0).otherwise(odds / (1 + odds)))
+    rows = summed.join(sizes.hint("merge"), "patient_id").crossJoin(F.broadcast(n)).withColumn("log_lr", F.round(F.col("_s") + (F.col("_q") - F.col("_m")) * F.log(F.lit(NO_MATCH)), 9))
+    return rows.select("patient_id", "disease_id", "log_lr", (1 / (1 + (F.col("_n") - 1) * F.exp(-F.col("log_lr")))).alias("posterior"))
+
+
+def lr_rank(query: DataFrame, lr: DataFrame, diseases: DataFrame, k: int) -> DataFrame:
+    """The k likeliest diseases of each patient."""
     w = Window.partitionBy("patient_id").orderBy(F.desc("log_lr"), F.asc("disease_id"))
-    return rows.select("patient_id", "disease_id", "log_lr", "posterior", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    return posteriors(query, lr, diseases).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def lr_explain(lr: DataFrame) -> DataFrame:
-    return lr.select("term_id", "disease_id", F.format_string("%s: LR %.4f", "match_type", "lr").alias("explanation"))
+    """(term_id, disease_id, explanation): the match type and the ratio, rounded half up to four digits as a decimal."""
+    four = F.round(F.col("lr").cast("decimal(30,12)"), 4).cast("decimal(30,4)").cast("string")
+    return lr.select("term_id", "disease_id", F.concat("match_type", F.lit(": LR "), four).alias("explanation"))

@@ -1,20 +1,53 @@
-"""Cutting lineage between the rounds of an iteration."""
+"""Cutting lineage between the rounds of an iteration, and tables that are written once for a session."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of a written table that may be broadcast; larger ones are merged.
+SMALL_ROWS = 200_000
+_kept: dict[tuple[str, str], str] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder (a temporary one only where none is set), read back."""
-    spark = df.sparkSession
+
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared checkpoint folder; a temporary folder only where none is set on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back."""
+    spark, path = df.sparkSession, new_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives, written once for each application and name; made again if its folder has gone."""
+    key = (spark.sparkContext.applicationId, name)
+    if key in _kept:
+        try:
+            return spark.read.parquet(_kept[key])
+        except AnalysisException:
+            del _kept[key]
+    path = new_path(spark)
+    made = make()
+    made.write.parquet(path)
+    _kept[key] = path
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most SMALL_ROWS rows, else merged."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df.hint("merge")

@@ -11,13 +11,12 @@ from .lineage import cut
 def edges(term: DataFrame) -> DataFrame:
     """Parent links of term rows; alternative ids share the primary's, obsolete ids their replacement's."""
     own = term.select(F.col("term_id").alias("child"), F.explode("is_a").alias("parent"))
-    alt = term.select(F.explode("alt_ids").alias("child"), F.explode("is_a").alias("parent")) if "alt_ids" in term.columns else None
     out = own
-    if alt is not None:
+    if "alt_ids" in term.columns:
         out = own.union(term.select(F.explode("alt_ids").alias("child"), "is_a").select("child", F.explode("is_a").alias("parent")))
     if "replaced_by" in term.columns:
         gone = term.where("is_obsolete and replaced_by is not null").select(F.col("term_id").alias("_gone"), "replaced_by")
-        out = out.union(gone.join(own, gone.replaced_by == own.child).select(F.col("_gone").alias("child"), "parent"))
+        out = out.union(gone.join(own.hint("merge"), gone.replaced_by == own.child).select(F.col("_gone").alias("child"), "parent"))
     return out.distinct()
 
 
@@ -31,16 +30,24 @@ def names(term: DataFrame) -> DataFrame:
 
 
 def closure(edge: DataFrame, most: int | None = None) -> DataFrame:
-    """(term_id, ancestor_id, distance): all ancestors at their least distance. Each round joins the last round's new
-    pairs to their parents and keeps those not met before, so cycles end; the count of new pairs is all the driver sees."""
-    new = cut(edge.select(F.col("child").alias("term_id"), F.col("parent").alias("ancestor_id"), F.lit(1).alias("distance")).where("term_id <> ancestor_id").distinct())
-    done, step, known = [new], 1, new
-    while (most is None or step < most) and not new.isEmpty():
-        step += 1
-        met = new.join(edge, F.col("ancestor_id") == F.col("child")).select("term_id", F.col("parent").alias("ancestor_id")).where("term_id <> ancestor_id").distinct()
-        new = cut(met.join(known, ["term_id", "ancestor_id"], "left_anti").withColumn("distance", F.lit(step)))
-        done.append(new)
-        known = known.unionByName(new)
+    """(term_id, ancestor_id, distance): all ancestors at their least distance, by doubling.
+
+    Once all pairs of up to ``length`` are known, those of up to twice that are a pair of exactly ``length`` and one more
+    known pair, so a depth of d takes log d rounds. Each round is a written table; pairs met before are dropped, so
+    cycles end, and the driver sees only whether there were new ones."""
+    known = cut(edge.select(F.col("child").alias("term_id"), F.col("parent").alias("ancestor_id"), F.lit(1).alias("distance")).where("term_id <> ancestor_id").distinct())
+    length = 1
+    while most is None or length < most:
+        onward = known.select(F.col("term_id").alias("_m"), F.col("ancestor_id").alias("_a"), F.col("distance").alias("_d"))
+        met = known.where(F.col("distance") == length).join(onward.hint("merge"), F.col("ancestor_id") == F.col("_m"))
+        met = met.select("term_id", F.col("_a").alias("ancestor_id"), (F.col("distance") + F.col("_d")).alias("distance")).where("term_id <> ancestor_id")
+        if most is not None:
+            met = met.where(F.col("distance") <= most)
+        new = met.groupBy("term_id", "ancestor_id").agg(F.min("distance").alias("distance"))
+        new = cut(new.join(known.select("term_id", "ancestor_id").hint("merge"), ["term_id", "ancestor_id"], "left_anti"))
+        if new.isEmpty():
+            break
+        known, length = known.unionByName(new), 2 * length
     return known
 
 
@@ -86,3 +93,21 @@ def diseases_of_terms(annotation: DataFrame, terms: DataFrame, groups: DataFrame
 def term_info(terms: DataFrame, term_name: DataFrame, ic: DataFrame, counts: DataFrame) -> DataFrame:
     """One row for each asked term: name, information content and number of diseases."""
     return terms.select("term_id").distinct().join(term_name, "term_id").join(ic, "term_id", "left").join(counts, "term_id", "left").select("term_id", "name", "ic", F.coalesce("n_diseases", F.lit(0)).alias("n_diseases"))
+
+
+def closest_annotated_ancestor(terms: DataFrame, closure_self: DataFrame, annotated: DataFrame, root) -> DataFrame:
+    """(term_id, disease_id, ancestor_id): a term's nearest ancestor (or itself) below the root that ``annotated`` (disease_id,
+    term_id) has for the disease, then the least id."""
+    near = closure_self.join(terms.select("term_id").distinct().hint("merge"), "term_id", "left_semi").where(F.col("ancestor_id") != root)
+    met = near.join(annotated.select("disease_id", F.col("term_id").alias("ancestor_id")), "ancestor_id")
+    return met.groupBy("term_id", "disease_id").agg(F.min(F.struct("distance", "ancestor_id")).alias("b")).select("term_id", "disease_id", F.col("b.ancestor_id").alias("ancestor_id"))
+
+
+def disease_info(diseases: DataFrame, alias: DataFrame, typed: DataFrame, described: DataFrame, annotation: DataFrame) -> DataFrame:
+    """One row for each asked disease: all names in order, type, description (empty if none) and each term's largest share."""
+    names_ = alias.groupBy("disease_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "alias"))), lambda x: x["alias"])).alias("names"))
+    shares = annotation.groupBy("disease_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "freq"))).alias("shares"))
+    rows = diseases.select("disease_id").distinct()
+    for part in (names_, typed, described, shares):
+        rows = rows.join(part.hint("merge"), "disease_id", "left")
+    return rows.select("disease_id", "names", "disease_type", F.coalesce("description", F.lit("")).alias("description"), "shares")

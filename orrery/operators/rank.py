@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 # By method, the measures in order of weight; total associations, rising, always come third.
 ORDERS = {
     "overlap": ("n_match", "ic_share"),
     "ic": ("ic_share", "n_match"),
-    "freq": ("freq_mean", "n_match"),
+    "freq": ("weighted", "n_match"),
     "score": ("score", "n_match"),
 }
 
@@ -24,46 +26,60 @@ def ranked(measures: DataFrame, order: list[Column], k: int) -> DataFrame:
     return measures.withColumn("rank", F.row_number().over(Window.partitionBy("patient_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def rank_overlap(summary: DataFrame, method: str, k: int) -> DataFrame:
-    rows = summary.withColumn("freq_mean", F.round(F.col("freq_sum") / F.col("n_query"), 9)).withColumn("ic_share", F.round("ic_share", 9))
-    return ranked(rows, order_of(method), k)
+def measured(summary: DataFrame, weight: DataFrame | None = None) -> DataFrame:
+    """``summary`` with rounded measures: ``weighted`` is the share summed over the query's size, or the given ``weight``
+    (patient_id, disease_id, weight), 0 where there is none."""
+    rows = summary.withColumn("ic_share", F.round("ic_share", 9))
+    if weight is None:
+        return rows.withColumn("weighted", F.round(F.col("freq_sum") / F.col("n_query"), 9))
+    return rows.join(weight, ["patient_id", "disease_id"], "left").withColumn("weighted", F.round(F.coalesce("weight", F.lit(0.0)), 9)).drop("weight")
+
+
+def rank_overlap(summary: DataFrame, method: str, k: int, weight: DataFrame | None = None) -> DataFrame:
+    return ranked(measured(summary, weight), order_of(method), k)
 
 
 def rank_score(summary: DataFrame, similarity: DataFrame, weight: DataFrame | None, k: int) -> DataFrame:
     """By content share, similarity and (if given) another weight, added up."""
-    rows = summary.join(similarity, ["patient_id", "disease_id"], "left")
-    if weight is not None:
-        rows = rows.join(weight, ["patient_id", "disease_id"], "left")
-    score = F.coalesce("ic_share", F.lit(0.0)) + F.coalesce("similarity", F.lit(0.0)) + (F.coalesce("weight", F.lit(0.0)) if weight is not None else F.lit(0.0))
-    return ranked(rows.withColumn("score", F.round(score, 9)), order_of("score"), k)
+    rows = measured(summary, weight).join(similarity, ["patient_id", "disease_id"], "left").withColumn("similarity", F.round(F.coalesce("similarity", F.lit(0.0)), 9))
+    score = F.coalesce("ic_share", F.lit(0.0)) + F.col("similarity") + (F.col("weighted") if weight is not None else F.lit(0.0))
+    return ranked(rows.withColumn("score", F.round(score, 6)), order_of("score"), k)
 
 
 def rank_embedding(similarity: DataFrame, summary: DataFrame, k: int, resort: bool, extra: int = 50) -> DataFrame:
-    """The k + 50 most similar, with match counts, in order of similarity or (``resort``) of matches."""
-    rows = similarity.withColumn("similarity", F.round("similarity", 9))
+    """The k + 50 most similar, with the measures of their matches, in order of similarity or (``resort``) of matches."""
+    rows = similarity.withColumn("similarity", F.round("similarity", 6))
     top = ranked(rows, [F.desc("similarity"), F.asc("disease_id")], k + extra).drop("rank")
-    joined = top.join(summary.select("patient_id", "disease_id", "n_match"), ["patient_id", "disease_id"], "left").withColumn("n_match", F.coalesce("n_match", F.lit(0)))
+    joined = top.join(measured(summary).select("patient_id", "disease_id", "n_match", "ic_share", "weighted", "total_associations"), ["patient_id", "disease_id"], "left").na.fill(0, ["n_match", "ic_share", "weighted"])
     order = [F.desc("n_match"), F.desc("similarity")] if resort else [F.desc("similarity"), F.desc("n_match")]
-    return ranked(joined, [*order, F.asc("disease_id")], k)
+    return ranked(joined, [*order, F.asc_nulls_last("total_associations"), F.asc("disease_id")], k)
 
 
-def rank_both(overlap: DataFrame, embedding: DataFrame, k: int) -> DataFrame:
-    """Both lists together; of equal keys the overlap's row stays; by matches, then rank in its own list."""
-    rows = overlap.select("patient_id", "disease_id", "n_match", F.col("rank").alias("own"), F.lit(0).alias("src")).unionByName(embedding.select("patient_id", "disease_id", "n_match", F.col("rank").alias("own"), F.lit(1).alias("src")))
-    first = rows.groupBy("patient_id", "disease_id").agg(F.min_by(F.struct("n_match", "own", "src"), "src").alias("r")).select("patient_id", "disease_id", "r.*")
-    return ranked(first, [F.desc("n_match"), F.asc("own"), F.asc("src"), F.asc("disease_id")], k)
+def rank_both(overlap: DataFrame, embedding: DataFrame, k: int, by_content: bool = False) -> DataFrame:
+    """Both lists together; of equal keys the overlap's row stays; by matches, then content, or the other way round."""
+    side = lambda df, n: df.select("patient_id", "disease_id", "n_match", "ic_share", F.lit(n).alias("src"))
+    first = side(overlap, 0).unionByName(side(embedding, 1)).groupBy("patient_id", "disease_id").agg(F.min_by(F.struct("n_match", "ic_share", "src"), "src").alias("r")).select("patient_id", "disease_id", "r.*")
+    a, b = ("ic_share", "n_match") if by_content else ("n_match", "ic_share")
+    return ranked(first, [F.desc(a), F.desc(b), F.asc("disease_id")], k)
 
 
-def rank_cases(matches: DataFrame, cases: DataFrame, k: int) -> DataFrame:
-    """Units are cases: of cases with the same set of diseases the one with most shared terms stays."""
-    n = matches.groupBy("patient_id", "case_id").agg(F.count("*").alias("n_match"))
-    rows = n.join(cases.select("case_id", F.array_sort("diseases").alias("diseases")), "case_id")
-    best = rows.groupBy("patient_id", "diseases").agg(F.min_by(F.struct("case_id", "n_match"), F.struct(-F.col("n_match"), "case_id")).alias("r")).select("patient_id", "r.*")
-    return ranked(best, [F.desc("n_match"), F.asc("case_id")], k)
+def rank_cases(query: DataFrame, cases: DataFrame, k: int, annotation: DataFrame, similarity: DataFrame) -> DataFrame:
+    """Units are cases: shared terms, for each the largest share over the case's diseases (0 if unknown), and the similarity's
+    maximum over them. Of cases with the same set of diseases the best stays."""
+    terms = cases.select("case_id", F.explode("terms").alias("term_id"))
+    met = query.select("patient_id", "term_id").distinct().join(terms, "term_id")
+    diseases = cases.select("case_id", F.explode("diseases").alias("disease_id"))
+    share = diseases.join(annotation.select("disease_id", "term_id", "freq"), "disease_id").join(terms, ["case_id", "term_id"], "left_semi").groupBy("case_id", "term_id").agg(F.max("freq").alias("freq"))
+    n = met.join(share.hint("merge"), ["case_id", "term_id"], "left").groupBy("patient_id", "case_id").agg(F.count("*").alias("n_match"), F.round(F.sum(F.coalesce("freq", F.lit(0.0))), 9).alias("freq_sum"))
+    near = n.join(diseases, "case_id").join(similarity, ["patient_id", "disease_id"], "left").groupBy("patient_id", "case_id", "n_match", "freq_sum").agg(F.round(F.max(F.coalesce("similarity", F.lit(0.0))), 6).alias("similarity"))
+    rows = near.join(cases.select("case_id", F.array_sort("diseases").alias("diseases")), "case_id")
+    order = [F.desc("n_match"), F.desc("freq_sum"), F.desc("similarity"), F.asc("case_id")]
+    best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("patient_id", "diseases").orderBy(*order))).where("_n = 1").drop("_n", "diseases")
+    return ranked(best, order, k)
 
 
 def rank_by_frequency_weight(matches: DataFrame, totals: DataFrame, k: int) -> DataFrame:
-    rows = matches.groupBy("patient_id", "disease_id").agg(F.round(F.sum(F.coalesce("weight", F.lit(0.5))), 6).alias("weight_sum"), F.count("*").alias("n_match")).join(totals, "disease_id")
+    rows = matches.groupBy("patient_id", "disease_id").agg(F.round(F.sum(F.coalesce("weight", F.lit(0.5))), 6).alias("weight_sum"), F.count("*").alias("n_match")).join(totals.hint("merge"), "disease_id")
     return ranked(rows, [F.desc("weight_sum"), F.desc("n_match"), F.asc("total_associations"), F.asc("disease_id")], k)
 
 
@@ -79,7 +95,7 @@ def single_term_diseases(annotation: DataFrame, terms: DataFrame, k: int) -> Dat
 def term_specificity_order(query: DataFrame, annotation: DataFrame) -> DataFrame:
     """A patient's terms from the rarest on."""
     n = annotation.groupBy("term_id").agg(F.countDistinct("disease_id").alias("n_diseases"))
-    rows = query.join(n, "term_id", "left").withColumn("n_diseases", F.coalesce("n_diseases", F.lit(0)))
+    rows = query.join(n.hint("merge"), "term_id", "left").withColumn("n_diseases", F.coalesce("n_diseases", F.lit(0)))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("patient_id").orderBy("n_diseases", "term_id")))
 
 
@@ -90,10 +106,20 @@ def dedup_by_name(ranking: DataFrame, name: DataFrame) -> DataFrame:
 
 
 def poincare_rank(query: DataFrame, annotation: DataFrame, embedding: DataFrame, k: int) -> DataFrame:
-    """Diseases that share a term with a patient, by the distance in the ball between the mean vectors of their terms."""
+    """All diseases by the distance in the ball between the mean vectors of a patient's and a disease's terms."""
     from ..functions import vectors as vec
 
-    mean = lambda df, key: vec.weighted_mean_vectors(df.select(key, "term_id").distinct().join(embedding, "term_id").withColumn("_one", F.lit(1.0)), [key], "v", "_one")
-    pairs = query.join(annotation.select("disease_id", "term_id"), "term_id").select("patient_id", "disease_id").distinct()
-    rows = pairs.join(mean(query, "patient_id").withColumnRenamed("v", "_a"), "patient_id").join(mean(annotation, "disease_id").withColumnRenamed("v", "_b"), "disease_id")
-    return ranked(rows.select("patient_id", "disease_id", F.round(vec.poincare_distance(F.col("_a"), F.col("_b")), 6).alias("distance")), [F.asc("distance"), F.asc("disease_id")], k)
+    def mean(df: DataFrame, key: str) -> DataFrame:
+        rows = df.select(key, "term_id").distinct().join(embedding, "term_id").withColumn("_one", F.lit(1.0))
+        return vec.weighted_mean_vectors(rows, [key], "v", "_one").select(F.col(key).alias("key"), F.lit(1.0).alias("w"), "v")
+
+    rows = blocks.block_pairs(mean(query, "patient_id"), mean(annotation, "disease_id"), blocks.poincare_pairs, "l long, r long, score double", 1024)
+    return ranked(rows.select(F.col("l").alias("patient_id"), F.col("r").alias("disease_id"), F.round("score", 6).alias("distance")), [F.asc("distance"), F.asc("disease_id")], k)
+
+
+def chamfer_similar_cases(query: DataFrame, library: DataFrame, key: str, embedding: DataFrame, k: int) -> DataFrame:
+    """The k entries of each patient with the least mean of both sides' mean least distances in the ball; a side without
+    vectors is infinitely far and has no rows."""
+    side = lambda df, c: df.select(c, "term_id").distinct().join(embedding, "term_id").select(F.col(c).alias("key"), F.lit(1.0).alias("w"), "v")
+    rows = blocks.block_pairs(side(query, "patient_id"), side(library, key), blocks.chamfer_pairs, "l long, r long, score double", 512)
+    return ranked(rows.select(F.col("l").alias("patient_id"), F.col("r").alias(key), F.round("score", 6).alias("distance")), [F.asc("distance"), F.asc(key)], k)

@@ -12,23 +12,38 @@ def extract_codes(text: Column, pattern: str = r"HP:\d{7}") -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))))
 
 
-def dictionary_annotate(docs: DataFrame, lexicon: DataFrame, most_words: int = 3) -> DataFrame:
-    """(doc_id, pos, n_words, term_id): lexicon phrases (phrase, term_id) in texts; where matches start together the longest stays."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    at = docs.select("doc_id", words.alias("w")).select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("pos"))
-    grams = at.select("doc_id", "pos", F.explode(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("pos"), n), " ").alias("g"), F.size(F.slice("w", F.col("pos"), n)).alias("k")))).alias("x")).where("x.n = x.k and x.g <> ''")
-    hits = grams.join(lexicon.select(F.lower("phrase").alias("_p"), "term_id"), F.col("x.g") == F.col("_p"))
-    return hits.groupBy("doc_id", "pos").agg(F.max(F.struct(F.col("x.n").alias("n"), (-F.col("term_id")).alias("t"))).alias("b")).select("doc_id", "pos", F.col("b.n").alias("n_words"), (-F.col("b.t")).alias("term_id"))
-
-
-def name_resolver(asked: DataFrame, alias: DataFrame, similarity, threshold: float = 0.8) -> DataFrame:
-    """(name, disease_id, sim): ids as they are; else aliases that share enough key tokens, the most similar of at least ``threshold``."""
-    tokens = asked.select("name", names.key_tokens(F.col("name")).alias("t")).select("name", F.size("t").alias("n"), F.explode("t").alias("k"))
+def dictionary_annotate(docs: DataFrame, lexicon: DataFrame, most_words: int | None = None) -> DataFrame:
+    """(doc_id, pos, n_words, term_id): lexicon phrases (phrase, term_id) in texts; where matches start together the longest stays.
+
+    Phrases of up to ``most_words`` words are tried, by default as many as the longest phrase has."""
+    split = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    phrases = lexicon.select(split(F.col("phrase")).alias("w"), "term_id").where(F.size("w") > 0)
+    if most_words is None:
+        most_words = phrases.agg(F.max(F.size("w"))).first()[0] or 0
+    if not most_words:
+        return docs.where("false").select("doc_id", F.lit(1).alias("pos"), F.lit(1).alias("n_words"), F.lit(0).cast(lexicon.schema["term_id"].dataType).alias("term_id"))
+    words = docs.select("doc_id", split(F.col("text")).alias("w")).where(F.size("w") > 0)
+    at = lambda pos: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - pos + 1)), lambda n: F.struct(pos.alias("pos"), n.alias("n"), F.array_join(F.slice("w", pos, n), " ").alias("g")))
+    grams = words.select("doc_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), at))).alias("x")).select("doc_id", "x.*")
+    hits = grams.join(phrases.select(F.array_join("w", " ").alias("g"), "term_id").hint("merge"), "g")
+    best = hits.groupBy("doc_id", "pos").agg(F.min(F.struct((-F.col("n")).alias("n"), "term_id")).alias("b"))
+    return best.select("doc_id", "pos", (-F.col("b.n")).alias("n_words"), F.col("b.term_id").alias("term_id"))
+
+
+def name_resolver(asked: DataFrame, alias: DataFrame, similarity, threshold: float = 0.8, id_pattern: str = r"^[A-Za-z]+:\d+$") -> DataFrame:
+    """(name, disease_id, sim): a name that is a known id is itself (1); else aliases that share enough key tokens (all of one
+    or two, half of more), the most similar of at least ``threshold``, then the least id; -1 if there is none."""
+    names_asked = asked.select("name").distinct()
+    text_id = F.col("disease_id").cast("string")
+    known = alias.select(text_id.alias("name"), "disease_id").distinct()
+    own = names_asked.where(F.col("name").rlike(id_pattern)).join(known, "name").select("name", F.struct(F.lit(1.0).alias("sim"), "disease_id").alias("b"))
+    tokens = names_asked.select("name", F.array_distinct(names.key_tokens(F.col("name"))).alias("t")).select("name", F.size("t").alias("n"), F.explode("t").alias("k"))
     index = alias.select("disease_id", "alias", F.explode(F.array_distinct(names.key_tokens(F.col("alias")))).alias("k"))
-    shared = tokens.join(index, "k").groupBy("name", "disease_id", "alias", "n").agg(F.countDistinct("k").alias("c"))
+    shared = tokens.join(index.hint("merge"), "k").groupBy("name", "disease_id", "alias", "n").agg(F.count("*").alias("c"))
     fit = shared.where(F.when(F.col("n") <= 2, F.col("c") >= F.col("n")).otherwise(F.col("c") * 2 >= F.col("n"))).withColumn("sim", similarity(F.col("name"), F.col("alias")))
-    best = fit.where(F.col("sim") >= threshold).groupBy("name").agg(F.min_by(F.struct("disease_id", "sim"), F.struct(-F.col("sim"), "disease_id")).alias("b"))
-    return asked.select("name").distinct().join(best, "name", "left").select("name", F.coalesce("b.disease_id", F.lit(-1)).alias("disease_id"), F.coalesce("b.sim", F.lit(0.0)).alias("sim"))
+    best = fit.where(F.col("sim") >= threshold).groupBy("name").agg(F.min_by(F.struct("sim", "disease_id"), F.struct(-F.col("sim"), "disease_id")).alias("b"))
+    found = best.unionByName(own).groupBy("name").agg(F.max("b").alias("b"))
+    return names_asked.join(found.hint("merge"), "name", "left").select("name", F.coalesce("b.disease_id", F.lit(-1)).alias("disease_id"), F.coalesce("b.sim", F.lit(0.0)).alias("sim"))
 
 
 def parse_ranked_answer(answers: DataFrame) -> DataFrame:
@@ -87,17 +102,32 @@ def render_few_shot(similar: DataFrame, cases: DataFrame, k: int) -> DataFrame:
 
 
 def page_description(pages: DataFrame) -> DataFrame:
-    """(page_id, description): the longest paragraph of a page, with its markup and references taken out."""
-    paragraphs = F.transform(F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1)), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, "<[^>]*>", ""), r"\s+", " ")))
-    best = F.array_sort(F.transform(paragraphs, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))))
+    """(page_id, description): the longest paragraph of a page (of equals the least), without its markup; NULL if there is none."""
+    plain = lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, "<[^>]*>", ""), "[ \\t\\r\\n]+", " "))
+    paragraphs = F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1)), plain)
+    best = F.array_sort(F.transform(F.filter(paragraphs, lambda p: p != ""), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))))
     return pages.select("page_id", F.try_element_at(best, F.lit(1))["p"].alias("description"))
 
 
+def term_profile(annotation: DataFrame, term_name: DataFrame) -> DataFrame:
+    """(disease_id, bucket, terms): by frequency bucket the names of a disease's terms, in order."""
+    from ..functions.frequency import freq_bucket
+
+    rows = annotation.join(term_name, "term_id").select("disease_id", freq_bucket(F.col("freq")).alias("bucket"), "name")
+    return rows.groupBy("disease_id", "bucket").agg(F.array_join(F.array_sort(F.collect_set("name")), "; ").alias("terms"))
+
+
+def terms_without_category(query: DataFrame, categories: DataFrame) -> DataFrame:
+    """(patient_id, terms): a patient's terms that have no category, in order."""
+    rows = query.join(categories.select("term_id").distinct().hint("merge"), "term_id", "left_anti").groupBy("patient_id").agg(F.array_sort(F.collect_list("term_id")).alias("t"))
+    return rows.select("patient_id", F.array_join(F.transform("t", lambda v: v.cast("string")), ",").alias("terms"))
+
+
 def pending_ids(library: DataFrame, done: DataFrame, skipped: tuple[str, ...] = ("CCRD", "DECIPHER")) -> DataFrame:
     ids = library.select(F.explode("diseases").alias("disease_id")).select(F.col("disease_id").cast("string").alias("disease_id")).distinct()
     for s in skipped:
         ids = ids.where(~F.col("disease_id").startswith(s))
-    return ids.join(done.select(F.col("disease_id").cast("string").alias("disease_id")), "disease_id", "left_anti")
+    return ids.join(done.select(F.col("disease_id").cast("string").alias("disease_id")).hint("merge"), "disease_id", "left_anti")
 
 
 def parse_json_answer(answers: DataFrame) -> DataFrame:

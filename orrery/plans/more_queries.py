@@ -15,36 +15,48 @@ query = base.query
 
 _mean = "SELECT {k}, list(x ORDER BY i) AS m FROM (SELECT {k}, i, CASE WHEN sum(ic) > 0 THEN sum(ic * x) / sum(ic) ELSE avg(x) END AS x FROM (SELECT {k}, ic, unnest(range(0, 64)) AS i, unnest(v) AS x FROM (SELECT DISTINCT {k}, term_id FROM {t}) JOIN emb USING (term_id) JOIN ic USING (term_id)) GROUP BY 1, 2) GROUP BY 1"
 _vec = {
-    "qmean": _mean.format(k="patient_id", t="q"), "dmean": _mean.format(k="disease_id", t="ann"), "cmean": _mean.format(k="case_id", t="case_rows"),
-    "dsim": "SELECT patient_id, disease_id, list_cosine_similarity(qmean.m, dmean.m) AS similarity FROM (SELECT DISTINCT patient_id, disease_id FROM direct) JOIN qmean USING (patient_id) JOIN dmean USING (disease_id)",
-    "scored": "SELECT s.patient_id, s.disease_id, s.n_match, s.total_associations, round(s.ic_share + coalesce(d.similarity, 0), 6) AS score FROM summary s LEFT JOIN dsim d USING (patient_id, disease_id)",
-    "esim": "SELECT patient_id, disease_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY patient_id ORDER BY round(similarity, 6) DESC, disease_id) AS n FROM dsim",
-    "emb_top": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY similarity DESC, n_match DESC, disease_id) AS rank FROM (SELECT e.patient_id, e.disease_id, e.similarity, coalesce(s.n_match, 0) AS n_match FROM esim e LEFT JOIN summary s USING (patient_id, disease_id) WHERE e.n <= {K + 50})) WHERE rank <= {K}",
-    "over_top": f"SELECT * FROM (SELECT patient_id, disease_id, n_match, row_number() OVER (PARTITION BY patient_id ORDER BY n_match DESC, round(ic_share, 9) DESC, total_associations, disease_id) AS rank FROM summary) WHERE rank <= {K}",
+    **base._emb,
+    "firstc": "SELECT disease_id, min(case_id) AS case_id FROM case_rows GROUP BY 1",
+    "drows": "SELECT f.disease_id, c.term_id FROM firstc f JOIN case_rows c USING (case_id) UNION SELECT disease_id, term_id FROM ann WHERE disease_id NOT IN (SELECT disease_id FROM firstc)",
+    "qmean": _mean.format(k="patient_id", t="q"), "dmean": _mean.format(k="disease_id", t="drows"), "cmean": _mean.format(k="case_id", t="case_rows"),
+    "dsim": "SELECT patient_id, disease_id, coalesce(list_cosine_similarity(qmean.m, dmean.m), 0) AS similarity FROM (SELECT DISTINCT patient_id, disease_id FROM matches) LEFT JOIN qmean USING (patient_id) LEFT JOIN dmean USING (disease_id)",
+    "loglr": "SELECT q.patient_id, lr.disease_id, round(sum(ln(greatest(CASE WHEN lr < 0.1 THEN greatest(lr, 0.3) ELSE lr END, 1e-10))) + (any_value(n.c) - count(*)) * ln(0.5), 9) AS log_lr FROM q JOIN lr USING (term_id) JOIN (SELECT patient_id, count(*) AS c FROM q GROUP BY 1) n USING (patient_id) GROUP BY 1, 2",
+    "post": "SELECT patient_id, disease_id, 1 / (1 + ((SELECT count(*) FROM supplier) - 1) * exp(-log_lr)) AS posterior FROM loglr",
+    "wmeas": "SELECT m.patient_id, m.disease_id, m.n_match, m.ic_share, round(coalesce(p.posterior, 0), 9) AS weighted, m.total_associations FROM meas m LEFT JOIN post p USING (patient_id, disease_id)",
+    "scored": "SELECT w.*, round(w.ic_share + round(coalesce(d.similarity, 0), 9) + w.weighted, 6) AS score FROM wmeas w LEFT JOIN dsim d USING (patient_id, disease_id)",
+    "over_top": base._ranked("overlap", "n_match", "ic_share"),
 }
 
 
 def _similarity(x: Fixture) -> DataFrame:
-    return match.mean_vector_similarity(x.query, x.annotation, "disease_id", x.embedding, x.ic).withColumn("similarity", F.round("similarity", 6))
+    pairs = base._matches(x).select("patient_id", "disease_id").distinct()
+    return match.case_similarity(x.query, x.annotation, x.cases, pairs, x.embedding, x.ic)
 
 
-def _by_embedding(x: Fixture) -> DataFrame:
-    return rank.rank_embedding(_similarity(x), base._summary(x), K, False)
+def _posterior(x: Fixture) -> DataFrame:
+    return likelihood.posteriors(x.query, base._lr(x), x.groups).select("patient_id", "disease_id", F.col("posterior").alias("weight"))
 
 
 @query("M08_case_similarity", "SELECT patient_id, disease_id, round(similarity, 6) AS similarity FROM dsim", _vec)
 def _(x):
-    return _similarity(x)
+    return _similarity(x).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("M10_mean_vector_similarity", "SELECT patient_id, case_id, round(list_cosine_similarity(qmean.m, cmean.m), 6) AS similarity FROM (SELECT DISTINCT patient_id, case_id FROM q JOIN case_rows USING (term_id)) JOIN qmean USING (patient_id) JOIN cmean USING (case_id)", _vec)
+@query("M05_match_frequency_file", "SELECT m.patient_id, m.disease_id, m.query_term, CASE WHEN m.freq IS NOT NULL THEN m.freq WHEN t.some THEN -1.0 ELSE 0.5 END AS freq_used FROM matches m JOIN (SELECT disease_id, term_id, max(frequency) <> '' AS some FROM ann_rows WHERE qualifier <> 'NOT' GROUP BY 1, 2) t ON t.disease_id = m.disease_id AND t.term_id = m.matched_term")
+def _(x):
+    has = x.annotation_rows.where("qualifier <> 'NOT'").groupBy("disease_id", F.col("term_id").alias("matched_term")).agg((F.max("frequency") != "").alias("has_text"))
+    m = match.all_matches(x.query, x.annotation, x.edge, x.closure, 1).join(has.hint("merge"), ["disease_id", "matched_term"])
+    return match.match_frequency(m, "file").select("patient_id", "disease_id", "query_term", "freq_used")
+
+
+@query("M10_mean_vector_similarity", "SELECT patient_id, case_id, round(list_cosine_similarity(qmean.m, cmean.m), 6) AS similarity FROM qmean, cmean", _vec)
 def _(x):
     return match.mean_vector_similarity(x.query, x.case_rows, "case_id", x.embedding, x.ic).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("M12_term_cosine_filter", "SELECT query_term, term_id FROM cosines WHERE cos > 0.6", {"units": base._unit, "cosines": "SELECT a.term_id AS query_term, b.term_id, list_dot_product(a.u, b.u) AS cos FROM units a JOIN (SELECT DISTINCT term_id FROM q) USING (term_id), units b JOIN (SELECT DISTINCT term_id FROM case_rows) c ON c.term_id = b.term_id"})
 def _(x):
-    return match.term_cosines(x.query, x.case_rows, x.embedding).where("cos > 0.6").select("query_term", "term_id")
+    return match.term_cosines(x.query, x.case_rows, x.embedding, 0.6).select("query_term", "term_id")
 
 
 @query("M15_prediction_term_enrichment", "SELECT q.patient_id, p.disease_id, q.term_id, coalesce(m.kind, 'by predict') AS kind FROM q JOIN (SELECT DISTINCT patient_id, disease_id FROM matches) p USING (patient_id) LEFT JOIN matches m ON m.patient_id = q.patient_id AND m.disease_id = p.disease_id AND m.query_term = q.term_id")
@@ -53,11 +65,22 @@ def _(x):
     return match.prediction_term_enrichment(x.query.join(m.select("patient_id", "disease_id").distinct(), "patient_id"), m)
 
 
+@query("R03_rank_posterior", f"SELECT patient_id, disease_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY weighted DESC, n_match DESC, total_associations, disease_id) AS rank FROM wmeas) WHERE rank <= {K}", _vec)
+def _(x):
+    return rank.rank_overlap(base._summary(x), "freq", K, _posterior(x)).select("patient_id", "disease_id", "rank")
+
+
 @query("R04_rank_score", f"SELECT patient_id, disease_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY score DESC, n_match DESC, total_associations, disease_id) AS rank FROM scored) WHERE rank <= {K}", _vec)
 def _(x):
-    s = base._summary(x).join(_similarity(x), ["patient_id", "disease_id"], "left")
-    score = F.round(F.round("ic_share", 12) + F.coalesce("similarity", F.lit(0.0)), 6)
-    return rank.ranked(s.withColumn("score", score), rank.order_of("score"), K).select("patient_id", "disease_id", "rank")
+    return rank.rank_score(base._summary(x), _similarity(x), _posterior(x), K).select("patient_id", "disease_id", "rank")
+
+
+@query("R06_rank_cases", f"""SELECT patient_id, case_id, n_match, freq_sum, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY n_match DESC, freq_sum DESC, similarity DESC, case_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, ds ORDER BY n_match DESC, freq_sum DESC, similarity DESC, case_id) AS d FROM (
+  SELECT n.patient_id, n.case_id, n.n_match, n.freq_sum, any_value(g.ds) AS ds, round(max(coalesce(s.similarity, 0)), 6) AS similarity FROM (SELECT patient_id, case_id, count(*) AS n_match, round(sum(coalesce(freq, 0)), 9) AS freq_sum FROM q JOIN cterms USING (term_id) LEFT JOIN cshare USING (case_id, term_id) GROUP BY 1, 2) n
+  JOIN (SELECT DISTINCT case_id, disease_id FROM case_rows) c USING (case_id) JOIN (SELECT case_id, list(DISTINCT disease_id ORDER BY disease_id) AS ds FROM case_rows GROUP BY 1) g USING (case_id) LEFT JOIN dsim s ON s.patient_id = n.patient_id AND s.disease_id = c.disease_id GROUP BY 1, 2, 3, 4)) WHERE d = 1) WHERE rank <= {K}""",
+       _vec | {"cterms": "SELECT DISTINCT case_id, term_id FROM case_rows", "cshare": "SELECT c.case_id, t.term_id, max(a.freq) AS freq FROM (SELECT DISTINCT case_id, disease_id FROM case_rows) c JOIN cterms t USING (case_id) JOIN ann a ON a.disease_id = c.disease_id AND a.term_id = t.term_id GROUP BY 1, 2"})
+def _(x):
+    return rank.rank_cases(x.query, x.cases, K, x.annotation, _similarity(x)).select("patient_id", "case_id", "n_match", "freq_sum", "similarity", "rank")
 
 
 @query("R07_rank_by_frequency_weight", f"SELECT patient_id, disease_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY w DESC, n DESC, t, disease_id) AS rank FROM (SELECT patient_id, d.disease_id, round(sum(CASE WHEN freq >= 0.6 THEN 1.5 WHEN freq >= 0.3 THEN 0.5 WHEN freq >= 0.1 THEN 0.1 WHEN freq IS NULL THEN 0.5 ELSE 0 END), 6) AS w, count(*) AS n, any_value(c.t) AS t FROM direct d JOIN (SELECT disease_id, count(DISTINCT term_id) AS t FROM ann GROUP BY 1) c ON c.disease_id = d.disease_id GROUP BY 1, 2)) WHERE rank <= {K}")
@@ -67,14 +90,17 @@ def _(x):
     return rank.rank_by_frequency_weight(match.match_direct(x.query, x.annotation).withColumn("weight", w), totals, K).select("patient_id", "disease_id", "rank")
 
 
-@query("R08_rank_embedding", "SELECT patient_id, disease_id, rank FROM emb_top", _vec)
+@query("R08_rank_embedding", "SELECT patient_id, disease_id, similarity, rank FROM emb_top", _vec)
 def _(x):
-    return _by_embedding(x).select("patient_id", "disease_id", "rank")
+    return rank.rank_embedding(base._nearest(x), base._summary(x), K, False).select("patient_id", "disease_id", "similarity", "rank")
 
 
-@query("R09_rank_both", f"SELECT patient_id, disease_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY n_match DESC, own, src, disease_id) AS rank FROM (SELECT patient_id, disease_id, arg_min(n_match, src) AS n_match, arg_min(own, src) AS own, min(src) AS src FROM (SELECT patient_id, disease_id, n_match, rank AS own, 0 AS src FROM over_top UNION ALL SELECT patient_id, disease_id, n_match, rank, 1 FROM emb_top) GROUP BY 1, 2)) WHERE rank <= {K}", _vec)
+@query("R09_rank_both", f"SELECT patient_id, disease_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY n_match DESC, ic_share DESC, disease_id) AS rank FROM (SELECT patient_id, disease_id, arg_min(n_match, src) AS n_match, arg_min(ic_share, src) AS ic_share FROM (SELECT patient_id, disease_id, n_match, ic_share, 0 AS src FROM over_top UNION ALL SELECT patient_id, disease_id, n_match, ic_share, 1 FROM emb_top) GROUP BY 1, 2)) WHERE rank <= {K}", _vec)
 def _(x):
-    return rank.rank_both(rank.rank_overlap(base._summary(x), "overlap", K), _by_embedding(x), K).select("patient_id", "disease_id", "rank")
+    from ..operators.lineage import cut
+
+    s = cut(base._summary(x))
+    return rank.rank_both(rank.rank_overlap(s, "overlap", K), rank.rank_embedding(base._nearest(x), s, K, False), K).select("patient_id", "disease_id", "rank")
 
 
 @query("L05_no_common_organ", "SELECT term_id, round(0.002 + (raw - 0.01) * (0.098 / 0.09), 6) AS p FROM bg")
@@ -92,9 +118,9 @@ def _(x):
     return ids.select("group_id", fusion.fusion_key(name, F.transform("i", lambda v: v.cast("string"))).alias("key"))
 
 
-@query("Z05_fused_rank", "SELECT f.patient_id, f.disease_id AS key, f.rank, CAST(max(a.rank) FILTER (WHERE a.method = 'ic') AS BIGINT) AS rank_ic, CAST(max(a.rank) FILTER (WHERE a.method = 'overlap') AS BIGINT) AS rank_overlap FROM fused f JOIN filled a USING (patient_id, disease_id) GROUP BY 1, 2, 3", base._done)
+@query("Z05_fused_rank", "SELECT f.patient_id, f.disease_id AS key, f.rank, CAST(max(a.rank) FILTER (WHERE a.method = 'ic') AS BIGINT) AS rank_ic, CAST(max(a.rank) FILTER (WHERE a.method = 'resort') AS BIGINT) AS rank_resort FROM fused f JOIN filled a USING (patient_id, disease_id) GROUP BY 1, 2, 3", base._done)
 def _(x):
-    return fusion.fused_rank(fusion.rank_ratio(base._filled(x)), ["ic", "freq", "overlap"], K).select("patient_id", "key", "rank", "rank_ic", "rank_overlap")
+    return fusion.fused_rank(fusion.rank_ratio(base._filled(x)), base.METHODS, K).select("patient_id", "key", "rank", F.col("rank_ic").cast("long").alias("rank_ic"), F.col("rank_resort").cast("long").alias("rank_resort"))
 
 
 @query("T09_render_prompt", "SELECT t.patient_id, 'Terms: ' || t.t || chr(10) || 'Candidates:' || chr(10) || c.c AS prompt FROM (SELECT patient_id, string_agg(term_id || ' ' || name, '; ' ORDER BY term_id || ' ' || name) AS t FROM q JOIN term USING (term_id) GROUP BY 1) t JOIN (SELECT patient_id, string_agg(rank || '. ' || disease_id, chr(10) ORDER BY rank) AS c FROM over_top GROUP BY 1) c USING (patient_id)", _vec)
@@ -132,16 +158,16 @@ def _(x):
 _deep = {k: base_sql.replace("c.distance <= 1", "c.distance <= 100") for k, base_sql in CTE.items() if "c.distance <= 1" in base_sql}
 
 
-@query("R05_rank_from_kg", base._ranked("overlap", "n_match", "ic_share"), _deep)
+@query("R05_rank_from_kg", f"SELECT patient_id, disease_id, rank FROM ({base._ranked('overlap', 'n_match', 'ic_share')})", _deep)
 def _(x):
     m = match.match_frequency(match.all_matches(x.query, x.annotation, x.edge, x.closure, 100), "kg")
     return rank.rank_overlap(match.match_summary(m, x.query, x.ic, x.annotation), "overlap", K).select("patient_id", "disease_id", "rank")
 
 
-@query("R13_poincare_rank", f"SELECT patient_id, disease_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY d, disease_id) AS rank FROM (SELECT patient_id, disease_id, round(ln(z + sqrt(z * z - 1)), 6) AS d FROM (SELECT patient_id, disease_id, greatest(1 + 2 * list_sum(list_transform(list_zip(a.m, b.m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / ((1 - least(list_dot_product(a.m, a.m), 1 - 1e-4)) * (1 - least(list_dot_product(b.m, b.m), 1 - 1e-4))), 1 + 1e-5) AS z FROM (SELECT DISTINCT patient_id, disease_id FROM direct) JOIN qplain a USING (patient_id) JOIN dplain b USING (disease_id)))) WHERE rank <= {K}",
+@query("R13_poincare_rank", f"SELECT patient_id, disease_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY d, disease_id) AS rank FROM (SELECT patient_id, disease_id, round(ln(z + sqrt(z * z - 1)), 6) AS d FROM (SELECT patient_id, disease_id, greatest(1 + 2 * list_sum(list_transform(list_zip(a.m, b.m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / ((1 - least(list_dot_product(a.m, a.m), 1 - 1e-4)) * (1 - least(list_dot_product(b.m, b.m), 1 - 1e-4))), 1 + 1e-5) AS z FROM qplain a, dplain b))) WHERE rank <= {K}",
        {f"{k}plain": f"SELECT {c}, list(x ORDER BY i) AS m FROM (SELECT {c}, i, avg(x / 16) AS x FROM (SELECT {c}, unnest(range(0, 64)) AS i, unnest(v) AS x FROM (SELECT DISTINCT {c}, term_id FROM {t}) JOIN emb USING (term_id)) GROUP BY 1, 2) GROUP BY 1" for k, c, t in (("q", "patient_id", "q"), ("d", "disease_id", "ann"))})
 def _(x):
-    return rank.poincare_rank(x.query, x.annotation, x.embedding.withColumn("v", F.transform("v", lambda c: c / 16)), K).select("patient_id", "disease_id", "rank")
+    return rank.poincare_rank(x.query, x.annotation, x.ball, K).select("patient_id", "disease_id", "rank")
 
 
 @query("I12_add_gene_annotations", "SELECT disease_id, term_id FROM ann UNION SELECT disease_id, term_id FROM gene")
@@ -171,3 +197,87 @@ def _(x):
     many = F.concat(F.lit('so [{"name": "'), "s_name", F.lit('", "matched": ["HP:1"]}] end'))
     rows = textops.parse_json_answer(x.table("supplier").select(F.col("s_suppkey").alias("answer_id"), F.when(F.col("s_suppkey") % 2 == 0, one).otherwise(many).alias("text")))
     return rows.select("answer_id", "name", F.array_join("matched", ",").alias("matched"), F.array_join("unmatched", ",").alias("unmatched"))
+
+
+@query("V05_einstein_midpoint", "SELECT label, i, round(k / (1 + sqrt(1 - n)), 6) AS x FROM (SELECT label, i, k, sum(k * k) OVER (PARTITION BY label) AS n FROM (SELECT label, i, sum(g * w * kx) / sum(g * w) AS k FROM (SELECT *, 1 / sqrt(1 - sum(kx * kx) OVER (PARTITION BY vec_id)) AS g FROM (SELECT label, vec_id, (vec_id % 5 + 1)::DOUBLE AS w, i, 2 * x / (1 + sum(x * x) OVER (PARTITION BY vec_id)) AS kx FROM (SELECT label, vec_id, unnest(range(0, 64)) AS i, unnest(CAST(embedding AS DOUBLE[])) / 16 AS x FROM embeddings))) GROUP BY 1, 2))")
+def _(x):
+    from ..functions import vectors
+
+    rows = x.table("embeddings").select("label", F.transform("embedding", lambda c: c.cast("double") / 16).alias("v"), (F.col("vec_id") % 5 + 1).cast("double").alias("w"))
+    return vectors.einstein_midpoints(rows, ["label"], "v", "w").select("label", F.posexplode("v").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("V06_chamfer_similar_cases")
+def _(x):
+    return rank.chamfer_similar_cases(x.query, x.case_rows, "case_id", x.ball, K)
+
+
+_grams = "list_distinct(list_transform(range(1, greatest(length({0}), 1) + 1), lambda i: substr(' ' || lower(trim({0})) || ' ', i, 3)))"
+_cosine = f"len(list_intersect({_grams.format('true_name')}, {_grams.format('ranked_name')})) / sqrt(len({_grams.format('true_name')}) * len({_grams.format('ranked_name')}))"
+_named = {
+    **base._truth,
+    "tnames": "SELECT t.patient_id, s_name || ' / ' || n_name AS true_name FROM truth t JOIN supplier ON s_suppkey = t.disease_id JOIN nation ON n_nationkey = s_nationkey",
+    "rnames": "SELECT f.patient_id, f.rank, s_name AS name, s_name || '; ' || n_name AS ranked_name FROM fused f JOIN supplier ON s_suppkey = f.disease_id JOIN nation ON n_nationkey = s_nationkey",
+}
+
+
+def _names_of(x: Fixture) -> tuple[DataFrame, DataFrame]:
+    from ..operators.lineage import cut
+
+    s = x.table("supplier").join(x.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    truth = base._true_ids(x).join(s.select(F.col("s_suppkey").alias("true_id"), F.concat("s_name", F.lit(" / "), "n_name").alias("true_name")), "true_id").select("patient_id", "true_name")
+    ranked = fusion.fuse(base._lists_of(x), K).select("patient_id", "rank", "key").join(s.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.concat("s_name", F.lit("; "), "n_name").alias("ranked_name")), "key")
+    return cut(truth), cut(ranked.select("patient_id", "rank", "name", "ranked_name"))
+
+
+@query("E01_name_similarity_pairs", f"SELECT patient_id, true_name, ranked_name, rank, round({_cosine}, 9) AS sim FROM tnames JOIN (SELECT DISTINCT patient_id, rank, trim(unnest(string_split(ranked_name, ';'))) AS ranked_name FROM rnames) USING (patient_id)", _named)
+def _(x):
+    truth, ranked = _names_of(x)
+    return evaluate.name_similarity_pairs(truth, ranked).withColumn("sim", F.round("sim", 9))
+
+
+@query("E07_prediction_accuracy", f"""SELECT patient_id, max(sim) AS best_similarity, arg_max(rank, (sim, -rank)) AS best_rank, bool_or(sim >= 0.8 AND rank <= 1) AS top1, bool_or(sim >= 0.8 AND rank <= 3) AS top3, bool_or(sim >= 0.8 AND rank <= 5) AS top5, bool_or(sim >= 0.8 AND rank <= 10) AS top10 FROM (SELECT patient_id, rank, round({_cosine}, 9) AS sim
+  FROM (SELECT patient_id, trim(unnest(string_split(true_name, '/'))) AS true_name FROM tnames) JOIN (SELECT patient_id, rank, name AS ranked_name FROM rnames UNION ALL SELECT r.patient_id, r.rank, a.alias FROM rnames r JOIN supplier ON s_name = r.name JOIN alias a ON a.disease_id = s_suppkey) USING (patient_id)) GROUP BY 1""", _named)
+def _(x):
+    truth, ranked = _names_of(x)
+    resolved = x.alias.where("pos = 0").select(F.col("alias").alias("name"), "disease_id")
+    return evaluate.prediction_accuracy(truth, ranked.select("patient_id", "rank", "name"), x.alias, resolved)
+
+
+@query("E12_prediction_mapping", "SELECT r.patient_id, 1 AS step, r.rank, r.name, s_suppkey AS disease_id, s_name AS standard_name, 1.0::DOUBLE AS similarity, coalesce(t.n, 0) AS total_associations, coalesce(m.matched, '') AS matched, coalesce(m.n, 0) AS n_matched FROM rnames r JOIN supplier ON s_name = r.name LEFT JOIN (SELECT disease_id, count(*) AS n FROM ann GROUP BY 1) t ON t.disease_id = s_suppkey LEFT JOIN (SELECT patient_id, disease_id, string_agg(DISTINCT CAST(query_term AS VARCHAR), ';' ORDER BY CAST(query_term AS VARCHAR)) AS matched, count(*) AS n FROM matches GROUP BY 1, 2) m ON m.patient_id = r.patient_id AND m.disease_id = s_suppkey", _named)
+def _(x):
+    _, ranked = _names_of(x)
+    names_ = x.alias.where("pos = 0")
+    resolved = textops.name_resolver(ranked.select("name"), names_, lambda a, b: F.when(F.lower(a) == F.lower(b), 1.0).otherwise(0.5))
+    return evaluate.prediction_mapping(ranked.select("patient_id", F.lit(1).alias("step"), "rank", "name"), resolved, names_.select("disease_id", F.col("alias").alias("standard_name")), x.annotation, base._matches(x))
+
+
+@query("E04_method_hit_rates", "SELECT f.method, (SELECT count(*) FROM truth) AS n, " + ", ".join(f"round(100 * count(*) FILTER (WHERE f.rank <= {n}) / (SELECT count(*) FROM truth), 6) AS top{n}" for n in evaluate.TOPS) + " FROM filled f JOIN truth t USING (patient_id, disease_id) GROUP BY 1", base._truth)
+def _(x):
+    return evaluate.method_hit_rates(base._filled(x), base._true_ids(x), base.METHODS)
+
+
+_claims = "SELECT q.patient_id, d.disease_id, q.term_id, CASE WHEN (q.term_id + d.disease_id) % 2 = 0 THEN coalesce(a.freq, 0) >= 0.4 ELSE coalesce(a.freq, 0) > 0.7 END AS ok FROM q JOIN (SELECT DISTINCT patient_id, disease_id FROM direct) d USING (patient_id) LEFT JOIN ann a ON a.disease_id = d.disease_id AND a.term_id = q.term_id"
+
+
+def _checked(x: Fixture) -> DataFrame:
+    d = match.match_direct(x.query, x.annotation).select("patient_id", "disease_id").distinct()
+    claims = x.query.join(d.hint("merge"), "patient_id").withColumn("claimed", (F.col("term_id") + F.col("disease_id")) % 2 == 0)
+    return evaluate.term_claim_check(claims, x.annotation.select("disease_id", "term_id", F.col("freq").alias("sim")))
+
+
+@query("E09_rebuilt_claims", f"SELECT patient_id, disease_id, coalesce(string_agg(CAST(term_id AS VARCHAR), ';' ORDER BY CAST(term_id AS VARCHAR)) FILTER (WHERE ok), '') AS matched, coalesce(string_agg(CAST(term_id AS VARCHAR), ';' ORDER BY CAST(term_id AS VARCHAR)) FILTER (WHERE NOT ok), '') AS unmatched, bool_or(ok) AS explained FROM ({_claims}) GROUP BY 1, 2")
+def _(x):
+    return evaluate.rebuilt_claims(_checked(x))
+
+
+@query("E09_unexplained_terms", f"SELECT patient_id, term_id FROM ({_claims}) GROUP BY 1, 2 HAVING NOT bool_or(ok)")
+def _(x):
+    return evaluate.unexplained_terms(_checked(x))
+
+
+@query("ST01_totals", "SELECT count(*) AS n, count(*) FILTER (WHERE hit) AS hits, round(100 * count(*) FILTER (WHERE hit) / count(*), 6) AS hit_rate, round(avg(rank) FILTER (WHERE hit), 6) AS mean_rank, min(rank) FILTER (WHERE hit) AS best_rank, max(rank) FILTER (WHERE hit) AS worst_rank, (list(rank ORDER BY rank) FILTER (WHERE hit))[count(*) FILTER (WHERE hit) // 2 + 1] AS median_rank FROM best", base._truth)
+def _(x):
+    from ..streaming import ranks
+
+    return ranks.totals(ranks.running_statistics(evaluate.best_match_rank(base._pairs(x))))

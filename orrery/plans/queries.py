@@ -70,7 +70,7 @@ def _(x):
 
 
 @query("F07_freq_weight", f"""SELECT o, l, CASE {_type.format('frequency')} WHEN 'hpo_id' THEN CASE right(frequency, 1) WHEN '0' THEN 1.5 WHEN '1' THEN 1.5 WHEN '2' THEN 1.5 WHEN '3' THEN 0.5 WHEN '4' THEN 0.1 ELSE 0.0 END
-  WHEN 'percentage' THEN CASE WHEN CAST(replace(frequency, '%', '') AS DOUBLE) >= 60 THEN 1.5 WHEN CAST(replace(frequency, '%', '') AS DOUBLE) >= 30 THEN 0.5 ELSE 0.1 END WHEN 'fraction' THEN 1.5 ELSE 1.0 END::DOUBLE AS weight FROM ann_rows""")
+  WHEN 'percentage' THEN CASE WHEN p >= 60 THEN 1.5 WHEN p >= 30 THEN 0.5 WHEN p >= 10 THEN 0.1 ELSE 0 END WHEN 'fraction' THEN CASE WHEN p * 2 >= 60 THEN 1.5 WHEN p * 2 >= 30 THEN 0.5 WHEN p * 2 >= 10 THEN 0.1 ELSE 0 END ELSE 1.0 END::DOUBLE AS weight FROM (SELECT *, try_cast(regexp_extract(frequency, '^[0-9]+') AS DOUBLE) AS p FROM ann_rows)""")
 def _(x):
     return _tokens(x).select("o", "l", freq.freq_weight(F.col("frequency"), freq.freq_type(F.col("frequency"))).alias("weight"))
 
@@ -120,9 +120,9 @@ def _(x):
     return x.table("part").select("p_partkey", names.norm_name(F.concat("p_name", F.lit(" Disease"))).alias("plain"), names.norm_name(F.concat("p_name", F.lit(" syndrome"))).alias("cut"))
 
 
-@query("F16_key_tokens", "SELECT n_nationkey, lower(n_name) || '|' || 'rigid' AS words FROM nation WHERE n_name NOT LIKE '% %'")
+@query("F16_key_tokens", "SELECT n_nationkey, replace(lower(n_name), ' ', '|') || '|' || 'rigid' AS words FROM nation")
 def _(x):
-    return x.table("nation").where("n_name not like '% %'").select("n_nationkey", F.array_join(names.key_tokens(F.concat(F.lit("Rare "), "n_name", F.lit(", (rigid) type of a disease"))), "|").alias("words"))
+    return x.table("nation").select("n_nationkey", F.array_join(names.key_tokens(F.concat(F.lit("Rare "), "n_name", F.lit(", (rigid) type of a disease"))), "|").alias("words"))
 
 
 @query("F17_disease_link", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'https://www.omim.org/entry/' || s_suppkey WHEN s_suppkey % 3 = 1 THEN 'https://www.orpha.net/en/disease/detail/' || s_suppkey ELSE '' END AS link, CASE s_suppkey % 3 WHEN 0 THEN 'OMIM' WHEN 1 THEN 'ORPHA' ELSE 'MONDO' END AS db FROM supplier")
@@ -189,11 +189,18 @@ def _(x):
 @query("O08_closest_annotated_ancestor", "SELECT term_id, disease_id, a AS ancestor_id FROM c5")
 def _(x):
     model, _absent = likelihood.lr_models(x.annotation_rows)
-    t = x.query.select("term_id").distinct()
     mine = ontology.with_self(x.closure, x.term)
-    ind = likelihood.induced_frequency(model, mine, 0).withColumnRenamed("term_id", "ancestor_id")
-    near = mine.join(t, "term_id", "left_semi").where("ancestor_id <> 0").join(ind, "ancestor_id")
-    return near.groupBy("term_id", "disease_id").agg(F.min_by("ancestor_id", F.struct("distance", "ancestor_id")).alias("ancestor_id"))
+    return ontology.closest_annotated_ancestor(x.query, mine, likelihood.induced_frequency(model, mine, 0), 0)
+
+
+@query("O11_disease_info", "SELECT s_suppkey AS disease_id, s_name || CASE WHEN s_suppkey % 3 = 0 THEN '|' || n_name ELSE '' END AS names, CASE WHEN s_suppkey % 4 = 0 THEN 'type' || s_nationkey END AS disease_type, CASE WHEN s_suppkey % 2 = 0 THEN 'about ' || s_name ELSE '' END AS description, n_terms, round(top, 6) AS top FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT disease_id, count(*) AS n_terms, max(freq) AS top FROM ann GROUP BY 1) a ON a.disease_id = s_suppkey")
+def _(x):
+    t = x.table("supplier")
+    i = F.col("s_suppkey").alias("disease_id")
+    typed = t.select(i, F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("type"), F.col("s_nationkey").cast("string"))).alias("disease_type"))
+    described = t.where("s_suppkey % 2 = 0").select(i, F.concat(F.lit("about "), "s_name").alias("description"))
+    rows = ontology.disease_info(t.select(i), x.alias, typed, described, x.annotation)
+    return rows.select("disease_id", F.array_join("names", "|").alias("names"), "disease_type", "description", F.nullif(F.size("shares"), F.lit(-1)).cast("long").alias("n_terms"), F.round(F.array_max(F.transform("shares", lambda v: v["freq"])), 6).alias("top"))
 
 
 @query("O09_descendant_depth", "SELECT ancestor_id, max(distance) AS depth FROM closure GROUP BY 1")
@@ -419,7 +426,7 @@ def _(x):
 
 @query("M03_match_by_parent", "SELECT * FROM parent1")
 def _(x):
-    return match.match_by_parent(x.query, x.annotation, x.closure, 1, match.candidates(x.query, x.annotation, x.closure, 1))
+    return match.all_matches(x.query, x.annotation, x.edge, x.closure, 1).where("kind = 'by parent'")
 
 
 @query("M04_match_by_child", "SELECT * FROM child1")
@@ -470,18 +477,15 @@ def _(x):
     return match.explain_match(_matches(x))
 
 
-def _ranked(method: str, a: str, b: str) -> str:
-    return f"SELECT patient_id, disease_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY {a} DESC, {b} DESC, total_associations, disease_id) AS rank FROM (SELECT patient_id, disease_id, n_match, round(ic_share, 9) AS ic_share, round(freq_sum / n_query, 9) AS freq_mean, total_associations FROM summary)) WHERE rank <= {K}"
+_meas = "SELECT patient_id, disease_id, n_match, round(ic_share, 9) AS ic_share, round(freq_sum / n_query, 9) AS weighted, total_associations FROM summary"
 
 
-for _name, _method, _a, _b in (("R01_rank_overlap", "overlap", "n_match", "ic_share"), ("R02_rank_ic", "ic", "ic_share", "n_match"), ("R03_rank_frequency", "freq", "freq_mean", "n_match")):
-    query(_name, _ranked(_method, _a, _b))(lambda x, m=_method: rank.rank_overlap(_summary(x), m, K).select("patient_id", "disease_id", "rank"))
+def _ranked(method: str, a: str, b: str) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY {a} DESC, {b} DESC, total_associations, disease_id) AS rank FROM ({_meas})) WHERE rank <= {K}"
 
 
-@query("R06_rank_cases", f"SELECT patient_id, case_id, n_match, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY n_match DESC, case_id) AS rank FROM (SELECT patient_id, case_id, n_match, row_number() OVER (PARTITION BY patient_id, ds ORDER BY n_match DESC, case_id) AS d FROM (SELECT patient_id, case_id, count(*) AS n_match FROM q JOIN (SELECT DISTINCT case_id, term_id FROM case_rows) USING (term_id) GROUP BY 1, 2) JOIN (SELECT case_id, list(DISTINCT disease_id ORDER BY disease_id) AS ds FROM case_rows GROUP BY 1) USING (case_id)) WHERE d = 1) WHERE rank <= {K}")
-def _(x):
-    shared = x.query.join(x.case_rows.select("case_id", "term_id").distinct(), "term_id")
-    return rank.rank_cases(shared, x.cases, K).select("patient_id", "case_id", "n_match", "rank")
+for _name, _method, _a, _b in (("R01_rank_overlap", "overlap", "n_match", "ic_share"), ("R02_rank_ic", "ic", "ic_share", "n_match"), ("R03_rank_frequency", "freq", "weighted", "n_match")):
+    query(_name, f"SELECT patient_id, disease_id, rank FROM ({_ranked(_method, _a, _b)})")(lambda x, m=_method: rank.rank_overlap(_summary(x), m, K).select("patient_id", "disease_id", "rank"))
 
 
 @query("R10_rank_given", f"SELECT patient_id, disease_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY n_match DESC, round(ic_share, 9) DESC, total_associations, disease_id) AS rank FROM summary WHERE disease_id % 2 = patient_id % 2) WHERE rank <= {K}")
@@ -527,17 +531,17 @@ def _(x):
     return likelihood.induced_frequency(likelihood.lr_models(x.annotation_rows)[0], ontology.with_self(x.closure, x.term), 0).withColumn("f", F.round("f", 6))
 
 
-@query("L04_lr_observed", "SELECT term_id, disease_id, round(lr * 1.000000001, 4) AS lr, match_type FROM lr")
+@query("L04_lr_observed", "SELECT term_id, disease_id, CAST(round(CAST(lr AS DECIMAL(30,12)), 6) AS DOUBLE) AS lr, match_type FROM lr")
 def _(x):
-    return _lr(x).withColumn("lr", F.round(F.col("lr") * 1.000000001, 4))  # off exact halves, where the last bit would decide
+    return _lr(x).withColumn("lr", F.round(F.col("lr").cast("decimal(30,12)"), 6).cast("double"))  # halves are rounded as decimals
 
 
-@query("L06_lr_excluded", """SELECT k.term_id, k.disease_id, round(CASE WHEN g.term_id IS NOT NULL THEN 1000.0 WHEN coalesce(b.bg, 1e-4) > 0.99 THEN 1.0 WHEN p.f IS NULL AND u.term_id IS NULL THEN 1 / (1 - coalesce(b.bg, 1e-4)) ELSE greatest(0.01, 1 - coalesce(p.f, 0)) / (1 - coalesce(b.bg, 1e-4)) END, 5) AS lr FROM (SELECT qt.term_id, s_suppkey AS disease_id FROM qt, supplier WHERE s_suppkey % 10 = 1) k
+@query("L06_lr_excluded", """SELECT k.term_id, k.disease_id, round(CASE WHEN g.term_id IS NOT NULL THEN 1000.0 WHEN coalesce(b.bg, 1e-4) > 0.99 THEN 1.0 WHEN p.f IS NULL AND u.term_id IS NULL THEN 1 / (1 - coalesce(b.bg, 1e-4)) ELSE greatest(0.01, 1 - coalesce(p.f, 0)) / (1 - coalesce(b.bg, 1e-4)) END, 5) AS lr FROM (SELECT DISTINCT q.term_id, d.disease_id FROM q JOIN (SELECT DISTINCT patient_id, disease_id FROM direct) d USING (patient_id)) k
   LEFT JOIN (SELECT DISTINCT s.ancestor_id AS term_id, a.disease_id FROM absent a JOIN selfc s USING (term_id)) g USING (term_id, disease_id) LEFT JOIN (SELECT s.ancestor_id AS term_id, m.disease_id, max(m.freq) AS f FROM lr_model m JOIN selfc s USING (term_id) GROUP BY 1, 2) p USING (term_id, disease_id)
   LEFT JOIN (SELECT DISTINCT c.term_id, m.disease_id FROM closure c JOIN lr_model m ON m.term_id = c.ancestor_id) u USING (term_id, disease_id) LEFT JOIN bg b USING (term_id)""")
 def _(x):
     model, absent = likelihood.lr_models(x.annotation_rows)
-    pairs = x.query.select("term_id").distinct().crossJoin(F.broadcast(x.table("supplier").where("s_suppkey % 10 = 1").select(F.col("s_suppkey").alias("disease_id"))))
+    pairs = x.query.join(match.match_direct(x.query, x.annotation).select("patient_id", "disease_id").distinct().hint("merge"), "patient_id").select("term_id", "disease_id")
     return likelihood.lr_excluded(pairs, model, absent, x.closure).withColumn("lr", F.round("lr", 5))
 
 
@@ -547,9 +551,9 @@ def _(x):
     return likelihood.lr_rank(x.query, _lr(x), x.groups, K).select("patient_id", "disease_id", F.round("log_lr", 6).alias("log_lr"), "rank")
 
 
-@query("L08_lr_explain", "SELECT term_id, disease_id, match_type || ': LR ' || printf('%.4f', lr * 1.000000001) AS explanation FROM lr WHERE term_id % 3 = 0 AND lr NOT BETWEEN 0.01 AND 0.01")
+@query("L08_lr_explain", "SELECT term_id, disease_id, match_type || ': LR ' || CAST(CAST(round(CAST(lr AS DECIMAL(30,12)), 4) AS DECIMAL(30,4)) AS VARCHAR) AS explanation FROM lr")
 def _(x):
-    return likelihood.lr_explain(_lr(x).where("term_id % 3 = 0 and lr <> 0.01").withColumn("lr", F.col("lr") * 1.000000001))
+    return likelihood.lr_explain(_lr(x))
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------
@@ -587,30 +591,39 @@ def _(x):
 
 
 # --- fusion and evaluation ---------------------------------------------------------------------------------------
-_three = {f"r{i}": _ranked("", a, b) for i, (a, b) in enumerate((("ic_share", "n_match"), ("freq_mean", "n_match"), ("n_match", "ic_share")))}
-_lists = "SELECT *, 'ic' AS method FROM r0 UNION ALL SELECT *, 'freq' FROM r1 UNION ALL SELECT *, 'overlap' FROM r2"
+_emb = {
+    "units": _unit, "cosines": "SELECT a.term_id AS query_term, b.term_id, list_dot_product(a.u, b.u) AS cos FROM units a JOIN (SELECT DISTINCT term_id FROM q) USING (term_id), units b",
+    "bsim": "SELECT patient_id, disease_id, round(sum(w * best) / sum(w), 6) AS similarity FROM (SELECT q.patient_id, b.disease_id, coalesce(i.ic, 1.0) AS w, b.best FROM q LEFT JOIN ic i USING (term_id) JOIN (SELECT disease_id, query_term, max(cos) AS best FROM ann JOIN cosines USING (term_id) GROUP BY 1, 2) b ON b.query_term = q.term_id) GROUP BY 1, 2",
+    "meas": _meas,
+    "near": f"SELECT e.patient_id, e.disease_id, e.similarity, coalesce(s.n_match, 0) AS n_match, coalesce(s.ic_share, 0) AS ic_share, coalesce(s.weighted, 0) AS weighted, s.total_associations FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY similarity DESC, disease_id) AS n FROM bsim) e LEFT JOIN meas s USING (patient_id, disease_id) WHERE e.n <= {K + 50}",
+    "emb_top": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY similarity DESC, n_match DESC, total_associations NULLS LAST, disease_id) AS rank FROM near) WHERE rank <= {K}",
+    "resort_top": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY n_match DESC, similarity DESC, total_associations NULLS LAST, disease_id) AS rank FROM near) WHERE rank <= {K}",
+}
+METHODS = ["ic", "freq", "resort"]
 _done = {
-    **_three, "lists": _lists, "keys": "SELECT DISTINCT patient_id, disease_id FROM lists", "methods": "SELECT unnest(['ic', 'freq', 'overlap']) AS method, unnest([0, 1, 2]) AS priority",
-    "known": "SELECT l.patient_id, l.disease_id, arg_min(-rank, priority) AS other FROM lists l JOIN methods USING (method) GROUP BY 1, 2",
-    "filled": "SELECT k.patient_id, m.method, k.disease_id, row_number() OVER (PARTITION BY k.patient_id, m.method ORDER BY coalesce(-l.rank, o.other) DESC, k.disease_id) AS rank FROM keys k CROSS JOIN methods m LEFT JOIN lists l ON l.patient_id = k.patient_id AND l.disease_id = k.disease_id AND l.method = m.method JOIN known o ON o.patient_id = k.patient_id AND o.disease_id = k.disease_id",
+    **_emb, "r0": _ranked("ic", "ic_share", "n_match"), "r1": _ranked("freq", "weighted", "n_match"),
+    "lists": "SELECT patient_id, disease_id, n_match, ic_share, weighted, 0.0::DOUBLE AS similarity, total_associations, 'ic' AS method, 0 AS priority FROM r0 UNION ALL SELECT patient_id, disease_id, n_match, ic_share, weighted, 0.0::DOUBLE, total_associations, 'freq', 1 FROM r1 UNION ALL SELECT patient_id, disease_id, n_match, ic_share, weighted, similarity, total_associations, 'resort', 2 FROM resort_top",
+    "methods": "SELECT unnest(['ic', 'freq', 'resort']) AS method",
+    "taken": "SELECT * FROM (SELECT l.patient_id, l.disease_id, m.method, l.n_match, l.ic_share, l.weighted, l.similarity, l.total_associations, row_number() OVER (PARTITION BY l.patient_id, l.disease_id, m.method ORDER BY l.method <> m.method, l.priority) AS n FROM lists l CROSS JOIN methods m) WHERE n = 1",
+    "filled": "SELECT patient_id, method, disease_id, row_number() OVER (PARTITION BY patient_id, method ORDER BY CASE method WHEN 'ic' THEN ic_share WHEN 'freq' THEN weighted ELSE n_match END DESC, CASE method WHEN 'resort' THEN similarity ELSE n_match END DESC, total_associations NULLS LAST, disease_id) AS rank FROM taken",
     "ratios": "SELECT *, rank / max(rank) OVER (PARTITION BY patient_id) AS ratio FROM filled",
     "fused": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY z, disease_id) AS rank FROM (SELECT patient_id, disease_id, round(product(ratio), 9) AS z FROM ratios GROUP BY 1, 2)) WHERE rank <= {K}",
 }
 
 
+def _nearest(x: Fixture) -> DataFrame:
+    return match.best_match_similarity(x.query, x.annotation, "disease_id", x.embedding, x.ic)
+
+
 def _lists_of(x: Fixture) -> dict[str, DataFrame]:
     from ..operators.lineage import cut
 
     s = cut(_summary(x))
-    return {m: rank.rank_overlap(s, m, K) for m in ("ic", "freq", "overlap")}
+    return {m: rank.rank_overlap(s, m, K) for m in ("ic", "freq")} | {"resort": rank.rank_embedding(_nearest(x), s, K, True)}
 
 
 def _filled(x: Fixture) -> DataFrame:
-    rows = None
-    for m, df in _lists_of(x).items():
-        part = df.select("patient_id", F.lit(m).alias("method"), F.col("disease_id").alias("key"), "rank")
-        rows = part if rows is None else rows.unionByName(part)
-    return fusion.complete_rankings(rows, rows.withColumn("measure", -F.col("rank")), ["ic", "freq", "overlap"])
+    return fusion.complete_rankings(fusion.listed(_lists_of(x)), METHODS)
 
 
 @query("Z02_complete_rankings", "SELECT patient_id, method, disease_id AS key, rank FROM filled", _done)
@@ -633,20 +646,23 @@ def _(x):
     return fusion.fuse(_lists_of(x), K).select("patient_id", "key", "z", "rank")
 
 
-_truth = {"truth": "SELECT patient_id, arg_min(disease_id, (-n, disease_id)) AS disease_id FROM (SELECT o_custkey AS patient_id, l_suppkey AS disease_id, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 30 = 0 GROUP BY 1, 2) GROUP BY 1",
+_truth = {"truth": "SELECT patient_id, arg_min(disease_id, (-n, disease_id)) AS disease_id FROM (SELECT o_custkey AS patient_id, l_suppkey AS disease_id, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 20 = 0 GROUP BY 1, 2) GROUP BY 1",
           **_done, "pairs": "SELECT f.patient_id, f.rank, CASE WHEN f.disease_id = t.disease_id THEN 1.0 WHEN s.s_nationkey = u.s_nationkey THEN 0.85 ELSE abs(s.s_nationkey - u.s_nationkey) / 50.0 END::DOUBLE AS sim FROM fused f JOIN truth t USING (patient_id) JOIN supplier s ON s.s_suppkey = f.disease_id JOIN supplier u ON u.s_suppkey = t.disease_id",
           "best": "SELECT patient_id, max(sim) AS sim, arg_max(rank, (sim, -rank)) AS rank, max(sim) >= 0.8 AS hit FROM pairs GROUP BY 1"}
 
 
+def _true_ids(x: Fixture) -> DataFrame:
+    o = x.table("orders").where("o_custkey % 20 = 0").join(x.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return o.groupBy(F.col("o_custkey").alias("patient_id"), "l_suppkey").agg(F.count("*").alias("n")).groupBy("patient_id").agg(F.min_by("l_suppkey", F.struct(-F.col("n"), "l_suppkey")).alias("true_id"))
+
+
 def _pairs(x: Fixture) -> DataFrame:
     from ..operators.lineage import cut
 
-    o = x.table("orders").where("o_custkey % 30 = 0").join(x.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    truth = o.groupBy(F.col("o_custkey").alias("patient_id"), "l_suppkey").agg(F.count("*").alias("n")).groupBy("patient_id").agg(F.min_by("l_suppkey", F.struct(-F.col("n"), "l_suppkey")).alias("true_id"))
     s = x.table("supplier").select("s_suppkey", "s_nationkey")
     a, b = s.toDF("key", "ka"), s.toDF("true_id", "kb")
     sim = F.when(F.col("key") == F.col("true_id"), 1.0).when(F.col("ka") == F.col("kb"), 0.85).otherwise(F.abs(F.col("ka") - F.col("kb")) / 50.0)
-    return cut(fusion.fuse(_lists_of(x), K).join(truth, "patient_id").join(a, "key").join(b, "true_id").select("patient_id", "rank", sim.alias("sim")))
+    return cut(fusion.fuse(_lists_of(x), K).join(_true_ids(x), "patient_id").join(a, "key").join(b, "true_id").select("patient_id", "rank", sim.alias("sim")))
 
 
 @query("E02_best_match_rank", "SELECT patient_id, sim, rank, hit FROM best", _truth)
@@ -701,22 +717,30 @@ def _(x):
 
 
 _ws = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+_grams = "SELECT doc_id, pos, 1 AS n, w AS g FROM words UNION ALL SELECT a.doc_id, a.pos, 2, a.w || ' ' || b.w FROM words a JOIN words b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1"
 _lex = {"words": f"SELECT doc_id, unnest({_ws}) AS w, unnest(range(1, len({_ws}) + 1)) AS pos FROM documents", "lexicon": "SELECT w AS phrase, CAST(abs(ascii(w)) * 1000 + length(w) AS BIGINT) AS term_id FROM (SELECT w, count(DISTINCT doc_id) AS n FROM words GROUP BY 1 HAVING n >= 30 AND length(w) >= 4)"}
 
 
-@query("T02_dictionary_annotate", "SELECT doc_id, pos, CAST(1 AS INT) AS n_words, term_id FROM words JOIN lexicon ON phrase = w", _lex)
+_lex |= {"grams": _grams, "phrases": "SELECT g AS phrase, n, CAST(abs(ascii(g)) * 1000 + length(g) AS BIGINT) AS term_id FROM (SELECT g, n, count(DISTINCT doc_id) AS c FROM grams GROUP BY 1, 2 HAVING c >= 30 AND length(g) >= 4)"}
+
+
+@query("T02_dictionary_annotate", "SELECT doc_id, pos, CAST(n AS INT) AS n_words, term_id FROM (SELECT g.doc_id, g.pos, g.n, p.term_id, row_number() OVER (PARTITION BY g.doc_id, g.pos ORDER BY g.n DESC, p.term_id) AS k FROM grams g JOIN phrases p ON p.phrase = g.g) WHERE k = 1", _lex)
 def _(x):
     docs = x.table("documents").select("doc_id", "text")
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("w"))
-    lexicon = words.groupBy("w").agg(F.count("*").alias("n")).where("n >= 30 and length(w) >= 4").select(F.col("w").alias("phrase"), (F.ascii("w") * 1000 + F.length("w")).cast("long").alias("term_id"))
-    hits = textops.dictionary_annotate(docs, lexicon, 1)
-    return hits.select("doc_id", F.col("pos").cast("long").alias("pos"), "n_words", "term_id")
+    words = docs.select("doc_id", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w"))
+    two = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
+    phrases = words.select(F.explode(F.array_distinct(F.concat("w", two))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).where("n >= 30 and length(phrase) >= 4")
+    lexicon = phrases.select("phrase", (F.ascii("phrase") * 1000 + F.length("phrase")).cast("long").alias("term_id"))
+    return textops.dictionary_annotate(docs, lexicon).select("doc_id", F.col("pos").cast("long").alias("pos"), "n_words", "term_id")
 
 
-@query("T03_name_resolver", "SELECT s_name AS name, s_suppkey AS disease_id, 1.0::DOUBLE AS sim FROM supplier")
+@query("T03_name_resolver", "SELECT name, CASE i % 5 WHEN 0 THEN i WHEN 1 THEN i WHEN 2 THEN i WHEN 3 THEN -1 ELSE i END AS disease_id, CASE i % 5 WHEN 3 THEN 0.0 ELSE 1.0 END::DOUBLE AS sim FROM (SELECT s_suppkey AS i, CASE s_suppkey % 5 WHEN 0 THEN s_name WHEN 1 THEN upper(s_name) WHEN 2 THEN lower(s_name) || ' disease' WHEN 3 THEN 'nothing like ' || s_suppkey ELSE CAST(s_suppkey AS VARCHAR) END AS name FROM supplier)")
 def _(x):
-    alias = x.alias.where("pos = 0")
-    return textops.name_resolver(alias.select(F.col("alias").alias("name")), alias, lambda a, b: F.when(F.lower(a) == F.lower(b), 1.0).otherwise(0.5))
+    i = F.col("s_suppkey") % 5
+    name = F.when(i == 0, F.col("s_name")).when(i == 1, F.upper("s_name")).when(i == 2, F.concat(F.lower("s_name"), F.lit(" disease"))).when(i == 3, F.concat(F.lit("nothing like "), F.col("s_suppkey").cast("string"))).otherwise(F.col("s_suppkey").cast("string"))
+    tokens = lambda c: F.array_sort(names.key_tokens(c))
+    asked = x.table("supplier").select(name.alias("name"))
+    return textops.name_resolver(asked, x.alias.where("pos = 0"), lambda a, b: F.when(tokens(a) == tokens(b), 1.0).otherwise(0.5), id_pattern=r"^\d+$")
 
 
 @query("T04_parse_ranked_answer", "SELECT CAST(s_nationkey AS BIGINT) AS answer_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS idx, s_name AS name FROM supplier")
@@ -746,13 +770,15 @@ def _(x):
     return textops.render_case_line(x.annotation, none)
 
 
-@query("T12_term_profile", "SELECT disease_id, count(*) FILTER (WHERE freq IS NULL OR freq < 0.05) AS low, count(*) FILTER (WHERE freq BETWEEN 0.3 AND 0.79) AS frequent, count(*) FILTER (WHERE freq >= 1) AS obligate FROM ann GROUP BY 1")
+@query("T12_term_profile", "SELECT disease_id, CASE WHEN freq IS NULL THEN 'Unknown' WHEN freq = 0 THEN 'Excluded' WHEN freq BETWEEN 0.01 AND 0.04 THEN 'Very rare' WHEN freq BETWEEN 0.05 AND 0.29 THEN 'Occasional' WHEN freq BETWEEN 0.3 AND 0.79 THEN 'Frequent' WHEN freq BETWEEN 0.8 AND 0.99 THEN 'Very frequent' WHEN freq >= 1 THEN 'Obligate' ELSE 'Unknown' END AS bucket, string_agg(DISTINCT name, '; ' ORDER BY name) AS terms FROM ann JOIN term USING (term_id) GROUP BY 1, 2")
 def _(x):
-    p = x.annotation.withColumn("b", freq.freq_bucket(F.col("freq"))).groupBy("disease_id").pivot("b", ["Unknown", "Excluded", "Very rare", "Occasional", "Frequent", "Very frequent", "Obligate"]).count().na.fill(0)
-    return p.select("disease_id", (F.col("Unknown") + F.col("Excluded") + F.col("Very rare")).alias("low"), F.col("Frequent").alias("frequent"), F.col("Obligate").alias("obligate"))
+    return textops.term_profile(x.annotation, x.term)
+
+
+_plain = "trim(regexp_replace(regexp_replace(p, '<[^>]*>', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
 
 
-@query("T13_page_description")
+@query("T13_page_description", f"SELECT page_id, arg_min(d, (-length(d), d)) AS description FROM (SELECT page_id, nullif({_plain}, '') AS d FROM (SELECT page_id, unnest(CASE WHEN len(ps) = 0 THEN [''] ELSE ps END) AS p FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?s)<p(?:\\s[^>]*)?>(.*?)</p>', 1) AS ps FROM pages))) GROUP BY 1")
 def _(x):
     return textops.page_description(x.table("pages"))
 
@@ -764,9 +790,7 @@ def _(x):
 
 @query("T16_terms_without_category", "SELECT patient_id, string_agg(CAST(term_id AS VARCHAR), ',' ORDER BY term_id) AS terms FROM q WHERE term_id NOT IN (SELECT term_id FROM selfc WHERE ancestor_id BETWEEN 2 AND 9) GROUP BY 1")
 def _(x):
-    known = ontology.top_categories(x.closure, x.term, x.term.where("term_id between 2 and 9"))
-    rows = x.query.join(known, "term_id", "left_anti").groupBy("patient_id").agg(F.array_sort(F.collect_list("term_id")).alias("t"))
-    return rows.select("patient_id", F.array_join(F.transform("t", lambda v: v.cast("string")), ",").alias("terms"))
+    return textops.terms_without_category(x.query, ontology.top_categories(x.closure, x.term, x.term.where("term_id between 2 and 9")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
