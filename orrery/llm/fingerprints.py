@@ -154,25 +154,24 @@ def following(docs: DataFrame) -> DataFrame:
 def versions(docs: DataFrame) -> DataFrame:
     """Each row's id (key), length and digests (a), the digest of its edited text, and the digests of the edited (b) and the next text (c)."""
     order = following(docs)
-    docs = docs.withColumn("a", F.expr(digests("text")))
     total = order.agg(F.sum("rows").alias("total"))
     # fewer than HOT ids can each bear more than one in HOT rows
     hot = written(order.join(F.broadcast(total), how="cross").where(F.col("rows") * HOT > F.greatest("total", F.lit(HOT * HOT))).select("key", F.lit(True).alias("hot")), "hot")
     share = F.when(F.col("hot"), F.pmod(F.xxhash64("text"), F.lit(SPREAD))).otherwise(0).cast("int")
-    dealt = docs.join(F.broadcast(hot), "key", "left").withColumn("share", share).repartition("key", "share")  # read by both branches: the texts are shuffled once
+    dealt = docs.join(F.broadcast(hot), "key", "left").withColumn("share", share).repartition("key", "share")  # read by both branches: the texts are shuffled once, as long as no lambda lies below
     lenders = order.select(F.col("next_key").alias("key"), F.col("key").alias("to"), "half")
-    single = lenders.join(F.broadcast(hot), "key", "left_anti").withColumn("share", F.lit(0))
-    one = dealt.groupBy("key", "share").agg(F.min(F.struct("text", "a")).alias("m")).join(single.hint("merge"), ["key", "share"])
-    many = docs.join(F.broadcast(hot), "key").groupBy("key").agg(F.min(F.struct("text", "a")).alias("m")).join(lenders.hint("merge"), "key")
-    lent = one.select("to", "half", "m").union(many.select("to", "half", "m"))
-    gifts = lent.select(F.col("to").alias("key"), F.substr("m.text", F.lit(1), F.col("half").cast("int")).alias("head"), F.col("m.a").alias("c"))
+    single = lenders.join(F.broadcast(hot), "key", "left_anti").withColumn("share", F.pmod("half", F.lit(1)).cast("int"))  # 0, but no constant that would filter one branch
+    one = dealt.groupBy("key", "share").agg(F.min("text").alias("text")).join(single.hint("merge"), ["key", "share"])
+    many = docs.join(F.broadcast(hot), "key").groupBy("key").agg(F.min("text").alias("text")).join(lenders.hint("merge"), "key")
+    lent = one.select("to", "half", "text").union(many.select("to", "half", "text"))
+    gifts = lent.select(F.col("to").alias("key"), F.substr("text", F.lit(1), F.col("half").cast("int")).alias("head"), F.expr(digests("text")).alias("c"))
     shares = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
     gifts = gifts.join(F.broadcast(hot), "key", "left").select("key", "head", "c", F.explode(shares).alias("share"))
     own = dealt.drop("hot").join(gifts.hint("merge"), ["key", "share"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = own.withColumn("edited", F.concat(F.substr("text", F.lit(1), n - half), F.substr("head", F.lit(1), half)))
-    return edited.select("key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", F.expr(digests("edited")).alias("b"), "c")
+    return edited.select("key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.expr(digests("text")).alias("a"), F.expr(digests("edited")).alias("b"), "c")
 
 
 def compare_versions(docs: DataFrame) -> DataFrame:
