@@ -10,8 +10,9 @@ to the other's size (slots modulo the smaller ``s``), equal slots meet in one so
 Peeling takes all cells that hold one digest (count 1 or -1, the check holds, and the cell is one of the digest's own),
 removes these digests from their cells, and goes on until nothing is left: what was removed are the digests that only
 one text has. If cells remain, the two sketches were too small, and both are made anew from the digests, with four
-times the room each time and another hash, up to ``TRIES`` times (each fails for less than one pair in 100,000). Should
-even the last fail, the job stops with an error rather than give a guess.
+times the room each time and another hash, up to ``TRIES`` times in all. By the odds of two digests sharing all three cells, the first try
+fails for about one pair in 10,000 (more where sizes are very unlike), the second for one in a million, and each further one
+for 64 times fewer; none of this was measured. Should even the last fail, the job stops with an error rather than give a guess.
 
 The likeness of two texts is the share of their paragraphs that both have (1 for two texts without paragraphs); it
 comes from the number of digests in the fingerprint and from what peeling recovers. All of it works within a row, in
