@@ -101,8 +101,8 @@ def word_of(fps: np.ndarray, table: int, width: int) -> np.ndarray:
     return padded.view(np.uint64).ravel()
 
 
-def celled(tables: int, width: int, budget: int):
-    """Each fingerprint once for every block of every word, with the block's value as its cell."""
+def celled(tables: range, width: int, budget: int):
+    """Each fingerprint once for every block of each of the words ``tables``, with the block's value as its cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,20 +110,23 @@ def celled(tables: int, width: int, budget: int):
             if not raw:
                 continue
             fps = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-            for table in range(tables):
+            for table in tables:
                 word = word_of(fps, table, width)
                 for k, (low, size) in enumerate(blocks(width, budget)):
                     cell = (word >> np.uint64(low)) & np.uint64((1 << size) - 1)
                     cell |= np.uint64((table * (budget + 1) + k) << 32)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), batch.column("fp")], ["cell", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), batch.column("fp"), batch.column("root")], ["cell", "fp", "root"])
 
     return run
 
 
-def linked(word: np.ndarray, fps: np.ndarray, width: int, budget: int, limit: int) -> np.ndarray:
-    """For each of the sorted words, the index of its component's first: the trie self-join of one cell."""
+def linked(word: np.ndarray, fps: np.ndarray, known: np.ndarray, width: int, budget: int, limit: int) -> np.ndarray:
+    """For each of the sorted words, the index of its component's first: the trie self-join of one cell.
+
+    Rows of equal ``known`` are in one component from the start, so the traversal skips pairs of nodes that hold no others."""
     n = len(word)
-    root = np.arange(n)
+    _, first, which = np.unique(known, return_index=True, return_inverse=True)
+    root = first[which]
 
     def join(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal root
@@ -192,34 +195,30 @@ def linked(word: np.ndarray, fps: np.ndarray, width: int, budget: int, limit: in
 
 
 def joined(width: int, budget: int, limit: int):
-    """The links of each cell, as a forest: rows come in order of cells."""
-
-    def node(raw: bytes) -> int:
-        h = xxhash.xxh64_intdigest(raw, 42)  # as Spark's xxhash64
-        return h - (1 << 64) if h >> 63 else h
-
-    def batch_of(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([node(x) for x, _ in out], pa.int64()), pa.array([node(y) for _, y in out], pa.int64())], ["u", "v"])
+    """The links of each cell between roots, as a forest: rows come in order of cells."""
 
-    def links(cell: int, raw: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def links(cell: int, raw: list[bytes], known: np.ndarray) -> list[tuple[int, int]]:
+        if (known == known[0]).all():
+            return []
         if len(raw) == 2:
-            return [(raw[0], raw[1])] if (int.from_bytes(raw[0]) ^ int.from_bytes(raw[1])).bit_count() <= limit else []
+            return [tuple(known.tolist())] if (int.from_bytes(raw[0]) ^ int.from_bytes(raw[1])).bit_count() <= limit else []
         fps = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
         word = word_of(fps, (cell >> 32) // (budget + 1), width)
         order = np.argsort(word, kind="stable")
-        root = linked(word[order], np.ascontiguousarray(fps[order]).view(np.uint64), width, budget, limit)
-        # every component's least fingerprint is its end of all edges, so cells that find the same component give the same edges
-        least: dict[int, bytes] = {}
-        held = [(raw[order[i]], r) for i, r in enumerate(root.tolist())]
+        root = linked(word[order], np.ascontiguousarray(fps[order]).view(np.uint64), known[order], width, budget, limit)
+        # the least root of a component is its end of all edges, so cells that find the same component give the same edges
+        held = list(zip(known[order].tolist(), root.tolist()))
+        least: dict[int, int] = {}
         for x, r in held:
             least[r] = min(x, least.get(r, x))
-        return [(x, least[r]) for x, r in held if x != least[r]]
+        return list({(x, least[r]) for x, r in held if x != least[r]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (cell, _), held in runs(batches, ("cell", "part")):
             raw = [x for batch in held for x in batch.column("fp").to_pylist()]
             if len(raw) > 1:
-                yield batch_of(links(cell, raw))
+                found = links(cell, raw, np.concatenate([batch.column("root").to_numpy() for batch in held]))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
 
     return run
 
@@ -251,13 +250,13 @@ def in_blocks(rows: DataFrame, blocks: Column, key: str) -> DataFrame:
     return spread.withColumn("part", low.cast("long") * F.col("_of") + high).drop("_of", "_other")
 
 
-def near_edges(distinct: DataFrame, tables: int = 1, width: int = 64, budget: int = 2, limit: int = 2) -> DataFrame:
-    """Edges (u, v) of nodes that connect all distinct fingerprints ``fp`` within reach of one another."""
-    cells = distinct.select("fp").mapInArrow(celled(tables, width, budget), "cell long, fp binary")
+def near_edges(distinct: DataFrame, tables: range = range(1), width: int = 64, budget: int = 2, limit: int = 2) -> DataFrame:
+    """Edges (u, v) of roots that connect all distinct fingerprints (fp, root) within reach of one another, as the words ``tables`` find them."""
+    cells = distinct.select("fp", "root").mapInArrow(celled(tables, width, budget), "cell long, fp binary, root long")
     if distinct.count() > CELL_ROWS:  # no cell has more rows
         # at most one row for each CELL_ROWS rows
         large = cells.groupBy("cell").agg(F.count("*").alias("_n")).where(F.col("_n") > CELL_ROWS)
-        cells = in_blocks(cells.join(F.broadcast(written(large, "cells")), "cell", "left"), F.coalesce(F.ceil(F.col("_n") / CELL_ROWS), F.lit(1)), "fp").select("cell", "part", "fp")
+        cells = in_blocks(cells.join(F.broadcast(written(large, "cells")), "cell", "left"), F.coalesce(F.ceil(F.col("_n") / CELL_ROWS), F.lit(1)), "fp").select("cell", "part", "fp", "root")
     else:
         cells = cells.withColumn("part", F.lit(0).cast("long"))
     return cells.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(joined(width, budget, limit), "u long, v long")
@@ -296,7 +295,7 @@ def grouped(fps: DataFrame, id_col: str = "doc_id", **search) -> DataFrame:
     A fingerprint's node is its XXH64: one to one for 64 bits, and 64 bits of a hash for longer fingerprints."""
     fps = fps.withColumn("node", F.xxhash64("fp"))
     distinct = written(fps.groupBy("node", "fp").agg(F.min(id_col).alias("_least")), "fingerprints")
-    roots = components(near_edges(distinct, **search)).hint("merge")
+    roots = components(near_edges(distinct.select("fp", F.col("node").alias("root")), **search)).hint("merge")
     placed = distinct.select("node", "_least").join(roots, "node", "left").select("node", "_least", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
     named = placed.select("node", "root").join(least.hint("merge"), "root").select("node", "component_id")
@@ -304,7 +303,10 @@ def grouped(fps: DataFrame, id_col: str = "doc_id", **search) -> DataFrame:
 
 
 #: The wide fingerprint for five-word shingles and a similarity of 0.8: 16 words of 24 bits.
-WIDE = {"tables": 16, "width": 24, "budget": 2}
+TABLES = 16
+WIDE = {"width": 24, "budget": 2}
+#: The words are joined in so many steps; a later step links only what the earlier ones left apart.
+STEPS = (range(2), range(2, TABLES))
 SIMILARITY = 0.8
 #: Pairs are candidates from this much below the similarity on: over four standard errors of what 384 bits estimate.
 MARGIN = 0.2
@@ -432,18 +434,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     occurrences by all. Texts without words, null ones too, are copies of one another. An empty table gives no rows; extra
     columns of any name pass through.
 
-    Wide fingerprints of the sets find candidate groups by the trie self-join, with a margin. Within a group all pairs are
+    Wide fingerprints of the sets find candidate groups by the trie self-join, with a margin; the first two words join most
+    copies of a large group, so that the other words add few links to it. Within a group all pairs are
     compared exactly: the sets of a group meet in one task, or, if they are many, by pairs of blocks in many tasks, and
     only pairs within reach link."""
-    bits = WIDE["tables"] * WIDE["width"]
+    bits = TABLES * WIDE["width"]
     (row,) = unused(docs.columns, "row")
     keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
     plain = keyed.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
     nodes = written(shingle_sets(plain, words, bits).groupBy("node", "n", "fp").agg(least).withColumn("at", F.xxhash64("fp")), "nodes")
-    search = {**WIDE, "limit": reach(similarity - MARGIN, bits)}
-    roots = components(near_edges(nodes.select("fp").distinct(), **search)).withColumnRenamed("node", "at")
-    placed = nodes.select("node", "n", "at", F.col("least.row").alias("row")).join(roots.hint("merge"), "at", "left").select("node", "n", "row", F.coalesce("root", "at").alias("comp"))
+    comps = nodes.select("fp", F.col("at").alias("root")).distinct()
+    for tables in STEPS:
+        roots = components(near_edges(comps, tables, limit=reach(similarity - MARGIN, bits), **WIDE)).withColumnRenamed("root", "to")
+        comps = written(comps.join(roots.withColumnRenamed("node", "root").hint("merge"), "root", "left").select("fp", F.coalesce("to", "root").alias("root")), "comps")
+    placed = nodes.select("node", "n", "fp", F.col("least.row").alias("row")).join(comps.withColumnRenamed("root", "comp").hint("merge"), "fp").select("node", "n", "row", "comp")
     several = placed.groupBy("comp").agg(F.count("*").alias("members")).where("members > 1").select("comp")
     members = written(placed.join(several.hint("merge"), "comp"), "members")
     links = components(exact_links(members, plain.select("row", "text"), words, similarity))
