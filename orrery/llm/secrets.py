@@ -2,14 +2,15 @@
 
 Each text gives spans ``(start, end, kind)`` in code points, end exclusive. The base kinds are leftmost,
 non-overlapping matches of a pattern. The added kind, ``random``, holds strings that look drawn at random
-from the alphabet of the encoding inferred for them. Its null hypothesis is *structured text*:
+from the alphabet of the encoding inferred for them. Three tests hold a string against uniform draws from that alphabet:
 
-* chi-squared: against an effective alphabet of ``K0`` equally likely symbols, as prose has, a random string
-  is too even, so the statistic falls far into the lower tail;
-* runs: adjacent symbols change their class (upper, lower, digit, sign) more often than in words;
-* serial correlation: neighbours that depend on each other (counters, alphabets) weaken the evidence.
+* chi-squared: repeats of a symbol, against those that equally likely symbols give;
+* runs: changes of class (upper, lower, digit, sign) between neighbours, against the alphabet's own rate;
+* serial correlation of neighbours' places in the alphabet (counters and alphabets depend on each other).
 
-The z values are combined by Stouffer's rule. Within a document, the p values are weighted by length (longer
+The root of their sum of squares is small for random strings and grows with length for structured ones. The null hypothesis
+is *structured text*: the p value is the share of structured strings of this encoding and length with a root as small, by a
+line through logarithms (``NULL``, fitted by ``secret_null``). Within a document, the p values are weighted by length (longer
 strings carry more evidence), and the Benjamini-Hochberg step-up at rate ``fdr`` says which strings count.
 
 Null text counts as empty, an empty text has no spans, and every row gives one row.
@@ -30,11 +31,19 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # a run is matched whole, so shorter runs need not be listed to be dropped
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-# By encoding, its alphabet's order, the effective alphabet and the class-change rate of structured text.
+# By encoding, its alphabet's order, its number of equally likely symbols, and its rate of class changes.
 ENCODINGS = {
-    "hex": ("0123456789abcdef", 8.0, 0.20),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 12.0, 0.10),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 15.0, 0.25),
+    "hex": ("0123456789abcdef", 16.0, 0.46875),
+    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32.0, 0.3047),
+    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 64.0, 0.6445),
+}
+# Fixed values, fitted by secret_null: the mean of the logarithm under the null, as (constant, slope) in the length's logarithm,
+# and its spread, likewise; the spread of longer strings is that of LONGEST symbols.
+LONGEST = 96
+NULL = {
+    "hex": (0.4941, 0.7435, 0.6534, -0.0368),
+    "base32": (-1.2699, 0.8334, 0.0091, 0.039),
+    "base64": (0.4899, 0.5396, 0.863, -0.1499),
 }
 SPAN = "array<struct<start:int,kind:int,end:int,hit:string>>"
 
@@ -84,31 +93,44 @@ def encoding(hit: Column) -> Column:
     )
 
 
+def statistics(hit: Column, name: str) -> Column:
+    """``n``, and the three tests of a string against uniform draws of the encoding ``name``: ``even``, ``runs``, ``serial``."""
+    alphabet, k, rate = ENCODINGS[name]
+    body = F.lower(hit) if name == "hex" else F.rtrim(hit, F.lit("="))
+    n = F.length(body).cast("double")
+    counts = F.transform(F.array(*[F.lit(c) for c in alphabet]), lambda c: (F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double"))
+    repeats = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * (c - 1))
+    even = F.try_divide(repeats - n * (n - 1) / k, F.sqrt(2 * n * (n - 1) / k * (1 - 1 / k)))
+    classes = reduce(lambda text, x: F.regexp_replace(text, *x), (("[A-Z]+", "\u0001"), ("[a-z]+", "\u0002"), ("[0-9]+", "\u0003"), (r"[+/_=-]+", "\u0004")), body)
+    changes = F.length(classes).cast("double") - 1
+    runs = F.try_divide(F.abs(changes - rate * (n - 1)), F.sqrt(rate * (1 - rate) * (n - 1)))
+    values = F.transform(F.split(body, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
+
+    def correlation(x: Column) -> Column:
+        size = F.size(x).cast("double")
+        mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / size
+        around = bind(mean, lambda m: F.transform(x, lambda v: v - m))
+        return bind(around, lambda d: F.try_divide(
+            F.aggregate(F.zip_with(F.slice(d, 1, F.size(d) - 1), F.slice(d, 2, F.size(d) - 1), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v),
+            F.aggregate(d, F.lit(0.0), lambda s, v: s + v * v)) * F.sqrt(size))
+
+    serial = bind(F.filter(values, lambda v: v > 0), lambda x: F.when(F.size(x) > 1, correlation(x)))
+    constant = F.lit(9.0)  # one symbol throughout has no correlation, and is no random string
+    return F.struct(n.alias("n"), F.coalesce(even, constant).alias("even"), F.coalesce(runs, constant).alias("runs"), F.abs(F.coalesce(serial, constant)).alias("serial"))
+
+
+def distance(x: Column) -> Column:
+    """The three tests as one: how far a string is from uniform draws. Fewer repeats than expected are no distance."""
+    return F.sqrt(0.01 + F.greatest(x["even"], F.lit(0.0)) * F.greatest(x["even"], F.lit(0.0)) + x["runs"] * x["runs"] + x["serial"] * x["serial"])
+
+
 def battery(hit: Column) -> Column:
     """The combined p value of a string under the null hypothesis that it is structured text; 1 where no encoding fits."""
 
     def p_value(name: str) -> Column:
-        alphabet, k0, rate = ENCODINGS[name]
-        body = F.lower(hit) if name == "hex" else hit
-        n = F.length(hit).cast("double")
-        counts = F.transform(F.array(*[F.lit(c) for c in alphabet]), lambda c: (F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double"))
-        square = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c)
-        z_even = (k0 * square / n - n - (k0 - 1)) / F.sqrt(F.lit(2 * (k0 - 1)))
-        classes = reduce(lambda text, x: F.regexp_replace(text, *x), (("[A-Z]+", "\u0001"), ("[a-z]+", "\u0002"), ("[0-9]+", "\u0003"), (r"[+/_=-]+", "\u0004")), body)
-        changes = F.length(classes).cast("double") - 1
-        z_runs = -(changes - rate * (n - 1)) / F.sqrt(rate * (1 - rate) * (n - 1))
-        values = F.transform(F.split(body, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-
-        def serial(x: Column) -> Column:
-            size = F.size(x).cast("double")
-            mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / size
-            around = bind(mean, lambda m: F.transform(x, lambda v: v - m))
-            return bind(around, lambda d: F.try_divide(
-                F.aggregate(F.zip_with(F.slice(d, 1, F.size(d) - 1), F.slice(d, 2, F.size(d) - 1), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v),
-                F.aggregate(d, F.lit(0.0), lambda s, v: s + v * v)) * F.sqrt(size))
-
-        z_serial = F.greatest(F.lit(0.0), F.abs(F.coalesce(bind(F.filter(values, lambda v: v > 0), serial), F.lit(9.0))) - 2)
-        return normal_below((z_even + z_runs) / F.sqrt(F.lit(2.0)) + z_serial)
+        at, slope, base, up = NULL[name]
+        return bind(statistics(hit, name), lambda x: normal_below(
+            (F.log(distance(x)) - at - slope * F.log(x["n"])) / (base + up * F.least(F.log(x["n"]), F.log(F.lit(float(LONGEST)))))))
 
     return bind(encoding(hit), lambda e: reduce(lambda rest, name: F.when(e == name, p_value(name)).otherwise(rest), ENCODINGS, F.lit(1.0)))
 

@@ -5,7 +5,8 @@ import math
 import re
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-ALPHABETS = {"hex": ("0123456789abcdef", 8.0, 0.2), "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 12.0, 0.1), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 15.0, 0.25)}
+ALPHABETS = {"hex": ("0123456789abcdef", 16, 0.46875), "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, 0.3047), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 64, 0.6445)}
+NULL = {"hex": (0.4941, 0.7435, 0.6534, -0.0368), "base32": (-1.2699, 0.8334, 0.0091, 0.039), "base64": (0.4899, 0.5396, 0.863, -0.1499)}
 
 
 def base(text):
@@ -21,18 +22,21 @@ def p_value(hit):
         name = "hex"
     else:
         name = "base32" if re.fullmatch("[A-Z2-7]+=*", hit) else "base64"
-    alphabet, k0, rate = ALPHABETS[name]
-    body, n = hit.lower() if name == "hex" else hit, len(hit)
-    z_even = (k0 * sum(body.count(c) ** 2 for c in alphabet) / n - n - (k0 - 1)) / math.sqrt(2 * (k0 - 1))
+    alphabet, k, rate = ALPHABETS[name]
+    body = hit.lower() if name == "hex" else hit.rstrip("=")
+    n = len(body)
+    mean = n * (n - 1) / k
+    even = (sum(body.count(c) * (body.count(c) - 1) for c in alphabet) - mean) / math.sqrt(2 * mean * (1 - 1 / k)) if n > 1 else 9.0
     kinds = ["U" if c.isupper() else "L" if c.islower() else "D" if c.isdigit() else "S" for c in body]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    z_runs = -(changes - rate * (n - 1)) / math.sqrt(rate * (1 - rate) * (n - 1))
+    runs = abs(changes - rate * (n - 1)) / math.sqrt(rate * (1 - rate) * (n - 1)) if n > 1 else 9.0
     x = [alphabet.index(c) + 1.0 for c in body if c in alphabet]
-    mean = sum(x) / len(x)
-    d = [v - mean for v in x]
+    d = [v - sum(x) / len(x) for v in x]
     square = sum(v * v for v in d)
     serial = abs(sum(a * b for a, b in zip(d, d[1:])) / square * math.sqrt(len(x))) if square else 9.0
-    return 0.5 * math.erfc(-((z_even + z_runs) / math.sqrt(2) + max(0.0, serial - 2)) / math.sqrt(2))
+    at, slope, base, up = NULL[name]
+    far = math.sqrt(0.01 + max(even, 0) ** 2 + runs**2 + serial**2)
+    return 0.5 * math.erfc(-(math.log(far) - at - slope * math.log(n)) / (base + up * math.log(min(n, 96))) / math.sqrt(2))
 
 
 def scan(text, fdr=1e-3):

@@ -10,7 +10,7 @@ import pytest
 from oracle import check
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, dom, exact, fingerprints, html_main, language, packing, pieces, registry, secrets, simhash, warc
+from orrery.llm import chat, dom, exact, fingerprints, html_main, language, packing, pieces, registry, secret_null, secrets, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_sha256 string"
@@ -52,6 +52,19 @@ def test_secrets(spark, odd, none):
     assert secrets.redact(none).columns == none.columns and secrets.redact(none).count() == 0
 
 
+def test_secret_rates(spark):
+    """Structured strings of every length stay, at the stated rate; strings drawn at random are found."""
+    hit = F.col("hit")
+    written = ["/usr/local/lib/python3/dist-packages/numpy/core", "AbCdEfGhIjKlMnOpQrStUvWx", "A1-B2-C3-D4-E5-F6-G7-H8", "thewordsofaverylongplaintextwithoutspaces", "2024-01-02T03-04-05-2024-01-03", "a" * 40, "/".join(["some", "Longer", "path2"] * 400), "B" + "=" * 30]
+    rows = spark.createDataFrame([(x,) for x in written], "hit string").select("hit", secrets.battery(hit).alias("p")).collect()
+    assert not [r for r in rows if r.p <= 1e-3]
+    for strings, least, most in ((secret_null.structured(12_000, 77), 0.0, 0.003), (secret_null.drawn(1_800, 78), 0.9, 1.0)):
+        ps = spark.createDataFrame([(x,) for x in strings], "hit string").select(F.length(hit).alias("n"), secrets.battery(hit).alias("p")).toPandas()
+        for low, high in ((20, 31), (32, 63), (64, 10_000)):
+            own = ps[ps["n"].between(low, high)]["p"]
+            assert len(own) > 200 and least * (0.9 if low == 20 else 1) <= (own <= 1e-3).mean() <= most
+
+
 def test_exact(spark, odd, none):
     kept = sorted((r.doc_id for r in exact.exact_dedup(odd).collect()), key=str)
     assert kept == sorted([2, 4, 5, 6, 7, 8], key=str)
