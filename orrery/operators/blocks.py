@@ -1,57 +1,45 @@
-"""All pairs of a query set and a library, in blocks: each pair of blocks is one row, worked on as matrices in its task.
+"""A query set against a whole library of vectors, exactly.
 
-A block holds about ``ROWS`` vectors, so a task's memory does not depend on the tables' sizes; all rows of a key are in
-one block. The pairs of blocks come from a join on the query block's number, not from a product of the rows."""
+The library is written once in blocks of about ``ROWS`` vectors and stays where it is; the query set goes to it in slabs of about
+``SLAB`` vectors, a bounded table that is sent to all tasks. A task works on one block at a time as matrices, over the distinct
+vectors of both sides and at most ``CELLS`` values at once, so its memory does not depend on the tables' sizes. All
+rows of a key are in one block or slab. With ``k`` a task keeps what can be among a query key's k best: k rows and those within ``SLACK``
+of the last, so that rounding later changes nothing; bounds (a centroid and an angle, or distances to pivots) leave out entries
+that can't be among them before they are scored. Without ``k`` every pair is a row, or those above ``least``.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, new_path
 
-ROWS = 2048
+ROWS, SLAB, CELLS, SLACK, PIVOTS = 8192, 32768, 4_000_000, 1e-6, 8
 
 #: keys, weights and vectors of a block's rows, in order of keys.
 Block = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def packed(rows: DataFrame, key: str, weight: Column, vector: Column, size: int) -> tuple[DataFrame, int]:
-    """(block, rows array<struct<k, w, v>>) by a hash of ``key``; and the number of blocks."""
+def packed(rows: DataFrame, key: str, weight: Column, vector: Column, size: int) -> DataFrame:
+    """(block, rows array<struct<k, w, v>>) by a hash of ``key``."""
     n = max(1, -(-rows.count() // size))
     held = rows.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), F.struct(F.col(key).cast("long").alias("k"), weight.cast("double").alias("w"), vector.alias("v")).alias("r"))
-    return held.groupBy("block").agg(F.sort_array(F.collect_list("r")).alias("rows")), n
+    return held.groupBy("block").agg(F.sort_array(F.collect_list("r")).alias("rows"))
 
 
 def unpacked(column: pa.Array, i: int) -> Block:
     rows = column[i].values
-    vectors = rows.field("v")
+    flat = rows.field("v").flatten().to_numpy(zero_copy_only=False)
     k = len(rows)
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
     return rows.field("k").to_numpy(), rows.field("w").to_numpy(zero_copy_only=False), flat.reshape(k, -1) if k else flat.reshape(0, 1)
 
 
-def block_pairs(query: DataFrame, library: DataFrame, score: Callable[[Block, Block], dict[str, np.ndarray]], schema: str, size: int = ROWS) -> DataFrame:
-    """``score`` of every pair of a query block and a library block; both tables are (key, w, v) with integer keys and
-    vectors of one length. Rows with null vectors have to be left out before."""
-    q, n = packed(cut(query), "key", F.col("w"), F.col("v"), size // 4)
-    lib, _ = packed(cut(library), "key", F.col("w"), F.col("v"), size)
-    right = cut(lib.select("block", F.col("rows").alias("r"))).select("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
-    pairs = right.join(cut(q).withColumnRenamed("rows", "l").hint("merge"), "block").repartition(F.xxhash64("block", F.col("r")[0]["k"]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                out = score(unpacked(batch.column("l"), i), unpacked(batch.column("r"), i))
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in out.values()], list(out))
-
-    return pairs.select("l", "r").mapInArrow(run, schema)
-
-
 def unit_rows(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.where(n > 0, m / np.where(n > 0, n, 1), m)
@@ -61,34 +49,233 @@ def starts_of(keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1)) if len(keys) else np.zeros(0, int)
 
 
-def cosine_pairs(left: Block, right: Block) -> dict[str, np.ndarray]:
-    """One row a key on both sides: cosines of all pairs, 0 where a vector is zero."""
-    cos = unit_rows(left[2]) @ unit_rows(right[2]).T
-    return {"l": np.repeat(left[0], len(right[0])), "r": np.tile(right[0], len(left[0])), "score": cos.ravel()}
+def distinct(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and for each row its number among them."""
+    flat = np.ascontiguousarray(m)
+    seen, first, back = np.unique(flat.view(np.dtype((np.void, flat.dtype.itemsize * flat.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return flat[first], back
+
+
+def ball_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances in the ball of all pairs of rows; squares come from the inner products."""
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    square = np.maximum(aa[:, None] + bb[None] - 2 * (a @ b.T), 0)
+    x = np.maximum(1 + 2 * square / ((1 - np.minimum(aa, 1 - 1e-4))[:, None] * (1 - np.minimum(bb, 1 - 1e-4))[None]), 1 + 1e-5)
+    return np.log(x + np.sqrt(x * x - 1))
+
+
+class Side:
+    """A slab of the query set: its keys, and its rows over distinct vectors."""
+
+    def __init__(self, block: Block) -> None:
+        keys, weights, vectors = block
+        self.start = starts_of(keys)
+        self.keys = keys[self.start]
+        self.size = np.diff(np.append(self.start, len(keys)))
+        self.vectors, self.back = distinct(vectors) if len(keys) else (vectors, np.zeros(0, int))
+        total = np.add.reduceat(weights, self.start) if len(keys) else weights
+        self.share = weights / np.repeat(total, self.size)
+
+    def mean(self, values: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For the query keys ``own`` the mean, by the rows' weights, of rows of ``values`` (a row for each distinct vector)."""
+        out = np.empty((len(own), values.shape[1]))
+        step = max(1, CELLS // max(1, values.shape[1] * max(1, int(self.size.max(initial=1)))))
+        for i in range(0, len(own), step):
+            part = own[i : i + step]
+            rows = np.concatenate([np.arange(s, s + n) for s, n in zip(self.start[part], self.size[part])])
+            at = np.concatenate(([0], np.cumsum(self.size[part])[:-1]))
+            out[i : i + step] = np.add.reduceat(values[self.back[rows]] * self.share[rows, None], at, axis=0)
+        return out
+
+
+class Best:
+    """What can be among the ``k`` highest scores of each query key."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.top, self.parts, self.held = k, np.full((n, k), -np.inf), [], 0
+
+    def floor(self) -> np.ndarray:
+        return self.top.min(axis=1) - SLACK
+
+    def add(self, own: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> None:
+        i, j = np.nonzero(scores >= self.floor()[own, None])
+        both = np.concatenate((self.top[own], scores), axis=1)
+        self.top[own] = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k :]
+        self.parts.append((own[i], keys[j], scores[i, j]))
+        self.held += len(i)
+        if self.held > CELLS:
+            self.parts = [self.rows()]
+            self.held = len(self.parts[0][0])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, keys, scores = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        keep = scores >= self.floor()[own]
+        return own[keep], keys[keep], scores[keep]
 
 
-def poincare_pairs(left: Block, right: Block) -> dict[str, np.ndarray]:
-    """Distances in the ball of all pairs."""
-    a, b = left[2], right[2]
-    inside = lambda m: np.minimum((m * m).sum(axis=1), 1 - 1e-4)
-    square = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-    x = np.maximum(1 + 2 * square / ((1 - inside(a))[:, None] * (1 - inside(b))[None, :]), 1 + 1e-5)
-    return {"l": np.repeat(left[0], len(right[0])), "r": np.tile(right[0], len(left[0])), "score": np.log(x + np.sqrt(x * x - 1)).ravel()}
+class Cosine:
+    """Mean, by the query rows' weights, of each query row's largest cosine with an entry's rows; for keys of one row, their
+    cosine. An entry's rows lie within an angle of their centroid, which bounds every cosine with them."""
+
+    def __init__(self, library: DataFrame) -> None:
+        pass
+
+    def prepared(self, block: Block) -> Side:
+        return Side((block[0], block[1], unit_rows(block[2])))
+
+    def library(self, block: Block) -> tuple[np.ndarray, Any]:
+        """An entry's key, and what is known of it."""
+        v = unit_rows(block[2])
+        at = starts_of(block[0])
+        sizes = np.diff(np.append(at, len(v)))
+        centre = unit_rows(np.add.reduceat(v, at, axis=0))
+        angle = np.maximum.reduceat(np.arccos(np.clip((v * np.repeat(centre, sizes, axis=0)).sum(axis=1), -1, 1)), at)
+        odd = np.minimum.reduceat(np.linalg.norm(v, axis=1), at) < 0.5  # a zero vector's cosine is 0, at any angle
+        return block[0][at], (v, at, sizes, centre, np.where(odd, np.pi, angle))
+
+    def bound(self, left: Side, entries: Any, own: np.ndarray) -> np.ndarray:
+        _, _, _, centre, angle = entries
+        near = np.cos(np.maximum(np.arccos(np.clip(left.vectors @ centre.T, -1, 1)) - angle[None], 0))
+        near[np.linalg.norm(left.vectors, axis=1) < 0.5] = 0
+        return left.mean(near, own)
+
+    def scores(self, left: Side, entries: Any, own: np.ndarray, take: np.ndarray) -> np.ndarray:
+        v, at, sizes, _, _ = entries
+        rows = np.concatenate([np.arange(at[j], at[j] + sizes[j]) for j in take])
+        other, back = distinct(v[rows])
+        begin = np.concatenate(([0], np.cumsum(sizes[take])[:-1]))
+        best = np.empty((len(left.vectors), len(take)))
+        step = max(1, CELLS // max(len(rows), 1))
+        for i in range(0, len(best), step):
+            best[i : i + step] = np.maximum.reduceat((left.vectors[i : i + step] @ other.T)[:, back], begin, axis=1)
+        return left.mean(best, own)
+
+
+class Ball:
+    """Minus the mean of both sides' mean least distances in the ball; for keys of one row, minus their distance. The distance is a
+    metric, so the least and largest distance of an entry's rows to a pivot bound those to any query row from below."""
+
+    def __init__(self, library: DataFrame) -> None:
+        sample = [r.v for r in library.orderBy(F.xxhash64("key"), "v").limit(1024).select("v").collect()]  # any pivots serve
+        self.pivots = np.zeros((0, 1))
+        if sample:
+            rows, chosen = np.array(sample, float), [0]
+            nearest = ball_distances(rows, rows[:1])[:, 0]
+            while len(chosen) < min(PIVOTS, len(rows)):
+                chosen.append(int(nearest.argmax()))
+                nearest = np.minimum(nearest, ball_distances(rows, rows[chosen[-1:]])[:, 0])
+            self.pivots = rows[chosen]
+
+    def prepared(self, block: Block) -> Side:
+        side = Side((block[0], np.ones(len(block[0])), block[2]))
+        side.far = ball_distances(side.vectors, self.pivots)
+        return side
+
+    def library(self, block: Block) -> tuple[np.ndarray, Any]:
+        at = starts_of(block[0])
+        far = ball_distances(block[2], self.pivots)
+        return block[0][at], (block[2], at, np.diff(np.append(at, len(far))), np.minimum.reduceat(far, at, axis=0), np.maximum.reduceat(far, at, axis=0))
+
+    def bound(self, left: Side, entries: Any, own: np.ndarray) -> np.ndarray:
+        _, at, _, low, high = entries
+        gap = np.zeros((len(left.vectors), len(at)))
+        for p in range(len(self.pivots)):
+            f = left.far[:, p, None]
+            np.maximum(gap, np.maximum(f - high[None, :, p], low[None, :, p] - f), out=gap)
+        gap -= SLACK  # distances are clamped near 0, which may break the triangle by a hair
+        rows = gap[left.back]
+        least = np.minimum.reduceat(rows, left.start, axis=0)[own] if len(rows) else rows
+        return -(left.mean(gap, own) + least) / 2
+
+    def scores(self, left: Side, entries: Any, own: np.ndarray, take: np.ndarray) -> np.ndarray:
+        v, at, sizes, _, _ = entries
+        rows = np.concatenate([np.arange(at[j], at[j] + sizes[j]) for j in take])
+        other, back = distinct(v[rows])
+        begin = np.concatenate(([0], np.cumsum(sizes[take])[:-1]))
+        there, out = np.empty((len(left.vectors), len(take))), np.empty((len(own), len(take)))
+        step = max(1, CELLS // max(len(rows), 1))
+        for i in range(0, len(there), step):
+            there[i : i + step] = np.minimum.reduceat(ball_distances(left.vectors[i : i + step], other)[:, back], begin, axis=1)
+        mean = left.mean(there, own)
+        if len(other) == len(take) and (left.size[own] == 1).all() and (sizes[take] == 1).all():
+            return -mean
+        step = max(1, CELLS // max(1, len(other) * int(left.size.max(initial=1))))
+        for i in range(0, len(own), step):
+            part = own[i : i + step]
+            mine = np.concatenate([left.back[s : s + n] for s, n in zip(left.start[part], left.size[part])])
+            met, place = np.unique(mine, return_inverse=True)
+            first = np.concatenate(([0], np.cumsum(left.size[part])[:-1]))
+            nearest = np.minimum.reduceat(ball_distances(left.vectors[met], other)[place], first, axis=0)
+            for j, near in enumerate(nearest):
+                out[i + j] = np.add.reduceat(near[back], begin) / sizes[take]
+        return -(mean + out) / 2
+
+
+def slabs(query: DataFrame, size: int) -> Iterator[Block]:
+    """The query set's rows (key, w, v), in slabs of about ``size`` rows with all rows of a key together."""
+    rows = cut(query)
+    n = max(1, -(-rows.count() // size))
+    dealt = rows if n == 1 else cut(rows.withColumn("slab", F.pmod(F.xxhash64("key"), F.lit(n))).repartition("slab"))
+    for i in range(n):
+        part = (dealt if n == 1 else dealt.where(F.col("slab") == i)).select(F.col("key").cast("long").alias("key"), "w", "v").toArrow().combine_chunks()  # about ``size`` rows
+        if part.num_rows:
+            keys = part["key"].to_numpy()
+            order = np.argsort(keys, kind="stable")
+            flat = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+            yield keys[order], part["w"].to_numpy()[order], flat[order]
+
 
+def scan(query: DataFrame, library: DataFrame, kind: type, k: int | None = None, least: float | None = None, size: int = ROWS, slab: int = SLAB, report: dict | None = None) -> DataFrame:
+    """(l, r, score) of query keys and library keys; both tables are (key, w, v) with integer keys, weights and vectors of one
+    length, without nulls. ``report`` gets the numbers of pairs and of those that bounds left out."""
+    spark, path, n = query.sparkSession, new_path(query.sparkSession), 0
+    rows = cut(library)
+    scorer = kind(rows)
+    held = cut(packed(rows, "key", F.col("w"), F.col("v"), size))
+    schema = "l long, r long, score double, pruned long"
+    for block in slabs(query, slab):
+        left = scorer.prepared(block)
 
-def best_match_pairs(left: Block, right: Block) -> dict[str, np.ndarray]:
-    """For each key on the left and right: the mean, by the left rows' weights, of each left row's largest cosine."""
-    a, b = starts_of(left[0]), starts_of(right[0])
-    best = np.maximum.reduceat(unit_rows(left[2]) @ unit_rows(right[2]).T, b, axis=1)
-    total = np.add.reduceat(best * left[1][:, None], a, axis=0) / np.add.reduceat(left[1], a)[:, None]
-    return {"l": np.repeat(left[0][a], len(b)), "r": np.tile(right[0][b], len(a)), "score": total.ravel()}
+        def run(batches: Iterator[pa.RecordBatch], left: Side = left) -> Iterator[pa.RecordBatch]:
+            def batch(own, keys, scores, pruned=None):
+                return pa.RecordBatch.from_arrays([pa.array(left.keys[own]) if pruned is None else pa.array([None], pa.int64()), pa.array(keys), pa.array(scores), pa.array([pruned], pa.int64()) if pruned is not None else pa.nulls(len(keys), pa.int64())], ["l", "r", "score", "pruned"])
 
+            best, pairs, pruned = Best(len(left.keys), k) if k else None, 0, 0
+            everyone = np.arange(len(left.keys))
+            for b in batches:
+                for i in range(b.num_rows):
+                    keys, entries = scorer.library(unpacked(b.column("rows"), i))
+                    step = max(1, CELLS // max(1, len(left.vectors)))
+                    if best is not None:
+                        may = np.zeros((len(everyone), len(keys)), bool)
+                        for j in range(0, len(everyone), max(1, CELLS // max(1, len(keys)))):
+                            part = everyone[j : j + max(1, CELLS // max(1, len(keys)))]
+                            may[part] = scorer.bound(left, entries, part) >= best.floor()[part, None] - SLACK
+                        pairs, pruned = pairs + may.size, pruned + int((~may).sum())
+                    for at in range(0, len(keys), step):
+                        take = np.arange(at, min(at + step, len(keys)))
+                        own = everyone
+                        if best is not None:
+                            own, take = np.flatnonzero(may[:, take].any(axis=1)), take[may[:, take].any(axis=0)]
+                        if not len(own) or not len(take):
+                            continue
+                        s = scorer.scores(left, entries, own, take)
+                        if best is not None:
+                            best.add(own, keys[take], s)
+                        else:
+                            x, y = np.nonzero(s > least) if least is not None else np.indices(s.shape).reshape(2, -1)
+                            if len(x):
+                                yield batch(own[x], keys[take][y], s[x, y])
+            if best is not None:
+                own, keys, scores = best.rows()
+                if len(own):
+                    yield batch(own, keys, scores)
+                yield batch(None, np.array([pairs]), np.array([0.0]), pruned)
 
-def chamfer_pairs(left: Block, right: Block) -> dict[str, np.ndarray]:
-    """For each key on the left and right: the mean of both sides' mean least distances in the ball."""
-    a, b = starts_of(left[0]), starts_of(right[0])
-    d = poincare_pairs(left, right)["score"].reshape(len(left[0]), len(right[0]))
-    sizes = lambda keys, at: np.diff(np.append(at, len(keys)))
-    there = np.add.reduceat(np.minimum.reduceat(d, b, axis=1), a, axis=0) / sizes(left[0], a)[:, None]
-    back = np.add.reduceat(np.minimum.reduceat(d, a, axis=0), b, axis=1) / sizes(right[0], b)[None, :]
-    return {"l": np.repeat(left[0][a], len(b)), "r": np.tile(right[0][b], len(a)), "score": ((there + back) / 2).ravel()}
+        held.select("rows").mapInArrow(run, schema).write.parquet(f"{path}/slab={n}")
+        n += 1
+    out = spark.read.schema(schema).parquet(*[f"{path}/slab={i}" for i in range(n)]) if n else spark.createDataFrame([], schema)
+    if report is not None:
+        seen = out.where("pruned is not null").agg(F.coalesce(F.sum("r"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("pruned"), F.lit(0)).alias("pruned")).first()
+        report.update(pairs=seen.pairs, pruned=seen.pruned)
+    return out.where("pruned is null").select("l", "r", "score")

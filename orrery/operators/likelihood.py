@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frequency as freq
-from . import ontology
+from . import ontology, ratio_blocks
 from .lineage import cut, small
 
 # Fixed values of the model.
 BACKGROUND, EXCLUDED_PRESENT, EXCLUDED_BOTH, FALSE_NEGATIVE, NO_COMMON_ORGAN, NO_MATCH, LOW, FLOOR = 1e-4, 1e-3, 1000.0, 0.01, 0.01, 0.5, 0.1, 0.3
 
 
+class RULES:
+    """The constants as ``ratio_blocks`` takes them."""
+
+    BACKGROUND, EXCLUDED_PRESENT, FALSE_NEGATIVE, NO_COMMON_ORGAN, NO_MATCH, LOW, FLOOR = BACKGROUND, EXCLUDED_PRESENT, FALSE_NEGATIVE, NO_COMMON_ORGAN, NO_MATCH, LOW, FLOOR
+
+
 def lr_models(rows: DataFrame, aspect: str | None = None, prefixes: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Annotations (disease_id, term_id, freq) with summed ratios of at most 1, and absent pairs; with ``aspect`` only rows of that
     aspect, with ``prefixes`` only diseases whose ids begin with one of them."""
@@ -53,7 +59,13 @@ def no_common_organ(raw):
 
 
 def lr_observed(terms: DataFrame, model: DataFrame, absent: DataFrame, edge: DataFrame, closure: DataFrame, root) -> DataFrame:
-    """(term_id, disease_id, lr, match_type) of the pairs that any of the first five cases reaches; for others the ratio is NO_MATCH.
+    """(term_id, disease_id, lr, match_type) of the pairs that any of the first five cases reaches; for others the ratio is NO_MATCH."""
+    laid = ratio_blocks.laid_out(terms, model, absent, edge, root)
+    return lr_observed_by_joins(terms, model, absent, edge, closure, root) if laid is None else ratio_blocks.all_ratios(laid, terms, RULES)
+
+
+def lr_observed_by_joins(terms: DataFrame, model: DataFrame, absent: DataFrame, edge: DataFrame, closure: DataFrame, root) -> DataFrame:
+    """The same for an ontology of any size.
 
     Each case gives rows tagged with its number; one aggregation by term and disease takes each case's value, and the
     first case that has one decides. The model, its spread up the ontology and the asked terms are written once."""
@@ -103,21 +115,41 @@ def lr_excluded(pairs: DataFrame, model: DataFrame, absent: DataFrame, closure:
     return j.select("term_id", "disease_id", lr.alias("lr"))
 
 
+def with_posterior(sums: DataFrame, diseases: DataFrame) -> DataFrame:
+    """The pretest probability is the same for all diseases."""
+    n = diseases.select("disease_id").distinct().agg(F.count("*").alias("_n"))  # one row
+    rows = sums.crossJoin(F.broadcast(n)).withColumn("log_lr", F.round("log_lr", 9))
+    return rows.select("patient_id", "disease_id", "log_lr", (1 / (1 + (F.col("_n") - 1) * F.exp(-F.col("log_lr")))).alias("posterior"))
+
+
 def posteriors(query: DataFrame, lr: DataFrame, diseases: DataFrame) -> DataFrame:
     """(patient_id, disease_id, log_lr, posterior) of the pairs that a case reaches: logs of floored ratios add up; terms that
-    no case reaches add ln 0.5 each. The pretest probability is the same for all diseases."""
-    n = diseases.select("disease_id").distinct().agg(F.count("*").alias("_n"))
+    no case reaches add ln 0.5 each."""
     floored = F.greatest(F.when(F.col("lr") < LOW, F.greatest(F.col("lr"), F.lit(FLOOR))).otherwise(F.col("lr")), F.lit(1e-10))
     sizes = query.groupBy("patient_id").agg(F.countDistinct("term_id").alias("_q"))
     summed = query.distinct().join(lr.select("term_id", "disease_id", F.log(floored).alias("l")), "term_id").groupBy("patient_id", "disease_id").agg(F.sum("l").alias("_s"), F.count("*").alias("_m"))
-    rows = summed.join(sizes.hint("merge"), "patient_id").crossJoin(F.broadcast(n)).withColumn("log_lr", F.round(F.col("_s") + (F.col("_q") - F.col("_m")) * F.log(F.lit(NO_MATCH)), 9))
-    return rows.select("patient_id", "disease_id", "log_lr", (1 / (1 + (F.col("_n") - 1) * F.exp(-F.col("log_lr")))).alias("posterior"))
+    rows = summed.join(sizes.hint("merge"), "patient_id").select("patient_id", "disease_id", (F.col("_s") + (F.col("_q") - F.col("_m")) * F.log(F.lit(NO_MATCH))).alias("log_lr"))
+    return with_posterior(rows, diseases)
+
+
+def model_posteriors(query: DataFrame, model: DataFrame, absent: DataFrame, edge: DataFrame, closure: DataFrame, root, diseases: DataFrame, k: int | None = None) -> DataFrame:
+    """``posteriors`` from the model itself; with ``k`` at least each patient's k likeliest diseases. Blocks of diseases are scored
+    in their tasks, without a row for a term and a disease, unless the ontology is too large to be sent to them."""
+    laid = ratio_blocks.laid_out(query, model, absent, edge, root)
+    if laid is None:
+        return posteriors(query, lr_observed_by_joins(query, model, absent, edge, closure, root), diseases)
+    return with_posterior(ratio_blocks.log_sums(laid, query, RULES, k), diseases)
 
 
-def lr_rank(query: DataFrame, lr: DataFrame, diseases: DataFrame, k: int) -> DataFrame:
+def likeliest(posterior: DataFrame, k: int) -> DataFrame:
     """The k likeliest diseases of each patient."""
     w = Window.partitionBy("patient_id").orderBy(F.desc("log_lr"), F.asc("disease_id"))
-    return posteriors(query, lr, diseases).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return posterior.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def lr_rank(query: DataFrame, model: DataFrame, absent: DataFrame, edge: DataFrame, closure: DataFrame, root, diseases: DataFrame, k: int) -> DataFrame:
+    """The k likeliest diseases of each patient."""
+    return likeliest(model_posteriors(query, model, absent, edge, closure, root, diseases, k), k)
 
 
 def lr_explain(lr: DataFrame) -> DataFrame:

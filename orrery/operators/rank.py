@@ -113,13 +113,13 @@ def poincare_rank(query: DataFrame, annotation: DataFrame, embedding: DataFrame,
         rows = df.select(key, "term_id").distinct().join(embedding, "term_id").withColumn("_one", F.lit(1.0))
         return vec.weighted_mean_vectors(rows, [key], "v", "_one").select(F.col(key).alias("key"), F.lit(1.0).alias("w"), "v")
 
-    rows = blocks.block_pairs(mean(query, "patient_id"), mean(annotation, "disease_id"), blocks.poincare_pairs, "l long, r long, score double", 1024)
-    return ranked(rows.select(F.col("l").alias("patient_id"), F.col("r").alias("disease_id"), F.round("score", 6).alias("distance")), [F.asc("distance"), F.asc("disease_id")], k)
+    rows = blocks.scan(mean(query, "patient_id"), mean(annotation, "disease_id"), blocks.Ball, k, size=1024, slab=8192)
+    return ranked(rows.select(F.col("l").alias("patient_id"), F.col("r").alias("disease_id"), F.round(-F.col("score"), 6).alias("distance")), [F.asc("distance"), F.asc("disease_id")], k)
 
 
 def chamfer_similar_cases(query: DataFrame, library: DataFrame, key: str, embedding: DataFrame, k: int) -> DataFrame:
     """The k entries of each patient with the least mean of both sides' mean least distances in the ball; a side without
     vectors is infinitely far and has no rows."""
     side = lambda df, c: df.select(c, "term_id").distinct().join(embedding, "term_id").select(F.col(c).alias("key"), F.lit(1.0).alias("w"), "v")
-    rows = blocks.block_pairs(side(query, "patient_id"), side(library, key), blocks.chamfer_pairs, "l long, r long, score double", 512)
-    return ranked(rows.select(F.col("l").alias("patient_id"), F.col("r").alias(key), F.round("score", 6).alias("distance")), [F.asc("distance"), F.asc(key)], k)
+    rows = blocks.scan(side(query, "patient_id"), side(library, key), blocks.Ball, k)
+    return ranked(rows.select(F.col("l").alias("patient_id"), F.col("r").alias(key), F.round(-F.col("score"), 6).alias("distance")), [F.asc("distance"), F.asc(key)], k)

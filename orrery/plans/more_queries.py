@@ -34,7 +34,7 @@ def _similarity(x: Fixture) -> DataFrame:
 
 
 def _posterior(x: Fixture) -> DataFrame:
-    return likelihood.posteriors(x.query, base._lr(x), x.groups).select("patient_id", "disease_id", F.col("posterior").alias("weight"))
+    return likelihood.model_posteriors(x.query, *likelihood.lr_models(x.annotation_rows), x.edge, x.closure, 0, x.groups).select("patient_id", "disease_id", F.col("posterior").alias("weight"))
 
 
 @query("M08_case_similarity", "SELECT patient_id, disease_id, round(similarity, 6) AS similarity FROM dsim", _vec)
@@ -54,7 +54,9 @@ def _(x):
     return match.mean_vector_similarity(x.query, x.case_rows, "case_id", x.embedding, x.ic).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("M12_term_cosine_filter", "SELECT query_term, term_id FROM cosines WHERE cos > 0.6", {"units": base._unit, "cosines": "SELECT a.term_id AS query_term, b.term_id, list_dot_product(a.u, b.u) AS cos FROM units a JOIN (SELECT DISTINCT term_id FROM q) USING (term_id), units b JOIN (SELECT DISTINCT term_id FROM case_rows) c ON c.term_id = b.term_id"})
+@query("M12_term_cosine_filter", "SELECT a.term_id AS query_term, b.term_id FROM (SELECT DISTINCT term_id, term_id % n AS i FROM q, size) a JOIN near USING (i) JOIN (SELECT DISTINCT term_id, term_id % n AS j FROM case_rows, size) b USING (j)",  # terms share vectors: cosines of the distinct ones
+       {"size": "SELECT max(vec_id) + 1 AS n FROM embeddings", "unit_vec": "SELECT vec_id, CASE WHEN list_dot_product(v, v) > 0 THEN list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) ELSE v END AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
+        "near": "SELECT a.vec_id AS i, b.vec_id AS j FROM unit_vec a, unit_vec b WHERE list_dot_product(a.u, b.u) > 0.6"})
 def _(x):
     return match.term_cosines(x.query, x.case_rows, x.embedding, 0.6).select("query_term", "term_id")
 
@@ -207,7 +209,14 @@ def _(x):
     return vectors.einstein_midpoints(rows, ["label"], "v", "w").select("label", F.posexplode("v").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-@query("V06_chamfer_similar_cases")
+_apart = "ln(z + sqrt(z * z - 1)) AS d FROM (SELECT a.vec_id AS i, b.vec_id AS j, greatest(1 + 2 * list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / ((1 - least(list_dot_product(a.v, a.v), 1 - 1e-4)) * (1 - least(list_dot_product(b.v, b.v), 1 - 1e-4))), 1 + 1e-5) AS z FROM ballv a, ballv b)"
+
+
+@query("V06_chamfer_similar_cases", f"""SELECT patient_id, case_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY distance, case_id) AS rank FROM (SELECT patient_id, case_id, round((t.d + b.d) / 2, 6) AS distance
+  FROM (SELECT patient_id, case_id, avg(d) AS d FROM qv JOIN (SELECT i, case_id, min(d) AS d FROM apart JOIN cv USING (j) GROUP BY 1, 2) USING (i) GROUP BY 1, 2) t
+  JOIN (SELECT patient_id, case_id, avg(d) AS d FROM cv JOIN (SELECT j, patient_id, min(d) AS d FROM apart JOIN qv USING (i) GROUP BY 1, 2) USING (j) GROUP BY 1, 2) b USING (patient_id, case_id))) WHERE rank <= {K}""",
+       {"size": "SELECT max(vec_id) + 1 AS n FROM embeddings", "ballv": "SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / 16) AS v FROM embeddings", "apart": f"SELECT i, j, {_apart}",
+        "qv": "SELECT DISTINCT patient_id, term_id, term_id % n AS i FROM q, size", "cv": "SELECT DISTINCT case_id, term_id, term_id % n AS j FROM case_rows, size"})
 def _(x):
     return rank.chamfer_similar_cases(x.query, x.case_rows, "case_id", x.ball, K)
 

@@ -548,7 +548,7 @@ def _(x):
 @query("L07_lr_rank", f"""SELECT patient_id, disease_id, round(log_lr, 6) AS log_lr, rank FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY log_lr DESC, disease_id) AS rank FROM (SELECT q.patient_id, lr.disease_id, round(sum(ln(greatest(CASE WHEN lr < 0.1 THEN greatest(lr, 0.3) ELSE lr END, 1e-10))) + (any_value(n.c) - count(*)) * ln(0.5), 9) AS log_lr
   FROM q JOIN lr USING (term_id) JOIN (SELECT patient_id, count(*) AS c FROM q GROUP BY 1) n USING (patient_id) GROUP BY 1, 2)) WHERE rank <= {K}""")
 def _(x):
-    return likelihood.lr_rank(x.query, _lr(x), x.groups, K).select("patient_id", "disease_id", F.round("log_lr", 6).alias("log_lr"), "rank")
+    return likelihood.lr_rank(x.query, *likelihood.lr_models(x.annotation_rows), x.edge, x.closure, 0, x.groups, K).select("patient_id", "disease_id", F.round("log_lr", 6).alias("log_lr"), "rank")
 
 
 @query("L08_lr_explain", "SELECT term_id, disease_id, match_type || ': LR ' || CAST(CAST(round(CAST(lr AS DECIMAL(30,12)), 4) AS DECIMAL(30,4)) AS VARCHAR) AS explanation FROM lr")
@@ -612,7 +612,7 @@ _done = {
 
 
 def _nearest(x: Fixture) -> DataFrame:
-    return match.best_match_similarity(x.query, x.annotation, "disease_id", x.embedding, x.ic)
+    return match.best_match_similarity(x.query, x.annotation, "disease_id", x.embedding, x.ic, K + 50)
 
 
 def _lists_of(x: Fixture) -> dict[str, DataFrame]:

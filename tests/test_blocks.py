@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from orrery.operators import blocks, ontology, rank
+from orrery.operators import blocks, likelihood, ontology, rank, ratio_blocks
 from orrery.streaming import ranks
 
 
@@ -37,14 +37,80 @@ def test_chamfer(spark):
         assert [(got[p, c][0], c) for _, c in sorted(every)[:5]] == sorted(every)[:5]
 
 
+def cosine(u, v):
+    norm = lambda a: math.sqrt(sum(x * x for x in a))
+    return sum(a * b for a, b in zip(u, v)) / norm(u) / norm(v) if norm(u) and norm(v) else 0.0
+
+
+def table(spark, d, weight=1.0):
+    return spark.createDataFrame([(i, weight, v) for i, v in d.items()], "key long, w double, v array<double>")
+
+
 def test_many_blocks(spark):
     r = random.Random(2)
-    left, right = vectors(r, 50, 1), vectors(r, 70, 1)
-    table = lambda d: spark.createDataFrame([(i, 1.0, v) for i, v in d.items()], "key long, w double, v array<double>")
-    got = {(x.l, x.r): x.score for x in blocks.block_pairs(table(left), table(right), blocks.cosine_pairs, "l long, r long, score double", 16).collect()}
-    norm = lambda a: math.sqrt(sum(x * x for x in a))
-    assert len(got) == 50 * 70
-    assert all(abs(got[i, j] - sum(a * b for a, b in zip(u, v)) / norm(u) / norm(v)) < 1e-9 for i, u in left.items() for j, v in right.items())
+    left, right = vectors(r, 50, 1), vectors(r, 70, 1) | {70: [0.0] * 6}
+    want = {(i, j): cosine(u, v) for i, u in left.items() for j, v in right.items()}
+    got = {(x.l, x.r): x.score for x in blocks.scan(table(spark, left), table(spark, right), blocks.Cosine, size=16, slab=20).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    above = blocks.scan(table(spark, left), table(spark, right), blocks.Cosine, least=0.5, size=16, slab=20).collect()
+    assert {(x.l, x.r) for x in above} == {p for p, s in want.items() if s > 0.5}
+    assert blocks.scan(table(spark, left), table(spark, right).where("key < 0"), blocks.Cosine, 3).count() == 0
+    assert blocks.scan(table(spark, left).where("key < 0"), table(spark, right), blocks.Cosine, 3).count() == 0
+
+
+def test_bounds_leave_out_only_what_cannot_be_among_the_best(spark):
+    """Clustered entries of several rows, ties and repeated entries: the k best are all there, and most pairs are never scored."""
+    r = random.Random(4)
+    centres = [[r.uniform(-1, 1) for _ in range(6)] for _ in range(8)]
+    near = lambda c, scale: [x * scale + r.gauss(0, 0.01) for x in c]
+    for kind, scale, pair in ((blocks.Cosine, 1.0, cosine), (blocks.Ball, 0.3, lambda u, v: -far(u, v))):
+        entries = {i: [near(centres[i % 8], scale) for _ in range(1 + i % 3)] for i in range(160)}
+        entries |= {200 + i: entries[i] for i in range(30)}
+        asked = {i: [near(centres[i % 8], scale) for _ in range(1 + i % 2)] for i in range(24)}
+        rows = lambda d: spark.createDataFrame([(i, 1.0 + n, v) for i, vs in d.items() for n, v in enumerate(vs)], "key long, w double, v array<double>")
+        report = {}
+        got = {}
+        for x in blocks.scan(rows(asked), rows(entries), kind, 5, size=40, slab=20, report=report).collect():
+            got.setdefault(x.l, {})[x.r] = x.score
+        assert report["pairs"] == len(asked) * len(entries) and report["pruned"] > 0.5 * report["pairs"]
+        for i, us in asked.items():
+            def score(vs, us=us):
+                if kind is blocks.Cosine:
+                    return sum((1.0 + n) * max(cosine(u, v) for v in vs) for n, u in enumerate(us)) / sum(1.0 + n for n in range(len(us)))
+                return (sum(max(pair(u, v) for v in vs) for u in us) / len(us) + sum(max(pair(u, v) for u in us) for v in vs) / len(vs)) / 2
+            want = {j: score(vs) for j, vs in entries.items()}
+            least = sorted(want.values())[-5]
+            assert all(j in got[i] and abs(got[i][j] - s) < 1e-7 for j, s in want.items() if s >= least)
+
+
+def test_ratios_in_blocks_and_by_joins(spark, monkeypatch):
+    """The same ratios and sums, whether blocks of diseases go through the ontology or rows are joined; and with a cycle."""
+    r = random.Random(6)
+    edges = {(i, r.randrange(i)) for i in range(1, 60) for _ in range(2)}
+    edge = spark.createDataFrame(sorted(edges), "child long, parent long")
+    model = {(d, r.randrange(60)): r.choice([0.0, 0.1, 0.5, 1.0]) for d in range(23) for _ in range(6)}
+    absent = {(r.randrange(23), r.randrange(60)) for _ in range(12)} - set(model)
+    frame = spark.createDataFrame([(*k, v) for k, v in model.items()], "disease_id long, term_id long, freq double")
+    gone = spark.createDataFrame(sorted(absent), "disease_id long, term_id long")
+    query = spark.createDataFrame(sorted({(p, r.randrange(70)) for p in range(9) for _ in range(12)}), "patient_id long, term_id long")
+    closure = ontology.closure(edge)
+    args = (query, frame, gone, edge, closure, 0)
+    key = lambda rows: {(x.term_id, x.disease_id): (round(x.lr, 9), x.match_type) for x in rows.collect()}
+    monkeypatch.setattr(ratio_blocks, "CELLS", 300)
+    monkeypatch.setattr(ratio_blocks, "SLAB", 40)
+    assert ratio_blocks.laid_out(query, frame, gone, edge, 0) is not None
+    want = key(likelihood.lr_observed_by_joins(*args))
+    assert key(likelihood.lr_observed(*args)) == want and len({k for _, k in want.values()}) >= 5
+    diseases = frame.select("disease_id")
+    whole = likelihood.posteriors(query, likelihood.lr_observed_by_joins(*args), diseases)
+    sums = lambda rows: {(x.patient_id, x.disease_id): round(x.log_lr, 7) for x in rows.collect()}
+    assert sums(likelihood.model_posteriors(*args, diseases)) == sums(whole)
+    assert sums(likelihood.lr_rank(*args, diseases, 4)) == sums(likelihood.likeliest(whole, 4))
+    looped = edge.union(spark.createDataFrame([(5, 59)], "child long, parent long"))
+    assert ratio_blocks.laid_out(query, frame, gone, looped, 0) is None
+    monkeypatch.setattr(ratio_blocks, "MOST_EDGES", 50)
+    assert sums(likelihood.lr_rank(*args, diseases, 4)) == sums(likelihood.likeliest(whole, 4))
+    assert likelihood.lr_observed(query.where("false"), *args[1:]).count() == 0 and likelihood.lr_rank(query.where("false"), *args[1:], diseases, 4).count() == 0
 
 
 def test_closure_with_cycles(spark):
