@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Distinct strings that may be broadcast; more are joined.
+MOST_VALUES = 100_000
+
 # Frequency codes with label and [low, middle, high].
 CODES = {
     "HP:0040280": ("Obligate", 1.0, 1.0, 1.0),
@@ -94,6 +99,16 @@ def freq_weight(s: Column, kind: Column) -> Column:
     return F.when(t == "", 1.0).when(kind == "hpo_id", code).when(kind == "percentage", F.when(percent.isNull(), 1.0).otherwise(_steps(percent))).when(kind == "fraction", fraction).otherwise(1.0)
 
 
+def by_value(rows: DataFrame, column: str, parse: Callable[[Column], Column], name: str) -> DataFrame:
+    """``rows`` with ``parse`` of a column as ``name``; each distinct string is parsed once, however many rows bear it."""
+    from ..operators.lineage import cut
+
+    key = F.coalesce(column, F.lit(""))
+    values = cut(rows.select(key.alias("_value")).distinct().withColumn(name, parse(F.col("_value"))))
+    few = F.broadcast(values) if values.count() <= MOST_VALUES else values.hint("merge")
+    return rows.withColumn("_value", key).join(few, "_value").drop("_value")
+
+
 def lr_freq_ratio(negated: Column, s: Column, salvage: bool = False, cohort: int = COHORT) -> Column:
     """struct(num, den) of the first token; NULL where it can't be read. Halves round to even."""
     t = F.trim(F.split_part(F.coalesce(s, F.lit("")), F.lit(";"), F.lit(1)))

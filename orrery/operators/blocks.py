@@ -4,7 +4,7 @@ The library is written once in blocks of about ``ROWS`` vectors and stays where
 ``SLAB`` vectors, a bounded table that is sent to all tasks. A task works on one block at a time as matrices, over the distinct
 vectors of both sides and at most ``CELLS`` values at once, so its memory does not depend on the tables' sizes. All
 rows of a key are in one block or slab. With ``k`` a task keeps what can be among a query key's k best: k rows and those within ``SLACK``
-of the last, so that rounding later changes nothing; bounds (a centroid and an angle, or distances to pivots) leave out entries
+of the last, so that rounding later changes nothing; one block is scored first, and its k-th scores are where all tasks start; bounds (a centroid and an angle, or distances to pivots) leave out entries
 that can't be among them before they are scored. Without ``k`` every pair is a row, or those above ``least``.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut, new_path
+from .lineage import by_block, cut, new_path
 
 ROWS, SLAB, CELLS, SLACK, PIVOTS = 8192, 32768, 4_000_000, 1e-6, 8
 
@@ -30,7 +30,7 @@ def packed(rows: DataFrame, key: str, weight: Column, vector: Column, size: int)
     """(block, rows array<struct<k, w, v>>) by a hash of ``key``."""
     n = max(1, -(-rows.count() // size))
     held = rows.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), F.struct(F.col(key).cast("long").alias("k"), weight.cast("double").alias("w"), vector.alias("v")).alias("r"))
-    return held.groupBy("block").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    return by_block(held, "block", n).groupBy("block").agg(F.sort_array(F.collect_list("r")).alias("rows"))
 
 
 def unpacked(column: pa.Array, i: int) -> Block:
@@ -57,11 +57,19 @@ def distinct(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ball_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances in the ball of all pairs of rows; squares come from the inner products."""
+    """Distances in the ball of all pairs of rows."""
+    return distance_of(ball_ratios(a, b))
+
+
+def distance_of(x: np.ndarray) -> np.ndarray:
+    return np.log(x + np.sqrt(x * x - 1))
+
+
+def ball_ratios(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What the distances rise with; squares come from the inner products."""
     aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
     square = np.maximum(aa[:, None] + bb[None] - 2 * (a @ b.T), 0)
-    x = np.maximum(1 + 2 * square / ((1 - np.minimum(aa, 1 - 1e-4))[:, None] * (1 - np.minimum(bb, 1 - 1e-4))[None]), 1 + 1e-5)
-    return np.log(x + np.sqrt(x * x - 1))
+    return np.maximum(1 + 2 * square / ((1 - np.minimum(aa, 1 - 1e-4))[:, None] * (1 - np.minimum(bb, 1 - 1e-4))[None]), 1 + 1e-5)
 
 
 class Side:
@@ -89,10 +97,12 @@ class Side:
 
 
 class Best:
-    """What can be among the ``k`` highest scores of each query key."""
+    """What can be among the ``k`` highest scores of each query key, of which at least k reach ``least``."""
 
-    def __init__(self, n: int, k: int) -> None:
+    def __init__(self, n: int, k: int, least: np.ndarray | None = None) -> None:
         self.k, self.top, self.parts, self.held = k, np.full((n, k), -np.inf), [], 0
+        if least is not None:
+            self.top[:] = least[:, None]
 
     def floor(self) -> np.ndarray:
         return self.top.min(axis=1) - SLACK
@@ -195,7 +205,7 @@ class Ball:
         there, out = np.empty((len(left.vectors), len(take))), np.empty((len(own), len(take)))
         step = max(1, CELLS // max(len(rows), 1))
         for i in range(0, len(there), step):
-            there[i : i + step] = np.minimum.reduceat(ball_distances(left.vectors[i : i + step], other)[:, back], begin, axis=1)
+            there[i : i + step] = distance_of(np.minimum.reduceat(ball_ratios(left.vectors[i : i + step], other)[:, back], begin, axis=1))
         mean = left.mean(there, own)
         if len(other) == len(take) and (left.size[own] == 1).all() and (sizes[take] == 1).all():
             return -mean
@@ -205,9 +215,8 @@ class Ball:
             mine = np.concatenate([left.back[s : s + n] for s, n in zip(left.start[part], left.size[part])])
             met, place = np.unique(mine, return_inverse=True)
             first = np.concatenate(([0], np.cumsum(left.size[part])[:-1]))
-            nearest = np.minimum.reduceat(ball_distances(left.vectors[met], other)[place], first, axis=0)
-            for j, near in enumerate(nearest):
-                out[i + j] = np.add.reduceat(near[back], begin) / sizes[take]
+            nearest = distance_of(np.minimum.reduceat(ball_ratios(left.vectors[met], other)[place], first, axis=0))
+            out[i : i + step] = np.add.reduceat(nearest[:, back], begin, axis=1) / sizes[take]
         return -(mean + out) / 2
 
 
@@ -229,18 +238,17 @@ def scan(query: DataFrame, library: DataFrame, kind: type, k: int | None = None,
     """(l, r, score) of query keys and library keys; both tables are (key, w, v) with integer keys, weights and vectors of one
     length, without nulls. ``report`` gets the numbers of pairs and of those that bounds left out."""
     spark, path, n = query.sparkSession, new_path(query.sparkSession), 0
-    rows = cut(library)
-    scorer = kind(rows)
-    held = cut(packed(rows, "key", F.col("w"), F.col("v"), size))
+    scorer = kind(library)
+    held = cut(packed(library, "key", F.col("w"), F.col("v"), size))
     schema = "l long, r long, score double, pruned long"
     for block in slabs(query, slab):
         left = scorer.prepared(block)
 
-        def run(batches: Iterator[pa.RecordBatch], left: Side = left) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], left: Side = left, start: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
             def batch(own, keys, scores, pruned=None):
                 return pa.RecordBatch.from_arrays([pa.array(left.keys[own]) if pruned is None else pa.array([None], pa.int64()), pa.array(keys), pa.array(scores), pa.array([pruned], pa.int64()) if pruned is not None else pa.nulls(len(keys), pa.int64())], ["l", "r", "score", "pruned"])
 
-            best, pairs, pruned = Best(len(left.keys), k) if k else None, 0, 0
+            best, pairs, pruned = Best(len(left.keys), k, start) if k else None, 0, 0
             everyone = np.arange(len(left.keys))
             for b in batches:
                 for i in range(b.num_rows):
@@ -272,7 +280,22 @@ def scan(query: DataFrame, library: DataFrame, kind: type, k: int | None = None,
                     yield batch(own, keys, scores)
                 yield batch(None, np.array([pairs]), np.array([0.0]), pruned)
 
-        held.select("rows").mapInArrow(run, schema).write.parquet(f"{path}/slab={n}")
+        task = run
+        if k:
+            first = held.select("rows").limit(1).mapInArrow(run, schema).where("pruned is null").toArrow().combine_chunks()  # one block's best
+            tops = Best(len(left.keys), k)
+            if first.num_rows:
+                own, scores = np.searchsorted(left.keys, first["l"].to_numpy()), first["score"].to_numpy()
+                order = np.lexsort((-scores, own))
+                nth = np.arange(len(own)) - np.searchsorted(own[order], own[order])
+                within = nth < k
+                tops.top[own[order][within], nth[within]] = scores[order][within]
+            start = tops.floor()
+
+            def task(batches: Iterator[pa.RecordBatch], run=run, start=start) -> Iterator[pa.RecordBatch]:
+                return run(batches, start=start)
+
+        held.select("rows").mapInArrow(task, schema).write.parquet(f"{path}/slab={n}")
         n += 1
     out = spark.read.schema(schema).parquet(*[f"{path}/slab={i}" for i in range(n)]) if n else spark.createDataFrame([], schema)
     if report is not None:

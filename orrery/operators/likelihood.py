@@ -27,7 +27,7 @@ def lr_models(rows: DataFrame, aspect: str | None = None, prefixes: tuple[str, .
     if prefixes:
         rows = rows.where(F.split_part(F.col("disease_id").cast("string"), F.lit(":"), F.lit(1)).isin(*prefixes))
     negated = F.coalesce("qualifier", F.lit("")) == "NOT"
-    present = rows.where(~negated).withColumn("r", freq.lr_freq_ratio(F.lit(False), F.col("frequency"))).where("r is not null")
+    present = freq.by_value(rows.where(~negated), "frequency", lambda s: freq.lr_freq_ratio(F.lit(False), s), "r").where("r is not null")
     model = present.groupBy("disease_id", "term_id").agg(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.sum("r.num"), F.sum("r.den")), F.lit(0.0))).alias("freq"))
     return model, rows.where(negated).select("disease_id", "term_id").distinct()
 

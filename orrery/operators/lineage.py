@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a written table that may be broadcast; larger ones are merged.
 SMALL_ROWS = 200_000
+#: A key with more than this share of all rows, and more than this number of them, is hot.
+HOT, LEAST_HOT = 1024, 10_000
 _kept: dict[tuple[str, str], str] = {}
 
 
@@ -48,6 +50,26 @@ def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataF
     return spark.read.schema(made.schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the one row that ``values`` has for their ``key``, by an inner join. ``values`` has a column ``_n``, the number of
+    rows of each key: keys of more than one in ``HOT`` of all rows, at most ``HOT`` of them, are broadcast, the others merged."""
+    held = cut(values)
+    total = held.agg(F.sum("_n")).first()[0] or 0
+    hot = held.where((F.col("_n") > total / HOT) & (F.col("_n") > LEAST_HOT)).drop("_n")
+    cold = rows
+    if not hot.isEmpty():
+        cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    out = cold.join(held.drop("_n").hint("merge"), key)
+    return out if cold is rows else out.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def by_block(rows: DataFrame, block: str, n: int) -> DataFrame:
+    """``rows`` dealt by their ``n`` block numbers evenly over tasks, however few bytes they have: a block is much work."""
+    spark = rows.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(min(n, most), block)
+
+
 def small(df: DataFrame) -> DataFrame:
     """A written table, to be broadcast if it has at most SMALL_ROWS rows, else merged."""
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df.hint("merge")

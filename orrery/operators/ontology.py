@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
 
+MOST_EDGES = 1_000_000
+
 
 def edges(term: DataFrame) -> DataFrame:
     """Parent links of term rows; alternative ids share the primary's, obsolete ids their replacement's."""
@@ -30,7 +35,35 @@ def names(term: DataFrame) -> DataFrame:
 
 
 def closure(edge: DataFrame, most: int | None = None) -> DataFrame:
-    """(term_id, ancestor_id, distance): all ancestors at their least distance, by doubling.
+    """(term_id, ancestor_id, distance): all ancestors at their least distance. Up to MOST_EDGES edges go to every task, which climbs
+    from the terms it holds; more are doubled by joins. Cycles end, and a term is not its own ancestor."""
+    held = cut(edge.select("child", "parent").distinct())
+    if held.count() > MOST_EDGES:
+        return closure_by_doubling(held, most)
+    above: dict = {}
+    for r in held.collect():  # at most MOST_EDGES rows
+        above.setdefault(r.child, []).append(r.parent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for term in batch.column(0).to_pylist():
+                level, seen, d = [term], {term}, 0
+                while level and (most is None or d < most):
+                    d += 1
+                    level = [p for p in dict.fromkeys(p for t in level for p in above.get(t, ())) if p not in seen]
+                    seen.update(level)
+                    out += [(term, p, d) for p in level]
+            ids = batch.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], ids), pa.array([r[1] for r in out], ids), pa.array([r[2] for r in out], pa.int32())], ["term_id", "ancestor_id", "distance"])
+
+    terms = held.select("child").distinct()
+    kind = held.schema["child"].dataType.simpleString()
+    return terms.repartition(terms.sparkSession.sparkContext.defaultParallelism, "child").mapInArrow(run, f"term_id {kind}, ancestor_id {kind}, distance int")
+
+
+def closure_by_doubling(edge: DataFrame, most: int | None = None) -> DataFrame:
+    """``closure`` of any number of edges.
 
     Once all pairs of up to ``length`` are known, those of up to twice that are a pair of exactly ``length`` and one more
     known pair, so a depth of d takes log d rounds. Each round is a written table; pairs met before are dropped, so

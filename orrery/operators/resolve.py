@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frequency as freq
-from .lineage import cut
+from .lineage import cut, looked_up
 
 
 def positive_annotations(rows: DataFrame) -> DataFrame:
@@ -47,20 +47,35 @@ def dedup_aliases(alias: DataFrame) -> DataFrame:
 def entity_groups(alias: DataFrame) -> DataFrame:
     """(disease_id, group_id): ids that share a name, ignoring case, directly or through others; the group's id is its least.
 
-    Labels travel over alias nodes and ids in turn, least first, until none changes; each round is a written table."""
-    links = cut(alias.select("disease_id", F.lower(F.trim("alias")).alias("a")).where("a <> ''").distinct())
-    label = cut(alias.select("disease_id", F.col("disease_id").alias("group_id")).distinct())
+    Each name links its ids to its least id, which gives a forest; large and small stars in turn (Kiveris and others, 2014)
+    contract it until every id is linked to its group's least id. A round is a written table that has no more links than the
+    one before, minima are combined before they are shuffled, and keys that hold much of a table are looked up by a broadcast."""
+    links = cut(alias.select("disease_id", F.lower(F.trim("alias")).alias("a")).where("a <> '' and disease_id is not null").distinct())
+    least = links.groupBy("a").agg(F.min("disease_id").alias("v"), F.count("*").alias("_n"))
+    edges = cut(looked_up(links, least, "a").where("disease_id > v").select(F.col("disease_id").alias("u"), "v").distinct())
+    state = None
     while True:
-        met = links.join(label, "disease_id").groupBy("a").agg(F.min("group_id").alias("g"))
-        new = links.join(met, "a").groupBy("disease_id").agg(F.min("g").alias("g"))
-        # a jump: a label's own label is at least as small
-        moved = label.join(new, "disease_id", "left").select("disease_id", "group_id", F.coalesce("g", "group_id").alias("g"))
-        jump = moved.select(F.col("disease_id").alias("g"), F.col("g").alias("gg"))
-        after = cut(moved.join(jump, "g", "left").select("disease_id", "group_id", F.coalesce("gg", "g").alias("now")))
-        changed = not after.where("now < group_id").isEmpty()
-        label = after.select("disease_id", F.col("now").alias("group_id"))
-        if not changed:
-            return label
+        edges = cut(small_stars(cut(large_stars(edges))))
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+    ids = alias.select("disease_id").where("disease_id is not null").distinct()
+    return ids.join(edges.select(F.col("u").alias("disease_id"), "v").hint("merge"), "disease_id", "left").select("disease_id", F.coalesce("v", "disease_id").alias("group_id"))
+
+
+def large_stars(edges: DataFrame) -> DataFrame:
+    """Links each larger neighbour of a node to the least of the node and its neighbours; edges are (u, v) with u > v."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("_n"))
+    return looked_up(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def small_stars(edges: DataFrame) -> DataFrame:
+    """Links a node and its smaller neighbours to the least of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+    met = looked_up(edges, least, "u")
+    return met.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).distinct()
 
 
 def propagate_annotations(annotation: DataFrame, groups: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ class Fixture:
     @cached_property
     def annotation(self) -> DataFrame:
         rows = self.annotation_rows.where("qualifier <> 'NOT'")
-        return rows.groupBy("disease_id", "term_id").agg(F.max(freq.freq_max(F.col("frequency"))).alias("freq"))
+        return freq.by_value(rows, "frequency", freq.freq_max, "f").groupBy("disease_id", "term_id").agg(F.max("f").alias("freq"))
 
     @cached_property
     def absent(self) -> DataFrame:

@@ -70,7 +70,7 @@ def test_bounds_leave_out_only_what_cannot_be_among_the_best(spark):
         rows = lambda d: spark.createDataFrame([(i, 1.0 + n, v) for i, vs in d.items() for n, v in enumerate(vs)], "key long, w double, v array<double>")
         report = {}
         got = {}
-        for x in blocks.scan(rows(asked), rows(entries), kind, 5, size=40, slab=20, report=report).collect():
+        for x in blocks.scan(rows(asked), rows(entries), kind, 5, size=120, slab=20, report=report).collect():
             got.setdefault(x.l, {})[x.r] = x.score
         assert report["pairs"] == len(asked) * len(entries) and report["pruned"] > 0.5 * report["pairs"]
         for i, us in asked.items():
@@ -146,3 +146,39 @@ def test_streams(spark, tmp_path):
     q = once.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(x.id for x in spark.read.parquet(str(tmp_path / "out")).select(F.col("id")).collect()) == list(range(10))
+
+
+def test_groups_with_a_hot_alias(spark, monkeypatch):
+    """Chains, one name that half of the ids bear, blanks and repeated rows: the components, by their least id."""
+    from orrery.operators import lineage, resolve
+
+    r = random.Random(9)
+    rows = [(i, "Common ") for i in range(0, 200, 2)] + [(i, f"n{i // 3}") for i in range(1, 200, 2)] + [(i, f"m{r.randrange(90)}") for i in range(1, 120, 2)] + [(7, " "), (7, None), (None, "common"), (500, "alone"), (500, "alone")]
+    monkeypatch.setattr(lineage, "LEAST_HOT", 20)
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    names = {}
+    for i, a in rows:
+        if i is not None and a and a.strip():
+            names.setdefault(a.strip().lower(), []).append(i)
+    for ids in names.values():
+        for i in ids:
+            a, b = root(ids[0]), root(i)
+            parent[max(a, b)] = min(a, b)
+    got = {x.disease_id: x.group_id for x in resolve.entity_groups(spark.createDataFrame(rows, "disease_id long, alias string")).collect()}
+    assert got == {i: root(i) for i in parent}
+    assert resolve.entity_groups(spark.createDataFrame([], "disease_id long, alias string")).count() == 0
+
+
+def test_closure_by_doubling(spark):
+    r = random.Random(11)
+    edge = spark.createDataFrame([(r.randrange(30), r.randrange(30)) for _ in range(60)], "child long, parent long")
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    assert rows(ontology.closure(edge)) == rows(ontology.closure_by_doubling(edge.distinct()))
+    assert rows(ontology.closure(edge, 2)) == rows(ontology.closure_by_doubling(edge.distinct(), 2))
+    assert ontology.closure(edge.where("child < 0")).count() == 0
