@@ -2,30 +2,90 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .lineage import cut
 
 
 def extract_codes(text: Column, pattern: str = r"HP:\d{7}") -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))))
 
 
+#: Phrases, and bytes of phrases, that may be sent to every task.
+MOST_PHRASES, MOST_BYTES = 500_000, 32_000_000
+_automata: dict = {}
+
+
+def words_of(c: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def dictionary_annotate(docs: DataFrame, lexicon: DataFrame, most_words: int | None = None) -> DataFrame:
     """(doc_id, pos, n_words, term_id): lexicon phrases (phrase, term_id) in texts; where matches start together the longest stays.
 
-    Phrases of up to ``most_words`` words are tried, by default as many as the longest phrase has."""
-    split = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    phrases = lexicon.select(split(F.col("phrase")).alias("w"), "term_id").where(F.size("w") > 0)
-    if most_words is None:
-        most_words = phrases.agg(F.max(F.size("w"))).first()[0] or 0
-    if not most_words:
-        return docs.where("false").select("doc_id", F.lit(1).alias("pos"), F.lit(1).alias("n_words"), F.lit(0).cast(lexicon.schema["term_id"].dataType).alias("term_id"))
-    words = docs.select("doc_id", split(F.col("text")).alias("w")).where(F.size("w") > 0)
-    at = lambda pos: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - pos + 1)), lambda n: F.struct(pos.alias("pos"), n.alias("n"), F.array_join(F.slice("w", pos, n), " ").alias("g")))
+    Phrases of up to ``most_words`` words count, by default all. An Aho-Corasick automaton of the phrases, between spaces, runs once
+    over each text, so only matches become rows; it is built from a lexicon of checked size, beyond which runs of words are
+    joined with the phrases."""
+    phrases = lexicon.select(words_of(F.col("phrase")).alias("w"), "term_id").where(F.size("w") > 0)
+    if most_words is not None:
+        phrases = phrases.where(F.size("w") <= most_words)
+    known = cut(phrases.groupBy(F.array_join("w", " ").alias("g")).agg(F.min("term_id").alias("term_id"), F.max(F.size("w")).alias("n")))
+    count, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("g")), F.lit(0))).first()
+    if count > MOST_PHRASES or size > MOST_BYTES:
+        return annotate_by_joins(docs, known)
+    term_type, doc_type = lexicon.schema["term_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+    entries = [(r.g, r.n, r.term_id) for r in known.collect()]  # at most MOST_PHRASES
+    key = uuid.uuid4().hex
+    arrow = known.select("term_id").limit(0).toArrow().schema.field(0).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _automata:
+            _automata.clear()
+            built = ahocorasick.Automaton()
+            for g, n, term in entries:
+                built.add_word(f" {g} ", (n, term))
+            built.make_automaton()
+            _automata[key] = built
+        found = _automata[key]
+        for batch in batches:
+            rows, pos, width, term = [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                here: dict[int, tuple] = {}
+                at, words = 0, 0
+                for end, (n, t) in found.iter(f" {text} "):
+                    words += text.count(" ", max(at - 1, 0), end - 1) if end > at else 0  # spaces up to the match's end
+                    at = max(at, end)
+                    start = words + 2 - n
+                    if here.get(start, (0,))[0] < n:
+                        here[start] = (n, t)
+                for start, (n, t) in here.items():
+                    rows.append(i)
+                    pos.append(start)
+                    width.append(n)
+                    term.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(pos, pa.int32()), pa.array(width, pa.int32()), pa.array(term, arrow)], ["doc_id", "pos", "n_words", "term_id"])
+
+    if not entries:
+        return docs.where("false").select("doc_id", F.lit(1).alias("pos"), F.lit(1).alias("n_words"), F.lit(None).cast(term_type).alias("term_id"))
+    texts = docs.select("doc_id", F.array_join(words_of(F.col("text")), " ").alias("t")).where("t <> ''")
+    hits = texts.mapInArrow(run, f"doc_id {doc_type}, pos int, n_words int, term_id {term_type}")
+    return hits
+
+
+def annotate_by_joins(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The same for phrases (g, term_id, n) of any number: runs of words of each length that phrases have, joined with them."""
+    lengths = [r.n for r in known.select("n").distinct().collect()]  # as many as lengths in words
+    words = docs.select("doc_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    at = lambda pos: F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.size("w") - pos + 1), lambda n: F.struct(pos.alias("pos"), n.alias("n"), F.array_join(F.slice("w", pos, n), " ").alias("g")))
     grams = words.select("doc_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), at))).alias("x")).select("doc_id", "x.*")
-    hits = grams.join(phrases.select(F.array_join("w", " ").alias("g"), "term_id").hint("merge"), "g")
+    hits = grams.join(known.select("g", "term_id").hint("merge"), "g")
     best = hits.groupBy("doc_id", "pos").agg(F.min(F.struct((-F.col("n")).alias("n"), "term_id")).alias("b"))
     return best.select("doc_id", "pos", (-F.col("b.n")).alias("n_words"), F.col("b.term_id").alias("term_id"))
 

@@ -132,7 +132,7 @@ def _(x):
 
 @query("T11_render_few_shot", "SELECT patient_id, string_agg('Case ' || case_id || ': ' || ds, ' | ' ORDER BY n) AS shots FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY jaccard DESC, case_id) AS n FROM (SELECT patient_id, case_id, n / (a + b - n) AS jaccard FROM (SELECT patient_id, case_id, count(*) AS n FROM q JOIN (SELECT DISTINCT case_id, term_id FROM case_rows) USING (term_id) GROUP BY 1, 2) JOIN (SELECT patient_id, count(*) AS a FROM q GROUP BY 1) USING (patient_id) JOIN (SELECT case_id, count(DISTINCT term_id) AS b FROM case_rows GROUP BY 1) USING (case_id))) JOIN (SELECT case_id, string_agg(DISTINCT disease_id, ', ' ORDER BY disease_id) AS ds FROM case_rows GROUP BY 1) USING (case_id) WHERE n <= 3 GROUP BY 1")
 def _(x):
-    return textops.render_few_shot(match.jaccard_similarity(x.query, x.case_rows.select("case_id", "term_id")), x.cases, 3)
+    return textops.render_few_shot(match.most_similar_sets(x.query, x.case_rows.select("case_id", "term_id"), 3), x.cases, 3)
 
 
 @query("T15_parse_object_answer", "SELECT s_suppkey AS answer_id, CAST(1 AS INT) AS idx, s_name AS name FROM supplier")
