@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.kg import numbered
+from .large_json import entries
+
 ANNOTATION_COLUMNS = ("database_id", "disease_name", "qualifier", "hpo_id", "reference", "evidence", "onset", "frequency", "sex", "modifier", "aspect", "biocuration")
 
 
@@ -77,9 +80,9 @@ def read_case_library(spark: SparkSession, path: str) -> DataFrame:
 
 def read_patients(spark: SparkSession, path: str) -> DataFrame:
     """(patient_id, terms, true_diseases) of a file of pairs of lists; others go, and ids count what is left from 1."""
-    pairs = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "array<array<array<string>>>").alias("a"))
-    good = pairs.select(F.filter("a", lambda p: (F.size(p) == 2) & (F.size(p[0]) > 0) & (F.size(p[1]) > 0)).alias("a"))
-    return good.select(F.posexplode("a").alias("i", "p")).select((F.col("i") + 1).cast("long").alias("patient_id"), F.col("p")[0].alias("terms"), F.col("p")[1].alias("true_diseases"))
+    pairs = entries(spark, path).select(F.struct("file", "place").alias("place"), F.from_json("value", "array<array<string>>").alias("p"))
+    good = pairs.where((F.size("p") == 2) & (F.size(F.col("p")[0]) > 0) & (F.size(F.col("p")[1]) > 0))
+    return numbered(good, "place", "patient_id").select("patient_id", F.col("p")[0].alias("terms"), F.col("p")[1].alias("true_diseases"))
 
 
 def sample_select(patients: DataFrame, wanted: str | int) -> DataFrame:
@@ -101,13 +104,13 @@ def read_embedding_csv(spark: SparkSession, path: str, prefix: str = "HP:") -> D
 
 def read_json_dict(spark: SparkSession, path: str, value_type: str) -> DataFrame:
     """(key, value) of a file that holds one dictionary."""
-    rows = spark.read.option("wholetext", True).text(path)
-    return rows.select(F.explode(F.from_json("value", f"map<string,{value_type}>")).alias("key", "value"))
+    rows = entries(spark, path).where("key is not null")
+    return rows.select("key", F.from_json(F.concat(F.lit("["), "value", F.lit("]")), f"array<{value_type}>")[0].alias("value"))
 
 
 def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "struct<results:map<string,struct<description:string>>>").alias("j"))
-    return rows.select(F.explode("j.results").alias("disease_id", "d")).select("disease_id", F.col("d.description").alias("description")).where("description is not null")
+    rows = entries(spark, path, 2).where("parent = 'results' and key is not null").select(F.col("key").alias("disease_id"), F.from_json("value", "struct<description:string>").alias("d"))
+    return rows.select("disease_id", F.col("d.description").alias("description")).where("description is not null")
 
 
 def read_categorization_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -117,8 +120,8 @@ def read_categorization_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_disease_ontology_json(spark: SparkSession, path: str) -> DataFrame:
     """(disease_id, alias, pos): names and exact synonyms under the equivalent ids."""
-    kind = "map<string,struct<name:string,synonyms:array<struct<name:string,type:string>>,equivalent_ids:array<string>>>"
-    d = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", kind)).alias("id", "d"))
+    kind = "struct<name:string,synonyms:array<struct<name:string,type:string>>,equivalent_ids:array<string>>"
+    d = entries(spark, path).select(F.from_json("value", kind).alias("d"))
     named = F.concat(F.array("d.name"), F.transform(F.filter("d.synonyms", lambda s: s["type"] == "EXACT"), lambda s: s["name"]))
     rows = d.select(F.explode("d.equivalent_ids").alias("e"), named.alias("a")).select(F.regexp_replace("e", "^Orphanet:", "ORPHA:").alias("disease_id"), "a").where("disease_id like 'ORPHA:%' or disease_id like 'OMIM:%'")
     return rows.select("disease_id", F.posexplode("a").alias("pos", "alias"))
@@ -127,17 +130,16 @@ def read_disease_ontology_json(spark: SparkSession, path: str) -> DataFrame:
 def read_alt_names_json(spark: SparkSession, path: str) -> DataFrame:
     from ..functions.names import placeholder_name
 
-    d = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,struct<ENG_NAME:string,ALT_NAME:string>>")).alias("disease_id", "d"))
+    d = entries(spark, path).select(F.col("key").alias("disease_id"), F.from_json("value", "struct<ENG_NAME:string,ALT_NAME:string>").alias("d")).where("disease_id is not null")
     rows = d.select("disease_id", F.posexplode(F.concat(F.array("d.ENG_NAME"), F.split(F.coalesce("d.ALT_NAME", F.lit("")), ";;"))).alias("pos", "alias")).withColumn("alias", F.trim("alias"))
     return rows.where(~placeholder_name(F.col("alias")))
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, text) of a list of samples, or of an object that holds one."""
-    item = "array<struct<sample_id:long,text:string>>"
-    t = spark.read.option("wholetext", True).text(path)
-    both = F.coalesce(F.from_json("value", f"struct<samples:{item}>")["samples"], F.from_json("value", item))
-    return t.select(F.explode(both).alias("s")).select("s.*")
+def read_predictions(spark: SparkSession, path: str, item: str = "sample_id long, text string") -> DataFrame:
+    """The columns ``item`` of a list of samples, or of an object that holds one as ``samples``."""
+    listed = entries(spark, path).where("key is null").select("value")
+    held = entries(spark, path, 2).where("parent = 'samples'").select("value")
+    return listed.unionByName(held).select(F.from_json("value", item).alias("s")).where("s is not null").select("s.*")
 
 
 def read_xml_disorder_phenotypes(spark: SparkSession, path: str) -> DataFrame:

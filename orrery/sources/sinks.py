@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..operators.kg import classification_flatten
 
 
 def case_library(annotation: DataFrame, groups: DataFrame, first_of: DataFrame | None = None) -> DataFrame:
@@ -47,6 +51,33 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_dictionary(df: DataFrame, path: str) -> None:
-    """A dictionary as a table of keys and values, which grows with its rows alone."""
-    df.write.mode("overwrite").parquet(path)
+def write_json(df: DataFrame, path: str, key: str | None, value: str, within: str | None = None) -> None:
+    """JSON dictionaries of ``key`` and ``value`` (without ``key``: lists of values), under the name ``within`` of an outer one if given:
+    a file for each task, which ``large_json.entries`` reads together, so no task holds the whole."""
+    rows = df.select(F.to_json(F.array(value)).alias("v"), *([F.to_json(F.array(F.col(key).cast("string"))).alias("k")] if key else []))
+    left, right = ("{", "}") if key else ("[", "]")
+    opened, closed = ('{"' + within + '": ' + left, right + "}") if within else (left, right)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = opened
+        for batch in batches:
+            values = [v[1:-1] for v in batch.column(0).to_pylist()]
+            if key:
+                values = [f"{k[1:-1]}: {v}" for k, v in zip(batch.column(1).to_pylist(), values)]
+            out = []
+            for v in values:
+                out.append(before + v)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([(opened if before == opened else "") + closed])], ["value"])
+
+    rows.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
+def write_classification(rows: DataFrame, path: str) -> None:
+    """The flattened classification as a JSON dictionary by disorder (``json``) and as a file of joined categories (``csv``)."""
+    flat = classification_flatten(rows)
+    listed = lambda c: F.array_remove(F.split(c, r" \| "), "").alias(c)
+    write_json(flat.select("disease_id", F.struct(*[listed(c) for c in ("name", "disorder_type", "classification", "category")]).alias("v")), f"{path}/json", "disease_id", "v")
+    number = F.regexp_replace(F.col("disease_id").cast("string"), "^ORPHA:", "")
+    write_csv(flat.select(number.alias("OrphaNumber"), F.element_at(F.split("name", r" \| "), 1).alias("Disorder_Name"), F.replace("category", F.lit(" | "), F.lit("|")).alias("Category")), f"{path}/csv")
