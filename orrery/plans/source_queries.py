@@ -221,6 +221,6 @@ def _(x: Fixture):
 
 @query("ST02_intake", "SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL")
 def _(x: Fixture):
-    rows = x.table("events").select("user_id", "ts")
-    out = _in_two_runs(x, rows, F.col("user_id") % 2 == 0, lambda s, o, c: ranks.stream_intake(s, "user_id", "ts", o, c))
-    return ranks.taken_in(x.spark, out, rows.select("user_id").schema)
+    rows = x.table("events").select("user_id")
+    out = _in_two_runs(x, rows, F.col("user_id") % 2 == 0, lambda s, o, c: ranks.stream_intake(s, "user_id", o, c))
+    return ranks.taken_in(x.spark, out, rows.schema)

@@ -78,14 +78,14 @@ def test_intake_once(spark, tmp_path):
     """Late, repeated and replayed ids, across a restart and from a second stream with the same done table."""
     path = lambda name: str(tmp_path / name)
     at = lambda hour: dt.datetime(2024, 1, 1) + dt.timedelta(hours=hour)
-    batches = [[(1, at(0)), (1, at(0.1)), (2, at(1)), (None, at(1))], [(1, at(9)), (3, at(10))], [(2, at(0)), (1, at(30)), (4, at(31)), (4, at(31))]]
+    batches = [[(1, at(0)), (1, at(0.1)), (2, at(1)), (None, at(1))], [(1, at(9)), (3, at(10))], [(2, at(0)), (1, at(30)), (4, at(31)), (4, at(31)), (5, at(0))]]
     stream = lambda: spark.readStream.schema("id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path("in"))
     for n, rows in enumerate(batches):
         spark.createDataFrame(rows, "id long, ts timestamp").coalesce(1).write.mode("append").parquet(path("in"))
-        ranks.stream_intake(stream(), "id", "ts", path("done"), path("cp")).awaitTermination()
+        ranks.stream_intake(stream(), "id", path("done"), path("cp")).awaitTermination()
     schema = spark.createDataFrame([], "id long").schema
     taken = lambda: sorted(x.id for x in ranks.taken_in(spark, path("done"), schema).collect())
-    assert taken() == [1, 2, 3, 4]
+    assert taken() == [1, 2, 3, 4, 5]
     # all files replayed under a new checkpoint whose batch numbers meet old ones
-    ranks.stream_intake(stream(), "id", "ts", path("done"), path("cp2")).awaitTermination()
-    assert taken() == [1, 2, 3, 4]
+    ranks.stream_intake(stream(), "id", path("done"), path("cp2")).awaitTermination()
+    assert taken() == [1, 2, 3, 4, 5]
