@@ -141,6 +141,16 @@ def model_posteriors(query: DataFrame, model: DataFrame, absent: DataFrame, edge
     return with_posterior(ratio_blocks.log_sums(laid, query, RULES, k), diseases)
 
 
+def with_group_posterior(pairs: DataFrame, posterior: DataFrame, groups: DataFrame) -> DataFrame:
+    """(patient_id, disease_id, posterior) of ``pairs``: a disease's own posterior, else that of the least id of its group that
+    has one for the patient, else 0."""
+    keys = ["patient_id", "disease_id"]
+    held = posterior.select(*keys, "posterior")
+    of_group = held.join(groups, "disease_id").groupBy("patient_id", "group_id").agg(F.min_by("posterior", "disease_id").alias("_g"))
+    rows = pairs.select(*keys).distinct().join(groups, "disease_id", "left").join(held.hint("merge"), keys, "left").join(of_group.hint("merge"), ["patient_id", "group_id"], "left")
+    return rows.select(*keys, F.coalesce("posterior", "_g", F.lit(0.0)).alias("posterior"))
+
+
 def likeliest(posterior: DataFrame, k: int) -> DataFrame:
     """The k likeliest diseases of each patient."""
     w = Window.partitionBy("patient_id").orderBy(F.desc("log_lr"), F.asc("disease_id"))

@@ -136,6 +136,15 @@ def closest_annotated_ancestor(terms: DataFrame, closure_self: DataFrame, annota
     return met.groupBy("term_id", "disease_id").agg(F.min(F.struct("distance", "ancestor_id")).alias("b")).select("term_id", "disease_id", F.col("b.ancestor_id").alias("ancestor_id"))
 
 
+def closest_or_root(pairs: DataFrame, closure_self: DataFrame, induced: DataFrame, root) -> DataFrame:
+    """(term_id, disease_id, ancestor_id, f) of every given pair: the nearest ancestor that ``induced`` (disease_id, term_id, f) has for
+    the disease; the root with 1 where there is none."""
+    asked = pairs.select("term_id", "disease_id").distinct()
+    near = closest_annotated_ancestor(asked, closure_self, induced, root).join(asked.hint("merge"), ["term_id", "disease_id"], "left_semi")
+    shares = near.join(induced.withColumnRenamed("term_id", "ancestor_id").hint("merge"), ["disease_id", "ancestor_id"])
+    return asked.join(shares.hint("merge"), ["term_id", "disease_id"], "left").select("term_id", "disease_id", F.coalesce("ancestor_id", F.lit(root)).alias("ancestor_id"), F.coalesce("f", F.lit(1.0)).alias("f"))
+
+
 def disease_info(diseases: DataFrame, alias: DataFrame, typed: DataFrame, described: DataFrame, annotation: DataFrame) -> DataFrame:
     """One row for each asked disease: all names in order, type, description (empty if none) and each term's largest share."""
     names_ = alias.groupBy("disease_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "alias"))), lambda x: x["alias"])).alias("names"))

@@ -84,6 +84,46 @@ def propagate_annotations(annotation: DataFrame, groups: DataFrame) -> DataFrame
     return groups.join(whole, "group_id").select("disease_id", "term_id", "freq")
 
 
+def annotations_of_groups(merged: DataFrame, groups: DataFrame) -> DataFrame:
+    """(disease_id, term_id, frequency, frequency_type, source, n_terms): every id of a group with all its terms. Frequency texts
+    of its ids follow each other, by id, as do their types, unless one is a code (then the type is hpo_id); sources are listed
+    once; ``n_terms`` counts the group's distinct terms. ``merged`` has frequencies, types and sources of (disease_id, term_id)."""
+    some = lambda x: x != ""
+    per_id = merged.select("disease_id", "term_id", F.array_join("frequencies", "; ").alias("f"), F.array_join("frequency_types", "; ").alias("t"), "sources").join(groups, "disease_id")
+    listed = per_id.groupBy("group_id", "term_id").agg(F.array_sort(F.collect_list(F.struct("disease_id", "f", "t", "sources"))).alias("s"))
+    types = F.transform("s", lambda x: x["t"])
+    whole = listed.select(
+        "group_id", "term_id", F.array_join(F.filter(F.transform("s", lambda x: x["f"]), some), "; ").alias("frequency"),
+        F.when(F.exists(types, lambda t: t.contains("hpo_id")), "hpo_id").otherwise(F.array_join(F.filter(types, some), "; ")).alias("frequency_type"),
+        F.array_join(F.array_distinct(F.flatten(F.transform("s", lambda x: x["sources"]))), "; ").alias("source"))
+    sizes = whole.groupBy("group_id").agg(F.count("*").alias("n_terms"))
+    return groups.join(whole, "group_id").join(sizes.hint("merge"), "group_id").select("disease_id", "term_id", "frequency", "frequency_type", "source", "n_terms")
+
+
+#: Frequency labels and their codes.
+LABEL_CODES = {"excluded": "HP:0040285", "very rare": "HP:0040284", "rare": "HP:0040284", "occasional": "HP:0040283", "frequent": "HP:0040282", "very frequent": "HP:0040281", "obligate": "HP:0040280"}
+
+
+def orphanet_annotations(rows: DataFrame) -> DataFrame:
+    """(disease_id, term_id, frequency, frequency_type, source) of (orpha_code, term_id, frequency_label): labels, in any case and
+    without what is in parentheses, become codes, other texts stay with their type. Rows without a code or a term, and
+    excluded terms, go."""
+    label = F.trim(F.split_part(F.coalesce("frequency_label", F.lit("")), F.lit("("), F.lit(1)))
+    code = F.try_element_at(F.create_map(*[F.lit(v) for pair in LABEL_CODES.items() for v in pair]), F.lower(label))
+    text = F.coalesce(code, label)
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    kept = rows.where(~blank("orpha_code") & (F.lower(F.trim(F.col("orpha_code").cast("string"))) != "nan") & ~blank("term_id")).withColumn("frequency", text).where(F.col("frequency") != LABEL_CODES["excluded"])
+    return kept.select(F.concat(F.lit("ORPHA:"), F.trim(F.col("orpha_code").cast("string"))).alias("disease_id"), F.trim("term_id").alias("term_id"), "frequency", freq.freq_type(F.col("frequency")).alias("frequency_type"), F.lit("orphanet").alias("source"))
+
+
+def type_of_namesakes(named: DataFrame, typed: DataFrame) -> DataFrame:
+    """(disease_id, disease_type): an id without a type has that of the least id that bears the same name, ignoring case, and has one."""
+    own = named.select("disease_id", F.lower("name").alias("_name")).join(typed.where("disease_type is not null").hint("merge"), "disease_id", "left")
+    first = own.where("disease_type is not null and _name is not null").groupBy("_name").agg(F.min_by("disease_type", "disease_id").alias("_type"), F.count("*").alias("_n"))
+    found = looked_up(own.where("disease_type is null and _name is not null").select("disease_id", "_name"), first, "_name")
+    return own.join(found.select("disease_id", "_type").hint("merge"), "disease_id", "left").select("disease_id", F.coalesce("disease_type", "_type").alias("disease_type"))
+
+
 def propagate_aliases(alias: DataFrame, groups: DataFrame) -> DataFrame:
     """Every id of a group gets the group's aliases; of spellings that differ in case the least."""
     whole = alias.join(groups, "disease_id").groupBy("group_id", F.lower("alias").alias("_k")).agg(F.min("alias").alias("alias"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate
+from ..functions import frequency
+from ..operators import evaluate, likelihood, ontology, resolve
 from ..operators.lineage import cut, new_path
 from ..sources import readers, sinks
 from ..streaming import ranks
@@ -224,3 +225,94 @@ def _(x: Fixture):
     rows = x.table("events").select("user_id")
     out = _in_two_runs(x, rows, F.col("user_id") % 2 == 0, lambda s, o, c: ranks.stream_intake(s, "user_id", o, c))
     return ranks.taken_in(x.spark, out, rows.schema)
+
+
+_shares = "CASE l % 7 WHEN 0 THEN NULL WHEN 1 THEN 'Excluded (0%)' WHEN 2 THEN 'VERY RARE (<4-1%)' WHEN 3 THEN 'rare' WHEN 4 THEN ' Very frequent (99-80%)' WHEN 5 THEN '3/7' ELSE 'Obligate' END"
+
+
+@query("I03_orphanet_annotations", """SELECT 'ORPHA:' || disease_id AS disease_id, 'HP:' || term_id || '/' || o AS term_id, CASE l % 7 WHEN 0 THEN '' WHEN 2 THEN 'HP:0040284' WHEN 3 THEN 'HP:0040284' WHEN 4 THEN 'HP:0040281' WHEN 5 THEN '3/7' ELSE 'HP:0040280' END AS frequency,
+  CASE l % 7 WHEN 0 THEN 'empty' WHEN 5 THEN 'fraction' ELSE 'hpo_id' END AS frequency_type FROM ann_rows WHERE l % 7 <> 1 AND o % 10 <> 3 AND o % 10 <> 4""")
+def _(x: Fixture):
+    code = F.when(F.col("o") % 10 == 3, "nan").otherwise(_text("disease_id"))
+    term = F.when(F.col("o") % 10 == 4, F.lit(" ")).otherwise(F.concat(_hp("term_id"), F.lit("/"), _text("o")))
+    rows = x.annotation_rows.select(code.alias("orpha_code"), term.alias("term_id"), F.expr(_shares).alias("frequency_label"))
+    return resolve.orphanet_annotations(rows).drop("source")
+
+
+@query("F06_every_row", "SELECT o, l, CASE frequency " + " ".join(f"WHEN '{c}' THEN '{v[1]}/{v[2]}/{v[3]}'" for c, v in frequency.CODES.items()) + " END AS interval_text FROM ann_rows")
+def _(x: Fixture):
+    return x.annotation_rows.select("o", "l", F.array_join(F.transform(frequency.freq_interval(F.col("frequency")), lambda v: v.cast("string")), "/").alias("interval_text"))
+
+
+@query("I07_annotations_of_groups", "SELECT g.disease_id, whole.term_id, whole.frequency, whole.frequency_type, whole.source, count(*) OVER (PARTITION BY g.disease_id) AS n_terms FROM grp g JOIN whole USING (group_id)",
+       {"texts": "SELECT group_id, disease_id, term_id, string_agg(f, '; ' ORDER BY n) AS f, string_agg(CASE WHEN regexp_matches(f, '^\\d+/\\d+$') THEN 'fraction' WHEN regexp_matches(f, '^\\d+%$') THEN 'percentage' WHEN f LIKE 'HP:%' THEN 'hpo_id' ELSE 'other' END, '; ' ORDER BY n) AS t FROM (SELECT disease_id, term_id, frequency AS f, min((o, l)) AS n FROM ann_rows WHERE qualifier <> 'NOT' AND frequency <> '' GROUP BY 1, 2, 3) JOIN grp USING (disease_id) GROUP BY 1, 2, 3",
+        "origins": "SELECT group_id, term_id, string_agg(source, '; ' ORDER BY n) AS source FROM (SELECT group_id, term_id, source, min((disease_id, o, l)) AS n FROM ann_rows JOIN grp USING (disease_id) WHERE qualifier <> 'NOT' GROUP BY 1, 2, 3) GROUP BY 1, 2",
+        "whole": "SELECT group_id, term_id, coalesce(string_agg(f, '; ' ORDER BY disease_id), '') AS frequency, CASE WHEN bool_or(t LIKE '%hpo_id%') THEN 'hpo_id' ELSE coalesce(string_agg(t, '; ' ORDER BY disease_id), '') END AS frequency_type, any_value(source) AS source FROM origins LEFT JOIN texts USING (group_id, term_id) GROUP BY 1, 2"})
+def _(x: Fixture):
+    return resolve.annotations_of_groups(x.merged, x.groups)
+
+
+@query("I10_type_of_namesakes", "WITH s AS (SELECT s_suppkey AS i, CASE WHEN s_suppkey % 2 = 0 THEN 'Name ' ELSE 'NAME ' END || (s_suppkey % 7) AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'type' || s_suppkey END AS t FROM supplier) SELECT s.i AS disease_id, coalesce(s.t, f.t) AS disease_type FROM s LEFT JOIN (SELECT lower(name) AS n, arg_min(t, i) AS t FROM s WHERE t IS NOT NULL GROUP BY 1) f ON f.n = lower(s.name)")
+def _(x: Fixture):
+    k, i = F.col("s_suppkey"), F.col("s_suppkey").alias("disease_id")
+    named = x.table("supplier").select(i, F.concat(F.when(k % 2 == 0, "Name ").otherwise("NAME "), (k % 7).cast("string")).alias("name"))
+    typed = x.table("supplier").select(i, F.when(k % 5 == 0, F.concat(F.lit("type"), k.cast("string"))).alias("disease_type"))
+    return resolve.type_of_namesakes(named, typed)
+
+
+@query("O08_closest_or_root", "SELECT t.term_id, t.disease_id, coalesce(c5.a, 0) AS ancestor_id, round(coalesce(c5.f, 1.0), 6) AS f FROM (SELECT DISTINCT q.term_id, s_suppkey AS disease_id FROM q, supplier WHERE s_suppkey % 7 = q.term_id % 7) t LEFT JOIN c5 USING (term_id, disease_id)")
+def _(x: Fixture):
+    model, _absent = likelihood.lr_models(x.annotation_rows)
+    mine = ontology.with_self(x.closure, x.term)
+    pairs = x.query.select("term_id").distinct().withColumn("r", F.col("term_id") % 7).join(x.table("supplier").select(F.col("s_suppkey").alias("disease_id"), (F.col("s_suppkey") % 7).alias("r")).hint("merge"), "r")
+    return ontology.closest_or_root(pairs, mine, cut(likelihood.induced_frequency(model, mine, 0)), 0).withColumn("f", F.round("f", 6))
+
+
+@query("R03_group_posterior", "SELECT m.patient_id, m.disease_id, round(coalesce(h.posterior, og.p, 0), 6) AS posterior FROM (SELECT DISTINCT patient_id, disease_id FROM matches) m JOIN grp USING (disease_id) LEFT JOIN own_post h USING (patient_id, disease_id) LEFT JOIN group_post og USING (patient_id, group_id)",
+       more_queries._vec | {"own_post": "SELECT patient_id, disease_id, posterior FROM post WHERE disease_id % 4 <> 1", "group_post": "SELECT patient_id, group_id, arg_min(posterior, disease_id) AS p FROM own_post JOIN grp USING (disease_id) GROUP BY 1, 2"})
+def _(x: Fixture):
+    held = more_queries._posterior(x).withColumnRenamed("weight", "posterior").where("disease_id % 4 <> 1")
+    return likelihood.with_group_posterior(more_queries.base._matches(x), cut(held), x.groups).withColumn("posterior", F.round("posterior", 6))
+
+
+def _graph(x: Fixture) -> dict:
+    """The graph's files, written from the given tables, and read back."""
+    path = new_path(x.spark)
+    out = lambda df, name: df.select(*[(F.col(c).cast("string") if c in df.columns else F.lit("")).alias(c) for c in readers.GRAPH_FILES[name]]).write.option("header", True).option("escape", '"').csv(f"{path}/{name}")
+    d = lambda c: F.concat(F.lit("D:"), _text(c))
+    s = x.table("supplier")
+    out(s.select(d("s_suppkey").alias("ID"), F.col("s_name").alias("standard_name"), F.concat(F.lit("a, "), _text("s_nationkey"), F.lit("; ; b")).alias("synonyms"), F.when(F.col("s_suppkey") % 3 == 0, "t").alias("disease_type"), F.when(F.col("s_suppkey") % 2 == 0, "No disease description found.").otherwise(F.concat(F.lit('says "'), "s_name", F.lit('"'))).alias("description")), "disease_nodes.csv")
+    out(x.groups.select(d("group_id").alias("sourceID"), F.concat(F.lit("OMIM:"), _text("disease_id")).alias("targetID")), "disease_to_publicDisease_edges.csv")
+    shown = F.when(F.col("freq").isNull(), "n/a").otherwise(F.format_string("%.4f", "freq"))
+    out(x.annotation.join(x.groups, "disease_id").groupBy("group_id", "term_id").agg(F.max("freq").alias("freq")).select(d("group_id").alias("sourceID"), _hp("term_id").alias("targetID"), shown.alias("frequency_max")), "disease_to_phenotype_edges.csv")
+    ic = x.ic.where("term_id % 3 <> 0").select(_hp("term_id").alias("ID"), F.when(F.col("term_id") % 3 == 1, F.col("ic")).alias("IC"))
+    out(ic, "phenotype_nodes.csv")
+    sinks.write_json(x.ic.where("term_id % 2 = 0").select(_hp("term_id").alias("k"), F.when(F.col("term_id") % 10 != 0, (F.col("ic") + 100).cast("string")).otherwise("x").alias("v")), f"{path}/ic_dict_recomputed.json", "k", "v")
+    out(x.edge.select(_hp("child").alias("sourceID"), _hp("parent").alias("targetID"), F.when(F.col("child") % 6 == 5, "phenotype_exact").otherwise("is_a").alias("relationship")), "phenotype_to_phenotype_edges.csv")
+    return readers.read_kg(x.spark, path)
+
+
+@query("S13_read_kg_annotations", "SELECT 'OMIM:' || g.disease_id AS disease_id, 'HP:' || a.term_id AS term_id, round(a.freq, 3) AS freq FROM grp g JOIN (SELECT group_id, term_id, max(freq) AS freq FROM ann JOIN grp USING (disease_id) GROUP BY 1, 2) a USING (group_id)")
+def _(x: Fixture):
+    return _graph(x)["annotation"].withColumn("freq", F.round("freq", 3))
+
+
+@query("S13_read_kg_terms", "SELECT 'HP:' || term_id AS term_id, round(CASE WHEN term_id % 2 = 0 AND term_id % 10 <> 0 THEN ic + 100 WHEN term_id % 3 = 1 THEN ic END, 5) + 0.0 AS ic FROM ic WHERE term_id % 3 <> 0 OR (term_id % 2 = 0 AND term_id % 10 <> 0)")
+def _(x: Fixture):
+    return _graph(x)["term"].select("term_id", (F.round("ic", 5) + 0.0).alias("ic"))
+
+
+@query("S13_read_kg_diseases", "SELECT 'D:' || s_suppkey AS disease_id, s_name AS name, s_name || '|a, ' || s_nationkey || '|b' AS names, CASE WHEN s_suppkey % 3 = 0 THEN 't' END AS disease_type, CASE WHEN s_suppkey % 2 = 1 THEN 'says \"' || s_name || '\"' END AS description FROM supplier")
+def _(x: Fixture):
+    return _graph(x)["disease"].withColumn("names", F.array_join("names", "|"))
+
+
+@query("S13_read_kg_edges", "SELECT 'HP:' || child AS child, 'HP:' || parent AS parent FROM edge WHERE child % 6 <> 5")
+def _(x: Fixture):
+    return _graph(x)["term_edge"]
+
+
+@query("K04_public_links", "SELECT id AS ID, s_name AS standard_name, CASE s_suppkey % 3 WHEN 0 THEN 'https://www.omim.org/entry/' || s_suppkey WHEN 1 THEN 'https://www.orpha.net/en/disease/detail/' || s_suppkey ELSE '' END AS link FROM (SELECT *, ['OMIM:', 'ORPHA:', 'DECIPHER:'][s_suppkey % 3 + 1] || s_suppkey AS id FROM supplier)")
+def _(x: Fixture):
+    kind = F.element_at(F.array(F.lit("OMIM:"), F.lit("ORPHA:"), F.lit("DECIPHER:")), (F.col("disease_id") % 3 + 1).cast("int"))
+    return sinks.public_disease_nodes(x.alias.withColumn("disease_id", F.concat(kind, _text("disease_id"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,14 +191,56 @@ def expand_groups(edges: DataFrame, public: DataFrame) -> DataFrame:
     return edges.join(ids, edges.sourceID == ids._g, "left").withColumn("sourceID", F.coalesce("_p", "sourceID")).drop("_g", "_p")
 
 
+# The graph's files and their columns.
+GRAPH_FILES = {
+    "disease_nodes.csv": ("ID", "standard_name", "synonyms", "disease_type", "is_rare", "description"),
+    "disease_to_publicDisease_edges.csv": ("sourceID", "targetID", "source", "relationship"),
+    "disease_to_phenotype_edges.csv": ("sourceID", "targetID", "source", "frequency", "frequency_max", "relationship"),
+    "phenotype_nodes.csv": ("ID", "standard_name", "synonyms", "description", "comment", "associations", "IC", "embedding"),
+    "phenotype_to_phenotype_edges.csv": ("sourceID", "targetID", "source", "relationship"),
+    "gene_to_phenotype_edges.csv": ("ncbi_gene_id", "gene_symbol", "phenotype_id", "disease_id", "relationship", "publicDisease_ids"),
+    "gene_to_disease_edges.csv": ("ncbi_gene_id", "gene_symbol", "disease_id", "relationship"),
+}
+
+
+def _graph_file(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A file's rows with trimmed columns, blank ones empty; a file that isn't there has no rows."""
+    columns = GRAPH_FILES[name]
+    try:
+        rows = spark.read.csv(f"{path}/{name}", header=True, schema=_strings(*columns), multiLine=True, escape='"')
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], _strings(*columns))
+    return rows.select(*[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in columns])
+
+
 def read_kg(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The graph's files: nodes and edges, with groups expanded and shares as numbers."""
-    csv = lambda name, *columns: spark.read.csv(f"{path}/{name}", header=True, schema=_strings(*columns))
-    public = csv("disease_to_public.csv", "sourceID", "targetID", "source", "relationship")
-    has = csv("disease_to_phenotype.csv", "sourceID", "targetID", "source", "frequency", "frequency_max", "relationship")
-    terms = csv("phenotypes.csv", "ID", "standard_name", "synonyms", "description", "comment", "associations", "IC", "embedding")
+    """The graph's tables: diseases with names, synonyms (the name first), type and description; groups and their public ids;
+    annotations, one for each public id of a group, with numeric shares alone, and each group's number of edges; terms with
+    vector and content, where the JSON file's content comes before the table's; is-a edges; genes by term and by disease."""
+    file = lambda name: _graph_file(spark, path, name)
+    filled = lambda c: F.nullif(c, F.lit(""))
+    nodes = file("disease_nodes.csv").where("ID <> '' and standard_name <> ''")
+    synonyms = F.filter(F.transform(F.split("synonyms", ";"), lambda x: F.trim(x)), lambda x: x != "")
+    public = file("disease_to_publicDisease_edges.csv").where("sourceID <> '' and targetID <> ''").select("sourceID", "targetID")
+    has = file("disease_to_phenotype_edges.csv").where("sourceID <> '' and targetID <> ''").withColumn("freq", F.col("frequency_max").try_cast("double"))
+    own = file("phenotype_nodes.csv").where("ID <> ''")
+    try:
+        given = read_json_dict(spark, f"{path}/ic_dict_recomputed.json", "string").select(F.col("key").alias("term_id"), F.col("value").try_cast("double").alias("_ic")).where("_ic is not null")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        given = spark.createDataFrame([], "term_id string, _ic double")
+    vector = F.from_json(filled("embedding"), "array<float>")
+    terms = own.select(F.col("ID").alias("term_id"), filled("standard_name").alias("name"), F.col("IC").try_cast("double").alias("ic"), vector.alias("v"))
     return {
-        "annotation": expand_groups(has.withColumn("freq", F.col("frequency_max").try_cast("double")), public).select(F.col("sourceID").alias("disease_id"), F.col("targetID").alias("term_id"), "freq"),
-        "term_edge": csv("phenotype_to_phenotype.csv", "sourceID", "targetID", "source", "relationship").where("relationship = 'is_a'").select(F.col("sourceID").alias("child"), F.col("targetID").alias("parent")),
-        "term": terms.select(F.col("ID").alias("term_id"), F.col("standard_name").alias("name"), F.col("IC").try_cast("double").alias("ic")),
+        "disease": nodes.select(F.col("ID").alias("disease_id"), F.col("standard_name").alias("name"), F.concat(F.array("standard_name"), synonyms).alias("names"), filled("disease_type").alias("disease_type"), F.when(F.col("description") != "No disease description found.", filled("description")).alias("description")),
+        "group": public.select(F.col("sourceID").alias("group_id"), F.col("targetID").alias("disease_id")).distinct(),
+        "annotation": expand_groups(has, public).groupBy(F.col("sourceID").alias("disease_id"), F.col("targetID").alias("term_id")).agg(F.max("freq").alias("freq")),
+        "count": has.groupBy(F.col("sourceID").alias("group_id")).agg(F.count("*").alias("n_edges")),
+        "term": terms.join(given.hint("merge"), "term_id", "full").select("term_id", "name", F.coalesce("_ic", "ic").alias("ic"), "v"),
+        "term_edge": file("phenotype_to_phenotype_edges.csv").where("sourceID <> '' and targetID <> '' and relationship = 'is_a'").select(F.col("sourceID").alias("child"), F.col("targetID").alias("parent")),
+        "gene_term": file("gene_to_phenotype_edges.csv").select(F.col("ncbi_gene_id").alias("gene_id"), "gene_symbol", F.col("phenotype_id").alias("term_id"), F.col("disease_id").alias("group_id"), F.filter(F.split("publicDisease_ids", ";"), lambda x: x != "").alias("disease_ids")),
+        "gene_disease": file("gene_to_disease_edges.csv").select(F.col("ncbi_gene_id").alias("gene_id"), "gene_symbol", F.col("disease_id").alias("group_id")),
     }
