@@ -2,7 +2,8 @@
 
 Any string is a page: an empty one has a root without text, text outside of elements belongs to the root, unknown tags are
 passed over, and tags that are left open end with what holds them. A head ends where the body's first element begins, and
-another dropped container ends with its article at the latest, and is passed over if no closing tag follows at all. Time and memory are linear in the page."""
+another dropped container ends with its article at the latest, and is passed over if no closing tag follows at all. A form or
+dialog that holds an article, a main part, a section or a first heading is drawn around content and passed over, too. Time and memory are linear in the page."""
 
 from __future__ import annotations
 
@@ -13,6 +14,8 @@ from collections.abc import Iterator
 # Tags by what they do to text.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav header footer aside address details summary fieldset center hgroup search".split())
 DROPPED = frozenset("script style head title template noscript svg math iframe object canvas select option textarea button form dialog audio video map datalist".split())
+#: Elements that a form or dialog holds only if it is drawn around the page's content: it is passed over then.
+CONTENT = re.compile(r"<(?:article|main|section|h1)[\s>]", re.I)
 RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES_P = BLOCKS - {"html", "body"}
@@ -125,6 +128,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in DROPPED:
             if tag not in lasts:
                 lasts[tag] = lower().rfind(f"</{tag}")
+            if tag in ("form", "dialog") and not closing:
+                end = lower().find(f"</{tag}", at)
+                if CONTENT.search(page, at, end if end >= 0 else len(page)):
+                    flush()
+                    continue
             if not closing and not m[3].endswith("/") and (tag in RAW or tag == "head" or lasts[tag] > at):
                 if tag in RAW:
                     end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)

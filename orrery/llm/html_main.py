@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import dom
 
-TRAINING_PAGES = 1600
+TRAINING_PAGES = 2400
 TREES, DEPTH = 30, 5
 KEPT = Path(__file__).with_name("html_trees.json")
 #: Log-odds that an element must gain by being mixed.
@@ -61,9 +61,13 @@ def training_page(seed: int) -> str:
     remarks = lambda: name('<div class="comments">{}</div>', '<section id="comments">{}</section>', "<ul class='comment-list'>{}</ul>").format(f"<h3>{words(1, 3)}</h3>" + "".join(remark() for _ in range(r.randint(1, 6))))
     share = lambda: f'<div class="{name("share", "social follow", "byline meta")}"><a href="#">{word()}</a> <a href="#">{word()}</a></div>'
     broken = r.random() < 0.4
+    style = r.choice(["p", "p", "p", "p", "p", "div", "div", "bare"])  # what holds the article's paragraphs
 
     def paragraph() -> str:
         kind = r.random()
+        if style != "p" and kind < 0.78:
+            inner = prose() + maybe(0.2, lambda: f' <a href="/{word()}">{words(1, 4)}</a> {sentence()}')
+            return f"<div data-main=1>{inner}</div>" if style == "div" else f"{inner}<br><br>"
         if kind < 0.78:
             inner = prose()
             if r.random() < 0.2:
@@ -84,12 +88,19 @@ def training_page(seed: int) -> str:
     title = maybe(0.8, lambda: f"<h1 data-main=1>{words(1, 9)}{maybe(0.2, lambda: stop)}</h1>")
     if r.random() < 0.15:
         title = f"<header>{title}</header>"
-    shell = r.choice(["<article>{}</article>", "<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="post-content">{}</div>', '<div id="main"><div class="entry">{}</div></div>', '<section class="story"><div class="article-body">{}</div></section>', "<main><article>{}</article></main>", '<div class="text">{}</div>', "<div>{}</div>"])
+    shell = r.choice(["<article>{}</article>", "<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="post-content">{}</div>', '<div id="main"><div class="entry">{}</div></div>', '<section class="story"><div class="article-body">{}</div></section>', "<main><article>{}</article></main>", '<div class="text">{}</div>', "<div>{}</div>", '<div id="content">{}</div>', "{}"])
+    if style == "bare" and shell != "{}":  # the text is the innermost shell's own
+        head, hole, tail = shell.partition(">{}")
+        shell = f"{head} data-main=1{hole}{tail}"
     body = shell.format(title + maybe(0.2, share) + "".join(parts) + maybe(0.15, share) + maybe(0.15, remarks))
     before = [header] * (r.random() < 0.4) + [menu] * (r.random() < 0.8) + [notice] * (r.random() < 0.25) + [advert] * (r.random() < 0.5) + [side] * (r.random() < 0.15) + [form] * (r.random() < 0.2)
     after = [advert] * (r.random() < 0.2) + [remarks] * (r.random() < 0.4) + [side] * (r.random() < 0.35) + [notice] * (r.random() < 0.1) + [footer] * (r.random() < 0.85)
-    wrap = r.choice(["{}", "{}", '<div id="page">{}</div>', '<div class="container"><div class="row">{}</div></div>'])
-    return f"<html><head><title>{words(2, 6)}</title></head><body>{wrap.format(''.join(f() for f in before) + body + ''.join(f() for f in after))}</body></html>"
+    wrap = r.choice(["{}", "{}", '<div id="page">{}</div>', '<div class="container"><div class="row">{}</div></div>', '<form id="aspnetForm"><div>{}</div></form>'])
+    if r.random() < 0.12:  # nothing but the article, or its parts
+        if style != "bare" and r.random() < 0.6:
+            body = title + "".join(parts)
+        return r.choice(["{}", "<body>{}</body>"]).format(body) if style != "bare" else f"<body data-main=1>{body}</body>"
+    return f"<html><head><title>{words(2, 6)}</title></head><body{' data-main=1' * (style == 'bare' and shell == '{}')}>{wrap.format(''.join(f() for f in before) + body + ''.join(f() for f in after))}</body></html>"
 
 
 def labelled(seeds: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
