@@ -50,6 +50,11 @@ def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataF
     return spark.read.schema(made.schema).parquet(path)
 
 
+def forget() -> None:
+    """From now on ``kept`` makes its tables anew."""
+    _kept.clear()
+
+
 def looked_up(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """``rows`` with the one row that ``values`` has for their ``key``, by an inner join. ``values`` has a column ``_n``, the number of
     rows of each key: keys of more than one in ``HOT`` of all rows, at most ``HOT`` of them, are broadcast, the others merged."""

@@ -316,3 +316,30 @@ def _(x: Fixture):
 def _(x: Fixture):
     kind = F.element_at(F.array(F.lit("OMIM:"), F.lit("ORPHA:"), F.lit("DECIPHER:")), (F.col("disease_id") % 3 + 1).cast("int"))
     return sinks.public_disease_nodes(x.alias.withColumn("disease_id", F.concat(kind, _text("disease_id"))))
+
+
+def _named(c):
+    return F.struct(c.alias("Name"))
+
+
+@query("S03_read_disorder_phenotypes", "SELECT 'ORPHA:' || disease_id AS disease_id, 'HP:' || term_id AS term_id, 'type ' || (disease_id % 4) AS disorder_type, 'group ' || (disease_id % 3) AS disorder_group, CASE WHEN disease_id % 2 = 0 THEN 'y' ELSE 'n' END AS validation_status, CASE WHEN term_id % 2 = 0 THEN 'Frequent' ELSE 'Very rare' END AS frequency_label, CASE WHEN term_id % 5 = 0 THEN 'Criterion' END AS criterion FROM ann")
+def _(x: Fixture):
+    d, t = F.col("disease_id"), F.col("term_id")
+    link = F.struct(F.struct(_hp("term_id").alias("HPOId"), F.lit("n").alias("HPOTerm")).alias("HPO"), _named(F.when(t % 2 == 0, "Frequent (79-30%)").otherwise("Very rare (<4-1%)")).alias("HPOFrequency"), F.when(t % 5 == 0, _named(F.lit("Criterion"))).alias("DiagnosticCriteria"))
+    per = x.annotation.select("disease_id", link.alias("l")).groupBy("disease_id").agg(F.collect_list("l").alias("l"))
+    disorder = F.struct(d.alias("OrphaCode"), F.lit("n").alias("Name"), _named(F.concat(F.lit("type "), (d % 4).cast("string"))).alias("DisorderType"), _named(F.concat(F.lit("group "), (d % 3).cast("string"))).alias("DisorderGroup"), F.struct(F.col("l").alias("HPODisorderAssociation")).alias("HPODisorderAssociationList"))
+    path = new_path(x.spark)
+    per.select(disorder.alias("Disorder"), F.lit("s").alias("Source"), F.when(d % 2 == 0, "y").otherwise("n").alias("ValidationStatus")).write.format("xml").option("rowTag", "HPODisorderSetStatus").save(path)
+    return readers.read_xml_disorder_phenotypes(x.spark, path).select("disease_id", "term_id", "disorder_type", "disorder_group", "validation_status", "frequency_label", "criterion")
+
+
+@query("S04_read_alignment", "SELECT 'ORPHA:' || s_suppkey AS disease_id, 'a|b' || s_nationkey AS synonyms, CASE WHEN s_suppkey % 3 = 0 THEN 'Obsolete' ELSE 'Active' END || '|Head' AS flags, unnest(['OMIM', 'ICD-10']) AS source, unnest(['o' || s_suppkey, 'i' || s_suppkey]) AS reference, unnest(['E', 'NTBT']) AS relation, unnest([NULL, 'Specific code']) AS icd_relation, 'Validated' AS validation_status FROM supplier")
+def _(x: Fixture):
+    k = F.col("s_suppkey")
+    ref = lambda source, number, relation, icd: F.struct(F.lit(source).alias("Source"), F.concat(F.lit(number), k.cast("string")).alias("Reference"), _named(F.lit(relation)).alias("DisorderMappingRelation"), (_named(F.lit(icd)) if icd else F.lit(None).cast("struct<Name:string>")).alias("DisorderMappingICDRelation"), _named(F.lit("Validated")).alias("DisorderMappingValidationStatus"))
+    flag = lambda c: F.struct(F.lit("1").alias("Value"), c.alias("Label"))
+    path = new_path(x.spark)
+    x.table("supplier").select(
+        k.alias("OrphaCode"), F.col("s_name").alias("Name"), F.struct(F.array(flag(F.when(k % 3 == 0, "Obsolete").otherwise("Active")), flag(F.lit("Head"))).alias("DisorderFlag")).alias("DisorderFlagList"), F.struct(F.array(F.lit("a"), F.concat(F.lit("b"), _text("s_nationkey"))).alias("Synonym")).alias("SynonymList"),
+        F.struct(F.array(ref("OMIM", "o", "E", None), ref("ICD-10", "i", "NTBT", "Specific code")).alias("ExternalReference")).alias("ExternalReferenceList")).write.format("xml").option("rowTag", "Disorder").save(path)
+    return readers.read_xml_alignment(x.spark, path).select("disease_id", _joined("synonyms").alias("synonyms"), _joined("flags").alias("flags"), "source", "reference", "relation", "icd_relation", "validation_status")

@@ -144,18 +144,29 @@ def read_predictions(spark: SparkSession, path: str, item: str = "sample_id long
 
 
 def read_xml_disorder_phenotypes(spark: SparkSession, path: str) -> DataFrame:
-    """One row per disorder and term, with frequency and diagnostic criterion."""
-    schema = "Disorder struct<OrphaCode:long, Name:string, DisorderType:struct<Name:string>, DisorderGroup:struct<Name:string>, HPODisorderAssociationList:struct<HPODisorderAssociation:array<struct<HPO:struct<HPOId:string,HPOTerm:string>,HPOFrequency:struct<Name:string>,DiagnosticCriteria:struct<Name:string>>>>>, ValidationStatus string"
+    """One row per disorder and term, with frequency and diagnostic criterion, the disorder's type and group, and the
+    record's source and validation status."""
+    schema = "Disorder struct<OrphaCode:long, Name:string, DisorderType:struct<Name:string>, DisorderGroup:struct<Name:string>, HPODisorderAssociationList:struct<HPODisorderAssociation:array<struct<HPO:struct<HPOId:string,HPOTerm:string>,HPOFrequency:struct<Name:string>,DiagnosticCriteria:struct<Name:string>>>>>, Source string, ValidationStatus string, Online string, ValidationDate string"
     d = spark.read.schema(schema).option("rowTag", "HPODisorderSetStatus").format("xml").load(path)
-    rows = d.select(F.concat(F.lit("ORPHA:"), F.col("Disorder.OrphaCode").cast("string")).alias("disease_id"), F.col("Disorder.Name").alias("name"), F.col("Disorder.DisorderType.Name").alias("disorder_type"), F.explode("Disorder.HPODisorderAssociationList.HPODisorderAssociation").alias("a"))
-    return rows.select("disease_id", "name", "disorder_type", F.col("a.HPO.HPOId").alias("term_id"), F.col("a.HPO.HPOTerm").alias("term_name"), F.trim(F.split_part("a.HPOFrequency.Name", F.lit("("), F.lit(1))).alias("frequency_label"), F.col("a.DiagnosticCriteria.Name").alias("criterion"))
+    rows = d.select(
+        F.concat(F.lit("ORPHA:"), F.col("Disorder.OrphaCode").cast("string")).alias("disease_id"), F.col("Disorder.Name").alias("name"), F.col("Disorder.DisorderType.Name").alias("disorder_type"), F.col("Disorder.DisorderGroup.Name").alias("disorder_group"),
+        F.col("Source").alias("record_source"), F.col("ValidationStatus").alias("validation_status"), F.col("Online").alias("online"), F.col("ValidationDate").alias("validation_date"), F.explode("Disorder.HPODisorderAssociationList.HPODisorderAssociation").alias("a"))
+    about = ("disease_id", "name", "disorder_type", "disorder_group", "record_source", "validation_status", "online", "validation_date")
+    return rows.select(*about, F.col("a.HPO.HPOId").alias("term_id"), F.col("a.HPO.HPOTerm").alias("term_name"), F.trim(F.split_part("a.HPOFrequency.Name", F.lit("("), F.lit(1))).alias("frequency_label"), F.col("a.DiagnosticCriteria.Name").alias("criterion"))
 
 
 def read_xml_alignment(spark: SparkSession, path: str) -> DataFrame:
-    """One row per disorder and external reference."""
-    schema = "OrphaCode long, Name string, SynonymList struct<Synonym:array<string>>, ExternalReferenceList struct<ExternalReference:array<struct<Source:string,Reference:string,DisorderMappingRelation:struct<Name:string>>>>"
+    """One row per disorder and external reference, with the disorder's flags, synonyms, type and group, and how the reference maps."""
+    named = "struct<Name:string>"
+    reference = f"struct<Source:string,Reference:string,DisorderMappingRelation:{named},DisorderMappingICDRelation:{named},DisorderMappingValidationStatus:{named},DisorderMappingICDRefUrl:string,DisorderMappingICDRefUri:string>"
+    schema = f"OrphaCode long, Name string, DisorderFlagList struct<DisorderFlag:array<struct<Value:string,Label:string>>>, SynonymList struct<Synonym:array<string>>, DisorderType {named}, DisorderGroup {named}, ExternalReferenceList struct<ExternalReference:array<{reference}>>"
     d = spark.read.schema(schema).option("rowTag", "Disorder").format("xml").load(path)
-    return d.select(F.concat(F.lit("ORPHA:"), F.col("OrphaCode").cast("string")).alias("disease_id"), F.col("Name").alias("name"), F.col("SynonymList.Synonym").alias("synonyms"), F.explode_outer("ExternalReferenceList.ExternalReference").alias("r")).select("disease_id", "name", "synonyms", F.col("r.Source").alias("source"), F.col("r.Reference").alias("reference"), F.col("r.DisorderMappingRelation.Name").alias("relation"))
+    rows = d.select(
+        F.concat(F.lit("ORPHA:"), F.col("OrphaCode").cast("string")).alias("disease_id"), F.col("Name").alias("name"), F.col("SynonymList.Synonym").alias("synonyms"), F.transform("DisorderFlagList.DisorderFlag", lambda f: f["Label"]).alias("flags"),
+        F.col("DisorderType.Name").alias("disorder_type"), F.col("DisorderGroup.Name").alias("disorder_group"), F.explode_outer("ExternalReferenceList.ExternalReference").alias("r"))
+    return rows.select(
+        "disease_id", "name", "synonyms", "flags", "disorder_type", "disorder_group", F.col("r.Source").alias("source"), F.col("r.Reference").alias("reference"), F.col("r.DisorderMappingRelation.Name").alias("relation"),
+        F.col("r.DisorderMappingICDRelation.Name").alias("icd_relation"), F.col("r.DisorderMappingValidationStatus.Name").alias("validation_status"), F.col("r.DisorderMappingICDRefUrl").alias("url"), F.col("r.DisorderMappingICDRefUri").alias("uri"))
 
 
 def read_xml_classification(spark: SparkSession, path: str) -> DataFrame:
