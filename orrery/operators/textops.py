@@ -106,30 +106,12 @@ def name_resolver(asked: DataFrame, alias: DataFrame, similarity, threshold: flo
     return names_asked.join(found.hint("merge"), "name", "left").select("name", F.coalesce("b.disease_id", F.lit(-1)).alias("disease_id"), F.coalesce("b.sim", F.lit(0.0)).alias("sim"))
 
 
-def parse_ranked_answer(answers: DataFrame) -> DataFrame:
-    """(answer_id, idx, name): numbered lines after the last FINAL ANSWER, without comments, emphasis and parentheses."""
-    tail = F.element_at(F.split("text", "FINAL ANSWER"), -1)
-    lines = answers.select("answer_id", F.posexplode(F.split(tail, "\n")).alias("pos", "line")).where(F.col("line").rlike(r"^\s*\d+[.)]"))
-    name = F.regexp_replace(F.col("line"), r"^\s*\d+[.)]\s*", "")
-    for pattern in (r"\s[-–]\s.*$", r":.*$", r"\([^)]*\)", r"\*", "'s"):
-        name = F.regexp_replace(name, pattern, "")
-    rows = lines.select("answer_id", "pos", F.trim(name).alias("name")).where(F.length("name") > 2)
-    return rows.select("answer_id", F.row_number().over(Window.partitionBy("answer_id").orderBy("pos")).alias("idx"), "name")
-
-
 def parse_disease_terms(answers: DataFrame) -> DataFrame:
     """(answer_id, idx, name, terms) of lines ``n. **Name** - HP:...;HP:...``."""
     lines = answers.select("answer_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"^\s*\d+\.\s*\*\*"))
     return lines.select("answer_id", F.regexp_extract("line", r"^\s*(\d+)\.", 1).cast("int").alias("idx"), F.regexp_extract("line", r"\*\*(.+?)\*\*", 1).alias("name"), extract_codes(F.col("line")).alias("terms"))
 
 
-def parse_object_answer(answers: DataFrame) -> DataFrame:
-    """(answer_id, idx, name) of ``{"FINAL ANSWER": {"1. Name": ...}}``; UNKNOWN goes."""
-    body = F.from_json(F.regexp_extract("text", r"(?s)\{.*\}", 0), "map<string,map<string,string>>")
-    keys = answers.select("answer_id", F.explode(F.map_keys(F.try_element_at(body, F.lit("FINAL ANSWER")))).alias("k"))
-    return keys.select("answer_id", F.regexp_extract("k", r"^(\d+)", 1).cast("int").alias("idx"), F.trim(F.regexp_replace("k", r"^\d+[.)]?\s*", "")).alias("name")).where("name <> 'UNKNOWN'")
-
-
 def split_thinking(text: Column) -> tuple[Column, Column]:
     return F.regexp_extract(text, r"(?s)<think>(.*?)</think>", 1), F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"^\s+|\s+$", "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, fusion, likelihood, match, rank, resolve, textops
+from ..operators import answers, evaluate, fusion, likelihood, match, rank, resolve, textops
 from ..sources import sinks
 from . import queries as base
 from .fixture import CTE, Fixture
@@ -138,7 +138,7 @@ def _(x):
 @query("T15_parse_object_answer", "SELECT s_suppkey AS answer_id, CAST(1 AS INT) AS idx, s_name AS name FROM supplier")
 def _(x):
     text = F.concat(F.lit('thus {"FINAL ANSWER": {"1. '), "s_name", F.lit('": {"a": "b"}, "2. UNKNOWN": {}}} so'))
-    return textops.parse_object_answer(x.table("supplier").select(F.col("s_suppkey").alias("answer_id"), text.alias("text")))
+    return answers.parse_object_answer(x.table("supplier").select(F.col("s_suppkey").alias("answer_id"), text.alias("text")))
 
 
 @query("K03_case_database", "SELECT g.group_id, string_agg(DISTINCT alias, '|' ORDER BY alias) AS names, any_value(t.n) AS n_terms, any_value(m.mismatch) AS mismatch FROM grp g JOIN alias USING (disease_id) LEFT JOIN (SELECT group_id, count(DISTINCT term_id) AS n FROM ann JOIN grp USING (disease_id) GROUP BY 1) t ON t.group_id = g.group_id LEFT JOIN (SELECT group_id, count(DISTINCT n) > 1 AS mismatch FROM (SELECT disease_id, count(*) AS n FROM ann GROUP BY 1) JOIN grp USING (disease_id) GROUP BY 1) m ON m.group_id = g.group_id GROUP BY 1")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frequency as freq
 from ..functions import names, vectors
-from ..operators import evaluate, fusion, kg, likelihood, match, ontology, rank, resolve, textops
+from ..operators import answers, evaluate, fusion, kg, likelihood, match, ontology, rank, resolve, textops
 from .fixture import Fixture, sql_freq, with_roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -745,7 +745,7 @@ def _(x):
 
 @query("T04_parse_ranked_answer", "SELECT CAST(s_nationkey AS BIGINT) AS answer_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS idx, s_name AS name FROM supplier")
 def _(x):
-    return textops.parse_ranked_answer(x.answers)
+    return answers.parse_ranked_answer(x.answers)
 
 
 @query("T05_parse_disease_terms", "SELECT CAST(s_nationkey AS BIGINT) AS answer_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS idx, s_name AS name, 'HP:00000' || lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') || ',HP:0001250' AS terms FROM supplier")
@@ -761,7 +761,7 @@ def _(x):
 
 @query("T08_validate_answer", "SELECT CAST(s_nationkey AS BIGINT) AS answer_id, count(*) AS n_candidates, count(*) = 4 AS complete, 'REASON' AS missing FROM supplier GROUP BY 1")
 def _(x):
-    return textops.validate_answer(textops.parse_ranked_answer(x.answers), x.answers, ["FINAL ANSWER", "REASON"], 4)
+    return textops.validate_answer(answers.parse_ranked_answer(x.answers), x.answers, ["FINAL ANSWER", "REASON"], 4)
 
 
 @query("T10_render_case_line", "SELECT disease_id, '[Information is missing]: ' || string_agg(term_id || ' (' || printf('%.3f', coalesce(freq, 0)) || ')', ', ' ORDER BY coalesce(freq, 0) DESC, term_id) AS line FROM ann WHERE NOT (freq > 0 AND freq <= 0.17) GROUP BY 1")
@@ -770,7 +770,11 @@ def _(x):
     return textops.render_case_line(x.annotation, none)
 
 
-@query("T12_term_profile", "SELECT disease_id, CASE WHEN freq IS NULL THEN 'Unknown' WHEN freq = 0 THEN 'Excluded' WHEN freq BETWEEN 0.01 AND 0.04 THEN 'Very rare' WHEN freq BETWEEN 0.05 AND 0.29 THEN 'Occasional' WHEN freq BETWEEN 0.3 AND 0.79 THEN 'Frequent' WHEN freq BETWEEN 0.8 AND 0.99 THEN 'Very frequent' WHEN freq >= 1 THEN 'Obligate' ELSE 'Unknown' END AS bucket, string_agg(DISTINCT name, '; ' ORDER BY name) AS terms FROM ann JOIN term USING (term_id) GROUP BY 1, 2")
+#: Term names by disease and frequency bucket.
+TERM_PROFILE = "SELECT disease_id, CASE WHEN freq IS NULL THEN 'Unknown' WHEN freq = 0 THEN 'Excluded' WHEN freq BETWEEN 0.01 AND 0.04 THEN 'Very rare' WHEN freq BETWEEN 0.05 AND 0.29 THEN 'Occasional' WHEN freq BETWEEN 0.3 AND 0.79 THEN 'Frequent' WHEN freq BETWEEN 0.8 AND 0.99 THEN 'Very frequent' WHEN freq >= 1 THEN 'Obligate' ELSE 'Unknown' END AS bucket, string_agg(DISTINCT name, '; ' ORDER BY name) AS terms FROM ann JOIN term USING (term_id) GROUP BY 1, 2"
+
+
+@query("T12_term_profile", TERM_PROFILE)
 def _(x):
     return textops.term_profile(x.annotation, x.term)
 

@@ -19,17 +19,38 @@ def case_library(annotation: DataFrame, groups: DataFrame, first_of: DataFrame |
     return terms.join(groups.groupBy("group_id").agg(F.array_sort(F.collect_set("disease_id")).alias("diseases")), "group_id")
 
 
-def case_database(merged: DataFrame, alias: DataFrame, typed: DataFrame, groups: DataFrame) -> DataFrame:
-    """By group: names, terms with their displays, whether any id is rare, the first type, and whether its ids disagree on their number of terms."""
+def case_database(merged: DataFrame, alias: DataFrame, typed: DataFrame, groups: DataFrame, description: DataFrame | None = None) -> DataFrame:
+    """One row for a group; an annotated id without a group is its own. ``standard_names`` by id; ``names`` sorted, ``aliases`` in the
+    order of ids and positions; ``terms`` with their distinct displays (``Unknown`` where an id has none); whether any id is rare;
+    the first type that isn't empty, and the distinct descriptions ('' for none), in the order of ids; ``alias_errors`` and
+    ``term_errors``, the ids whose aliases, or terms with displays, differ from the least id's; ``mismatch`` if annotated ids
+    disagree on their number of terms. Ids are compared by digests, so a group's row holds an id's terms only once for all."""
     from ..functions.frequency import freq_display
 
-    per_id = merged.groupBy("disease_id").agg(F.count("*").alias("n"))
-    a = alias.join(groups, "disease_id").groupBy("group_id").agg(F.array_sort(F.collect_set("alias")).alias("names"))
-    shown = F.when(F.size("frequencies") > 0, F.array_join(F.array_sort(F.array_distinct(F.transform("frequencies", freq_display))), "; ")).otherwise("Unknown")
-    t = merged.join(groups, "disease_id").groupBy("group_id", "term_id").agg(F.array_join(F.array_sort(F.collect_set(shown)), "; ").alias("d")).groupBy("group_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term_id", "d")))).alias("terms"))
-    k = typed.join(groups, "disease_id").groupBy("group_id").agg(F.bool_or("is_rare").alias("is_rare"), F.min_by("disease_type", F.when(F.col("disease_type").isNotNull(), F.col("disease_id"))).alias("disease_type"))
-    m = per_id.join(groups, "disease_id").groupBy("group_id").agg((F.countDistinct("n") > 1).alias("mismatch"))
-    return a.join(t, "group_id", "left").join(k, "group_id", "left").join(m, "group_id", "left")
+    own = merged.select("disease_id").distinct().join(groups.hint("merge"), "disease_id", "left_anti").select("disease_id", F.col("disease_id").alias("group_id"))
+    ids = groups.select("disease_id", "group_id").unionByName(own)
+    parts = F.flatten(F.transform("frequencies", lambda f: F.split(freq_display(f), "; ")))
+    shown = F.array_sort(F.array_distinct(F.filter(parts, lambda d: d != "")))
+    displays = merged.select("disease_id", "term_id", F.when(F.size(shown) > 0, shown).otherwise(F.array(F.lit("Unknown"))).alias("d"))
+    digest = lambda items: F.sha2(F.to_json(F.array_sort(F.collect_list(items))), 256)
+    per_terms = displays.groupBy("disease_id").agg(digest(F.struct("term_id", "d")).alias("term_key"), F.count("*").alias("n"))
+    per_alias = alias.groupBy("disease_id").agg(digest(F.struct("pos", "alias")).alias("alias_key"), F.min_by("alias", "pos").alias("standard_name"))
+    about = (alias.where("false").select("disease_id", F.col("alias").alias("description")) if description is None else description.groupBy("disease_id").agg(F.min(F.trim("description")).alias("description")))
+    one = ids
+    for table in (per_terms, per_alias, typed.select("disease_id", "disease_type", "is_rare"), about):
+        one = one.join(table.hint("merge"), "disease_id", "left")
+    row = F.struct("disease_id", "term_key", "alias_key", F.coalesce("standard_name", F.lit("")).alias("standard_name"), "disease_type", F.coalesce("description", F.lit("")).alias("description"))
+    grouped = one.groupBy("group_id").agg(F.array_sort(F.collect_list(row)).alias("s"), F.coalesce(F.bool_or("is_rare"), F.lit(False)).alias("is_rare"), (F.countDistinct("n") > 1).alias("mismatch"))
+    odd = lambda key: F.transform(F.filter("s", lambda x: ~x[key].eqNullSafe(F.col("s")[0][key])), lambda x: x["disease_id"])
+    types = F.filter(F.transform("s", lambda x: x["disease_type"]), lambda t: F.coalesce(t, F.lit("")) != "")
+    entry = grouped.select(
+        "group_id", F.map_from_entries(F.transform("s", lambda x: F.struct(x["disease_id"], x["standard_name"]))).alias("standard_names"), "is_rare", F.try_element_at(types, F.lit(1)).alias("disease_type"),
+        F.array_distinct(F.transform("s", lambda x: x["description"])).alias("descriptions"), odd("alias_key").alias("alias_errors"), odd("term_key").alias("term_errors"), "mismatch")
+    spelt = alias.join(ids.hint("merge"), "disease_id").groupBy("group_id", "alias").agg(F.min(F.struct("disease_id", "pos")).alias("at"))
+    names_of = spelt.groupBy("group_id").agg(F.array_sort(F.collect_list("alias")).alias("names"), F.transform(F.array_sort(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    united = displays.join(ids.hint("merge"), "disease_id").select("group_id", "term_id", F.explode("d").alias("d")).groupBy("group_id", "term_id").agg(F.array_join(F.array_sort(F.collect_set("d")), "; ").alias("d"))
+    terms = united.groupBy("group_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term_id", "d")))).alias("terms"))
+    return entry.join(names_of.hint("merge"), "group_id", "left").join(terms.hint("merge"), "group_id", "left")
 
 
 def public_disease_nodes(alias: DataFrame) -> DataFrame:
