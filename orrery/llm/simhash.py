@@ -20,6 +20,7 @@ table. Null texts count as empty; a null id never names a component unless its c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -312,8 +313,9 @@ SIMILARITY = 0.8
 MARGIN = 0.2
 #: Bits, as a power of two, of the map of rows whose shingles are compared: 4 MB.
 MAP_BITS = 25
-#: Groups of up to so many sets are compared pair by pair, larger ones through lists of the sets that hold a shingle.
-FEW = 12
+#: Groups of up to so many sets are compared pair by pair, larger ones through lists of the sets that hold a rare shingle.
+#: Sets of up to SHORT shingles are found by their subsets, as a few shingles say too little to compare fingerprints.
+FEW, SHORT = 12, 8
 
 
 def reach(similarity: float, bits: int) -> int:
@@ -333,9 +335,17 @@ def counted(h: np.ndarray) -> np.ndarray:
     return np.unique(np.where(nth == 0, each, mixed(each + nth * np.uint64(0xD6E8FEB86659FD93), 1)))
 
 
-def shingle_sets(docs: DataFrame, words: int, bits: int | None) -> DataFrame:
-    """``docs`` without the ``text``, with ``node`` (a hash of the counted shingles), their number ``n``, and ``fp`` over them, or without
-    ``bits`` the ``shingles``."""
+def subset_keys(x: np.ndarray, similarity: float) -> list[int]:
+    """Hashes of all subsets of a set of up to SHORT elements that can be what it shares with another within reach; none for larger sets."""
+    if not 0 < len(x) <= SHORT:
+        return []
+    least = -(-len(x) * round(similarity * 10**6) // 10**6)
+    return [signed(xxhash.xxh64_intdigest(x[list(c)].tobytes(), 42)) for m in range(least, len(x) + 1) for c in combinations(range(len(x)), m)]
+
+
+def shingle_sets(docs: DataFrame, words: int, bits: int | None, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without the ``text``, with ``node`` (a hash of the counted shingles), their number ``n``, and ``fp`` over them with the
+    ``subset_keys``, or without ``bits`` the ``shingles``."""
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,15 +353,26 @@ def shingle_sets(docs: DataFrame, words: int, bits: int | None) -> DataFrame:
             sets = [counted(shingles(t or b"", words)) for t in listed(batch, "text")]
             node = pa.array([signed(xxhash.xxh64_intdigest(x.tobytes(), 42)) for x in sets], pa.int64())
             n = pa.array([len(x) for x in sets], pa.int64())
-            last = pa.array([majority(x, bits) for x in sets], pa.binary()) if bits else pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), node, n, last], [*names, *made.names])
+            longs = pa.list_(pa.int64())
+            last = [pa.array([majority(x, bits) for x in sets], pa.binary()), pa.array([subset_keys(x, similarity) for x in sets], longs)] if bits else [pa.array([x.view(np.int64) for x in sets], longs)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), node, n, *last], [*names, *made.names])
 
-    made = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()) if bits else T.StructField("shingles", T.ArrayType(T.LongType()))])
+    of_fp = [T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    made = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), *(of_fp if bits else [T.StructField("shingles", T.ArrayType(T.LongType()))])])
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), *made.fields]))
 
 
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of runs that begin at ``starts``, one run after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
 def alike(sets: list[np.ndarray], block: list[int], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose exact Jaccard similarity is reached; with two blocks, of pairs across them."""
+    """A spanning forest of the pairs whose exact Jaccard similarity (above 0) is reached; with two blocks, of pairs across them.
+
+    Trees grow one at a time, and a set is compared only with those that no tree has yet, share one of its rarest elements
+    and are long enough: a large group of near copies is done once its first members have met the others. Sets that share
+    common elements but reach no one are still met by each, if they differ in few rare ones."""
     k, up = len(sets), list(range(len(sets)))
     across = len(set(block)) > 1
     scale = 10**6
@@ -380,21 +401,53 @@ def alike(sets: list[np.ndarray], block: list[int], similarity: float) -> list[t
                 if (not across or block[i] != block[j]) and find(i) != find(j) and enough(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), i, j):
                     join(i, j)
         return out
-    every = np.concatenate(sets)
-    order = np.argsort(every, kind="stable")
-    holder = np.repeat(np.arange(k), sizes)[order]
-    values, starts = np.unique(every[order], return_index=True)
-    ends = np.append(starts[1:], len(every))
-    blocks = np.array(block)
-    for i in range(k):
-        at = np.searchsorted(values, sets[i])
-        common = np.bincount(np.concatenate([holder[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]), minlength=k) if len(at) else (sizes == 0) * 0
-        near = enough(common, i, np.arange(k))
-        near[: i + 1] = False
-        if across:
-            near &= blocks != block[i]
-        for j in np.flatnonzero(near).tolist():
-            join(i, j)
+    # an empty set gets an element that only empty sets have
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(values))
+    owner = np.concatenate([np.repeat(np.arange(k), sizes), np.flatnonzero(sizes == 0)])
+    flat = np.concatenate([rank[inverse], np.full((sizes == 0).sum(), len(values))])
+    order = np.lexsort((flat, owner))
+    owner, flat = owner[order], flat[order]
+    lengths = np.maximum(sizes, 1)
+    first = np.cumsum(lengths) - lengths
+    # sets within reach share one of their rarest elements: as many as may be missing, and one more
+    heads = np.minimum(sizes + (-sizes * least // scale) + 1, lengths)
+    in_head = np.arange(len(flat)) - np.repeat(first, lengths) < np.repeat(heads, lengths)
+    blocks, left, inside = np.array(block), np.ones(k, bool), np.zeros(len(values) + 1, bool)
+    n_left, indexed = k, 0
+
+    def index() -> tuple[np.ndarray, np.ndarray]:
+        chosen = in_head & left[owner]
+        held = flat[chosen]
+        return owner[chosen][np.argsort(held, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(held, minlength=len(values) + 1))])
+
+    for seed in range(k):
+        if not left[seed]:
+            continue
+        left[seed], n_left, todo = False, n_left - 1, [seed]
+        while todo and n_left:
+            i = todo.pop()
+            if not indexed or 2 * n_left < indexed:
+                (holder, starts), indexed = index(), n_left
+            mine = flat[first[i] : first[i] + lengths[i]]
+            probe = mine[: heads[i]]
+            met = np.unique(holder[spans(starts[probe], starts[probe + 1] - starts[probe])])
+            met = met[left[met]]
+            if across:
+                met = met[blocks[met] != blocks[i]]
+            met = met[np.minimum(sizes[met], sizes[i]) * scale >= np.maximum(sizes[met], sizes[i]) * least]
+            if not len(met):
+                continue
+            inside[mine] = True
+            total = lengths[met]
+            common = np.add.reduceat(inside[flat[spans(first[met], total)]].astype(np.int64), np.cumsum(total) - total)
+            inside[mine] = False
+            near = met[enough(common, i, met)].tolist()
+            left[near] = False
+            n_left -= len(near)
+            todo += near
+            out += [(i, j) for j in near]
     return out
 
 
@@ -428,6 +481,13 @@ def exact_links(members: DataFrame, texts: DataFrame, words: int, similarity: fl
     return dealt.repartition("comp", "part").sortWithinPartitions("comp", "part").mapInArrow(linking(similarity), "u long, v long")
 
 
+def short_edges(nodes: DataFrame) -> DataFrame:
+    """Edges (u, v) from each fingerprint (at) of a short set to the least that has one of its subset keys."""
+    keys = nodes.select("at", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("at").alias("v"), F.max("at").alias("top")).where("v < top").select("key", "v")
+    return keys.join(shared.hint("merge"), "key").where("at <> v").select(F.col("at").alias("u"), "v").distinct()
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group that chains of pairs of ``similarity`` or more connect: that with the smallest id (null
     last; of rows that repeat it, one). Similarity is the exact Jaccard similarity of the bags of shingles: shared
@@ -435,7 +495,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns of any name pass through.
 
     Wide fingerprints of the sets find candidate groups by the trie self-join, with a margin; the first two words join most
-    copies of a large group, so that the other words add few links to it. Within a group all pairs are
+    copies of a large group, so that the other words add few links to it. Sets of up to SHORT shingles, for which that
+    search is not reliable, also meet by the subsets that they can share, so no pair of such sets is missed. Within a group all pairs are
     compared exactly: the sets of a group meet in one task, or, if they are many, by pairs of blocks in many tasks, and
     only pairs within reach link."""
     bits = TABLES * WIDE["width"]
@@ -443,10 +504,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
     plain = keyed.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
-    nodes = written(shingle_sets(plain, words, bits).groupBy("node", "n", "fp").agg(least).withColumn("at", F.xxhash64("fp")), "nodes")
+    nodes = written(shingle_sets(plain, words, bits, similarity).groupBy("node", "n", "fp").agg(least, F.first("keys").alias("keys")).withColumn("at", F.xxhash64("fp")), "nodes")
     comps = nodes.select("fp", F.col("at").alias("root")).distinct()
-    for tables in STEPS:
-        roots = components(near_edges(comps, tables, limit=reach(similarity - MARGIN, bits), **WIDE)).withColumnRenamed("root", "to")
+    searches = [lambda c: short_edges(nodes), *(lambda c, t=t: near_edges(c, t, limit=reach(similarity - MARGIN, bits), **WIDE) for t in STEPS)]
+    for search in searches:
+        roots = components(search(comps)).withColumnRenamed("root", "to")
         comps = written(comps.join(roots.withColumnRenamed("node", "root").hint("merge"), "root", "left").select("fp", F.coalesce("to", "root").alias("root")), "comps")
     placed = nodes.select("node", "n", "fp", F.col("least.row").alias("row")).join(comps.withColumnRenamed("root", "comp").hint("merge"), "fp").select("node", "n", "row", "comp")
     several = placed.groupBy("comp").agg(F.count("*").alias("members")).where("members > 1").select("comp")

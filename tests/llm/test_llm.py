@@ -158,6 +158,57 @@ def test_near_dedup_similarity(spark, monkeypatch, blocks):
     assert {x.doc_id for x in simhash.near_dedup(rows).collect()} == kept_by_brute_force(made)
 
 
+def test_near_dedup_short_texts(spark):
+    """Every pair of sets of up to 8 shingles that is within reach links, at either end, amid texts that share all but one shingle and link to none."""
+    import random
+
+    r = random.Random(5)
+    some = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    made = {}
+    for n in [5, 6, 7, 8] * 40:  # n shingles, and the same without the first or the last
+        words = some(n + 4)
+        for text in (words, words[1:] if r.random() < 0.5 else words[:-1]):
+            made[len(made)] = " ".join(text)
+    head = some(11)
+    made |= {len(made) + i: " ".join(head + some(1)) for i in range(60)}
+    made |= {len(made): "a", len(made) + 1: "b", len(made) + 2: ""}
+    rows = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    kept = kept_by_brute_force(made)
+    assert len(kept) == 160 + 60 + 3 and {x.doc_id for x in simhash.near_dedup(rows).collect()} == kept
+
+
+def test_alike_equals_all_pairs():
+    """Large groups, in one block and across two: links are within reach and connect what all pairs connect."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+
+    def roots(k, links):
+        up = list(range(k))
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in links:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+        return [find(i) for i in range(k)]
+
+    for _ in range(30):
+        k, bases, sets = int(r.integers(13, 60)), [r.integers(0, 10**9, n) for n in (3, 20, 40)], []
+        for _ in range(k):
+            base = bases[r.integers(0, 3)]
+            sets.append(np.unique(np.concatenate([base[r.random(len(base)) > r.random() * 0.3], r.integers(0, 10**9, r.integers(0, 4))])) if r.random() > 0.05 else np.array([], np.int64))
+        for block in ([0] * k, [int(x) for x in r.integers(0, 2, k)]):
+            two = len(set(block)) > 1
+            common = lambda i, j: len(np.intersect1d(sets[i], sets[j]))  # noqa: B023, E731
+            pairs = {(i, j) for i in range(k) for j in range(i) if not (two and block[i] == block[j]) and common(i, j) * 10 >= (len(sets[i]) + len(sets[j]) - common(i, j)) * 8}
+            found = simhash.alike(sets, block, 0.8)
+            assert {(max(p), min(p)) for p in found} <= pairs and roots(k, found) == roots(k, pairs)
+
+
 def test_near_dedup_rows(spark):
     """Rows go, not ids: null and repeated ids in different components, and components of null or equal ids only."""
     import random
