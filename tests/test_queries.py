@@ -3,7 +3,7 @@
 import pytest
 from oracle import check
 
-from orrery.plans import answer_queries, source_queries  # noqa: F401
+from orrery.plans import answer_queries, name_queries, source_queries  # noqa: F401
 from orrery.plans.more_queries import base
 
 SF = "/root/testdata/sf0.001"
