@@ -78,6 +78,12 @@ def _(x):
     return answers.enrich_answer(_texts(x, OBJECTS), _resolved(x), entry, textops.term_profile(x.annotation, x.term))
 
 
+@query("T07_thinking_forms", f"SELECT answer_id, regexp_extract(s, '(?s)<think>(.*?)</think>', 1) AS thought, regexp_replace(regexp_replace(s, '(?s)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS rest FROM (SELECT s_suppkey AS answer_id, {OBJECTS} AS s FROM supplier)")
+def _(x):
+    thought, rest = textops.split_thinking(F.col("text"))
+    return _texts(x, OBJECTS).select("answer_id", thought.alias("thought"), rest.alias("rest"))
+
+
 _heads = [h.replace("'", "''") for h in answers.HEADINGS]
 _keys = ", ".join(f"""nullif(regexp_extract_all(regexp_extract(text, '(?is){h}\\s*\\{{([^}}]+)\\}}', 1), '"([^"]+)"\\s*:', 1), [])""" for h in _heads)
 _lists = ", ".join(f"""CASE WHEN regexp_matches(text, '(?is){h}\\s*\\[(.*?)\\]') THEN regexp_extract_all(regexp_extract(text, '(?is){h}\\s*\\[(.*?)\\]', 1), '"([^"]+)"', 1) END""" for h in _heads)

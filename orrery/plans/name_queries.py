@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import resolve
+from ..sources import sinks
 from . import queries as base
 from .fixture import Fixture
 
@@ -65,3 +66,11 @@ def _(x):
     lower = x.alias.where("disease_id % 3 = 0").select("disease_id", F.lower("alias").alias("alias"), (F.col("pos") - 5).alias("pos"))
     upper = x.alias.where("disease_id % 2 = 0").select("disease_id", F.upper("alias").alias("alias"), (F.col("pos") + 5).alias("pos"))
     return resolve.dedup_aliases(x.alias.unionByName(lower).unionByName(upper))
+
+
+_ids = "CASE disease_id % 3 WHEN 0 THEN 'OMIM:' WHEN 1 THEN 'ORPHA:' ELSE 'MONDO:' END || disease_id"
+
+
+@query("K04_public_nodes_linked", "SELECT i AS ID, arg_min(alias, pos) AS standard_name, CASE split_part(i, ':', 1) WHEN 'OMIM' THEN 'https://www.omim.org/entry/' || split_part(i, ':', 2) WHEN 'ORPHA' THEN 'https://www.orpha.net/en/disease/detail/' || split_part(i, ':', 2) ELSE '' END AS link FROM named GROUP BY i", {"named": f"SELECT {_ids} AS i, alias, pos FROM alias"})
+def _(x):
+    return sinks.public_disease_nodes(x.alias.select(F.expr(_ids).alias("disease_id"), "alias", "pos"))
