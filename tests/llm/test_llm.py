@@ -433,3 +433,21 @@ def test_pipeline(spark):
         if name != "best_fit_packing":
             assert docs.columns == columns and 0 < docs.count() <= n
     assert docs.select("doc_id").distinct().count() == before.count()
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, ties, repeats, a long text and columns with clashing names go through all stages; no labels or no rows give none."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    long = docs.where("lang = 'en'").agg(F.concat_ws(" ", F.array_sort(F.collect_list("text"))).alias("text"))
+    like = lambda doc_id, text: docs.limit(1).select(F.lit(doc_id).cast("long").alias("doc_id"), text.cast("string").alias("text"), "lang", "source", "n_chars")
+    longest = long.select(F.lit(None).cast("long").alias("doc_id"), F.repeat("text", F.lit(5)).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    odd = docs.union(docs.limit(5)).union(like(None, F.lit(None))).union(like(10**9, F.lit(""))).union(like(10**9 + 1, F.lit("12 34"))).union(longest)
+    clashing = odd.withColumns({c: F.lit(c) for c in ("node", "root", "row", "comp", "keys", "lang_pred", "score", "_spans", "bin_id")})
+    clashing.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    ids = {r.doc_id for r in got.collect()}
+    assert None in ids and not ids & {10**9, 10**9 + 1} and len(ids) > 50
+    odd.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
