@@ -11,7 +11,8 @@ escape character, inside a text; ``unescape`` undoes that exactly.
 
 A conversation is the rows of one ``conv_id`` (null is one too) by turn, then role and text, nulls first; null text
 and null role count as empty. An empty table gives no conversations. One conversation is one output row, so it
-is held whole by the task that formats it, and no task holds more than its own.
+is held whole by the task that formats it, and no task holds more than its own. As each prefix is rendered anew, time grows
+with the square of a conversation's length.
 """
 
 from __future__ import annotations
