@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from orrery.operators import blocks
+from orrery.operators import blocks, match, resolve
+from orrery.sources import readers
 
 
 def test_shared_vectors_meet_the_library_once(spark):
@@ -22,3 +23,26 @@ def test_shared_vectors_meet_the_library_once(spark):
     for a in asked:
         third = sorted((score[a, b] for b in held), reverse=True)[2]
         assert all((a, b) in best and abs(best[a, b] - score[a, b]) < 1e-9 for b in held if score[a, b] > third - 1e-9)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def moved_after_explode(plan):
+    """Whether an exchange stands above an explode in a plan's tree."""
+    lines = plan.splitlines()
+    at = [i for i, x in enumerate(lines) if "Generate explode(_ids" in x]
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    return not at or any("Exchange" in x and depth(x) < depth(lines[i]) for i in at for x in lines[:i])
+
+
+def test_rows_of_groups_are_multiplied_last(spark):
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "disease_id long, group_id long")
+    merged = spark.createDataFrame([(1, 7, ["1/2"], ["fraction"], ["a"]), (2, 7, ["5%"], ["percentage"], ["b"]), (2, 8, [], [], ["b"]), (4, 7, ["rare"], ["other"], ["a"])], "disease_id long, term_id long, frequencies array<string>, frequency_types array<string>, sources array<string>")
+    whole = resolve.annotations_of_groups(merged, groups)
+    assert {tuple(r) for r in whole.collect()} == {(d, 7, "1/2; 5%", "fraction; percentage", "a; b", 2) for d in (1, 2, 3)} | {(d, 8, "", "", "b", 2) for d in (1, 2, 3)} | {(4, 7, "rare", "other", "a", 1)}
+    assert not moved_after_explode(plan_of(whole))
+    shares = resolve.propagate_annotations(spark.createDataFrame([(1, 7, 0.5), (2, 7, 0.25), (4, 7, None)], "disease_id long, term_id long, freq double"), groups)
+    assert {tuple(r) for r in shares.collect()} == {(1, 7, 0.5), (2, 7, 0.5), (3, 7, 0.5), (4, 7, None)}
+    assert not moved_after_explode(plan_of(shares))
