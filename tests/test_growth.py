@@ -46,3 +46,10 @@ def test_rows_of_groups_are_multiplied_last(spark):
     shares = resolve.propagate_annotations(spark.createDataFrame([(1, 7, 0.5), (2, 7, 0.25), (4, 7, None)], "disease_id long, term_id long, freq double"), groups)
     assert {tuple(r) for r in shares.collect()} == {(1, 7, 0.5), (2, 7, 0.5), (3, 7, 0.5), (4, 7, None)}
     assert not moved_after_explode(plan_of(shares))
+
+
+def test_public_ids_of_several_groups_are_merged_alone(spark):
+    edges = spark.createDataFrame([("D:1", "t", 0.5), ("D:1", "t", 0.7), ("D:2", "t", 0.9), ("D:3", "u", None), ("D:4", "u", 0.1)], "sourceID string, targetID string, freq double")
+    public = spark.createDataFrame([("D:1", "a"), ("D:1", "b"), ("D:2", "b"), ("D:2", "D:3"), ("D:4", "c"), ("D:4", "c")], "sourceID string, targetID string")
+    found = readers.public_annotations(edges, public)
+    assert sorted(tuple(r) for r in found.collect()) == [("D:3", "t", 0.9), ("D:3", "u", None), ("a", "t", 0.7), ("b", "t", 0.9), ("c", "u", 0.1)]
