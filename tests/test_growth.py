@@ -53,3 +53,18 @@ def test_public_ids_of_several_groups_are_merged_alone(spark):
     public = spark.createDataFrame([("D:1", "a"), ("D:1", "b"), ("D:2", "b"), ("D:2", "D:3"), ("D:4", "c"), ("D:4", "c")], "sourceID string, targetID string")
     found = readers.public_annotations(edges, public)
     assert sorted(tuple(r) for r in found.collect()) == [("D:3", "t", 0.9), ("D:3", "u", None), ("a", "t", 0.7), ("b", "t", 0.9), ("c", "u", 0.1)]
+
+
+def test_terms_of_one_vector_are_compared_once(spark):
+    v = [[1.0, 0.0], [0.0, 1.0]]
+    embedding = spark.createDataFrame([(i, v[i % 2]) for i in range(40)], "term_id long, v array<double>")
+    terms = spark.range(40).select(F.col("id").alias("term_id"))
+    seen = []
+    scan = blocks.scan
+    blocks.scan = lambda a, b, *args, **more: seen.append((a.count(), b.count())) or scan(a, b, *args, **more)
+    try:
+        found = match.term_cosines(terms.where("term_id < 20"), terms, embedding, 0.6).collect()
+    finally:
+        blocks.scan = scan
+    assert seen == [(2, 2)]
+    assert {(r.query_term, r.term_id) for r in found} == {(a, b) for a in range(20) for b in range(40) if a % 2 == b % 2} and len(found) == 400
