@@ -68,3 +68,14 @@ def test_terms_of_one_vector_are_compared_once(spark):
         blocks.scan = scan
     assert seen == [(2, 2)]
     assert {(r.query_term, r.term_id) for r in found} == {(a, b) for a in range(20) for b in range(40) if a % 2 == b % 2} and len(found) == 400
+
+
+def test_all_terms_of_pairs_are_unfolded_last(spark):
+    query = spark.createDataFrame([(1, 5), (1, 6), (1, 7), (2, 5)], "patient_id long, term_id long")
+    matches = spark.createDataFrame([(1, 9, 5, "by parent"), (1, 9, 5, "direct"), (1, 8, 6, "by child"), (2, 9, 5, "by parent")], "patient_id long, disease_id long, query_term long, kind string")
+    found = match.all_terms_predicted(query, matches)
+    pairs = matches.select("patient_id", "disease_id").distinct()
+    same = match.prediction_term_enrichment(query.join(pairs, "patient_id"), matches).select(found.columns)
+    assert sorted(found.collect()) == sorted(same.collect()) and found.count() == 7
+    top = plan_of(found).split("Generate explode(_terms")[0]
+    assert "Exchange" not in top
