@@ -79,3 +79,16 @@ def test_all_terms_of_pairs_are_unfolded_last(spark):
     assert sorted(found.collect()) == sorted(same.collect()) and found.count() == 7
     top = plan_of(found).split("Generate explode(_terms")[0]
     assert "Exchange" not in top
+
+
+def test_case_annotations_are_not_moved(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "PAIRS", 3)
+    cases = spark.createDataFrame([(1, [1, 2], [7, 8]), (2, [2, 3, None], [8, 9, 8]), (3, [2], []), (4, [4], None), (5, [2, 2], [7, None, 5])], "case_id long, diseases array<long>, terms array<long>")
+    found = resolve.case_annotations(cases, ())
+    plan = plan_of(found)
+    want = {(d, t) for ds, ts in (((1, 2), (7, 8)), ((2, 3, None), (8, 9)), ((2,), (7, None, 5))) for d in ds for t in ts}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == {(None if d is None else str(d), t) for d, t in want}
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    named = spark.createDataFrame([(1, [" OMIM:1", "X:2"], ["a"]), (2, ["OMIM:1 "], ["a", "b"])], "case_id long, diseases array<string>, terms array<string>")
+    assert sorted(tuple(r) for r in resolve.case_annotations(named).collect()) == [("OMIM:1", "a"), ("OMIM:1", "b")]
