@@ -330,7 +330,7 @@ def _(x: Fixture):
     per = x.annotation.select("disease_id", link.alias("l")).groupBy("disease_id").agg(F.collect_list("l").alias("l"))
     disorder = F.struct(d.alias("OrphaCode"), F.lit("n").alias("Name"), _named(F.concat(F.lit("type "), (d % 4).cast("string"))).alias("DisorderType"), _named(F.concat(F.lit("group "), (d % 3).cast("string"))).alias("DisorderGroup"), F.struct(F.col("l").alias("HPODisorderAssociation")).alias("HPODisorderAssociationList"))
     path = new_path(x.spark)
-    per.select(disorder.alias("Disorder"), F.lit("s").alias("Source"), F.when(d % 2 == 0, "y").otherwise("n").alias("ValidationStatus")).write.format("xml").option("rowTag", "HPODisorderSetStatus").save(path)
+    per.select(disorder.alias("Disorder"), F.lit("s").alias("Source"), F.when(d % 2 == 0, "y").otherwise("n").alias("ValidationStatus")).write.format("xml").option("rowTag", "HPODisorderSetStatus").option("indent", "").save(path)
     return readers.read_xml_disorder_phenotypes(x.spark, path).select("disease_id", "term_id", "disorder_type", "disorder_group", "validation_status", "frequency_label", "criterion")
 
 

@@ -144,11 +144,21 @@ def read_predictions(spark: SparkSession, path: str, item: str = "sample_id long
     return listed.unionByName(held).select(F.from_json("value", item).alias("s")).where("s is not null").select("s.*")
 
 
+def _xml_records(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """The elements of one name as rows of ``schema``. Files are cut where an element ends, at any number of places: Spark's own reader takes a
+    file with records of several lines whole, in one task. An end tag within a comment would cut a record."""
+    end = f"</{tag}>"
+    texts = spark.read.option("lineSep", end).text(path).where(F.contains("value", F.lit(f"<{tag}")))
+    record = F.concat(F.regexp_extract("value", rf"(?s).*(<{tag}[\s>].*)", 1), F.lit(end))
+    # an explode, so that a filter on the record's fields does not parse it once more
+    return texts.select(F.explode(F.array(F.from_xml(record, schema))).alias("r")).select("r.*")
+
+
 def read_xml_disorder_phenotypes(spark: SparkSession, path: str) -> DataFrame:
     """One row per disorder and term, with frequency and diagnostic criterion, the disorder's type and group, and the
     record's source and validation status."""
     schema = "Disorder struct<OrphaCode:long, Name:string, DisorderType:struct<Name:string>, DisorderGroup:struct<Name:string>, HPODisorderAssociationList:struct<HPODisorderAssociation:array<struct<HPO:struct<HPOId:string,HPOTerm:string>,HPOFrequency:struct<Name:string>,DiagnosticCriteria:struct<Name:string>>>>>, Source string, ValidationStatus string, Online string, ValidationDate string"
-    d = spark.read.schema(schema).option("rowTag", "HPODisorderSetStatus").format("xml").load(path)
+    d = _xml_records(spark, path, "HPODisorderSetStatus", schema)
     rows = d.select(
         F.concat(F.lit("ORPHA:"), F.col("Disorder.OrphaCode").cast("string")).alias("disease_id"), F.col("Disorder.Name").alias("name"), F.col("Disorder.DisorderType.Name").alias("disorder_type"), F.col("Disorder.DisorderGroup.Name").alias("disorder_group"),
         F.col("Source").alias("record_source"), F.col("ValidationStatus").alias("validation_status"), F.col("Online").alias("online"), F.col("ValidationDate").alias("validation_date"), F.explode("Disorder.HPODisorderAssociationList.HPODisorderAssociation").alias("a"))
@@ -161,7 +171,7 @@ def read_xml_alignment(spark: SparkSession, path: str) -> DataFrame:
     named = "struct<Name:string>"
     reference = f"struct<Source:string,Reference:string,DisorderMappingRelation:{named},DisorderMappingICDRelation:{named},DisorderMappingValidationStatus:{named},DisorderMappingICDRefUrl:string,DisorderMappingICDRefUri:string>"
     schema = f"OrphaCode long, Name string, DisorderFlagList struct<DisorderFlag:array<struct<Value:string,Label:string>>>, SynonymList struct<Synonym:array<string>>, DisorderType {named}, DisorderGroup {named}, ExternalReferenceList struct<ExternalReference:array<{reference}>>"
-    d = spark.read.schema(schema).option("rowTag", "Disorder").format("xml").load(path)
+    d = _xml_records(spark, path, "Disorder", schema)
     rows = d.select(
         F.concat(F.lit("ORPHA:"), F.col("OrphaCode").cast("string")).alias("disease_id"), F.col("Name").alias("name"), F.col("SynonymList.Synonym").alias("synonyms"), F.transform("DisorderFlagList.DisorderFlag", lambda f: f["Label"]).alias("flags"),
         F.col("DisorderType.Name").alias("disorder_type"), F.col("DisorderGroup.Name").alias("disorder_group"), F.explode_outer("ExternalReferenceList.ExternalReference").alias("r"))

@@ -92,3 +92,17 @@ def test_case_annotations_are_not_moved(spark, monkeypatch):
     assert plan.count("Exchange") == 1 and "Aggregate" not in plan
     named = spark.createDataFrame([(1, [" OMIM:1", "X:2"], ["a"]), (2, ["OMIM:1 "], ["a", "b"])], "case_id long, diseases array<string>, terms array<string>")
     assert sorted(tuple(r) for r in resolve.case_annotations(named).collect()) == [("OMIM:1", "a"), ("OMIM:1", "b")]
+
+
+def test_xml_files_are_cut(spark, tmp_path):
+    one = '  <HPODisorderSetStatus id="{0}">\n    <Disorder id="{0}">\n      <OrphaCode>{0}</OrphaCode><Name lang="en">a &lt;b&gt; &amp;\n{0}</Name>\n      <HPODisorderAssociationList count="1"><HPODisorderAssociation><HPO><HPOId>HP:{0}</HPOId></HPO><HPOFrequency><Name>Frequent (79-30%)</Name></HPOFrequency></HPODisorderAssociation></HPODisorderAssociationList>\n    </Disorder>\n    <Source>s</Source>\n  </HPODisorderSetStatus>\n'
+    (tmp_path / "p.xml").write_text('<?xml version="1.0" encoding="UTF-8"?>\n<JDBOR><HPODisorderSetStatusList count="200">\n<HPODisorderSetStatus/>\n' + "".join(one.format(i) for i in range(200)) + "</HPODisorderSetStatusList></JDBOR>\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        found = readers.read_xml_disorder_phenotypes(spark, str(tmp_path / "p.xml"))
+        assert found.rdd.getNumPartitions() > 4
+        rows = found.select("disease_id", "name", "term_id", "frequency_label", "record_source").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(tuple(r) for r in rows) == sorted((f"ORPHA:{i}", f"a <b> &\n{i}", f"HP:{i}", "Frequent", "s") for i in range(200))
