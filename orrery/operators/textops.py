@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -31,25 +32,44 @@ def dictionary_annotate(docs: DataFrame, lexicon: DataFrame, most_words: int | N
     """(doc_id, pos, n_words, term_id): lexicon phrases (phrase, term_id) in texts; where matches start together the longest stays.
 
     Phrases of up to ``most_words`` words count, by default all. An Aho-Corasick automaton of the phrases, between spaces, runs once
-    over each text, so only matches become rows; it is built from a lexicon of checked size, beyond which runs of words are
-    joined with the phrases."""
+    over each text, so only matches become rows, and none is moved. A lexicon of more than ``MOST_PHRASES`` is dealt by first words into
+    parts of checked size, each with an automaton and a run of its own: matches that start together are of one part. A part that first words
+    alone make too large is joined with the runs of words."""
     phrases = lexicon.select(words_of(F.col("phrase")).alias("w"), "term_id").where(F.size("w") > 0)
     if most_words is not None:
         phrases = phrases.where(F.size("w") <= most_words)
     known = cut(phrases.groupBy(F.array_join("w", " ").alias("g")).agg(F.min("term_id").alias("term_id"), F.max(F.size("w")).alias("n")))
-    count, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("g")), F.lit(0))).first()
-    if count > MOST_PHRASES or size > MOST_BYTES:
-        return annotate_by_joins(docs, known)
-    term_type, doc_type = lexicon.schema["term_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
-    entries = [(r.g, r.n, r.term_id) for r in known.collect()]  # at most MOST_PHRASES
+    texts = docs.select("doc_id", F.array_join(words_of(F.col("text")), " ").alias("t")).where("t <> ''")
+    measure = [F.count("*"), F.coalesce(F.sum(F.octet_length("g")), F.lit(0))]
+    count, size = known.agg(*measure).first()
+    if not count:
+        return docs.where("false").select("doc_id", F.lit(1).alias("pos"), F.lit(1).alias("n_words"), F.lit(None).cast(lexicon.schema["term_id"].dataType).alias("term_id"))
+    if count <= MOST_PHRASES and size <= MOST_BYTES:
+        return annotate_by_automaton(texts, known)
+    n = 2 * max(-(-count // MOST_PHRASES), -(-size // MOST_BYTES))  # about half full
+    known = cut(known.withColumn("_part", F.pmod(F.xxhash64(F.split_part("g", F.lit(" "), F.lit(1))), F.lit(n)).cast("int")))
+    sizes = known.groupBy("_part").agg(*[m.alias(c) for m, c in zip(measure, ("c", "b"))]).collect()  # one row a part
+    whole = [r["_part"] for r in sizes if r["c"] > MOST_PHRASES or r["b"] > MOST_BYTES]
+    texts = cut(texts)
+    found = [annotate_by_automaton(texts, known.where(F.col("_part") == r["_part"]).drop("_part")) for r in sizes if r["_part"] not in whole]
+    if whole:
+        found.append(annotate_by_joins(texts.withColumnRenamed("t", "text"), known.where(F.col("_part").isin(whole)).drop("_part")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def annotate_by_automaton(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """``dictionary_annotate`` of texts (doc_id, t), words between single spaces, for at most ``MOST_PHRASES`` phrases (g, term_id, n)."""
+    term_type, doc_type = known.schema["term_id"].dataType.simpleString(), texts.schema["doc_id"].dataType.simpleString()
+    held = known.select("g", "n", "term_id").toArrow()  # at most MOST_PHRASES
+    arrow = held.schema.field("term_id").type
+    shared = texts.sparkSession.sparkContext.broadcast(held)
     key = uuid.uuid4().hex
-    arrow = known.select("term_id").limit(0).toArrow().schema.field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _automata:
             _automata.clear()
             built = ahocorasick.Automaton()
-            for g, n, term in entries:
+            for g, n, term in zip(*[c.to_pylist() for c in shared.value.columns]):
                 built.add_word(f" {g} ", (n, term))
             built.make_automaton()
             _automata[key] = built
@@ -72,11 +92,7 @@ def dictionary_annotate(docs: DataFrame, lexicon: DataFrame, most_words: int | N
                     term.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(pos, pa.int32()), pa.array(width, pa.int32()), pa.array(term, arrow)], ["doc_id", "pos", "n_words", "term_id"])
 
-    if not entries:
-        return docs.where("false").select("doc_id", F.lit(1).alias("pos"), F.lit(1).alias("n_words"), F.lit(None).cast(term_type).alias("term_id"))
-    texts = docs.select("doc_id", F.array_join(words_of(F.col("text")), " ").alias("t")).where("t <> ''")
-    hits = texts.mapInArrow(run, f"doc_id {doc_type}, pos int, n_words int, term_id {term_type}")
-    return hits
+    return texts.mapInArrow(run, f"doc_id {doc_type}, pos int, n_words int, term_id {term_type}")
 
 
 def annotate_by_joins(docs: DataFrame, known: DataFrame) -> DataFrame:

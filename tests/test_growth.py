@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from orrery.operators import blocks, match, resolve
+from orrery.operators import blocks, match, resolve, textops
 from orrery.sources import readers
 
 
@@ -106,3 +106,18 @@ def test_xml_files_are_cut(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(tuple(r) for r in rows) == sorted((f"ORPHA:{i}", f"a <b> &\n{i}", f"HP:{i}", "Frequent", "s") for i in range(200))
+
+
+def test_large_lexicons_run_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 40))) for i in range(20)] + [(20, None)], "doc_id long, text string")
+    lexicon = spark.createDataFrame([(" ".join(rng.choice(words, 1 + i % 3)), i) for i in range(120)] + [(f"w0 w{i}", 500 + i) for i in range(30)], "phrase string, term_id long")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    whole = rows(textops.dictionary_annotate(docs, lexicon))
+    monkeypatch.setattr(textops, "MOST_PHRASES", 60)
+    parts = textops.dictionary_annotate(docs, lexicon)
+    assert rows(parts) == whole and len(whole) > 100
+    assert "Exchange" not in plan_of(parts) and plan_of(parts).count("MapInArrow") > 2
+    monkeypatch.setattr(textops, "MOST_PHRASES", 10)  # w0 alone has more
+    assert rows(textops.dictionary_annotate(docs, lexicon)) == whole
