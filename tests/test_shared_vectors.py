@@ -68,3 +68,17 @@ def test_empty_sides(spark):
         assert match.best_match_similarity(query.where("false"), library, "disease_id", embedding, weights, k).count() == 0
         assert match.best_match_similarity(query, library.where("false"), "disease_id", embedding, weights, k).count() == 0
         assert match.best_match_similarity(query, library, "disease_id", embedding.where("false"), weights, k).count() == 0
+
+
+def test_mean_vectors_by_numbers(spark, monkeypatch):
+    monkeypatch.setattr(shared_vectors, "ENTRIES", 4)
+    monkeypatch.setattr(match.vec, "weighted_mean_vectors", None)  # no row is unfolded into components
+    vector, _, held, ic, _, library, embedding, weights = tables(spark)
+    found = {r.disease_id: r.v for r in match.mean_vectors(library, "disease_id", embedding, weights.where("ic < 4")).collect()}
+    for d, ts in held.items():
+        mine = [(ic[t], vector[t]) for t in ts if t in vector and ic.get(t, 9) < 4]
+        assert (d in found) == bool(mine)
+        if mine:
+            assert np.allclose(found[d], sum(w * v for w, v in mine) / sum(w for w, _ in mine), atol=1e-12)
+    flat = {r.disease_id: r.v for r in match.mean_vectors(library, "disease_id", embedding, weights.selectExpr("term_id", "0.0 as ic")).collect()}
+    assert all(np.allclose(v, np.mean([vector[t] for t in held[d] if t in ic], axis=0)) for d, v in flat.items()) and flat
