@@ -1,20 +1,21 @@
-"""SentencePiece encoding as a relational lattice, and decoding.
+"""SentencePiece encoding as a lattice, and decoding.
 
 A text is its words one after another: spaces become U+2581, one more leads, and a word is a run of marks with what
-follows up to the next mark or line end. No piece crosses such a border, so each distinct word is encoded once:
+follows up to the next mark or line end. No piece crosses such a border, so words are encoded on their own, in the task that
+reads them: no row moves and nothing is written.
 
-1. each chunk of documents lists its distinct words, and the words of all chunks are made distinct;
-2. substrings of up to the longest piece's length are exploded and joined to the piece table by equality (a broadcast
-   of at most ``MOST_PIECES`` rows); a character that is no piece becomes an edge of unknown score;
-3. edges are grouped by word and folded in a higher-order ``aggregate``. For a unigram model the fold is Viterbi: the
-   best score and edge for each end, then the way back; ties keep the longer piece. For a model made by merges it
-   takes, again and again, the best-scored edge over two neighbours, the leftmost of equals, as that model is defined.
-   Unknown characters give byte pieces;
-4. words and ids go back to the chunks that use them, and meet the documents there.
+1. the distinct words of a batch that the task has not met are laid out as arrays of characters, about ``CHARS`` at once;
+2. all their substrings up to the longest piece's length go down a trie of the pieces together, length by length; what they
+   meet are the lattice's edges. A character that is no piece becomes an edge of unknown score;
+3. the edges of all words are folded together. For a unigram model the fold is Viterbi: the best score and edge for each
+   end, then the way back; ties keep the longer piece. For a model made by merges it takes, again and again, each word's
+   best-scored edge over two neighbours, the leftmost of equals, as that model is defined. Unknown characters give byte pieces;
+4. a task keeps the ids of at most ``MOST_WORDS`` words, and begins anew beyond.
+
+``encode_words`` is the same lattice as a table: substrings joined with the pieces, folded in a higher-order ``aggregate``.
 
 Which fold applies is read from the model file: summed scores do not give the encoding of a model made by merges (see
-the README). Words of over ``LONG`` characters are folded by the same rule in the task that holds them, with memory in
-proportion.
+the README). Words of over ``LONG`` characters are folded by the same rule one by one, with memory in proportion.
 
 Null and empty texts have no ids. A U+2581 in a text decodes to a space. Repeated rows give a row each.
 """
@@ -34,13 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .exact import listed
-from .scratch import documents, written
+from .scratch import documents
 from .secrets import bind
 
 MARK = "▁"
 MOST_PIECES = 300_000
 LONG = 64
-CHUNK_ROWS = 4096
+CHARS, MOST_WORDS = 100_000, 500_000
+#: Ids in a batch of the result.
+MOST_IDS = 1 << 22
 #: An unknown character scores this much below the lowest score.
 UNKNOWN = 10.0
 _word = re.compile(rb"\n| *[^ \n]+| +")
@@ -99,33 +102,116 @@ def words_of(text: bytes) -> list[bytes]:
     return _word.findall(b" " + text.replace(MARK.encode(), b" ")) if text else []
 
 
-def chunked(docs: DataFrame, text_col: str, rows: int) -> DataFrame:
-    """``docs`` with ``_chunk``: neighbours in the scan share one. The table has to read the same twice."""
-    at = F.monotonically_increasing_id()
-    return docs.withColumn("_chunk", F.shiftright(at, 33) * (1 << 20) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / rows))
-
-
-def used_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """(chunk, word) of the words of up to LONG characters, once for each chunk and task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, met = None, set()
-
-        def out() -> pa.RecordBatch:
-            short = [w.decode() for w in met if len(w) <= LONG or len(w.decode()) <= LONG]
-            return pa.RecordBatch.from_arrays([pa.array([here] * len(short), pa.int64()), pa.array(short, pa.string())], ["chunk", "word"])
-
-        for batch in batches:
-            for chunk, text in zip(batch.column("_chunk").to_pylist(), listed(batch, text_col)):
-                if chunk != here:
-                    if met:
-                        yield out()
-                    here, met = chunk, set()
-                met.update(words_of(text or b""))
-        if met:
-            yield out()
-
-    return docs.select("_chunk", text_col).mapInArrow(run, "chunk long, word string")
+class Trie:
+    """The pieces by their characters, as arrays."""
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        nodes: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for i, (p, k) in enumerate(zip(vocab.pieces, vocab.kinds)):
+            if k == "normal":
+                at = 0
+                for c in p:
+                    at = nodes.setdefault(at << 21 | ord(c), len(nodes) + 1)
+                ends[at] = i
+        codes = np.fromiter(nodes.keys(), np.int64, len(nodes))
+        order = np.argsort(codes)
+        self.codes, self.next = codes[order], np.fromiter(nodes.values(), np.int64, len(nodes))[order]
+        self.piece = np.full(len(nodes) + 1, -1, np.int32)
+        self.piece[list(ends)] = list(ends.values())
+        self.longest, self.merges, self.unknown = vocab.longest, vocab.merges, vocab.unknown
+        self.scores, self.bytes_at = np.array(vocab.scores), np.array(vocab.bytes_at, np.int32)
+
+    def lattice(self, chars: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """For each character and length the piece that is there, or -1; ``left`` characters remain in the word, itself included."""
+        out = np.full((len(chars), self.longest), -1, np.int32)
+        at, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        for n in range(self.longest):
+            inside = left[at] > n
+            at, node = at[inside], node[inside]
+            code = node << 21 | chars[at + n]
+            place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            there = self.codes[place] == code
+            at, node = at[there], self.next[place[there]]
+            if not len(at):
+                break
+            out[at, n] = self.piece[node]
+        return out
+
+    def merged(self, lattice: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of all words begin and end after all merges; ``word`` numbers each character's word."""
+        begin = np.arange(len(word))
+        end, done = begin + 1, []
+        while len(begin):
+            size = end[1:] - begin[:-1]
+            at = np.flatnonzero((word[1:] == word[:-1]) & (size <= self.longest))
+            found = lattice[begin[at], size[at] - 1]
+            at, score = at[found >= 0], self.scores[found[found >= 0]]
+            own = word[at]
+            start = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1)) if len(own) else np.zeros(0, int)
+            top = np.repeat(np.maximum.reduceat(score, start), np.diff(np.append(start, len(own)))) if len(own) else score
+            best = at[score == top]
+            best = best[np.concatenate(([True], np.diff(word[best]) > 0))] if len(best) else best
+            end[best] = end[best + 1]
+            keep = np.ones(len(begin), bool)
+            keep[best + 1] = False
+            joined = np.zeros(int(word[-1]) + 1, bool)
+            joined[own] = True
+            more = joined[word]
+            done.append((begin[~more], end[~more]))
+            keep &= more
+            begin, end, word = begin[keep], end[keep], word[keep]
+        begin, end = (np.concatenate([d[i] for d in done]) for i in range(2))
+        order = np.argsort(begin)
+        return begin[order], end[order]
+
+    def best_paths(self, lattice: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the best-scored paths; words begin at ``first``."""
+        number = np.arange(len(first))  # a word has a node more than it has characters
+        score, came = np.full(len(lattice) + len(first), -np.inf), np.zeros(len(lattice) + len(first), np.int64)
+        score[first + number] = 0.0
+        for s in range(int(size.max(initial=0))):
+            mine = np.flatnonzero(size > s)
+            at = first[mine] + s
+            node = at + mine
+            for n in range(self.longest):
+                piece = lattice[at, n]
+                ok = piece >= 0 if n else np.ones(len(at), bool)
+                to = node[ok] + n + 1
+                reached = score[node[ok]] + np.where(piece[ok] >= 0, self.scores[piece[ok]], self.unknown)
+                better = reached > score[to]
+                score[to[better]], came[to[better]] = reached[better], node[ok][better]
+        begins, ends, here = [], [], first + size + number
+        while len(here):
+            begins.append(came[here] - number)
+            ends.append(here - number)
+            here = came[here]
+            more = here > first[number] + number
+            here, number = here[more], number[more]
+        begin, end = np.concatenate(begins), np.concatenate(ends)
+        order = np.argsort(begin)
+        return begin[order], end[order]
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids, as little-endian 32-bit numbers, of each word (marks for spaces, not empty)."""
+        text = "".join(words)
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(words)), size)
+        lattice = self.lattice(chars, (first + size)[word] - np.arange(len(chars)))
+        begin, end = self.merged(lattice, word) if self.merges else self.best_paths(lattice, first, size)
+        piece = lattice[begin, end - begin - 1]
+        raw = np.frombuffer(text.encode(), np.uint8)
+        at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        count = np.where(piece >= 0, 1, at[begin + 1] - at[begin])
+        offset = np.cumsum(count) - count
+        ids = np.repeat(piece, count)
+        lost = np.repeat(piece < 0, count)
+        ids[lost] = self.bytes_at[raw[(np.repeat(at[begin] - offset, count) + np.arange(len(ids)))[lost]]]
+        edges = (np.append(offset, len(ids))[np.append(np.searchsorted(begin, first), len(begin))] * 4).tolist()
+        held = ids.astype("<i4").tobytes()
+        return [held[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
 
 def bytes_of(c: Column, byte_ids: list[int]) -> Column:
@@ -234,41 +320,68 @@ def all_merges(word: str, lookup: dict[str, tuple[int, float]], byte_ids: list[i
     return out
 
 
-def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def learn(words: list[bytes], known: dict[bytes, bytes], trie: Trie, lookup: dict[str, tuple[int, float]], byte_ids: list[int]) -> None:
+    """Adds the ids of ``words`` to ``known``."""
+    part: list[bytes] = []
+    marked: list[str] = []
+    size = 0
+
+    def add() -> None:
+        known.update(zip(part, trie.ids_of(marked)))
+
+    for w in words:
+        text = w.decode().replace(" ", MARK)
+        if len(text) > LONG:
+            path = all_merges(text, lookup, byte_ids) if trie.merges else best_path(text, lookup, trie.longest, trie.unknown, byte_ids)
+            known[w] = np.array(path, "<i4").tobytes()
+            continue
+        part.append(w)
+        marked.append(text)
+        size += len(text)
+        if size >= CHARS:
+            add()
+            part, marked, size = [], [], 0
+    if part:
+        add()
+
+
+def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, ids array<int>) of every row."""
     vocab = vocabulary(model_file)
-    rows = chunked(docs.select(id_col, text_col), text_col, chunk_rows)
-    used = written(used_words(rows, text_col), "words")
-    known = encode_words(used.select("word").distinct(), vocab)
-    packed = known.select("word", "ids")
-    lexicon = used.join(packed.hint("merge"), "word")
+    shared = docs.sparkSession.sparkContext.broadcast((Trie(vocab), vocab.lookup(), vocab.bytes_at))
+    rows = docs.select(id_col, text_col)
     schema = T.StructType([rows.schema[id_col], T.StructField(text_col, T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat, ends = (ids.flatten().to_numpy().astype(np.int32), ids.offsets.to_numpy()) if len(ids) else (np.zeros(0, np.int32), np.zeros(1, int))
-        raw, first = flat.tobytes(), int(ends[0])
-        words = right.column("word").cast(pa.binary()).to_pylist()
-        known = {w: raw[(a - first) * 4 : (b - first) * 4] for w, a, b in zip(words, ends[:-1].tolist(), ends[1:].tolist())}
-        lookup, out = None, []
-        for text in left.column(text_col).cast(pa.binary()).to_pylist():
-            found = []
-            for w in words_of(text or b""):
-                got = known.get(w)
-                if got is None:
-                    lookup = lookup or vocab.lookup()
-                    word = w.decode().replace(" ", MARK)
-                    path = all_merges(word, lookup, vocab.bytes_at) if vocab.merges else best_path(word, lookup, vocab.longest, vocab.unknown, vocab.bytes_at)
-                    got = known[w] = np.array(path, np.int32).tobytes()
-                found.append(got)
-            out.append(b"".join(found))
-        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in out])))
-        if offsets[-1] >= 1 << 31:
-            raise ValueError("a chunk has more ids than a batch can hold; lower chunk_rows")
-        column = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(out), np.int32)), type=pa.list_(pa.field("element", pa.int32())))
-        return pa.table({id_col: left.column(id_col), text_col: left.column(text_col), "ids": column})
-
-    return rows.groupBy("_chunk").cogroup(lexicon.withColumnRenamed("chunk", "_chunk").groupBy("_chunk")).applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
+
+        def batch(texts: pa.RecordBatch, out: list[bytes]) -> pa.RecordBatch:
+            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in out]))).astype(np.int64)
+            if offsets[-1] >= 1 << 31:
+                raise ValueError("a text has more ids than a batch can hold")
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(out), np.int32)), type=pa.list_(pa.field("element", pa.int32())))
+            return pa.RecordBatch.from_arrays([texts.column(id_col), texts.column(text_col), ids], [id_col, text_col, "ids"])
+
+        for b in batches:
+            first, size, out = 0, 0, []
+            texts = listed(b, text_col)
+            for at in range(0, len(texts), 256):
+                split = [words_of(t or b"") for t in texts[at : at + 256]]
+                new = list({w for words in split for w in words if w not in known})
+                if len(known) + len(new) > MOST_WORDS:
+                    known.clear()
+                    new = list({w for words in split for w in words})
+                learn(new, known, *shared.value)
+                for words in split:
+                    out.append(b"".join([known[w] for w in words]))
+                    size += len(out[-1]) // 4
+                    if size >= MOST_IDS:
+                        yield batch(b.slice(first, len(out)), out)
+                        first, size, out = first + len(out), 0, []
+            if out:
+                yield batch(b.slice(first, len(out)), out)
+
+    return rows.mapInArrow(run, schema)
 
 
 def decoded(ids: list[int], shown: list[bytes]) -> bytes:
@@ -306,9 +419,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            same = [decoded(x, shown) == (t or b"").replace(mark, b" ") for x, t in zip(ids, listed(batch, "text"))]
-            shas = [hashlib.sha256(np.array(x, np.int32).tobytes()).hexdigest() for x in ids]
+            held = batch.column("ids")
+            flat, ends = held.flatten().to_numpy(zero_copy_only=False), held.offsets.to_numpy()
+            ids = [flat[a:b] for a, b in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist())]
+            same = [decoded(x.tolist(), shown) == (t or b"").replace(mark, b" ") for x, t in zip(ids, listed(batch, "text"))]
+            shas = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(shas), pa.array(same)], ["doc_id", "n_ids", "ids_sha256", "round_trip"])
 
     found = encode(documents(spark, sf_dir), model_file)
